@@ -53,6 +53,14 @@ def _power(n: int) -> list[np.ndarray]:
     return _powers
 
 
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, value: np.ndarray = BYTE_VALUE) -> np.ndarray:
+    """64-bit hashes of the bytes starts[i]:ends[i], from running sums of a polynomial over all bytes."""
+    q, q_inv = _power(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(value[data] * q[:len(data)], out=total[1:])
+    return mix((total[ends] - total[starts]) * q_inv[starts] + (ends - starts).astype(np.uint64))
+
+
 class Texts:
     """A run of texts as one byte array; offsets[i]:offsets[i + 1] are the bytes of text i. Null is empty."""
 
@@ -91,12 +99,7 @@ class Words:
 
     def hashes(self, value: np.ndarray = BYTE_LOWER_VALUE) -> np.ndarray:
         """64-bit hashes of the words, by default with A-Z in lower case."""
-        b = self.texts.bytes
-        q, q_inv = _power(len(b) + 1)
-        total = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(value[b] * q[:len(b)], out=total[1:])
-        length = (self.ends - self.starts).astype(np.uint64)
-        return mix((total[self.ends] - total[self.starts]) * q_inv[self.starts] + length)
+        return span_hashes(self.texts.bytes, self.starts, self.ends, value)
 
     def shingles(self, hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the runs of size words within one text, and the place of the first word of each."""
