@@ -49,3 +49,9 @@ def bitmap(df: DataFrame, hashed: Column, bits: int) -> np.ndarray:
 def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     place = hashes & np.uint64(len(bits) * 8 - 1)
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id isn't among ids (doc_id); null is an id like others."""
+    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")

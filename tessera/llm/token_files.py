@@ -17,6 +17,7 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -215,7 +216,10 @@ class Encoder:
         return ids, counts
 
 
-_encoders: dict[str, Encoder] = {}
+@lru_cache(1)
+def _encoder(path: str) -> Encoder:
+    """One for all tasks of a worker process."""
+    return Encoder(path)
 
 
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, kind: str = "byte") -> DataFrame:
@@ -226,8 +230,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     Null texts are empty; null doc_ids come first, as the least id; rows with equal ids are ordered by text.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoders.setdefault(tokenizer, None) or Encoder(tokenizer)
-        _encoders[tokenizer] = encoder
+        encoder = _encoder(tokenizer)
         writer = None
         for batch in batches:
             for part, texts in slices(batch):
