@@ -247,7 +247,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(ordered.mapInArrow(write, "part int, path string, n_ids long"), "token-files")
+    return stage(ordered.mapInArrow(write, "part long, path string, n_ids long"), "token-files")
 
 
 def read_token_files(written: DataFrame) -> DataFrame:
