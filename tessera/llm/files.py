@@ -25,7 +25,7 @@ def open_input(path: str):
     return where.open_input_file(at)
 
 
-def listed(path: str, suffix: str) -> list[tuple[str, int]]:
+def listed(path: str, suffix: str | tuple[str, ...]) -> list[tuple[str, int]]:
     """(path, bytes) of the files with that suffix in a folder, or of the one file, in order of their names."""
     where, at = store(path)
     info = where.get_file_info(at)
