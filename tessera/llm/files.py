@@ -17,7 +17,7 @@ def create(folder: str, suffix: str):
     where, at = store(folder)
     where.create_dir(at, recursive=True)
     name = f"{uuid.uuid4().hex}{suffix}"
-    return f"{folder}/{name}", where.open_output_stream(f"{at}/{name}")
+    return f"{folder}/{name}", where.open_output_stream(f"{at}/{name}", compression=None)
 
 
 def open_input(path: str):

@@ -16,7 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not where:
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
+    path = spark._jvm.org.apache.hadoop.fs.Path(where)  # a path without a scheme is one of the default file system
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

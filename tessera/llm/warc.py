@@ -166,6 +166,8 @@ def records(source, tests: dict[str, list], with_payload: bool) -> Iterator[tupl
     """
     stream = _Stream(source)
     while (head := stream.until(b"\r\n\r\n")) is not None:
+        if not head.strip():  # the end of the record before
+            continue
         lines = head.lstrip(b"\r\n").decode("utf-8", "replace").split("\r\n")
         headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
         length = int(headers.get("content-length", 0))
