@@ -1,0 +1,56 @@
+"""Facts of a resource's text as nodes and edges, by patterns over lines."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from tessera.functions.scalars import uuid5
+from tessera.operators.chunking import NAMESPACE, lines
+
+# The forms of statements that make edges; the first group is the target's name.
+FORMS = {
+    "IMPORTS": [r"^\s*(?:from|import)\s+([A-Za-z_][\w.]*)", r"""\b(?:from|require\()\s*['"]([^'"]+)['"]"""],
+    "READS": [r"""os\.environ(?:\.get\(|\[)\s*['"]([A-Z][A-Z0-9_]*)['"]""", r"""getenv\(\s*['"]([A-Z][A-Z0-9_]*)['"]""", r"process\.env\.([A-Z][A-Z0-9_]*)"],
+    "EXPOSES": [r"""@\w+\.(?:get|post|put|patch|delete|route)\(\s*['"]([^'"]+)['"]"""],
+    "WRITES": [r"(?i)\bcreate\s+table\s+(?:if\s+not\s+exists\s+)?[\"`]?([A-Za-z_][\w.]*)"],
+    "MENTIONS": [r"`([A-Za-z_]\w*(?:\.\w+)*)(?:\(\))?`"],
+}
+SYMBOLS = {"class": r"^\s*(?:export\s+)?(?:abstract\s+)?(?:class|struct|interface|trait)\s+([A-Za-z_]\w*)", "function": r"^\s*(?:export\s+)?(?:async\s+)?(?:def|function|func|fn)\s+([A-Za-z_]\w*)"}
+
+
+def edge_id(product: str) -> Column:
+    return uuid5(NAMESPACE, F.concat_ws("|", F.lit(product), "from_id", "edge_type", "to_id", "uri"))
+
+
+def edges(resources: DataFrame, product: str) -> DataFrame:
+    """(edge_id, edge_type, from_id, to_id, uri, line_no): each distinct fact of a resource (uri, content), at its first line."""
+    each = lines(resources)
+    found = [F.struct(F.lit(kind).alias("edge_type"), F.regexp_extract_all("line", F.lit(form), F.lit(1)).alias("names")) for kind, forms in FORMS.items() for form in forms]
+    facts = each.select("uri", "line_no", F.explode(F.array(*found)).alias("f")).select("uri", "line_no", "f.edge_type", F.explode("f.names").alias("name"))
+    facts = facts.groupBy("uri", "edge_type", "name").agg(F.min("line_no").alias("line_no"))
+    named = facts.select("edge_type", F.concat_ws(":", F.lit("file"), F.lit(product), "uri").alias("from_id"), F.concat_ws(":", F.lower("edge_type"), F.lit(product), "name").alias("to_id"), "uri", "line_no")
+    return named.withColumn("edge_id", edge_id(product))
+
+
+def symbols(resources: DataFrame) -> DataFrame:
+    """(uri, kind, name, line_no, signature) of declarations, one a line."""
+    each = lines(resources)
+    found = None
+    for kind, form in SYMBOLS.items():
+        part = each.withColumn("name", F.regexp_extract("line", form, 1)).filter("name <> ''").withColumn("kind", F.lit(kind))
+        found = part if found is None else found.unionByName(part)
+    return found.select("uri", "kind", "name", "line_no", F.substring(F.regexp_replace(F.trim("line"), r"\s*[{:]\s*$", ""), 1, 120).alias("signature"))
+
+
+def headings(resources: DataFrame) -> DataFrame:
+    """(uri, at, level, title) of ATX headings, for chunking.sections."""
+    each = lines(resources).withColumn("marks", F.regexp_extract("line", r"^(#{1,6})\s+\S", 1)).filter("marks <> ''")
+    return each.select("uri", F.col("line_no").alias("at"), F.length("marks").alias("level"), F.trim(F.regexp_replace("line", r"^#{1,6}\s+|\s+#+\s*$", "")).alias("title"))
+
+
+def rank_symbols(found: DataFrame, terms: list[str], limit: int = 8) -> DataFrame:
+    """Symbols by kind and by how many of the terms their name or file holds."""
+    hits = sum((F.contains(F.lower(F.concat_ws(" ", "name", "uri")), F.lit(t.lower())).cast("int") for t in terms), F.lit(0))
+    weighed = found.withColumn("score", 5 * hits + F.when(F.col("kind") == "class", 2).otherwise(1)).filter(hits > 0)
+    return weighed.orderBy(F.desc("score"), "uri", "line_no").limit(limit)

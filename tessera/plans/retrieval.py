@@ -141,9 +141,9 @@ ORACLE_SQL = {
       phased AS (SELECT *, CASE WHEN channel = 'bm25' AND r <= 5 THEN 0 WHEN channel = 'grep' AND r <= 2 THEN 1 ELSE 2 END AS phase FROM placed)
       SELECT query_id, chunk_id, channel, score, slot FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY phase, score DESC, chunk_id) AS slot FROM phased) WHERE slot <= 10""",
     "rerank_overlap": f"""WITH {_BM25}, {_GREP}, {_FUSED},
-      pairs AS (SELECT f.query_id, f.chunk_id, list_distinct(regexp_extract_all(lower(b.text), '[a-z0-9_]+')) AS asked, list_distinct(regexp_extract_all(lower(d.text), '[a-z0-9_]+')) AS held
-        FROM fused f JOIN benchmark b ON b.item_id = f.query_id JOIN documents d ON d.doc_id = f.chunk_id WHERE f.rank <= 20),
-      lapped AS (SELECT query_id, chunk_id, round(len(list_intersect(asked, held)) / greatest(len(asked), 1)::DOUBLE, 6) AS score FROM pairs)
+      held AS MATERIALIZED (SELECT DISTINCT chunk_id, term FROM words), n_asked AS (SELECT query_id, count(*) AS n FROM asked GROUP BY query_id),
+      common AS (SELECT query_id, chunk_id, count(*) AS both_ FROM held JOIN asked USING (term) GROUP BY ALL),
+      lapped AS (SELECT f.query_id, f.chunk_id, round(coalesce(c.both_, 0) / a.n::DOUBLE, 6) AS score FROM fused f JOIN n_asked a USING (query_id) LEFT JOIN common c ON c.query_id = f.query_id AND c.chunk_id = f.chunk_id WHERE f.rank <= 20)
       SELECT query_id, chunk_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM lapped) WHERE rank <= 10""",
     "eval_ir_metrics": f"WITH {_BM25}, {_GREP}, {_JUDGED}, {_metrics('found', 'a')} SELECT * FROM score_a",
     "mode_ablation": f"""WITH {_BM25}, {_GREP}, {_FUSED}, {_JUDGED}, fused10 AS (SELECT query_id, chunk_id AS label, rank FROM fused WHERE rank <= 10), {_metrics('found', 'a')}, {_metrics('fused10', 'b')}
