@@ -1,0 +1,349 @@
+"""Each operator against a plain version, and over odd and empty tables."""
+
+import gzip
+import hashlib
+import re
+import zlib
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tessera.llm import decontamination, fingerprints, jaccard_join, licenses, line_dedup, packing, pii, queries, token_files, toxicity, warc
+from tessera.llm.components import components
+from tessera.llm.textbytes import ALNUM, NOT_SPACE, Texts
+from tests.llm import brute
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+
+def pairs(df, key="doc_id"):
+    return [(r[key], r["text"]) for r in df.collect()]
+
+
+def table(spark, sf, name):
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(alphabet="aB1 é\n\tÉ.'ß日\x0b", max_size=12), min_size=1, max_size=6))
+def test_words_are_those_of_the_patterns(texts):
+    held = Texts(pa.array(texts))
+    for kind, form in ((ALNUM, brute.WORD), (NOT_SPACE, brute.TOKEN)):
+        words = held.words(kind)
+        got = [held.bytes[a:b].tobytes().decode() for a, b in zip(words.starts, words.ends)]
+        want = [form.findall(t.translate(brute.LOW)) for t in texts]
+        assert got == [w for some in want for w in some]
+        assert words.counts().tolist() == [len(w) for w in want]
+
+
+def test_equal_words_hash_alike_wherever_they_stand():
+    held = Texts(pa.array(["Abc abc xyz", None, "zz ABC"]))
+    h = held.words(ALNUM).hashes()
+    assert h[0] == h[1] == h[4] and len(set(h.tolist())) == 3
+
+
+def test_components_of_a_chain_and_a_star(spark):
+    edges = [(k, k + 1) for k in range(1, 40)] + [(100, k) for k in range(101, 130)] + [(7, 7)]
+    got = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 1 for k in range(1, 41)} | {k: 100 for k in range(100, 130)}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_contamination_is_brute_force(spark, sf, odd_docs, no_docs):
+    docs, items = table(spark, sf, "documents"), table(spark, sf, "benchmark")
+    names = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    got = sorted(tuple(r[c] for c in names) for r in decontamination.decontaminate(docs, items).collect())
+    assert got == sorted(brute.contamination(pairs(docs), pairs(items, "item_id"))) and any(r[2] for r in got)
+    odd_items = spark.createDataFrame([(1, " ".join(f"alpha{k}" for k in range(30, 60))), (2, "one two"), (3, None), (4, "..."), (2, "one two"), (5, "Gamma1 GAMMA2")], "item_id long, text string")
+    got = sorted((tuple(r[c] for c in names) for r in decontamination.decontaminate(odd_docs, odd_items).collect()), key=repr)
+    assert got == sorted(brute.contamination(pairs(odd_docs), pairs(odd_items, "item_id")), key=repr)
+    assert decontamination.decontaminate(no_docs, odd_items).count() == 0
+    assert not decontamination.decontaminate(odd_docs, odd_items.filter("false")).filter("n_hit > 0").count()
+
+
+def test_jaccard_components_are_brute_force(spark, sf, odd_docs, no_docs):
+    docs = table(spark, sf, "documents")
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(docs).collect())
+    assert got == sorted(brute.jaccard_components(pairs(docs)))
+    known = odd_docs.filter("doc_id is not null")
+    got = sorted(set(tuple(r) for r in jaccard_join.jaccard_components(known).collect()))
+    assert got == sorted(brute.jaccard_components(pairs(known)))
+    assert jaccard_join.jaccard_components(odd_docs).count() == odd_docs.count()
+    assert jaccard_join.jaccard_components(no_docs).count() == 0
+
+
+def test_jaccard_links_chains_and_lone_sets_of_a_large_cell(spark):
+    """Many sets share rare shingles with a centre; some link only through others, some with nothing."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(80)]
+    rows = [(0, " ".join(base))]
+    for i in range(1, 160):
+        words = list(base)
+        for k in rng.choice(80, int(rng.integers(0, 7)), replace=False):
+            words[k] = f"v{i}x{k}"
+        rows.append((i, " ".join(words)))
+    got = sorted(tuple(r) for r in jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted(brute.jaccard_components(rows))
+
+
+def test_one_of_each_component_stays(spark, odd_docs):
+    kept = [r.doc_id for r in jaccard_join.one_of_each(odd_docs).collect()]
+    assert 0 in kept and 2 not in kept and 11 not in kept and 3 in kept and 4 in kept and 8 in kept
+
+
+def test_line_dedup_cuts_repeated_passages_and_nothing_else(spark, odd_docs, no_docs):
+    rng = np.random.default_rng(3)
+
+    def prose(n, seed):
+        r = np.random.default_rng(seed)
+        return " ".join("".join(r.choice(list("abcdefghij"), 5)) for _ in range(n))
+
+    passage = prose(70, 99)
+    rows = []
+    for k in range(30):
+        own = prose(200, k).split(" ")
+        at = int(rng.integers(0, 200))
+        rows.append((k, " ".join(own[:at] + ([passage] if k % 2 else []) + own[at:]), "x"))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_removed_chunks string")
+    got = {r.doc_id: r for r in line_dedup.dedup_lines(docs).collect()}
+    assert all(got[k].text == rows[k][1] and got[k].n_removed_chunks == 0 for k in range(0, 30, 2))
+    assert got[1].text == rows[1][1]
+    words = passage.split(" ")
+    for k in range(3, 30, 2):
+        left = sum(" ".join(words[a:a + 8]) in got[k].text for a in range(len(words) - 7))
+        assert left <= 25 and all(w in got[k].text for w in rows[k][1].replace(passage, "").split(" ")[:20])
+    odd = line_dedup.dedup_lines(odd_docs)
+    assert odd.columns == [*odd_docs.columns, "n_removed_chunks"] and odd.count() == odd_docs.count()
+    texts = {(r.doc_id, r.n): r.text for r in odd.collect()}
+    assert texts[4, 4] is None and texts[3, 3] == "" and texts[6, 6] == "one two" and len(texts[2, 2]) < 900
+    assert line_dedup.dedup_lines(no_docs).count() == 0
+
+
+def test_chunks_cover_texts_and_resist_shifts():
+    rng = np.random.default_rng(1)
+    words = ["".join(rng.choice(list("abcdef"), 4)) for _ in range(400)]
+    a, b = " ".join(words), "intro words here " + " ".join(words)
+    found = line_dedup.chunks(Texts(pa.array([a, "", b, "solo", "\n \n"])))
+    for i, t in enumerate([a, "", b, "solo", "\n \n"]):
+        own = found.text == i
+        assert (found.start[own][1:] == found.stop[own][:-1]).all() and (not own.any() or found.stop[own][-1] == len(t))
+    one, two = set(found.hash[found.text == 0].tolist()), set(found.hash[found.text == 2].tolist())
+    assert len(one & two) >= len(one) - 3
+
+
+def test_pii_surrogates_are_consistent_distinct_and_shaped(spark, sf, odd_docs, no_docs):
+    texts = ["Mr. John Smith met Mrs Jane Smith and Mr. John Smith", "call 017-555-7713 or +1 (017) 555-7713", "4111 1111 1111 1111 and 4111111111111111", "Foo.1@Bar.com foo.1@bar.com", None, "",
+             "ip 10.0.0.1 key 0123456789abcdef0123456789abcdef01234567 id 123-45-6789", "Госпожа Анна Белова", "no entities at 3.14 or a@b"]
+    got = [r.text for r in sorted(pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect(), key=lambda r: r.doc_id)]
+    assert got[4] is None and got[5] == "" and got[8] == texts[8]
+    m = re.fullmatch(r"Mr\. (\w+ [\w-]+) met Mrs (\w+ [\w-]+) and Mr\. (\w+ [\w-]+)", got[0])
+    assert m[1] == m[3] and m[1].split()[0] in pii.GIVEN["m", "latin"] and m[2].split()[0] in pii.GIVEN["f", "latin"]
+    a, b = re.fullmatch(r"call (\d{3}-\d{3}-\d{4}) or \+1 (\(\d{3}\) \d{3}-\d{4})", got[1]).groups()
+    assert re.sub(r"\D", "", a) == re.sub(r"\D", "", b) != "0175557713"
+    cards = got[2].split(" and ")
+    assert cards[0].replace(" ", "") == cards[1] and sum(int(x) if k % 2 else sum(divmod(int(x) * 2, 10)) for k, x in enumerate(cards[1])) % 10 == 0
+    assert len(set(got[3].split())) == 1 and got[3].endswith(".com")
+    assert re.fullmatch(r"ip (\d{1,3}\.){3}\d{1,3} key [0-9a-f]{40} id \d{3}-\d{2}-\d{4}", got[6]) and "10.0.0.1" not in got[6]
+    assert re.fullmatch(r"Госпожа [А-Я][а-я]+ [А-Я][а-я]+", got[7])
+    form = re.compile(r"\S+@\S+\.\w+|\+1 \(\d{3}\) \d{3}-\d{4}|\b\d{16}\b|\d+\.\d+\.\d+\.\d+|[0-9a-f]{40}")
+    before, after = dict(pairs(table(spark, sf, "documents"))), dict(pairs(pii.pseudonymize(table(spark, sf, "documents"))))
+    told = {}
+    for i, text in before.items():
+        old, new = form.findall(text or ""), form.findall(after[i] or "")
+        assert len(old) == len(new)
+        for x, y in zip(old, new):
+            assert x != y and told.setdefault(x, y) == y
+    assert len(set(told.values())) == len(told) > 0 and not set(told.values()) & set(told)
+    assert pii.pseudonymize(odd_docs).count() == odd_docs.count() and pii.pseudonymize(no_docs).count() == 0
+
+
+def test_pii_collisions_are_drawn_again(spark):
+    """More names than single given and family names can tell apart."""
+    rows = [("name", f"person{k} of{k}", "m", "latin") for k in range(1500)]
+    got = pii.surrogates(spark.createDataFrame(rows, "kind string, value string, gender string, script string"), "k").collect()
+    assert len(got) == 1500 == len({r.chosen.lower() for r in got})
+
+
+def test_license_scan_is_brute_force(spark, sf, odd_docs, no_docs):
+    docs = table(spark, sf, "documents")
+    longer = [(10_000, "Before. " + licenses.TEMPLATES[5][1].replace("copy", "COPY") + " after"), (10_001, licenses.TEMPLATES[6][1].replace("except", "but")), (10_002, "all rights reserved"), (10_003, "license"),
+              (10_004, "x " * 500 + licenses.TEMPLATES[8][1]), (10_004, None)]
+    docs = docs.select("doc_id", "text").union(spark.createDataFrame(longer, "doc_id long, text string"))
+    want = set()
+    for i, text in pairs(docs):
+        words = licenses.words_of(text or "")
+        for name, template in licenses.TEMPLATES:
+            wanted = licenses.words_of(template)
+            size = min(5, len(wanted))
+            grams = set(licenses.shingles_of(wanted))
+            length = len(wanted) + licenses.stride_of(len(wanted)) - 1
+            for k in range(max(1, len(words) - len(wanted) + 1)):
+                part = words[k:k + length]
+                if len({" ".join(part[j:j + size]) for j in range(len(part) - size + 1)} & grams) >= 0.8 * len(grams):
+                    want.add((i, name))
+    got = {(r.doc_id, r.license) for r in licenses.scan(docs).collect()}
+    assert got == want and len(got) > 5
+    assert licenses.scan(odd_docs).count() == 0 and licenses.scan(no_docs).count() == 0 and licenses.scan(docs, []).count() == 0
+    assert min(licenses.collision_probability(len(licenses.words_of(t))) for _, t in licenses.TEMPLATES) > 0.999
+
+
+def test_warc_round_trip(spark, sf, tmp_path):
+    page = "<html>" + "é" * 60 + "</html>"
+    rows = [(5, "http://a/\r\nx", page), (3, None, page), (9, "u", page), (1, "u", None), (2, "u", ""), (4, "u", "short"), (6, "u", "short"), (None, "u", page), (7, "u", "y" * 3_000_000), (3, None, page)]
+    got = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.archived(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()), key=repr)
+
+    def want(i, html):
+        raw = (html or "").encode()
+        again = html == page and i != 3
+        return i, len(raw), hashlib.sha256(raw).hexdigest(), "revisit" if again else "response", 3 if again else None
+
+    assert got == sorted((want(i, h) for i, _, h in rows), key=repr)
+    assert warc.archived(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+    pages = table(spark, sf, "pages")
+    got = {r.page_id: (r.payload_bytes, r.payload_digest) for r in warc.archived(pages).collect()}
+    assert got == {r.page_id: (len(r.html.encode()), hashlib.sha256(r.html.encode()).hexdigest()) for r in pages.collect()}
+
+
+def test_warc_source_reads_foreign_files_and_pushes_predicates(spark, tmp_path):
+    blocks = [warc.record(1, "http://a/1", b"one", 3, "d1", None), warc.record(2, "http://b/2", b"", 3, "d1", "1"), warc.record(3, "http://a/3", b"x" * 100_000, 100_000, "d3", None)]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
+    (tmp_path / "plain.warc").write_bytes(info + b"".join(blocks))
+    (tmp_path / "members.warc.gz").write_bytes(b"".join(gzip.compress(b) for b in blocks))
+    (tmp_path / "whole.warc.gz").write_bytes(gzip.compress(info + b"".join(blocks)))
+    assert gzip.decompress(warc.member(blocks[0])) == blocks[0]
+    warc.register(spark)
+    source = spark.read.format("warc").load(f"file://{tmp_path}")
+    assert source.count() == 11
+    assert sorted(bytes(r.payload or b"")[:3] for r in source.filter("record_type = 'response'").collect()) == [b"one"] * 3 + [b"xxx"] * 3
+    some = source.filter("target_uri like 'http://a/%' and record_type in ('response', 'revisit')")
+    assert "Filter (" not in some._jdf.queryExecution().executedPlan().toString() and some.count() == 6
+    bare = spark.read.format("warc").option("payload", "false").load(f"file://{tmp_path}").filter("record_type = 'revisit'")
+    assert [(r.http_length, r.payload) for r in bare.collect()] == [(3, None)] * 3
+
+
+def test_fingerprints(spark, sf, odd_docs, no_docs):
+    docs = table(spark, sf, "documents")
+    rows = sorted(pairs(docs))
+    got = sorted(fingerprints.fingerprints(docs).collect(), key=lambda r: r.doc_id)
+    for k, ((i, text), r) in enumerate(zip(rows, got, strict=True)):
+        text, following = text or "", rows[(k + 1) % len(rows)][1] or ""
+        n = len(text) // 4
+        assert (r.doc_id, r.n_chars) == (i, len(text)) and r.edited_sha256 == hashlib.sha256((text[:len(text) - n] + following[:n]).encode()).hexdigest()
+    by_text = {}
+    for (_, text), r in zip(rows, got):
+        assert by_text.setdefault(text or "", r.fingerprint) == r.fingerprint
+    assert np.mean([r.near_edited > r.near_next for r in got if r.n_chars > 200]) > 0.95
+    odd = fingerprints.fingerprints(odd_docs).collect()
+    assert len(odd) == odd_docs.count() and len({r.fingerprint for r in odd if r.n_chars == 0}) == 1
+    assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in odd)
+    assert fingerprints.fingerprints(no_docs).count() == 0
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.text(max_size=20), st.integers(0, 2**32))
+def test_equal_substrings_share_interior_phrases(prefix, seed):
+    rng = np.random.default_rng(seed)
+    shared = "".join(rng.choice(list("abcdefg éß"), 400))
+    names = []
+    for text in (shared, prefix + shared):
+        held = Texts(pa.array([text]))
+        symbols, of = held.bytes, held.offsets
+        for _ in range(2):
+            symbols, of = fingerprints.parse(symbols, of)
+        names.append(symbols.tolist())
+    inner = names[0][8:-8]
+    assert str(inner)[1:-1] in str(names[1])
+
+
+def test_toxicity_learns_from_training_folds_alone(spark, odd_docs, no_docs):
+    rng = np.random.default_rng(0)
+    rows, marks = [], []
+    for k in range(1500):
+        words = ["".join(rng.choice(list("abcdef"), 3)) for _ in range(60)]
+        bad = int(k % 6 == 0)
+        if bad:
+            for at in rng.choice(60, 4, replace=False):
+                words[at] = ("vile", "rotten", "awful")[at % 3]
+        rows.append((k, " ".join(words)))
+        marks.append((k, 1, bad if zlib.crc32(str(k).encode()) % 4 != 2 else 1 - bad))  # held-out labels are wrong on purpose
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    for r in got:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and r.predicted == int(r.doc_id % 6 == 0) == int(r.score >= 0.3)
+    odd_labels = spark.createDataFrame([(1, None, None), (None, 1, 1), (2, 1, 7), (3, 0, 0), (8, 0, 1), (99, 1, 1), (8, 1, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity.toxicity(odd_docs, odd_labels).count() == odd_docs.count()
+    assert {r.score for r in toxicity.toxicity(odd_docs, odd_labels.filter("false")).collect()} == {0.5}
+    assert toxicity.toxicity(no_docs, labels).count() == 0
+
+
+def test_token_files_round_trip(spark, sf, odd_docs, no_docs):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer = Tokenizer.from_file(path)
+    for docs in (table(spark, sf, "documents"), odd_docs):
+        got = sorted(token_files.token_ids(docs, path, 2).collect(), key=lambda r: r.start)
+        start = 0
+        want = sorted(pairs(docs), key=lambda r: (-1 if r[0] is None else r[0], r[1] or ""))
+        for r, (i, text) in zip(got, want, strict=True):
+            ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [2]
+            assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+            start += len(ids)
+    assert token_files.token_ids(no_docs, path, 2).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "B", " ", "'s", "'", "é", "É", "ß", "İ", "Σ", "é", "H̱", ".", "…", "—", " ", "\n", "1", "٣", "日本", "<|endoftext|>", "<|", "|>", "'LL", "😀", "\x0b", "\x1c", "\x85", "_"]), max_size=10))
+def test_pieces_encode_as_whole_texts(parts):
+    encoder = token_files._encoder(public_tokenizers.path("word_bpe_49k.json"))
+    text = "".join(parts)
+    ids, counts = encoder.encode(Texts(pa.array([text, "x"])))
+    assert ids[:counts[0]].tolist() == encoder.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("kind", ["byte", "bit"])
+def test_planes_and_chunks(kind, tmp_path):
+    ids = np.random.default_rng(0).integers(0, 2**32, 1001, dtype=np.uint32)
+    assert (token_files.ids_of(token_files.planes_of(ids, kind), len(ids), kind) == ids).all()
+    writer = token_files.Writer(open(tmp_path / "x", "wb"), kind, 64)
+    writer.add([7, 8], np.array([500, 0]), ids[:500])
+    writer.add([9], np.array([501]), ids[500:])
+    assert writer.close() == 1001
+    with pa.OSFile(str(tmp_path / "x")) as source:
+        reader = token_files.Reader(source)
+        assert reader.doc_ids.tolist() == [7, 8, 9] and (reader.chunk(3) == ids[192:256]).all()
+        assert [np.concatenate(p).tolist() if p else [] for _, p in reader.documents()] == [ids[:500].tolist(), [], ids[500:].tolist()]
+
+
+def test_packing_keeps_words_capacity_and_conflicts(spark, sf, odd_docs, no_docs):
+    docs = table(spark, sf, "documents").filter("doc_id % 17 <> 0").unionByName(table(spark, sf, "documents").filter("doc_id < 20").withColumnRenamed("doc_id", "d").withColumn("doc_id", packing.F.col("d") + 5000).drop("d"))
+    rows = docs.collect()
+    got = packing.pack(docs, 512, 64).collect()
+    size = {r.doc_id: len(brute.WORD.findall((r.text or "").lower())) for r in rows}
+    source = {r.doc_id: r.source for r in rows}
+    cluster = {r.doc_id: tuple(brute.WORD.findall((r.text or "").lower())) for r in rows}
+    bins, words = {}, {}
+    for r in got:
+        words.setdefault(r.doc_id, []).append((r.first_word, r.n_words))
+        if r.bin_id is not None:
+            bins.setdefault(r.bin_id, []).append(r)
+    assert {i: sum(n for _, n in p) for i, p in words.items()} == size
+    for some in bins.values():
+        spans = sorted((r.offset, r.n_words) for r in some)
+        assert all(a + n == b for (a, n), (b, _) in zip(spans, spans[1:])) and spans[0][0] == 0 and sum(n for _, n in spans) <= 512
+        assert len({source[r.doc_id] for r in some}) == len(some) == len({cluster[r.doc_id] for r in some})
+    assert packing.pack(odd_docs).filter("bin_id is null").count() == 3 and packing.pack(no_docs).count() == 0
+
+
+def test_best_fit_takes_the_tightest_compatible_bin():
+    bins = packing.Bins(10)
+    assert [bins.put(7, 1, 1), bins.put(6, 2, 2), bins.put(3, 4, 4)] == [(0, 0), (1, 0), (0, 7)]  # room 3 is tightest
+    assert bins.put(4, 2, 8) == (2, 0)  # bin 1 has room, but holds the source
+    assert bins.put(4, 8, 16) == (1, 6)
+
+
+def test_queries_are_registered():
+    assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}) == list(range(1, 11))
