@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,21 @@ def in_bitmap(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[place >> np.uint64(3)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
+def likely(texts: DataFrame, wanted: DataFrame, bits: int = 25) -> DataFrame:
+    """The rows of texts (doc_id, text) that may be among wanted (doc_id), by a bitmap of fixed size.
+
+    It spares a join on doc_id the shuffle of most texts while few are wanted; the join itself decides.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(bitmap(wanted, F.col("doc_id"), bits))
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64)
+            yield batch.filter(pa.array(in_bitmap(sent.value, ids)))
+
+    return texts.select("doc_id", "text").mapInArrow(each, "doc_id long, text string")
+
+
 def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id isn't among ids (doc_id); null is an id like others."""
     gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
