@@ -91,27 +91,41 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([signed(hashed), pa.array(n)], ["hash", "n"])
 
     counts = texts.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
-    often = stage(counts.filter("n > 1").select("hash"), "repeated-hashes")
-    bits = texts.sparkSession.sparkContext.broadcast(bitmap(often, F.col("hash"), FILTER_BITS))
-
-    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "digest", "hash", "bytes", "place", "first", "stop", "words"]
-        for batch in batches:
-            for part, text in slices(batch):
-                found = chunks(text)
-                keep = np.flatnonzero((found.lines > 1) & in_bitmap(bits.value, found.hash))
-                own = found.text[keep]
-                base = text.offsets[own]
-                whole = text.bytes
-                shown = [whole[a:b].tobytes() for a, b in zip((base + found.start[keep]).tolist(), (base + found.end[keep]).tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(pa.array(own)), part.column(1).take(pa.array(own)), signed(found.hash[keep]), pa.array(shown, pa.binary()),
-                    pa.array(found.place[keep]), pa.array(found.start[keep]), pa.array(found.stop[keep]), pa.array(found.words[keep])], names)
-
-    shown = texts.mapInArrow(show, "key long, digest long, hash long, bytes binary, place long, first long, stop long, words long")
-    shown = stage(shown.join(often, "hash"), "repeated-chunks")
-    kept = shown.groupBy("hash", "bytes").agg(F.min(F.struct("key", "digest", "place")).alias("kept"), F.count("*").alias("n")).filter("n > 1")
-    again = shown.join(kept.select("hash", "bytes", "kept"), ["hash", "bytes"]).filter(F.struct("key", "digest", "place") != F.col("kept"))
+    bits = texts.sparkSession.sparkContext.broadcast(bitmap(counts.filter("n > 1"), F.col("hash"), FILTER_BITS))
+
+    def show(with_bytes: bool) -> DataFrame:
+        """Chunks whose hash may repeat, each with its bytes or with its place and length."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for part, text in slices(batch):
+                    found = chunks(text)
+                    keep = np.flatnonzero((found.lines > 1) & in_bitmap(bits.value, found.hash))
+                    own = pa.array(found.text[keep])
+                    columns = {"key": part.column(0).take(own), "digest": part.column(1).take(own), "hash": signed(found.hash[keep]), "place": pa.array(found.place[keep].astype(np.int32))}
+                    base = text.offsets[found.text[keep]]
+                    if with_bytes:
+                        at = zip((base + found.start[keep]).tolist(), (base + found.end[keep]).tolist(), strict=True)
+                        columns["bytes"] = pa.array([text.bytes[a:b].tobytes() for a, b in at], pa.binary())
+                    else:
+                        for name in ("start", "stop", "words"):
+                            columns["first" if name == "start" else name] = pa.array(getattr(found, name)[keep].astype(np.int32))
+                    yield pa.RecordBatch.from_pydict(columns)
+
+        return texts.mapInArrow(each, "key long, digest long, hash long, place int, " + ("bytes binary" if with_bytes else "first int, stop int, words int"))
+
+    here = F.struct("key", "digest", "place")
+    # all bytes of a hash are compared by way of the least and the greatest; where they differ, chunks are told apart by bytes
+    first = show(True).groupBy("hash").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"), F.min(here).alias("kept"), F.count("*").alias("n"))
+    first = stage(first.filter("n > 1").select("hash", "kept", (F.col("low") == F.col("high")).alias("same")), "first-chunks")
+    again = show(False).join(first.filter("same").select("hash", "kept"), "hash").filter(here != F.col("kept"))
+    mixed = first.filter("not same").select("hash")
+    if not mixed.isEmpty():
+        told = show(True).join(mixed, "hash")
+        kept = told.groupBy("hash", "bytes").agg(F.min(here).alias("kept"))
+        later = told.join(kept, ["hash", "bytes"]).filter(here != F.col("kept")).select("key", "digest", "place", "hash").distinct()
+        again = again.select("key", "digest", "place", "first", "stop", "words").union(
+            show(False).join(later, ["key", "digest", "place", "hash"]).select("key", "digest", "place", "first", "stop", "words"))
     again = again.select("key", "digest", "place", "first", "stop", "words").distinct()
     run = F.col("place") - F.row_number().over(Window.partitionBy("key", "digest").orderBy("place"))
     return (
