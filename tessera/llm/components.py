@@ -12,6 +12,13 @@ def _least_neighbour(arcs: DataFrame) -> DataFrame:
     return arcs.groupBy("u").agg(F.min("v").alias("least"))
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """No node is both a centre and a leaf, and no leaf has two centres."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("leaf")).union(edges.select(F.col("v").alias("node"), F.lit(0).alias("leaf")))
+    of = ends.groupBy("node").agg(F.sum("leaf").alias("leaves"), F.min("leaf").alias("least"))
+    return of.filter("leaves > 1 or (leaves = 1 and least = 0)").isEmpty()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, root) for every node of edges (u, v); root is the least node that can be reached.
 
@@ -20,7 +27,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     joined, never gathered. Null ends and loops are ignored; no edges give no rows.
     """
     stars = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), name)
-    while True:
+    while not _are_stars(stars):
         both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
             both.join(_least_neighbour(both), "u").withColumn("least", F.least("u", "least"))
@@ -29,13 +36,6 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         down = large.filter("u <> v").distinct()
         small = down.join(_least_neighbour(down), "u")
         small = small.select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", F.col("least").alias("v")))
-        after = stage(small.filter("u <> v").distinct(), name)
-        # stars: no node is both a centre and a leaf, and no leaf has two centres
-        ends = after.select(F.col("u").alias("node"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).union(
-            after.select(F.col("v").alias("node"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
-        mixed = ends.groupBy("node").agg(F.sum("leaf").alias("leaves"), F.max("centre").alias("centre")).filter("leaves > 1 or (leaves = 1 and centre = 1)")
-        stars = after
-        if mixed.isEmpty():
-            break
+        stars = stage(small.filter("u <> v").distinct(), name)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         stars.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
