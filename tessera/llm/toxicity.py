@@ -2,25 +2,26 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import bitmap, in_bitmap, likely, stage, without
-from tessera.llm.textbytes import ALNUM, Texts, mix, slices
+from tessera.llm.storage import likely, stage, without
+from tessera.llm.textbytes import ALNUM, Texts, slices
 
 DISCOUNT = 0.75
-WORD_ENTRIES = 1 << 18  # the most frequent words and word pairs that the model sent to tasks may hold; rarer ones
-PAIR_ENTRIES = 1 << 19  # are scored through the shared backoff counts
-LEAST_WORD, LEAST_PAIR = 3, 4
+BLOCK = 8 << 20  # bytes of text that share one table of the counts their words and word pairs have in the corpus
 CALIBRATION_ROWS = 20_000  # labelled rows on which the weights of the ratios below are fitted
 SPAN = 4
 FEATURES = 4
 IN_DOCUMENT = (1 << 32) - 1  # stands as the left word of a word that is counted once for each document
 THRESHOLD = 0.3
+SCORED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("features", pa.list_(pa.float64())), ("trial", pa.list_(pa.float64()))])
 
 
 def fold(doc_id: Column) -> Column:
@@ -37,63 +38,90 @@ def _word_ids(texts: Texts) -> tuple:
     return words, name, left << np.uint64(32) | name
 
 
+def _in_documents(words, names: np.ndarray) -> np.ndarray:
+    """The names, once for each text they stand in."""
+    names = names.copy()
+    for a, b in zip(words.of[:-1].tolist(), words.of[1:].tolist(), strict=True):
+        names[a:b].sort()
+    new = np.ones(len(names), bool)
+    new[1:] = names[1:] != names[:-1]
+    new[words.of[:-1][words.counts() > 0]] = True
+    return names[new]
+
+
 def _pair_counts(rows: DataFrame) -> DataFrame:
-    """(pair, n): in how many ordinary (low 32 bits of n) and toxic rows (high 32 bits) each pair or word stands.
+    """(name, n, m): in how many ordinary (low 32 bits) and toxic rows (high 32 bits) each pair or word stands.
 
-    A document counts once, however often it repeats an expression.
+    n counts rows that aren't held apart, m those that are. A document counts once, however often it repeats an
+    expression.
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for toxic in (0, 1):
-                of_class = batch.filter(pa.compute.equal(batch.column(1), toxic))
+            for kind in range(4):
+                of_class = batch.filter(pa.compute.equal(batch.column(1), kind))
                 for _, texts in slices(of_class):
                     words, name, pair = _word_ids(texts)
-                    seen = []
-                    for names in (pair, np.uint64(IN_DOCUMENT << 32) | name):
-                        for a, b in zip(words.of[:-1].tolist(), words.of[1:].tolist(), strict=True):
-                            names[a:b].sort()
-                        new = np.ones(len(names), bool)
-                        new[1:] = names[1:] != names[:-1]
-                        new[words.of[:-1][words.counts() > 0]] = True
-                        seen.append(names[new])
-                    pair, n = np.unique(np.concatenate(seen), return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(pair.view(np.int64)), pa.array(n.astype(np.int64) << 32 * toxic)], ["pair", "n"])
-
-    return rows.select("text", "toxic").mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-
-
-def _cutoff(counts: DataFrame, column: str, entries: int, least: int) -> int:
-    """The smallest count, at least `least`, that at most `entries` rows reach."""
-    cut = F.expr(f"cast(floor(log2({column})) as int)")
-    steps = {r["k"]: r["n"] for r in counts.filter(F.col(column) >= least).groupBy(cut.alias("k")).agg(F.count("*").alias("n")).collect()}  # at most 63 rows
-    total = sum(steps.values())
-    for k in sorted(steps):
-        if total <= entries:
-            break
-        total -= steps[k]
-        least = max(least, 1 << k + 1)
-    return least
+                    name, n = np.unique(np.concatenate([_in_documents(words, x) for x in (pair, np.uint64(IN_DOCUMENT << 32) | name)]), return_counts=True)
+                    n = n.astype(np.int64) << 32 * (kind & 1)
+                    none = np.zeros(len(n), np.int64)
+                    n, m = (none, n) if kind & 2 else (n, none)
+                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n), pa.array(m)], ["name", "n", "m"])
+
+    kinds = rows.select("text", F.expr("toxic + if(apart, 2, 0)").cast("int").alias("kind"))
+    return kinds.mapInArrow(count, "name long, n long, m long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+
+
+class Totals(NamedTuple):
+    """Sums over all words of a model."""
+    n0: float  # ordinary and toxic (word, document) pairs
+    n1: float
+    rest0: float  # the share of them that discounts leave to the continuation counts
+    rest1: float
+    lefts: float
+
+    @classmethod
+    def of(cls, n0, n1, types0, types1, lefts) -> Totals:
+        n0, n1, lefts = (max(float(x or 0), 1.0) for x in (n0, n1, lefts))
+        return cls(n0, n1, DISCOUNT * (types0 or 0) / n0, DISCOUNT * (types1 or 0) / n1, lefts)
+
+
+def _discounted(n: np.ndarray) -> np.ndarray:
+    return np.maximum(n - DISCOUNT, 0)
 
 
 class Model:
-    """Sorted names with their log ratios; at most WORD_ENTRIES words and PAIR_ENTRIES pairs."""
-
-    def __init__(self, words, pairs, unseen: float):
-        words, pairs = words.sort_values("name"), pairs.sort_values("pair")
-        self.names = words["name"].to_numpy(np.uint64)
-        self.ratio = np.append(words["ratio"].to_numpy(np.float32), np.float32(unseen))
-        self.backoff = np.append(words["backoff"].to_numpy(np.float32), np.float32(0))
-        pair = pairs["pair"].to_numpy(np.int64).view(np.uint64)
+    """Log ratios of all words and pairs among the given entries, by sorted names.
+
+    words are w (w0, w1: in how many rows), lefts, u0 and u1 (rows it begins a pair in), t0 and t1 (pairs it begins).
+    """
+
+    def __init__(self, words: dict[str, np.ndarray], pair: np.ndarray, c0: np.ndarray, c1: np.ndarray, whole: Totals):
+        order = np.argsort(words["w"])
+        words = {k: x[order] for k, x in words.items()}
+        shared = words["lefts"] / whole.lefts
+        self.names = words["w"]
+        self.unseen = np.float32(np.log(whole.rest1 / whole.rest0) if whole.rest0 and whole.rest1 else 0)
+        p, left = [], []  # of each word alone; the share of the pairs after it that is left to words alone
+        for c, n, rest in (("0", whole.n0, whole.rest0), ("1", whole.n1, whole.rest1)):
+            p.append(_discounted(words["w" + c]) / n + (rest or 1.0) * shared)
+            left.append(np.where(words["u" + c] > 0, DISCOUNT * words["t" + c] / np.maximum(words["u" + c], 1), 1.0))
+        with np.errstate(divide="ignore", invalid="ignore"):  # 0, the left of first words, is no word
+            self.ratio = np.append(np.where(p[0] > 0, np.log(p[1] / p[0]), self.unseen), self.unseen).astype(np.float32)
+        self.backoff = np.append(np.log(left[1] / left[0]), 0).astype(np.float32)
         order = np.argsort(pair)
-        self.pairs, self.pair_ratio = pair[order], pairs["ratio"].to_numpy(np.float32)[order]
-        self.bits = np.zeros(1 << 20, np.uint8)
-        place = mix(self.pairs) & np.uint64((1 << 23) - 1)
-        np.bitwise_or.at(self.bits, (place >> np.uint64(3)).astype(np.int64), np.uint8(1) << (place & np.uint64(7)).astype(np.uint8))
+        self.pairs = pair[order]
+        u, w = self._at(self.pairs >> np.uint64(32)), self._at(self.pairs & np.uint64(0xFFFFFFFF))
+        seen = []
+        for c, n in enumerate((c0, c1)):
+            of_left = words[f"u{c}"][u]
+            seen.append(np.where(of_left > 0, _discounted(n[order]) / np.maximum(of_left, 1), 0) + left[c][u] * p[c][w])
+        self.pair_ratio = np.log(seen[1] / seen[0]).astype(np.float32)
 
     def _at(self, names: np.ndarray) -> np.ndarray:
         at = np.searchsorted(self.names, names)
-        at[(at == len(self.names)) | (self.names[np.minimum(at, len(self.names) - 1)] != names)] = len(self.names)
+        if len(self.names):
+            at[(at == len(self.names)) | (self.names[np.minimum(at, len(self.names) - 1)] != names)] = len(self.names)
         return at
 
     def ratios(self, texts: Texts):
@@ -108,13 +136,13 @@ class Model:
             ratio = alone.copy()
             ratio[1:] += self.backoff[at][back][:-1] * (pair[1:] >> np.uint64(32) > 0)
         else:
-            alone = np.full(len(name), self.ratio[-1])
+            alone = np.full(len(name), self.unseen)
             ratio = alone.copy()
-        maybe = np.flatnonzero(in_bitmap(self.bits, mix(pair))) if len(self.pairs) else np.zeros(0, np.int64)
-        if len(maybe):
-            at = np.minimum(np.searchsorted(self.pairs, pair[maybe]), len(self.pairs) - 1)
-            hit = self.pairs[at] == pair[maybe]
-            ratio[maybe[hit]] = self.pair_ratio[at[hit]]
+        if len(self.pairs):
+            distinct, back = np.unique(pair, return_inverse=True)
+            at = np.minimum(np.searchsorted(self.pairs, distinct), len(self.pairs) - 1)
+            hit = self.pairs[at] == distinct
+            ratio = np.where(hit[back], self.pair_ratio[at][back], ratio)
         return words, ratio, alone
 
     def features(self, texts: Texts) -> np.ndarray:
@@ -134,75 +162,131 @@ class Model:
         first = np.maximum(np.minimum(first, last - SPAN), of[text])
         out[full, 1] = np.maximum.reduceat((total[last] - total[first]) / np.maximum(last - first, SPAN // 2), of[full])
         out[full, 2] = np.maximum.reduceat(alone, of[full])
-        alone = np.where(alone == out[text, 2].astype(np.float32), self.ratio[-1], alone)
+        alone = np.where(alone == out[text, 2].astype(np.float32), self.unseen, alone)
         out[full, 3] = np.maximum.reduceat(alone, of[full])
         return out
 
 
-def train(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> tuple[Model, np.ndarray]:
-    """The models, and the weights that make a score of their ratios; rows of fold held_out are never looked at.
+def _counts(texts: DataFrame, marks: DataFrame) -> tuple[DataFrame, Totals, Totals]:
+    """All names of pairs and words with their counts, and the totals without and with the rows held apart.
 
-    Counts come from all labelled rows of two folds, the weights from CALIBRATION_ROWS rows of the third, in which
-    the models' own rows can't flatter them. Both classes back off to the same continuation counts: in how many
-    different left contexts a word stands in either class.
+    A pair has its (n, m); a word also has its own counts as the left of a pair: of different left contexts (lefts),
+    of rows (u0, u1) and of different pairs (t0, t1), where those of the model without the rows held apart end in _n.
     """
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
-    marks = marks.filter(fold(F.col("doc_id")) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    calibration = (held_out + 1) % 4
-    marks = stage(marks, "marks")
-    of_counts = marks.filter(fold(F.col("doc_id")) != calibration)
-    counted = likely(texts, of_counts).join(of_counts, "doc_id")
-
-    pairs = stage(_pair_counts(counted), "pairs")
-    pairs = pairs.withColumn("c0", F.expr("n & 4294967295")).withColumn("c1", F.expr("n >> 32")).withColumn("n", F.expr("c0 + c1"))
-    pairs = pairs.withColumn("u", F.expr("shiftrightunsigned(pair, 32)")).withColumn("w", F.expr("pair & 4294967295"))
+    names = stage(_pair_counts(likely(texts, marks).join(marks, "doc_id")), "pairs")
+    names = names.withColumn("all", F.expr("n + m")).withColumn("u", F.expr("shiftrightunsigned(name, 32)")).withColumn("w", F.expr("name & 4294967295"))
     once = F.col("u") == IN_DOCUMENT
-    words = stage(pairs.groupBy("w").agg(
-        F.sum(F.when(once, F.col("c0")).otherwise(0)).alias("w0"), F.sum(F.when(once, F.col("c1")).otherwise(0)).alias("w1"),
-        F.count_if(~once).alias("lefts")), "words")
-    pairs = pairs.filter(~once)
-    whole = words.agg(F.sum("w0"), F.sum("w1"), F.sum("lefts"), F.count_if(F.col("w0") > 0), F.count_if(F.col("w1") > 0)).first()
-    n0, n1, lefts, types0, types1 = [float(x or 0) for x in whole]
-    rest0, rest1 = DISCOUNT * types0 / max(n0, 1), DISCOUNT * types1 / max(n1, 1)
-    shared = f"lefts / {max(lefts, 1.0)}D"
-    words = words.withColumn("p0", F.expr(f"(greatest(w0 - {DISCOUNT}D, 0D)) / {max(n0, 1.0)}D + {rest0 or 1.0}D * {shared}"))
-    words = words.withColumn("p1", F.expr(f"(greatest(w1 - {DISCOUNT}D, 0D)) / {max(n1, 1.0)}D + {rest1 or 1.0}D * {shared}"))
-
-    word_cut = _cutoff(words.withColumn("n", F.expr("w0 + w1")), "n", WORD_ENTRIES, LEAST_WORD)
-    pair_cut = _cutoff(pairs, "n", PAIR_ENTRIES, LEAST_PAIR)
-    kept_pair = F.col("n") >= pair_cut
-    taken = [F.sum(F.when(kept_pair, F.greatest(F.col(c) - DISCOUNT, F.lit(0.0))).otherwise(0.0)).alias(f"kept_{c}") for c in ("c0", "c1")]
-    lefts_of = pairs.groupBy("u").agg(F.sum("c0").alias("u0"), F.sum("c1").alias("u1"), *taken)
-    for c in "01":  # the share of a context's mass that its kept pairs leave to the words alone
-        lefts_of = lefts_of.withColumn(f"l{c}", F.when(F.col(f"u{c}") > 0, 1 - F.col(f"kept_c{c}") / F.col(f"u{c}")).otherwise(1.0))
-    frequent = words.filter(F.col("w0") + F.col("w1") >= word_cut)
-    table = frequent.join(lefts_of.select(F.col("u").alias("w"), "l0", "l1"), "w", "left").select(
-        F.col("w").alias("name"), F.log(F.col("p1") / F.col("p0")).alias("ratio"), F.coalesce(F.log(F.col("l1") / F.col("l0")), F.lit(0.0)).alias("backoff"))
-    by_pair = pairs.filter(kept_pair).join(lefts_of, "u").join(words.select("w", "p0", "p1"), "w")
-    seen = [F.when(F.col(f"u{c}") > 0, F.greatest(F.col(f"c{c}") - DISCOUNT, F.lit(0.0)) / F.col(f"u{c}")).otherwise(0.0) + F.col(f"l{c}") * F.col(f"p{c}") for c in "01"]
-    by_pair = by_pair.select("pair", F.log(seen[1] / seen[0]).alias("ratio"))
-    unseen = float(np.log(rest1 / rest0)) if rest0 and rest1 else 0.0
-    model = Model(table.toPandas(), by_pair.toPandas(), unseen)
-
-    ids = marks.filter(fold(F.col("doc_id")) == calibration).orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS)
-    ids = stage(ids, "calibration")
-    fitted = _features(likely(texts, ids).join(ids, "doc_id"), model, "toxic int").toPandas()
-    return model, _weights(np.array(fitted["features"].tolist()).reshape(len(fitted), FEATURES), fitted["toxic"].to_numpy(float))
-
-
-def _features(rows: DataFrame, model: Model, keep: str) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(model)
-    name = keep.split()[0]
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pairs = names.filter(~once)
+
+    def low(c: str) -> Column:
+        return F.expr(f"`{c}` & 4294967295")
+
+    def high(c: str) -> Column:
+        return F.expr(f"`{c}` >> 32")
+
+    of_word, of_left = [F.max(F.when(once, F.col("n"))).alias("n"), F.max(F.when(once, F.col("m"))).alias("m")], []
+    for suffix, c in (("_n", "n"), ("", "all")):
+        of_word.append(F.count_if(~once & (F.col(c) > 0)).alias("lefts" + suffix))
+        of_left += [F.sum(low(c)).alias("u0" + suffix), F.sum(high(c)).alias("u1" + suffix),
+                    F.count_if(low(c) > 0).alias("t0" + suffix), F.count_if(high(c) > 0).alias("t1" + suffix)]
+    words = names.groupBy("w").agg(*of_word).join(pairs.groupBy(F.col("u").alias("w")).agg(*of_left), "w", "full").fillna(0)
+    words = stage(words, "words")
+    totals = []
+    for suffix, c in (("_n", F.col("n")), ("", F.expr("n + m"))):
+        n = words.select(c.alias("c"), F.col("lefts" + suffix).alias("lefts"))
+        whole = n.agg(F.sum(low("c")), F.sum(high("c")), F.count_if(low("c") > 0), F.count_if(high("c") > 0), F.sum("lefts")).first()
+        totals.append(Totals.of(*whole))
+    extra = [c for c in words.columns if c not in ("w", "n", "m")]
+    entries = pairs.select("name", "n", "m", *(F.lit(None).cast("long").alias(c) for c in extra)).union(
+        words.select(F.expr(f"shiftleft({IN_DOCUMENT}L, 32) | w").alias("name"), "n", "m", *extra))
+    return entries, *totals
+
+
+def _blocks(rows: DataFrame) -> DataFrame:
+    """(block, rows): the rows of rows (text first) in compressed pieces; about BLOCK bytes of text make a block."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = BLOCK
         for batch in batches:
             for part, texts in slices(batch):
-                got = sent.value.features(texts)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * got.shape[1]), pa.array(got.ravel()))
-                yield pa.RecordBatch.from_arrays([part.column(1), lists], [name, "features"])
+                if held >= BLOCK:
+                    block, held = uuid.uuid4().int >> 65, 0
+                held += len(texts.bytes)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                    out.write_batch(part)
+                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()])], ["block", "rows"])
 
-    return rows.select("text", name).mapInArrow(score, f"{keep}, features array<double>")
+    return stage(rows.mapInArrow(cut, "block long, rows binary"), "blocks")
+
+
+def _unpacked(piece: bytes) -> Iterator[tuple[pa.RecordBatch, Texts]]:
+    for batch in pa.ipc.open_stream(piece):
+        yield from slices(batch)
+
+
+def _names(blocks: DataFrame) -> DataFrame:
+    """(name, block): the words and pairs of each block; 0, the left of first words, among them."""
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def flush():
+            if seen:
+                names = np.unique(np.concatenate(seen))
+                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.full(len(names), of))], ["name", "block"])
+
+        of, seen = None, []
+        for batch in batches:
+            for block, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if block != of:
+                    yield from flush()
+                    of, seen = block, []
+                for _, texts in _unpacked(piece):
+                    _, name, pair = _word_ids(texts)
+                    seen += [np.unique(pair), np.unique(np.append(name, np.uint64(0))) | np.uint64(IN_DOCUMENT << 32)]
+        yield from flush()
+
+    return blocks.mapInArrow(ask, "name long, block long")
+
+
+def _model(found: pa.Table, whole: Totals, suffix: str) -> Model:
+    """The model of a block from the entries of its names."""
+    got = {c: found.column(c).to_numpy() for c in ("name", "n", "m")}
+    name, at = np.unique(got["name"].view(np.uint64), return_index=True)
+    n = got["n"] if suffix else got["n"] + got["m"]
+    keep = at[(n[at] > 0) | (name == np.uint64(IN_DOCUMENT << 32))]
+    name, n = got["name"].view(np.uint64)[keep], n[keep]
+    once = name >> np.uint64(32) == IN_DOCUMENT
+    words = {"w": name[once] & np.uint64(0xFFFFFFFF), "w0": n[once] & 0xFFFFFFFF, "w1": n[once] >> 32}
+    for c in ("lefts", "u0", "u1", "t0", "t1"):
+        words[c] = found.column(c + suffix).take(pa.array(keep[once])).to_numpy()
+    return Model(words, name[~once], n[~once] & 0xFFFFFFFF, n[~once] >> 32, whole)
+
+
+def _features(rows: DataFrame, entries: DataFrame, apart: Totals, whole: Totals, sample: np.ndarray) -> DataFrame:
+    """key, doc_id, features by the model of all counts, and for rows whose doc_id is in sample (sorted) trial, the
+    features by the model without the rows held apart."""
+    blocks = _blocks(rows.select("text", "key", "doc_id"))
+    found = _names(blocks).join(entries, "name")
+    sent = rows.sparkSession.sparkContext.broadcast(sample)
+
+    def score(pieces: pa.Table, found: pa.Table) -> pa.Table:
+        model, trial_model = _model(found, apart, "_n"), None
+        out = []
+        for piece in pieces.column("rows").to_pylist():
+            for part, texts in _unpacked(piece):
+                ids = part.column(2)
+                tried = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), sent.value)
+                tried &= pa.compute.and_(ids.is_valid(), part.column(0).is_valid()).to_numpy(zero_copy_only=False)
+                trial = pa.nulls(part.num_rows, pa.list_(pa.float64()))
+                if tried.any():
+                    trial_model = trial_model or _model(found, apart, "_n")
+                    trial = pa.array([x if t else None for x, t in zip(trial_model.features(texts).tolist(), tried, strict=True)], pa.list_(pa.float64()))
+                got = model.features(texts)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * FEATURES), pa.array(got.ravel()))
+                out.append(pa.RecordBatch.from_arrays([part.column(1), ids, lists, trial], ["key", "doc_id", "features", "trial"]))
+        return pa.Table.from_batches(out, SCORED) if out else SCORED.empty_table()
+
+    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "key long, doc_id long, features array<double>, trial array<double>")
 
 
 def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -221,6 +305,31 @@ def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+def score_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, held_out: int) -> DataFrame:
+    """key, doc_id, score for each row of rows (key, doc_id, text); rows of docs in fold held_out are never learned.
+
+    Counts come from all labelled rows of the three other folds, and each word and pair keeps its own. The weights
+    are fitted on CALIBRATION_ROWS rows of one of these folds with a model that leaves this fold out, so its rows
+    can't flatter themselves. Both classes back off to the same continuation counts: in how many different left
+    contexts a word stands in either class. No table of names is sent to all tasks: each block of texts is joined
+    with the entries of the words and pairs it holds.
+    """
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
+    marks = marks.filter(fold(F.col("doc_id")) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = stage(marks.withColumn("apart", fold(F.col("doc_id")) == (held_out + 1) % 4), "marks")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    entries, apart, whole = _counts(texts, marks)
+    sample = marks.filter("apart").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).toPandas()
+    found = stage(_features(rows, entries, apart, whole, np.sort(sample["doc_id"].to_numpy(np.int64))), "features")
+
+    toxic = dict(zip(sample["doc_id"], sample["toxic"], strict=True))
+    fitted = found.filter("trial is not null").select("doc_id", "trial").toPandas()
+    y = fitted["doc_id"].map(toxic).to_numpy(float)
+    weights = _weights(np.array(fitted["trial"].tolist()).reshape(len(fitted), FEATURES), y)
+    terms = sum((F.lit(float(w)) * F.col("features")[k] for k, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
+    return found.select("key", "doc_id", (1 / (1 + F.exp(-terms))).alias("score"))
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
@@ -229,12 +338,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: f
     used; of several labels of a document the largest counts. Without any label, every score is 0.5. A null doc_id
     is in no fold: held_out is false. Only doc_id, text and toxic are read.
     """
-    model, weights = train(docs, labels, held_out)
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    scored = _features(rows, model, "doc_id long")
-    terms = sum((F.lit(float(w)) * F.col("features")[k] for k, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
-    score = 1 / (1 + F.exp(-terms))
-    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == held_out, F.lit(False)).alias("held_out"), score.alias("score")).withColumn(
+    rows = docs.select(F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    scored = score_rows(rows, docs, labels, held_out)
+    return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == held_out, F.lit(False)).alias("held_out"), "score").withColumn(
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 

@@ -279,6 +279,33 @@ def test_toxicity_learns_from_training_folds_alone(spark, odd_docs, no_docs):
     assert toxicity.toxicity(no_docs, labels).count() == 0
 
 
+def toxic_corpus(spark, planted):
+    """Labelled documents with the words of planted {word: (fold, toxic documents)} and an unlabelled one for each word and for none."""
+    rng = np.random.default_rng(1)
+    rows, marks, left = [], [], {w: list(x) for w, x in planted.items()}
+    for k in range(1500):
+        words = ["".join(rng.choice(list("abcdef"), 3)) for _ in range(60)]
+        bad = int(k % 6 == 0)
+        if bad:
+            words[k % 50] = ("vile", "rotten", "awful")[k % 3]
+            for w, x in left.items():
+                if x[1] and zlib.crc32(str(k).encode()) % 4 == x[0]:
+                    words[55] = w
+                    x[1] -= 1
+                    break
+        rows.append((k, " ".join(words)))
+        marks.append((k, 1, bad))
+    for k, w in enumerate([*planted, "neverseen"]):
+        rows.append((10_000 + k, f"abc bcd cde {w} def efa fab"))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_keeps_the_counts_of_rare_words(spark):
+    docs, labels = toxic_corpus(spark, {"onceonly": (0, 1), "twiceonly": (1, 2)})
+    score = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    assert score[10_001] > score[10_000] > score[10_002]
+
+
 def test_token_files_round_trip(spark, sf, odd_docs, no_docs):
     from tokenizers import Tokenizer
 
