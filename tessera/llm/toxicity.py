@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import likely, stage, without
+from tessera.llm.storage import bitmap, in_bitmap, likely, stage, without
 from tessera.llm.textbytes import ALNUM, Texts, slices
 
 DISCOUNT = 0.75
 BLOCK = 8 << 20  # bytes of text that share one table of the counts their words and word pairs have in the corpus
+BITS = 26  # the bitmap of all names, which spares the join names that stand in no counted row, has 2**BITS places
 CALIBRATION_ROWS = 20_000  # labelled rows on which the weights of the ratios below are fitted
 SPAN = 4
 FEATURES = 4
@@ -167,8 +168,8 @@ class Model:
         return out
 
 
-def _counts(texts: DataFrame, marks: DataFrame) -> tuple[DataFrame, Totals, Totals]:
-    """All names of pairs and words with their counts, and the totals without and with the rows held apart.
+def _counts(texts: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndarray, Totals, Totals]:
+    """All names of pairs and words with their counts, a bitmap of them, and the totals without and with the rows held apart.
 
     A pair has its (n, m); a word also has its own counts as the left of a pair: of different left contexts (lefts),
     of rows (u0, u1) and of different pairs (t0, t1), where those of the model without the rows held apart end in _n.
@@ -199,7 +200,7 @@ def _counts(texts: DataFrame, marks: DataFrame) -> tuple[DataFrame, Totals, Tota
     extra = [c for c in words.columns if c not in ("w", "n", "m")]
     entries = pairs.select("name", "n", "m", *(F.lit(None).cast("long").alias(c) for c in extra)).union(
         words.select(F.expr(f"shiftleft({IN_DOCUMENT}L, 32) | w").alias("name"), "n", "m", *extra))
-    return entries, *totals
+    return entries, bitmap(names, F.expr("name ^ shiftrightunsigned(name, 32)"), BITS), *totals
 
 
 def _blocks(rows: DataFrame) -> DataFrame:
@@ -225,8 +226,9 @@ def _unpacked(piece: bytes) -> Iterator[tuple[pa.RecordBatch, Texts]]:
         yield from slices(batch)
 
 
-def _names(blocks: DataFrame) -> DataFrame:
-    """(name, block): the words and pairs of each block; 0, the left of first words, among them."""
+def _names(blocks: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(name, block): the words and pairs of each block that bits lets pass, and 0, the left of first words."""
+    sent = blocks.sparkSession.sparkContext.broadcast(bits)
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def flush():
@@ -242,7 +244,10 @@ def _names(blocks: DataFrame) -> DataFrame:
                     of, seen = block, []
                 for _, texts in _unpacked(piece):
                     _, name, pair = _word_ids(texts)
-                    seen += [np.unique(pair), np.unique(np.append(name, np.uint64(0))) | np.uint64(IN_DOCUMENT << 32)]
+                    for names in (pair, name | np.uint64(IN_DOCUMENT << 32)):
+                        names = np.unique(names)
+                        seen.append(names[in_bitmap(sent.value, names ^ names >> np.uint64(32))])
+                    seen.append(np.array([IN_DOCUMENT << 32], np.uint64))
         yield from flush()
 
     return blocks.mapInArrow(ask, "name long, block long")
@@ -262,15 +267,15 @@ def _model(found: pa.Table, whole: Totals, suffix: str) -> Model:
     return Model(words, name[~once], n[~once] & 0xFFFFFFFF, n[~once] >> 32, whole)
 
 
-def _features(rows: DataFrame, entries: DataFrame, apart: Totals, whole: Totals, sample: np.ndarray) -> DataFrame:
+def _features(rows: DataFrame, entries: DataFrame, bits: np.ndarray, apart: Totals, whole: Totals, sample: np.ndarray) -> DataFrame:
     """key, doc_id, features by the model of all counts, and for rows whose doc_id is in sample (sorted) trial, the
     features by the model without the rows held apart."""
     blocks = _blocks(rows.select("text", "key", "doc_id"))
-    found = _names(blocks).join(entries, "name")
+    found = _names(blocks, bits).join(entries, "name")
     sent = rows.sparkSession.sparkContext.broadcast(sample)
 
     def score(pieces: pa.Table, found: pa.Table) -> pa.Table:
-        model, trial_model = _model(found, apart, "_n"), None
+        model, trial_model = _model(found, whole, ""), None
         out = []
         for piece in pieces.column("rows").to_pylist():
             for part, texts in _unpacked(piece):
@@ -318,9 +323,9 @@ def score_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, held_out: in
     marks = marks.filter(fold(F.col("doc_id")) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = stage(marks.withColumn("apart", fold(F.col("doc_id")) == (held_out + 1) % 4), "marks")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    entries, apart, whole = _counts(texts, marks)
+    entries, bits, apart, whole = _counts(texts, marks)
     sample = marks.filter("apart").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).toPandas()
-    found = stage(_features(rows, entries, apart, whole, np.sort(sample["doc_id"].to_numpy(np.int64))), "features")
+    found = stage(_features(rows, entries, bits, apart, whole, np.sort(sample["doc_id"].to_numpy(np.int64))), "features")
 
     toxic = dict(zip(sample["doc_id"], sample["toxic"], strict=True))
     fitted = found.filter("trial is not null").select("doc_id", "trial").toPandas()

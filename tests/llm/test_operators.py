@@ -306,6 +306,12 @@ def test_toxicity_keeps_the_counts_of_rare_words(spark):
     assert score[10_001] > score[10_000] > score[10_002]
 
 
+def test_toxicity_counts_the_calibration_fold(spark):
+    docs, labels = toxic_corpus(spark, {"inthethird": (3, 12)})
+    score = {r.doc_id: r.score for r in toxicity.toxicity(docs, labels).collect()}
+    assert score[10_000] > score[10_001]
+
+
 def test_token_files_round_trip(spark, sf, odd_docs, no_docs):
     from tokenizers import Tokenizer
 
