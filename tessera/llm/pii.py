@@ -25,7 +25,7 @@ FORMS = {
     "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])(?:\d{16}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\w-])",
-    "secret": r"(?<![\w])(?:[0-9a-f]{40}|[0-9a-f]{32}|[0-9a-f]{64})(?![\w])",
+    "secret": r"(?<![\w])(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32}|[0-9A-Fa-f]{64})(?![\w])",
     "name": r"(?<!\w)(?:" + "|".join(t for some in TITLES.values() for t in some) + r")\.? (?:\p{Lu}[\p{Ll}'-]+)(?: (?!(?:" + "|".join(t for some in TITLES.values() for t in some) + r")\b)\p{Lu}[\p{Ll}'-]+)?",
 }
 ANY = "|".join(f"(?:{x})" for x in FORMS.values())
@@ -43,7 +43,7 @@ def canonical(kind: Column, surface: Column) -> Column:
     """What different spellings of one entity have in common."""
     digits = F.regexp_replace(surface, r"\D", "")
     return (
-        F.when(kind == "email", F.lower(surface)).when(kind == "phone", F.right(digits, F.lit(10)))
+        F.when(kind.isin("email", "secret"), F.lower(surface)).when(kind == "phone", F.right(digits, F.lit(10)))
         .when(kind.isin("card", "ssn"), digits).when(kind == "name", F.lower(F.regexp_replace(surface, r"^\S+ ", ""))).otherwise(surface)
     )
 
@@ -119,6 +119,11 @@ def stand_in(key: str, kind: Column, value: Column, gender: Column, script: Colu
     )
 
 
+def _cased(surface: Column, chosen: Column) -> Column:
+    """chosen in capitals where surface, of the same length, has them."""
+    return F.array_join(F.zip_with(F.split(surface, ""), F.split(chosen, ""), lambda a, b: F.when(a.rlike("[A-Z]"), F.upper(b)).otherwise(b)), "")
+
+
 def _surface(kind: Column, surface: Column, chosen: Column) -> Column:
     """The surrogate written as the surface was: digits go into its groups, capitals and title stay."""
     total = F.length(F.regexp_replace(surface, r"\D", ""))
@@ -129,9 +134,11 @@ def _surface(kind: Column, surface: Column, chosen: Column) -> Column:
             (acc["seen"] + 1).alias("seen"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["seen"].alias("seen"))),
         lambda acc: acc["out"])
     upper = surface.rlike("^[^a-z]*[A-Z][^a-z]*$")
+    mixed = surface.rlike("[A-Z]")
     title = F.regexp_extract(surface, r"^\S+ ", 0)
     return (
         F.when(kind.isin("phone", "card", "ssn"), spread).when(kind == "name", F.concat(title, chosen))
+        .when(kind == "secret", F.when(upper, F.upper(chosen)).when(mixed, _cased(surface, chosen)).otherwise(chosen))
         .when(kind == "email", F.when(upper, F.upper(chosen)).otherwise(chosen)).otherwise(chosen)
     )
 
@@ -162,7 +169,7 @@ def pseudonymize(docs: DataFrame, key: str = "tessera") -> DataFrame:
     secrets and titled names replaced by surrogates.
 
     A surrogate depends on the key, the kind and the entity, so an entity has the same one in all documents and
-    spellings (phones by their last ten digits, emails in lower case), and different entities of a kind have
+    spellings (phones by their last ten digits, emails and secrets in lower case), and different entities of a kind have
     different ones. Names keep title, gender and script; numbers keep their groups, cards their Luhn validity. Null
     texts stay null with no entities; repeated rows each give a row. Columns beyond doc_id and text are ignored.
     """

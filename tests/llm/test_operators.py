@@ -160,6 +160,23 @@ def test_pii_surrogates_are_consistent_distinct_and_shaped(spark, sf, odd_docs,
     assert pii.pseudonymize(odd_docs).count() == odd_docs.count() and pii.pseudonymize(no_docs).count() == 0
 
 
+def test_pii_secrets_in_capitals_are_replaced(spark, sf):
+    low = hashlib.sha1(b"secret").hexdigest()
+    mixed = "".join(c.upper() if k % 2 else c for k, c in enumerate(low))
+    texts = [f'TOKEN = "{x}"' for x in (low, low.upper(), mixed, low.upper()[:32], "0" * 24 + low.upper(), low.upper() + "F")]
+    got = {r.doc_id: r for r in pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    new = [got[k].text[9:-1] for k in range(6)]
+    assert [got[k].n_entities for k in range(6)] == [1, 1, 1, 1, 1, 0] and got[5].text == texts[5]
+    assert new[1] == new[0].upper() and new[2].lower() == new[0] != low and re.fullmatch("[0-9a-f]{40}", new[0])
+    assert re.fullmatch("[0-9A-F]{32}", new[3]) and re.fullmatch("[0-9A-F]{64}", new[4])
+    assert all(b == (b.upper() if a.isupper() else b.lower()) for a, b in zip(mixed, new[2], strict=True))
+    form = re.compile(r"(?<!\w)[0-9A-Fa-f]{40}(?!\w)")
+    before, after = dict(pairs(table(spark, sf, "documents"))), dict(pairs(pii.pseudonymize(table(spark, sf, "documents"))))
+    for i, text in before.items():
+        old, new = form.findall(text or ""), form.findall(after[i] or "")
+        assert len(old) == len(new) and not set(old) & set(new)
+
+
 def test_pii_collisions_are_drawn_again(spark):
     """More names than single given and family names can tell apart."""
     rows = [("name", f"person{k} of{k}", "m", "latin") for k in range(1500)]
