@@ -9,6 +9,7 @@ from tessera.llm import decontamination, jaccard_join, line_dedup, packing, toxi
 from tessera.llm.storage import stage, without
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+SHINGLE, PERCENT = 5, 80  # of the near-duplicate stage; the query op7 has its own
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -21,7 +22,7 @@ def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs).select(*COLUMNS)
+    return jaccard_join.one_of_each(docs, SHINGLE, PERCENT).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

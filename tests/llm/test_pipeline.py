@@ -1,6 +1,8 @@
 import corpus_pipeline
 from tests.llm import brute
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
 
 def test_stages_take_effect(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
@@ -21,3 +23,13 @@ def test_stages_take_effect(spark, sf):
         docs, kept = after, texts
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf)
     assert {r.doc_id for r in packed.collect()} == set(kept)
+
+
+def test_near_duplicates_share_five_word_shingles(spark, sf):
+    words = [f"word{k}" for k in range(100)]
+    near = [{30: "other", 70: "more"}.get(k, w) for k, w in enumerate(words)]  # 0.811 of five-word shingles, 0.848 of four-word ones
+    far = [{20: "a", 50: "b", 80: "c"}.get(k, w) for k, w in enumerate(words)]
+    rows = [(k, " ".join(x), "en", "s", 1) for k, x in enumerate((words, near, far, near[:60]))]
+    kept = corpus_pipeline.keep_one_of_each(spark, spark.createDataFrame(rows, SCHEMA), sf).collect()
+    assert {r.doc_id for r in kept} == {i for i, _, c in brute.jaccard_components([r[:2] for r in rows], size=5, percent=80) if i == c}
+    assert 1 not in {r.doc_id for r in kept}
