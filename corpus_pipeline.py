@@ -6,28 +6,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontamination, jaccard_join, line_dedup, packing, toxicity
-from tessera.llm.storage import stage, without
+from tessera.llm.storage import stage, with_key, without
 
-COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars", "row_id"]  # decisions are about rows, since several may have a doc_id or none
 SHINGLE, PERCENT = 5, 80  # of the near-duplicate stage; the query op7 has its own
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.clean_documents(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
+    return toxicity.clean_documents(with_key(docs), spark.read.parquet(f"{sf_dir}/labels.parquet")).select(*COLUMNS)
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = line_dedup.dedup_lines(docs)
+    found = line_dedup.dedup_lines(with_key(docs))
     return found.withColumn("n_chars", F.when(F.col("n_removed_chunks") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard_join.one_of_each(docs, SHINGLE, PERCENT).select(*COLUMNS)
+    return jaccard_join.one_of_each(with_key(docs), SHINGLE, PERCENT).select(*COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = decontamination.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return without(docs, found.filter("contaminated")).select(*COLUMNS)
+    docs = with_key(docs)
+    found = decontamination.decontaminate(docs.select(F.col("row_id").alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, found.filter("contaminated").select(F.col("doc_id").alias("row_id")), "row_id").select(*COLUMNS)
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.storage import bitmap, in_bitmap, stage, without
+from tessera.llm.storage import bitmap, in_bitmap, stage, with_key, without
 from tessera.llm.storage import likely as may_be
 from tessera.llm.textbytes import NOT_SPACE, distinct_sets, mix, signed, slices
 
@@ -235,6 +235,15 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents whose component has one with a smaller doc_id."""
-    found = jaccard_components(docs, shingle, percent).filter("component_id < doc_id or (doc_id is null and component_id is not null)")
-    return without(docs, found)
+    """docs with one row of each component: that of the least doc_id, null being the last.
+
+    Rows are told apart by row_id, which is added for the time where docs have none.
+    """
+    keyed = with_key(docs)
+    of_row = jaccard_components(keyed.select(F.col("row_id").alias("doc_id"), "text"), shingle, percent)
+    of_row = of_row.select(F.col("doc_id").alias("row_id"), "component_id").join(keyed.select("row_id", "doc_id"), "row_id")
+    of_row = stage(of_row, "of-row")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col("row_id"))
+    first = of_row.groupBy("component_id").agg(F.min(place)["row_id"].alias("first"))
+    kept = without(keyed, of_row.join(first, "component_id").filter("row_id <> first"), "row_id")
+    return kept.select(*docs.columns)

@@ -69,7 +69,12 @@ def likely(texts: DataFrame, wanted: DataFrame, bits: int = 25) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(each, "doc_id long, text string")
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id isn't among ids (doc_id); null is an id like others."""
-    gone = ids.select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["gone_id"]), "left_anti")
+def with_key(docs: DataFrame, key: str = "row_id") -> DataFrame:
+    """docs with a key of its own for each row; where they have one they stay as they are."""
+    return docs if key in docs.columns else stage(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+
+
+def without(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """The rows of docs whose key isn't among ids (key); null is a key like others."""
+    gone = ids.select(F.col(key).alias("gone_id")).distinct()
+    return docs.join(gone, docs[key].eqNullSafe(gone["gone_id"]), "left_anti")

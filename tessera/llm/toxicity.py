@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import bitmap, in_bitmap, likely, stage, without
+from tessera.llm.storage import bitmap, in_bitmap, likely, stage, with_key, without
 from tessera.llm.textbytes import ALNUM, Texts, slices
 
 DISCOUNT = 0.75
@@ -349,6 +349,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: f
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
-def clean_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those predicted toxic."""
-    return without(docs, toxicity(docs, labels).filter("predicted = 1"))
+def clean_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> DataFrame:
+    """docs without the rows predicted toxic; row_id tells rows apart and is added for the time where docs have none."""
+    keyed = with_key(docs)
+    rows = keyed.select(F.col("text").cast("string").alias("text"), F.col("row_id").alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
+    toxic = score_rows(rows, keyed, labels, held_out).filter(F.col("score") >= THRESHOLD)
+    return without(keyed, toxic.select(F.col("key").alias("row_id")), "row_id").select(*docs.columns)
