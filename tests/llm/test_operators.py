@@ -189,22 +189,45 @@ def test_license_scan_is_brute_force(spark, sf, odd_docs, no_docs):
     longer = [(10_000, "Before. " + licenses.TEMPLATES[5][1].replace("copy", "COPY") + " after"), (10_001, licenses.TEMPLATES[6][1].replace("except", "but")), (10_002, "all rights reserved"), (10_003, "license"),
               (10_004, "x " * 500 + licenses.TEMPLATES[8][1]), (10_004, None)]
     docs = docs.select("doc_id", "text").union(spark.createDataFrame(longer, "doc_id long, text string"))
-    want = set()
-    for i, text in pairs(docs):
+    got = {(r.doc_id, r.license): (r.first_word, r.containment) for r in licenses.scan(docs).collect()}
+    assert got == licenses_by_brute_force(pairs(docs)) and len(got) > 5
+    assert licenses.scan(odd_docs).count() == 0 and licenses.scan(no_docs).count() == 0 and licenses.scan(docs, []).count() == 0
+    assert min(licenses.collision_probability(len(licenses.words_of(t))) for _, t in licenses.TEMPLATES) > 0.999
+
+
+def licenses_by_brute_force(rows):
+    best = {}
+    for i, text in rows:
         words = licenses.words_of(text or "")
         for name, template in licenses.TEMPLATES:
             wanted = licenses.words_of(template)
             size = min(5, len(wanted))
             grams = set(licenses.shingles_of(wanted))
-            length = len(wanted) + licenses.stride_of(len(wanted)) - 1
-            for k in range(max(1, len(words) - len(wanted) + 1)):
+            length = licenses.window_of(len(wanted))
+            for k in range(max(1, len(words) - length + 1)):
                 part = words[k:k + length]
-                if len({" ".join(part[j:j + size]) for j in range(len(part) - size + 1)} & grams) >= 0.8 * len(grams):
-                    want.add((i, name))
-    got = {(r.doc_id, r.license) for r in licenses.scan(docs).collect()}
-    assert got == want and len(got) > 5
-    assert licenses.scan(odd_docs).count() == 0 and licenses.scan(no_docs).count() == 0 and licenses.scan(docs, []).count() == 0
-    assert min(licenses.collision_probability(len(licenses.words_of(t))) for _, t in licenses.TEMPLATES) > 0.999
+                held = len({" ".join(part[j:j + size]) for j in range(len(part) - size + 1)} & grams) / len(grams)
+                if held >= 0.8:
+                    best[i, name] = max(best.get((i, name), (0, 0)), (held, -k))
+    return {key: (-k, held) for key, (held, k) in best.items()}
+
+
+def test_licenses_with_inserted_words_are_found_wherever_they_stand(spark):
+    """Each notice with words inserted or replaced, at all offsets of the windows' strides."""
+    rows = []
+    for name, template in licenses.TEMPLATES:
+        words = licenses.words_of(template)
+        n = len(words)
+        for offset in range(licenses.stride_of(n) + 1):
+            for extra in (0, n // 8, n // 4 + 1):
+                at = n // 2
+                rows.append((len(rows), " ".join([*(f"pre{k}" for k in range(offset)), *words[:at], *(f"ins{k}" for k in range(extra)), *words[at:], *(f"post{k}" for k in range(60))])))
+    got = {(r.doc_id, r.license): (r.first_word, r.containment) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = licenses_by_brute_force(rows)
+    assert len({i for i, _ in want}) > len(rows) // 3
+    missed = set(want) - set(got)
+    assert not set(got) - set(want) and len(missed) <= len(want) // 500  # by MinHash alone
+    assert all(got[k] == want[k] for k in got)
 
 
 def test_warc_round_trip(spark, sf, tmp_path):
