@@ -33,6 +33,14 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*staged: DataFrame) -> None:
+    """Remove the files of staged tables that nothing reads any more: all that came of them is written elsewhere."""
+    for df in staged:
+        for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
+            path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bitmap(df: DataFrame, hashed: Column, bits: int) -> np.ndarray:
     """A bitmap of 2**bits places that has a one at the low bits of each 64-bit hash.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -11,18 +10,19 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import bitmap, in_bitmap, likely, stage, with_key, without
-from tessera.llm.textbytes import ALNUM, Texts, slices
+from tessera.llm.storage import bitmap, discard, in_bitmap, likely, stage
+from tessera.llm.textbytes import ALNUM, Texts, signed, slices
 
 DISCOUNT = 0.75
-BLOCK = 8 << 20  # bytes of text that share one table of the counts their words and word pairs have in the corpus
-BITS = 26  # the bitmap of all names, which spares the join names that stand in no counted row, has 2**BITS places
-CALIBRATION_ROWS = 20_000  # labelled rows on which the weights of the ratios below are fitted
-SPAN = 4
-FEATURES = 4
-IN_DOCUMENT = (1 << 32) - 1  # stands as the left word of a word that is counted once for each document
+ONCE = 1.0  # the discount of a pair that a class holds once: it counts in its backoff mass and continuations alone
+COMBINED = 1 << 21  # words whose pairs a task counts together before the shuffle
+SENT_WORDS, SENT_PAIRS = 1 << 18, 1 << 19  # the most frequent entries, sent to all tasks; texts are joined with the others
+BITS = 26  # the bitmap of the other entries, which spares the join names that stand in none, has 2**BITS places
+CALIBRATION_ROWS = 20_000  # labelled rows on which the weights of the features are fitted
+FEATURES = 3
+WORD = (1 << 32) - 1  # stands as the left word in the name of a single word
 THRESHOLD = 0.3
-SCORED = pa.schema([("key", pa.int64()), ("doc_id", pa.int64()), ("features", pa.list_(pa.float64())), ("trial", pa.list_(pa.float64()))])
+MODELS = ("", "_n")  # of all counts, and without those of the fold on which the weights are fitted
 
 
 def fold(doc_id: Column) -> Column:
@@ -32,50 +32,59 @@ def fold(doc_id: Column) -> Column:
 def _word_ids(texts: Texts) -> tuple:
     """32-bit word names, and the pairs (left word, word) as one 64-bit name; the left of a first word is 0."""
     words = texts.words(ALNUM)
-    name = np.clip(words.hashes() >> np.uint64(32), np.uint64(1), np.uint64(IN_DOCUMENT - 1))
+    name = np.clip(words.hashes() >> np.uint64(32), np.uint64(1), np.uint64(WORD - 1))
     left = np.zeros(len(name), np.uint64)
     left[1:] = name[:-1]
     left[words.of[:-1][words.of[:-1] < len(name)]] = 0
     return words, name, left << np.uint64(32) | name
 
 
-def _in_documents(words, names: np.ndarray) -> np.ndarray:
-    """The names, once for each text they stand in."""
-    names = names.copy()
-    for a, b in zip(words.of[:-1].tolist(), words.of[1:].tolist(), strict=True):
-        names[a:b].sort()
-    new = np.ones(len(names), bool)
-    new[1:] = names[1:] != names[:-1]
-    new[words.of[:-1][words.counts() > 0]] = True
-    return names[new]
-
-
 def _pair_counts(rows: DataFrame) -> DataFrame:
-    """(name, n, m): in how many ordinary (low 32 bits) and toxic rows (high 32 bits) each pair or word stands.
-
-    n counts rows that aren't held apart, m those that are. A document counts once, however often it repeats an
-    expression.
-    """
+    """name, n0, n1, m0, m1: how often each pair stands in ordinary (0) and toxic (1) rows, held apart (m) or not (n)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: list[list[np.ndarray]] = [[] for _ in range(4)]
+
+        def flush(kind: int) -> Iterator[pa.RecordBatch]:
+            if waiting[kind]:
+                name, n = np.unique(np.concatenate(waiting[kind]), return_counts=True)
+                waiting[kind] = []
+                yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(np.full(len(n), kind, np.int32)), pa.array(n)], ["name", "kind", "n"])
+
         for batch in batches:
             for kind in range(4):
-                of_class = batch.filter(pa.compute.equal(batch.column(1), kind))
-                for _, texts in slices(of_class):
-                    words, name, pair = _word_ids(texts)
-                    name, n = np.unique(np.concatenate([_in_documents(words, x) for x in (pair, np.uint64(IN_DOCUMENT << 32) | name)]), return_counts=True)
-                    n = n.astype(np.int64) << 32 * (kind & 1)
-                    none = np.zeros(len(n), np.int64)
-                    n, m = (none, n) if kind & 2 else (n, none)
-                    yield pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(n), pa.array(m)], ["name", "n", "m"])
+                for _, texts in slices(batch.filter(pa.compute.equal(batch.column(1), kind))):
+                    waiting[kind].append(_word_ids(texts)[2])
+                    if sum(map(len, waiting[kind])) > COMBINED:
+                        yield from flush(kind)
+        for kind in range(4):
+            yield from flush(kind)
 
     kinds = rows.select("text", F.expr("toxic + if(apart, 2, 0)").cast("int").alias("kind"))
-    return kinds.mapInArrow(count, "name long, n long, m long").groupBy("name").agg(F.sum("n").alias("n"), F.sum("m").alias("m"))
+    # tasks have combined their own counts, so no name has many rows
+    found = kinds.mapInArrow(count, "name long, kind int, n long").repartition("name")
+    return found.groupBy("name").agg(*(F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(c) for k, c in enumerate(("n0", "n1", "m0", "m1"))))
+
+
+def _of_class(c: int, model: str) -> Column:
+    return F.col(f"n{c}") if model else F.col(f"n{c}") + F.col(f"m{c}")
+
+
+def _discount(count: Column) -> Column:
+    return F.when(count > 1, DISCOUNT).when(count == 1, ONCE).otherwise(0.0)
+
+
+def _left() -> Column:
+    return F.expr("shiftrightunsigned(name, 32)")
+
+
+def _right() -> Column:
+    return F.expr("name & 4294967295")
 
 
 class Totals(NamedTuple):
     """Sums over all words of a model."""
-    n0: float  # ordinary and toxic (word, document) pairs
+    n0: float  # ordinary and toxic words
     n1: float
     rest0: float  # the share of them that discounts leave to the continuation counts
     rest1: float
@@ -86,212 +95,236 @@ class Totals(NamedTuple):
         n0, n1, lefts = (max(float(x or 0), 1.0) for x in (n0, n1, lefts))
         return cls(n0, n1, DISCOUNT * (types0 or 0) / n0, DISCOUNT * (types1 or 0) / n1, lefts)
 
+    @property
+    def unseen(self) -> float:
+        """The log ratio of a word that no counted row holds."""
+        return float(np.log(self.rest1 / self.rest0)) if self.rest0 and self.rest1 else 0.0
+
+
+def _words(counts: DataFrame) -> DataFrame:
+    """word and, for each model: w0, w1 (how often it stands), lefts (different left contexts), begun0, begun1 (how
+    often a word follows it), k0, k1 (what discounts take from that)."""
+    right, left = [], []
+    for model in MODELS:
+        both = [_of_class(c, model) for c in (0, 1)]
+        right += [F.sum(both[c]).alias(f"w{c}{model}") for c in (0, 1)] + [F.count_if(both[0] + both[1] > 0).alias(f"lefts{model}")]
+        left += [F.sum(both[c]).alias(f"begun{c}{model}") for c in (0, 1)] + [F.sum(_discount(both[c])).alias(f"k{c}{model}") for c in (0, 1)]
+    of_right = counts.groupBy(_right().alias("word")).agg(*right)
+    of_left = counts.filter(_left() != 0).groupBy(_left().alias("word")).agg(*left)
+    return of_right.join(of_left, "word", "left").fillna(0)  # each word stands at the right of a pair
+
+
+def _model(words: DataFrame, model: str, whole: Totals) -> DataFrame:
+    """words with p0, p1 (probabilities of the word alone, from discounted counts and the shared continuations), more
+    (its log ratio, less that of unseen words) and backoff (the log ratio of what is left to the word after it)."""
+    for c, n, rest in ((0, whole.n0, whole.rest0), (1, whole.n1, whole.rest1)):
+        alone = F.greatest(F.col(f"w{c}{model}") - DISCOUNT, F.lit(0.0)) / n + (rest or 1.0) * F.col(f"lefts{model}") / whole.lefts
+        words = words.withColumn(f"p{c}{model}", alone)
+    known = F.col(f"lefts{model}") > 0
+    words = words.withColumn(f"more{model}", F.when(known, F.log(F.col(f"p1{model}") / F.col(f"p0{model}")) - whole.unseen).cast("float"))
+    # of the counts that begin with a word discounts take a share; where a class has none, all is left
+    begun = [F.col(f"begun{c}{model}") for c in (0, 1)]
+    left = [F.when(begun[c] > 0, F.col(f"k{c}{model}") / begun[c]).otherwise(1.0) for c in (0, 1)]
+    return words.withColumn(f"backoff{model}", F.log(left[1] / left[0]).cast("float"))
+
+
+def _entries(counts: DataFrame) -> tuple[DataFrame, dict[str, Totals]]:
+    """name, n, word, and for each model more and backoff, of all words and of the pairs whose counts say more than
+    their words do; and the totals.
+
+    The log ratio of a pair is that of its word plus the backoff of its left word plus what is in more:
+    log(1 + d1 / (k1 p1)) - log(1 + d0 / (k0 p0)), where d are its discounted counts.
+    """
+    words = stage(_words(counts), "words")
+    totals = {}
+    for m in MODELS:
+        totals[m] = Totals.of(*words.agg(F.sum(f"w0{m}"), F.sum(f"w1{m}"), F.count_if(F.col(f"w0{m}") > 0), F.count_if(F.col(f"w1{m}") > 0), F.sum(f"lefts{m}")).first())
+    known = words
+    for m in MODELS:
+        known = _model(known, m, totals[m])
+    known = stage(known, "word-models")
+
+    telling = counts.filter((_left() != 0) & (F.greatest(*(_of_class(c, "") for c in (0, 1))) > 1))
+    of_word = known.select(F.col("word").alias("right"), *(f"p{c}{m}" for m in MODELS for c in (0, 1)))
+    of_left = known.select(F.col("word").alias("left"), *(f"k{c}{m}" for m in MODELS for c in (0, 1)))
+    telling = telling.withColumn("right", _right()).withColumn("left", _left()).join(of_word, "right").join(of_left, "left")
+
+    def more(m: str) -> Column:
+        def gain(c: int) -> Column:
+            d = _of_class(c, m) - _discount(_of_class(c, m))
+            return F.when(d > 0, F.log1p(d / (F.col(f"k{c}{m}") * F.col(f"p{c}{m}")))).otherwise(0.0)
+
+        return (gain(1) - gain(0)).cast("float").alias(f"more{m}")
+
+    none = F.lit(0).cast("float")
+    pairs = telling.select("name", F.expr("n0 + n1 + m0 + m1").alias("n"), F.lit(False).alias("word"), *(more(m) for m in MODELS), *(none.alias(f"backoff{m}") for m in MODELS))
+    singles = known.select(F.expr(f"shiftleft({WORD}L, 32) | word").alias("name"), F.expr("w0 + w1").alias("n"), F.lit(True).alias("word"),
+                           *(F.col(f"more{m}") for m in MODELS), *(F.col(f"backoff{m}") for m in MODELS))
+    entries = stage(singles.union(pairs), "entries")
+    discard(words, known)
+    return entries, totals
+
+
+def _cut(entries: DataFrame, most: int) -> int:
+    """The least count from which no more than `most` entries are left, in steps of an eighth of a doubling."""
+    steps = sorted(entries.groupBy(F.floor(F.log2("n") * 8).alias("step")).count().collect(), reverse=True)  # at most 8 * 63 rows
+    seen, cut = 0, 1 << 62
+    for step, n in steps:
+        seen += n
+        if seen > most:
+            break
+        cut = int(np.ceil(2 ** (step / 8)))
+    return cut
 
-def _discounted(n: np.ndarray) -> np.ndarray:
-    return np.maximum(n - DISCOUNT, 0)
-
-
-class Model:
-    """Log ratios of all words and pairs among the given entries, by sorted names.
 
-    words are w (w0, w1: in how many rows), lefts, u0 and u1 (rows it begins a pair in), t0 and t1 (pairs it begins).
-    """
+class Sent(NamedTuple):
+    """Frequent entries by name in order: arrays of names, of more and of backoff, by model."""
+    names: np.ndarray
+    more: list[np.ndarray]
+    backoff: list[np.ndarray]
 
-    def __init__(self, words: dict[str, np.ndarray], pair: np.ndarray, c0: np.ndarray, c1: np.ndarray, whole: Totals):
-        order = np.argsort(words["w"])
-        words = {k: x[order] for k, x in words.items()}
-        shared = words["lefts"] / whole.lefts
-        self.names = words["w"]
-        self.unseen = np.float32(np.log(whole.rest1 / whole.rest0) if whole.rest0 and whole.rest1 else 0)
-        p, left = [], []  # of each word alone; the share of the pairs after it that is left to words alone
-        for c, n, rest in (("0", whole.n0, whole.rest0), ("1", whole.n1, whole.rest1)):
-            p.append(_discounted(words["w" + c]) / n + (rest or 1.0) * shared)
-            left.append(np.where(words["u" + c] > 0, DISCOUNT * words["t" + c] / np.maximum(words["u" + c], 1), 1.0))
-        with np.errstate(divide="ignore", invalid="ignore"):  # 0, the left of first words, is no word
-            self.ratio = np.append(np.where(p[0] > 0, np.log(p[1] / p[0]), self.unseen), self.unseen).astype(np.float32)
-        self.backoff = np.append(np.log(left[1] / left[0]), 0).astype(np.float32)
-        order = np.argsort(pair)
-        self.pairs = pair[order]
-        u, w = self._at(self.pairs >> np.uint64(32)), self._at(self.pairs & np.uint64(0xFFFFFFFF))
-        seen = []
-        for c, n in enumerate((c0, c1)):
-            of_left = words[f"u{c}"][u]
-            seen.append(np.where(of_left > 0, _discounted(n[order]) / np.maximum(of_left, 1), 0) + left[c][u] * p[c][w])
-        self.pair_ratio = np.log(seen[1] / seen[0]).astype(np.float32)
-
-    def _at(self, names: np.ndarray) -> np.ndarray:
+    @classmethod
+    def of(cls, entries: DataFrame) -> Sent:
+        found = entries.select("name", *(f"more{m}" for m in MODELS), *(f"backoff{m}" for m in MODELS)).toArrow()
+        names = found.column(0).to_numpy().view(np.uint64)
+        order = np.argsort(names)
+        values = [found.column(k).to_numpy(zero_copy_only=False).astype(np.float32)[order] for k in range(1, 5)]
+        return cls(names[order], values[:2], values[2:])
+
+    def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of names, and which of them are there."""
         at = np.searchsorted(self.names, names)
-        if len(self.names):
-            at[(at == len(self.names)) | (self.names[np.minimum(at, len(self.names) - 1)] != names)] = len(self.names)
-        return at
-
-    def ratios(self, texts: Texts):
-        """The words, and for each its log-likelihood, toxic less ordinary, given the word before it and alone."""
-        words, name, pair = _word_ids(texts)
-        if not len(name):
-            return words, np.zeros(0, np.float32), np.zeros(0, np.float32)
-        if len(self.names):
-            distinct, back = np.unique(name, return_inverse=True)
-            at = self._at(distinct)
-            alone = self.ratio[at][back]
-            ratio = alone.copy()
-            ratio[1:] += self.backoff[at][back][:-1] * (pair[1:] >> np.uint64(32) > 0)
-        else:
-            alone = np.full(len(name), self.unseen)
-            ratio = alone.copy()
-        if len(self.pairs):
-            distinct, back = np.unique(pair, return_inverse=True)
-            at = np.minimum(np.searchsorted(self.pairs, distinct), len(self.pairs) - 1)
-            hit = self.pairs[at] == distinct
-            ratio = np.where(hit[back], self.pair_ratio[at][back], ratio)
-        return words, ratio, alone
-
-    def features(self, texts: Texts) -> np.ndarray:
-        """Per text: the mean log ratio of all words, the largest mean over any SPAN words, and the two largest
-        ratios of single words, which don't depend on how long the text around them is."""
-        words, ratio, alone = self.ratios(texts)
-        counts, of = words.counts(), words.of
-        out = np.zeros((texts.n, FEATURES))
-        full = np.flatnonzero(counts)
-        if not len(full):
-            return out
-        total = np.append(0.0, np.cumsum(ratio, dtype=np.float64))
-        out[full, 0] = (total[of[full + 1]] - total[of[full]]) / counts[full]
-        text = words.text_of()
-        first = np.arange(len(ratio))
-        last = np.minimum(first + SPAN, of[text + 1])
-        first = np.maximum(np.minimum(first, last - SPAN), of[text])
-        out[full, 1] = np.maximum.reduceat((total[last] - total[first]) / np.maximum(last - first, SPAN // 2), of[full])
-        out[full, 2] = np.maximum.reduceat(alone, of[full])
-        alone = np.where(alone == out[text, 2].astype(np.float32), self.unseen, alone)
-        out[full, 3] = np.maximum.reduceat(alone, of[full])
-        return out
-
-
-def _counts(texts: DataFrame, marks: DataFrame) -> tuple[DataFrame, np.ndarray, Totals, Totals]:
-    """All names of pairs and words with their counts, a bitmap of them, and the totals without and with the rows held apart.
-
-    A pair has its (n, m); a word also has its own counts as the left of a pair: of different left contexts (lefts),
-    of rows (u0, u1) and of different pairs (t0, t1), where those of the model without the rows held apart end in _n.
+        if not len(self.names):
+            return at, np.zeros(len(names), bool)
+        at = np.minimum(at, len(self.names) - 1)
+        return at, self.names[at] == names
+
+
+class Lookup(NamedTuple):
+    words: Sent
+    pairs: Sent
+    others: np.ndarray  # a bitmap of the names of all other entries
+    unseen: list[float]
+
+
+def _folded(names: np.ndarray) -> np.ndarray:
+    return names ^ names >> np.uint64(32)
+
+
+def _top_two(value: np.ndarray, name: np.ndarray, words) -> list[np.ndarray]:
+    """For each text the largest value of its words and the largest of another word; -inf where there is none."""
+    out = [np.full(words.texts.n, -np.inf, np.float32) for _ in range(2)]
+    full = np.flatnonzero(words.counts())
+    if len(full):
+        at, text = words.of[full], words.text_of()
+        out[0][full] = np.maximum.reduceat(value, at)
+        held, first = np.unique(text[best := np.flatnonzero(value == out[0][text])], return_index=True)
+        of_best = np.zeros(words.texts.n, np.uint64)
+        of_best[held] = name[best[first]]
+        out[1][full] = np.maximum.reduceat(np.where(name == of_best[text], np.float32(-np.inf), value), at)
+    return out
+
+
+def _local(texts: Texts, lookup: Lookup, models: range) -> tuple[np.ndarray, list[dict[str, np.ndarray]], tuple[np.ndarray, ...]]:
+    """Word counts; for each model the sums and the two largest ratios that frequent entries give; and what is to be
+    joined: the text, the name, how often it stands, and how often a word follows it."""
+    words, name, pair = _word_ids(texts)
+    n, text = words.counts(), words.text_of()
+    followed = np.ones(len(name), bool)
+    followed[words.of[1:][n > 0] - 1] = False
+    later = []
+    sums = [np.outer(n, [lookup.unseen[m]])[:, 0] for m in models]
+    tops = [[np.full(texts.n, -np.inf, np.float32)] * 2 for _ in models]
+    for kind, sent, names in (("word", lookup.words, name | np.uint64(WORD << 32)), ("pair", lookup.pairs, pair)):
+        if not len(names):
+            continue
+        distinct, back = np.unique(names, return_inverse=True)
+        at, there = sent.find(distinct)
+        maybe = ~there & in_bitmap(lookup.others, _folded(distinct))
+        if kind == "pair":
+            maybe &= distinct >> np.uint64(32) > 0
+        for k, m in enumerate(models):
+            if there.any():
+                more = np.where(there, np.nan_to_num(sent.more[m][at]), 0)[back].astype(np.float64)
+                if kind == "word":
+                    more += np.where(there, np.nan_to_num(sent.backoff[m][at]), 0)[back] * followed
+                    value = np.where(there & ~np.isnan(sent.more[m][at]), sent.more[m][at] + np.float32(lookup.unseen[m]), np.float32(-np.inf))[back]
+                    tops[k] = _top_two(value.astype(np.float32), name, words)
+                sums[k] = sums[k] + np.bincount(text, more, texts.n)
+        places = np.flatnonzero(maybe[back])
+        if len(places):
+            key, inverse = np.unique(text[places].astype(np.int64) << 32 | back[places], return_inverse=True)
+            later.append((key >> 32, distinct[key & 0xFFFFFFFF], np.bincount(inverse), np.bincount(inverse, followed[places] if kind == "word" else np.zeros(len(places))).astype(np.int64)))
+    joined = tuple(np.concatenate(x) for x in zip(*later, strict=True)) if later else tuple(np.zeros(0, t) for t in (np.int64, np.uint64, np.int64, np.int64))
+    return n, [{"sum": s, "first": t[0], "second": t[1]} for s, t in zip(sums, tops, strict=True)], joined
+
+
+_NUMBERS = [f"{x}{m}" for m in MODELS for x in ("sum", "first", "second")]
+_SCHEMA = pa.schema([("text_id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("asked", pa.int32()), *((x, pa.float64()) for x in _NUMBERS),
+                     ("name", pa.int64()), ("times", pa.int64()), ("followed", pa.int64())])
+
+
+def _features(rows: DataFrame, entries: DataFrame, totals: dict[str, Totals], sample: np.ndarray) -> DataFrame:
+    """text_id, doc_id, features by the model of all counts, and for rows whose doc_id is in sample (sorted) trial, the
+    features by the model without the rows held apart.
+
+    Features are the mean log ratio of a text's words, and the two largest ratios of its different words. What the
+    frequent entries give is found in the task that reads the text; the other names it holds go to the other entries
+    by a join, and their sums and largest ratios come back to the text.
     """
-    names = stage(_pair_counts(likely(texts, marks).join(marks, "doc_id")), "pairs")
-    names = names.withColumn("all", F.expr("n + m")).withColumn("u", F.expr("shiftrightunsigned(name, 32)")).withColumn("w", F.expr("name & 4294967295"))
-    once = F.col("u") == IN_DOCUMENT
-    pairs = names.filter(~once)
-
-    def low(c: str) -> Column:
-        return F.expr(f"`{c}` & 4294967295")
-
-    def high(c: str) -> Column:
-        return F.expr(f"`{c}` >> 32")
-
-    of_word, of_left = [F.max(F.when(once, F.col("n"))).alias("n"), F.max(F.when(once, F.col("m"))).alias("m")], []
-    for suffix, c in (("_n", "n"), ("", "all")):
-        of_word.append(F.count_if(~once & (F.col(c) > 0)).alias("lefts" + suffix))
-        of_left += [F.sum(low(c)).alias("u0" + suffix), F.sum(high(c)).alias("u1" + suffix),
-                    F.count_if(low(c) > 0).alias("t0" + suffix), F.count_if(high(c) > 0).alias("t1" + suffix)]
-    words = names.groupBy("w").agg(*of_word).join(pairs.groupBy(F.col("u").alias("w")).agg(*of_left), "w", "full").fillna(0)
-    words = stage(words, "words")
-    totals = []
-    for suffix, c in (("_n", F.col("n")), ("", F.expr("n + m"))):
-        n = words.select(c.alias("c"), F.col("lefts" + suffix).alias("lefts"))
-        whole = n.agg(F.sum(low("c")), F.sum(high("c")), F.count_if(low("c") > 0), F.count_if(high("c") > 0), F.sum("lefts")).first()
-        totals.append(Totals.of(*whole))
-    extra = [c for c in words.columns if c not in ("w", "n", "m")]
-    entries = pairs.select("name", "n", "m", *(F.lit(None).cast("long").alias(c) for c in extra)).union(
-        words.select(F.expr(f"shiftleft({IN_DOCUMENT}L, 32) | w").alias("name"), "n", "m", *extra))
-    return entries, bitmap(names, F.expr("name ^ shiftrightunsigned(name, 32)"), BITS), *totals
-
-
-def _blocks(rows: DataFrame) -> DataFrame:
-    """(block, rows): the rows of rows (text first) in compressed pieces; about BLOCK bytes of text make a block."""
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = BLOCK
+    cuts = _cut(entries.filter("word"), SENT_WORDS), _cut(entries.filter("not word"), SENT_PAIRS)
+    frequent = F.col("n") >= F.when(F.col("word"), F.lit(cuts[0])).otherwise(F.lit(cuts[1]))
+    others = entries.filter(~frequent)
+    lookup = Lookup(Sent.of(entries.filter(frequent & F.col("word"))), Sent.of(entries.filter(frequent & ~F.col("word"))),
+                    bitmap(others, F.expr("name ^ shiftrightunsigned(name, 32)"), BITS), [totals[m].unseen for m in MODELS])
+    sent = rows.sparkSession.sparkContext.broadcast((lookup, sample))
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup, sample = sent.value
+        seen: set[int] = set()  # copies of one text ask once in a task; forgetting some is harmless
         for batch in batches:
             for part, texts in slices(batch):
-                if held >= BLOCK:
-                    block, held = uuid.uuid4().int >> 65, 0
-                held += len(texts.bytes)
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, part.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                    out.write_batch(part)
-                yield pa.RecordBatch.from_arrays([pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()])], ["block", "rows"])
-
-    return stage(rows.mapInArrow(cut, "block long, rows binary"), "blocks")
-
-
-def _unpacked(piece: bytes) -> Iterator[tuple[pa.RecordBatch, Texts]]:
-    for batch in pa.ipc.open_stream(piece):
-        yield from slices(batch)
-
-
-def _names(blocks: DataFrame, bits: np.ndarray) -> DataFrame:
-    """(name, block): the words and pairs of each block that bits lets pass, and 0, the left of first words."""
-    sent = blocks.sparkSession.sparkContext.broadcast(bits)
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush():
-            if seen:
-                names = np.unique(np.concatenate(seen))
-                yield pa.RecordBatch.from_arrays([pa.array(names.view(np.int64)), pa.array(np.full(len(names), of))], ["name", "block"])
-
-        of, seen = None, []
-        for batch in batches:
-            for block, piece in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if block != of:
-                    yield from flush()
-                    of, seen = block, []
-                for _, texts in _unpacked(piece):
-                    _, name, pair = _word_ids(texts)
-                    for names in (pair, name | np.uint64(IN_DOCUMENT << 32)):
-                        names = np.unique(names)
-                        seen.append(names[in_bitmap(sent.value, names ^ names >> np.uint64(32))])
-                    seen.append(np.array([IN_DOCUMENT << 32], np.uint64))
-        yield from flush()
-
-    return blocks.mapInArrow(ask, "name long, block long")
-
-
-def _model(found: pa.Table, whole: Totals, suffix: str) -> Model:
-    """The model of a block from the entries of its names."""
-    got = {c: found.column(c).to_numpy() for c in ("name", "n", "m")}
-    name, at = np.unique(got["name"].view(np.uint64), return_index=True)
-    n = got["n"] if suffix else got["n"] + got["m"]
-    keep = at[(n[at] > 0) | (name == np.uint64(IN_DOCUMENT << 32))]
-    name, n = got["name"].view(np.uint64)[keep], n[keep]
-    once = name >> np.uint64(32) == IN_DOCUMENT
-    words = {"w": name[once] & np.uint64(0xFFFFFFFF), "w0": n[once] & 0xFFFFFFFF, "w1": n[once] >> 32}
-    for c in ("lefts", "u0", "u1", "t0", "t1"):
-        words[c] = found.column(c + suffix).take(pa.array(keep[once])).to_numpy()
-    return Model(words, name[~once], n[~once] & 0xFFFFFFFF, n[~once] >> 32, whole)
-
-
-def _features(rows: DataFrame, entries: DataFrame, bits: np.ndarray, apart: Totals, whole: Totals, sample: np.ndarray) -> DataFrame:
-    """key, doc_id, features by the model of all counts, and for rows whose doc_id is in sample (sorted) trial, the
-    features by the model without the rows held apart."""
-    blocks = _blocks(rows.select("text", "key", "doc_id"))
-    found = _names(blocks, bits).join(entries, "name")
-    sent = rows.sparkSession.sparkContext.broadcast(sample)
-
-    def score(pieces: pa.Table, found: pa.Table) -> pa.Table:
-        model, trial_model = _model(found, whole, ""), None
-        out = []
-        for piece in pieces.column("rows").to_pylist():
-            for part, texts in _unpacked(piece):
-                ids = part.column(2)
-                tried = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), sent.value)
-                tried &= pa.compute.and_(ids.is_valid(), part.column(0).is_valid()).to_numpy(zero_copy_only=False)
-                trial = pa.nulls(part.num_rows, pa.list_(pa.float64()))
-                if tried.any():
-                    trial_model = trial_model or _model(found, apart, "_n")
-                    trial = pa.array([x if t else None for x, t in zip(trial_model.features(texts).tolist(), tried, strict=True)], pa.list_(pa.float64()))
-                got = model.features(texts)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(got) + 1, dtype=np.int32) * FEATURES), pa.array(got.ravel()))
-                out.append(pa.RecordBatch.from_arrays([part.column(1), ids, lists, trial], ["key", "doc_id", "features", "trial"]))
-        return pa.Table.from_batches(out, SCORED) if out else SCORED.empty_table()
-
-    return blocks.groupBy("block").cogroup(found.groupBy("block")).applyInArrow(score, "key long, doc_id long, features array<double>, trial array<double>")
+                text_id, ids = part.column(1).to_numpy(), part.column(2)
+                tried = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), sample) & ids.is_valid().to_numpy(zero_copy_only=False)
+                n, found, (text, name, times, followed) = _local(texts, lookup, range(1 + bool(tried.any())))
+                new = np.zeros(texts.n, bool)
+                for i, x in enumerate(text_id.tolist()):
+                    if x not in seen:
+                        new[i] = True
+                        if len(seen) < 1_000_000:
+                            seen.add(x)
+                columns = {"text_id": part.column(1), "doc_id": ids, "n": pa.array(n), "asked": pa.array(new.astype(np.int32))}
+                for k, m in enumerate(MODELS):
+                    for x in ("sum", "first", "second"):
+                        value = found[k][x].astype(np.float64) if k < len(found) else np.full(texts.n, np.nan)
+                        columns[x + m] = pa.array(value, mask=np.full(texts.n, k == 1) & ~tried)
+                yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(texts.n, f.type) for f in _SCHEMA], schema=_SCHEMA)
+                keep = new[text]
+                columns = {"text_id": pa.array(text_id[text[keep]]), "name": signed(name[keep]), "times": pa.array(times[keep]), "followed": pa.array(followed[keep])}
+                yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(int(keep.sum()), f.type) for f in _SCHEMA], schema=_SCHEMA)
+
+    schema = "text_id long, doc_id long, n long, asked int, " + ", ".join(f"{x} double" for x in _NUMBERS) + ", name long, times long, followed long"
+    looked = stage(rows.select("text", "text_id", "doc_id").mapInArrow(look, schema), "looked-up")
+    here = looked.filter("name is null").drop("name", "times", "followed")
+
+    sums, tops = [], []
+    for m in MODELS:
+        sums.append(F.sum(F.col("times") * F.coalesce(f"more{m}", F.lit(0.0)) + F.col("followed") * F.coalesce(f"backoff{m}", F.lit(0.0))).alias(f"joined{m}"))
+        held = F.collect_set(F.when(F.col("word") & F.col(f"more{m}").isNotNull(), F.struct((F.col(f"more{m}") + F.lit(totals[m].unseen)).cast("double").alias("ratio"), "name")))
+        tops.append(F.transform(F.slice(F.sort_array(held, False), 1, 2), lambda x: x["ratio"]).alias(f"tops{m}"))
+    joined = looked.filter("name is not null").select("text_id", "name", "times", "followed").join(others.drop("n"), "name")
+    asked = here.groupBy(F.col("text_id").alias("of")).agg(F.sum("asked").alias("times_asked"))
+    joined = joined.groupBy(F.col("text_id").alias("of")).agg(*sums, *tops).join(asked, "of")
+    both = here.join(joined, here["text_id"] == joined["of"], "left")
+
+    def features(m: str) -> Column:
+        total = F.col(f"sum{m}") + F.coalesce(F.col(f"joined{m}") / F.col("times_asked"), F.lit(0.0))
+        known = F.concat(F.array(f"first{m}", f"second{m}"), F.coalesce(f"tops{m}", F.array().cast("array<double>")))
+        known = F.sort_array(F.filter(known, lambda x: x > float("-inf")), False)
+        at = [F.coalesce(F.get(known, k), F.lit(totals[m].unseen)) for k in (0, 1)]
+        return F.when(F.col("n") > 0, F.array(total / F.col("n"), *at)).otherwise(F.array(*map(F.lit, [0.0] * FEATURES)))
+
+    return both.select("text_id", "doc_id", features("").alias("features"), F.when(F.col("sum_n").isNotNull(), features("_n")).alias("trial"))
 
 
 def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -311,28 +344,34 @@ def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 
 
 def score_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, held_out: int) -> DataFrame:
-    """key, doc_id, score for each row of rows (key, doc_id, text); rows of docs in fold held_out are never learned.
+    """text_id, doc_id, score for each row of rows (text_id, doc_id, text); rows of docs in fold held_out are never
+    learned. Rows with one text have one text_id and one score.
 
     Counts come from all labelled rows of the three other folds, and each word and pair keeps its own. The weights
     are fitted on CALIBRATION_ROWS rows of one of these folds with a model that leaves this fold out, so its rows
     can't flatter themselves. Both classes back off to the same continuation counts: in how many different left
-    contexts a word stands in either class. No table of names is sent to all tasks: each block of texts is joined
-    with the entries of the words and pairs it holds.
+    contexts a word stands in either class.
     """
     marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("doc_id is not null and toxic in (0, 1)")
     marks = marks.filter(fold(F.col("doc_id")) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = stage(marks.withColumn("apart", fold(F.col("doc_id")) == (held_out + 1) % 4), "marks")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    entries, bits, apart, whole = _counts(texts, marks)
+    counts = stage(_pair_counts(likely(texts, marks).join(marks, "doc_id")), "pairs")
+    entries, totals = _entries(counts)
+    discard(counts)
     sample = marks.filter("apart").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).toPandas()
-    found = stage(_features(rows, entries, bits, apart, whole, np.sort(sample["doc_id"].to_numpy(np.int64))), "features")
+    found = stage(_features(rows, entries, totals, np.sort(sample["doc_id"].to_numpy(np.int64))), "features")
 
     toxic = dict(zip(sample["doc_id"], sample["toxic"], strict=True))
-    fitted = found.filter("trial is not null").select("doc_id", "trial").toPandas()
+    fitted = found.filter("trial is not null").groupBy("doc_id").agg(F.min("trial").alias("trial")).toPandas()  # a row for each doc_id of the sample
     y = fitted["doc_id"].map(toxic).to_numpy(float)
     weights = _weights(np.array(fitted["trial"].tolist()).reshape(len(fitted), FEATURES), y)
     terms = sum((F.lit(float(w)) * F.col("features")[k] for k, w in enumerate(weights[:-1])), F.lit(float(weights[-1])))
-    return found.select("key", "doc_id", (1 / (1 + F.exp(-terms))).alias("score"))
+    return found.select("text_id", "doc_id", (1 / (1 + F.exp(-terms))).alias("score"))
+
+
+def _with_text_id(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string"), F.length(F.col("text").cast("string"))).alias("text_id"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
@@ -343,15 +382,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: f
     used; of several labels of a document the largest counts. Without any label, every score is 0.5. A null doc_id
     is in no fold: held_out is false. Only doc_id, text and toxic are read.
     """
-    rows = docs.select(F.col("text").cast("string").alias("text"), F.lit(0).cast("long").alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
-    scored = score_rows(rows, docs, labels, held_out)
+    scored = score_rows(_with_text_id(docs), docs, labels, held_out)
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == held_out, F.lit(False)).alias("held_out"), "score").withColumn(
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
 
 def clean_documents(docs: DataFrame, labels: DataFrame, held_out: int = 2) -> DataFrame:
-    """docs without the rows predicted toxic; row_id tells rows apart and is added for the time where docs have none."""
-    keyed = with_key(docs)
-    rows = keyed.select(F.col("text").cast("string").alias("text"), F.col("row_id").alias("key"), F.col("doc_id").cast("long").alias("doc_id"))
-    toxic = score_rows(rows, keyed, labels, held_out).filter(F.col("score") >= THRESHOLD)
-    return without(keyed, toxic.select(F.col("key").alias("row_id")), "row_id").select(*docs.columns)
+    """docs without the rows predicted toxic; the score is of the text, so rows with one text go or stay together."""
+    scored = score_rows(_with_text_id(docs), docs, labels, held_out)
+    toxic = scored.filter(F.col("score") >= THRESHOLD).select(F.col("text_id").alias("toxic_text")).distinct()
+    text = F.col("text").cast("string")
+    return docs.join(toxic, F.xxhash64(text, F.length(text)) == F.col("toxic_text"), "left_anti")
