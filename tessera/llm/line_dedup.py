@@ -14,8 +14,8 @@ from pyspark.sql.window import Window
 from tessera.llm.storage import bitmap, in_bitmap, stage
 from tessera.llm.textbytes import BYTE_VALUE, NOT_SPACE, Texts, mix, signed, slices, span_hashes
 
-WRAP = 2  # a line is wrapped after each word whose hash is a multiple of this
-LEAST_WORDS = 16  # a run of repeated chunks is removed only if it has as many words
+WRAP = 4  # a sentence is wrapped into lines after each word whose hash is a multiple of this
+LEAST_WORDS = 8  # unrelated texts share shorter sentences by chance; whole lines of the source may be shorter
 FILTER_BITS = 25  # 4 MB sent to tasks, whatever the number of repeated chunks
 
 
@@ -28,50 +28,72 @@ class Chunks(NamedTuple):
     lines: np.ndarray
     words: np.ndarray
     hash: np.ndarray
+    opens: np.ndarray  # it starts where a line of the source starts
+    closes: np.ndarray  # it ends where one ends
+
+
+_STOP, _QUOTE = np.zeros(256, bool), np.zeros(256, bool)
+_STOP[[*b".!?"]] = True
+_QUOTE[[*b"\"')]"]] = True
+
+
+def _sentence_ends(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    last, before = b[ends - 1], b[np.maximum(ends - 2, starts)]
+    return _STOP[last] | _QUOTE[last] & _STOP[before]
+
+
+def _capitalised(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Words that start with a capital letter, Latin or Cyrillic, and aren't in capitals."""
+    one, two = b[starts], b[np.minimum(starts + 1, ends - 1)]
+    ascii_capital = (one >= 65) & (one <= 90) & ((two >= 97) & (two <= 122) | (two >= 128))
+    return ascii_capital | (one == 0xC3) & (two >= 0x80) & (two <= 0x9E) | (one == 0xD0) & (two >= 0x90) & (two <= 0xAF)
 
 
 def chunks(texts: Texts) -> Chunks:
     """Cut each text into chunks of lines at boundaries that depend on the lines around them alone.
 
-    Paragraphs often are one line, so lines are wrapped at words chosen by their hashes: the same passage wraps
-    alike wherever it stands. A rolling hash covers each line and the one before it; a chunk ends at each line where
-    that hash is less than at both neighbours. So chunks have two lines at least, but for those at a text's ends,
-    and an insertion moves no boundary further than two lines away.
+    A paragraph often is one line of the source, so sentences are lines too, as is what starts with a capital within
+    one (the passage that was set into it); sentences of one word go together, and long ones wrap at words chosen by
+    their hashes. A chunk ends with each line of the source and each sentence. Within a long sentence a rolling hash
+    covers each line and the one before it, and a chunk of at least two lines ends where it is less than at both
+    neighbours. So the same passage is cut alike wherever it stands.
     """
     words = texts.words(NOT_SPACE)
     n = len(words.starts)
     if not n:
         none = np.zeros(0, np.int64)
-        return Chunks(none, none, none, none, none, none, none, np.zeros(0, np.uint64))
+        return Chunks(none, none, none, none, none, none, none, np.zeros(0, np.uint64), none > 0, none > 0)
     b = texts.bytes
     newlines = np.append(0, np.cumsum(b == 10))
     name = words.hashes(BYTE_VALUE)
     text = words.text_of()
-    last_word = np.append(text[1:] != text[:-1], True)
-    wraps = last_word | (name % np.uint64(WRAP) == 0)
-    wraps[:-1] |= newlines[words.starts[1:]] > newlines[words.ends[:-1]]
-    line_last = np.flatnonzero(wraps)
+    closes = np.append(text[1:] != text[:-1], True)
+    closes[:-1] |= newlines[words.starts[1:]] > newlines[words.ends[:-1]]
+    opens = np.append(True, closes[:-1])
+    full_stop, capital = _sentence_ends(b, words.starts, words.ends), _capitalised(b, words.starts, words.ends)
+    hard = closes.copy()
+    hard[:-1] |= full_stop[:-1] & (~full_stop[1:] | (name[:-1] % np.uint64(WRAP) == 0)) | capital[1:]
+    line_last = np.flatnonzero(hard | (name % np.uint64(WRAP) == 0))
     line_first = np.append(0, line_last[:-1] + 1)
-    line_text = text[line_first]
     rolled = np.append(np.uint64(0), np.cumsum(mix(name + np.uint64(7)) * (name | np.uint64(1))))
     line = mix(rolled[line_last + 1] - rolled[line_first])
-    first_line = np.append(True, line_text[1:] != line_text[:-1])
-    last_line = np.append(first_line[1:], True)
+    ends = hard[line_last]
+    first = np.append(True, ends[:-1])
     before = np.append(np.uint64(0), line[:-1])
-    before[first_line] = 0
+    before[first] = 0
     rolling = mix(line * np.uint64(0x9E3779B97F4A7C15) + before)
-    ends = last_line.copy()
-    ends[1:-1] |= (rolling[1:-1] < rolling[:-2]) & (rolling[1:-1] < rolling[2:]) & ~first_line[1:-1] & ~last_line[1:-1]
-    at = np.flatnonzero(ends)
+    inner = ends.copy()
+    inner[1:-1] |= (rolling[1:-1] < rolling[:-2]) & (rolling[1:-1] < rolling[2:]) & ~first[1:-1] & ~ends[2:]
+    at = np.flatnonzero(inner)
     from_line = np.append(0, at[:-1] + 1)
     from_word, to_word = line_first[from_line], line_last[at]
-    owner = line_text[at]
+    owner = text[from_word]
     place = np.arange(len(at)) - np.searchsorted(owner, np.arange(texts.n))[owner]
     start, end = words.starts[from_word], words.ends[to_word]
     stop = np.append(start[1:], len(b))
     stop = np.minimum(stop, texts.offsets[owner + 1])
     base = texts.offsets[owner]
-    return Chunks(owner, place, start - base, end - base, stop - base, at - from_line + 1, to_word - from_word + 1, span_hashes(b, start, end))
+    return Chunks(owner, place, start - base, end - base, stop - base, at - from_line + 1, to_word - from_word + 1, span_hashes(b, start, end), opens[from_word], closes[to_word])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -93,52 +115,52 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     counts = texts.select("text").mapInArrow(count, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
     bits = texts.sparkSession.sparkContext.broadcast(bitmap(counts.filter("n > 1"), F.col("hash"), FILTER_BITS))
 
-    def show(with_bytes: bool) -> DataFrame:
-        """Chunks whose hash may repeat, each with its bytes or with its place and length."""
-
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for part, text in slices(batch):
-                    found = chunks(text)
-                    keep = np.flatnonzero((found.lines > 1) & in_bitmap(bits.value, found.hash))
-                    own = pa.array(found.text[keep])
-                    columns = {"key": part.column(0).take(own), "digest": part.column(1).take(own), "hash": signed(found.hash[keep]), "place": pa.array(found.place[keep].astype(np.int32))}
-                    base = text.offsets[found.text[keep]]
-                    if with_bytes:
-                        at = zip((base + found.start[keep]).tolist(), (base + found.end[keep]).tolist(), strict=True)
-                        columns["bytes"] = pa.array([text.bytes[a:b].tobytes() for a, b in at], pa.binary())
-                    else:
-                        for name in ("start", "stop", "words"):
-                            columns["first" if name == "start" else name] = pa.array(getattr(found, name)[keep].astype(np.int32))
-                    yield pa.RecordBatch.from_pydict(columns)
-
-        return texts.mapInArrow(each, "key long, digest long, hash long, place int, " + ("bytes binary" if with_bytes else "first int, stop int, words int"))
-
+    def show(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Chunks of several lines whose hash may repeat, and those of one line beside them."""
+        for batch in batches:
+            for part, text in slices(batch):
+                found = chunks(text)
+                hit = (found.lines > 1) & in_bitmap(bits.value, found.hash)
+                beside = np.zeros(len(hit), bool)
+                same = found.text[1:] == found.text[:-1]
+                beside[1:] |= hit[:-1] & same
+                beside[:-1] |= hit[1:] & same
+                keep = np.flatnonzero(hit | beside & (found.lines == 1))
+                own = pa.array(found.text[keep])
+                base = text.offsets[found.text[keep]]
+                at = zip((base + found.start[keep]).tolist(), (base + found.end[keep]).tolist(), strict=True)
+                yield pa.RecordBatch.from_pydict({
+                    "key": part.column(0).take(own), "digest": part.column(1).take(own), "hash": signed(found.hash[keep]), "place": pa.array(found.place[keep].astype(np.int32)),
+                    "first": pa.array(found.start[keep].astype(np.int32)), "stop": pa.array(found.stop[keep].astype(np.int32)), "words": pa.array(found.words[keep].astype(np.int32)),
+                    "multi": pa.array(found.lines[keep] > 1), "opens": pa.array(found.opens[keep]), "closes": pa.array(found.closes[keep]),
+                    "bytes": pa.array([text.bytes[a:b].tobytes() for a, b in at], pa.binary())})
+
+    shown = stage(texts.mapInArrow(show, "key long, digest long, hash long, place int, first int, stop int, words int, multi boolean, opens boolean, closes boolean, bytes binary"), "chunks")
     here = F.struct("key", "digest", "place")
+    told = ["key", "digest", "place", "first", "stop", "words", "multi", "opens", "closes"]
     # all bytes of a hash are compared by way of the least and the greatest; where they differ, chunks are told apart by bytes
-    first = show(True).groupBy("hash").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"), F.min(here).alias("kept"), F.count("*").alias("n"))
-    first = stage(first.filter("n > 1").select("hash", "kept", (F.col("low") == F.col("high")).alias("same")), "first-chunks")
-    again = show(False).join(first.filter("same").select("hash", "kept"), "hash").filter(here != F.col("kept"))
-    mixed = first.filter("not same").select("hash")
+    kept = shown.groupBy("hash").agg(F.min("bytes").alias("low"), F.max("bytes").alias("high"), F.min(here).alias("kept"), F.count("*").alias("n"))
+    kept = stage(kept.filter("n > 1").select("hash", "kept", (F.col("low") == F.col("high")).alias("same")), "first-chunks")
+    again = shown.select("hash", *told).join(kept.filter("same").select("hash", "kept"), "hash").filter(here != F.col("kept")).select(*told)
+    mixed = kept.filter("not same").select("hash")
     if not mixed.isEmpty():
-        told = show(True).join(mixed, "hash")
-        kept = told.groupBy("hash", "bytes").agg(F.min(here).alias("kept"))
-        later = told.join(kept, ["hash", "bytes"]).filter(here != F.col("kept")).select("key", "digest", "place", "hash").distinct()
-        again = again.select("key", "digest", "place", "first", "stop", "words").union(
-            show(False).join(later, ["key", "digest", "place", "hash"]).select("key", "digest", "place", "first", "stop", "words"))
-    again = again.select("key", "digest", "place", "first", "stop", "words").distinct()
+        apart = shown.join(mixed, "hash")
+        firsts = apart.groupBy("hash", "bytes").agg(F.min(here).alias("kept"))
+        again = again.union(apart.join(firsts, ["hash", "bytes"]).filter(here != F.col("kept")).select(*told))
     run = F.col("place") - F.row_number().over(Window.partitionBy("key", "digest").orderBy("place"))
     return (
-        again.withColumn("run", run).groupBy("key", "digest", "run")
-        .agg(F.min("first").alias("first"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.count("*").alias("chunks"))
-        .filter(F.col("words") >= LEAST_WORDS).select("key", "digest", "first", "stop", "chunks")
+        again.distinct().withColumn("run", run).groupBy("key", "digest", "run")
+        .agg(F.min("first").alias("first"), F.max("stop").alias("stop"), F.sum("words").alias("words"), F.count("*").alias("chunks"), F.bool_or("multi").alias("multi"),
+             (F.min_by("opens", "place") & F.max_by("closes", "place")).alias("whole"))
+        .filter(F.col("multi") & (F.col("whole") | (F.col("words") >= LEAST_WORDS))).select("key", "digest", "first", "stop", "chunks")
     )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with repeated chunks of lines cut from text, and n_removed_chunks (long) added.
 
-    A run of repeated chunks of fewer than LEAST_WORDS words stays, and so does a chunk of one line. Null texts stay
+    A run of repeated chunks goes if one of them has several lines, and it is made of whole lines of the source or has
+    LEAST_WORDS words; so a sentence goes whole or stays, but for the wrapped parts of long ones. Null texts stay
     null, texts of which everything is cut become empty. Rows with equal doc_id and text are one document: what one
     keeps all keep. If docs has a column n_removed_chunks, it is replaced; all other columns stay as they are.
     """

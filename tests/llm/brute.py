@@ -55,3 +55,83 @@ def jaccard_components(docs, size=4, percent=85):
             x, y = sorted((root(a), root(b)))
             parent[y] = x
     return [(i, len(sets[i]), root(i)) for i in sets]
+
+
+M = (1 << 64) - 1
+
+
+def mixed(x):
+    x = (x + 0x9E3779B97F4A7C15) & M
+    x = ((x ^ x >> 30) * 0xBF58476D1CE4E5B9) & M
+    x = ((x ^ x >> 27) * 0x94D049BB133111EB) & M
+    return x ^ x >> 31
+
+
+def word_hash(word):
+    total, power = 0, 1
+    for c in word.encode():
+        total, power = total + mixed(c) * power, power * 0xD6E8FEB86659FD93 & M
+    return mixed(total + len(word.encode()) & M)
+
+
+def line_chunks(text, wrap=4):
+    """[(first character, stop, lines, words, chunk, starts a source line, ends one)]"""
+    found = list(TOKEN.finditer(text))
+    words, name = [m[0] for m in found], [word_hash(m[0]) for m in found]
+    n = len(words)
+    full = [bool(re.search(r"[.!?][\"')\]]?$", w)) for w in words]
+    capital = [bool(re.match(r"(?:[A-Z](?:[a-z]|[^\x00-\x7f])|[À-Þ]|[А-Я])", w)) for w in words]
+    closes = [k == n - 1 or "\n" in text[found[k].end():found[k + 1].start()] for k in range(n)]
+    hard = [closes[k] or full[k] and (not full[k + 1] or name[k] % wrap == 0) or capital[k + 1] for k in range(n)]
+    out, k = [], 0
+    while k < n:
+        to = next(j for j in range(k, n) if hard[j])
+        lines, line = [], []
+        for j in range(k, to + 1):
+            line.append(j)
+            if j == to or name[j] % wrap == 0:
+                lines.append(line)
+                line = []
+        hashes = [mixed(sum(mixed(name[j] + 7 & M) * (name[j] | 1) for j in x) & M) for x in lines]
+        rolling = [mixed(h * 0x9E3779B97F4A7C15 + (hashes[i - 1] if i else 0) & M) for i, h in enumerate(hashes)]
+        part = []
+        for i, x in enumerate(lines):
+            part.append(x)
+            if i == len(lines) - 1 or 0 < i < len(lines) - 2 and rolling[i] < rolling[i - 1] and rolling[i] < rolling[i + 1]:
+                a, b = part[0][0], part[-1][-1]
+                stop = found[b + 1].start() if b + 1 < n else len(text)
+                out.append((found[a].start(), stop, len(part), b - a + 1, text[found[a].start():found[b].end()], a == 0 or closes[a - 1], closes[b]))
+                part = []
+        k = to + 1
+    return out
+
+
+def dedup_lines(rows, least=8):
+    """Texts of rows (id, text) without their repeated chunks; rows are in order of id, and ids differ."""
+    cut = {i: line_chunks(t or "") for i, t in rows}
+    counts = Counter(c[4] for some in cut.values() for c in some if c[2] > 1)
+    candidates = Counter()
+    chosen = {}
+    for i, some in cut.items():
+        hit = [c[2] > 1 and counts[c[4]] > 1 for c in some]
+        chosen[i] = [h or c[2] == 1 and any(hit[j] for j in (k - 1, k + 1) if 0 <= j < len(some)) for k, (c, h) in enumerate(zip(some, hit))]
+        candidates.update(c[4] for c, x in zip(some, chosen[i]) if x)
+    seen, out = set(), {}
+    for i, text in rows:
+        gone, runs = [], []
+        for k, (c, x) in enumerate(zip(cut[i], chosen[i])):
+            if x and c[4] in seen:
+                if gone and gone[-1] == k - 1:
+                    runs[-1].append(c)
+                else:
+                    runs.append([c])
+                gone.append(k)
+            elif x:
+                seen.add(c[4])
+        kept, at = [], 0
+        for run in runs:
+            if any(c[2] > 1 for c in run) and (run[0][5] and run[-1][6] or sum(c[3] for c in run) >= least):
+                kept.append(text[at:run[0][0]])
+                at = run[-1][1]
+        out[i] = None if text is None else "".join([*kept, text[at:]])
+    return out

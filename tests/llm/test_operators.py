@@ -114,7 +114,7 @@ def test_line_dedup_cuts_repeated_passages_and_nothing_else(spark, odd_docs, no_
     words = passage.split(" ")
     for k in range(3, 30, 2):
         left = sum(" ".join(words[a:a + 8]) in got[k].text for a in range(len(words) - 7))
-        assert left <= 25 and all(w in got[k].text for w in rows[k][1].replace(passage, "").split(" ")[:20])
+        assert left <= 40 and all(w in got[k].text for w in rows[k][1].replace(passage, "").split(" ")[:20])
     odd = line_dedup.dedup_lines(odd_docs)
     assert odd.columns == [*odd_docs.columns, "n_removed_chunks"] and odd.count() == odd_docs.count()
     texts = {(r.doc_id, r.n): r.text for r in odd.collect()}
@@ -122,6 +122,20 @@ def test_line_dedup_cuts_repeated_passages_and_nothing_else(spark, odd_docs, no_
     assert line_dedup.dedup_lines(no_docs).count() == 0
 
 
+def test_line_dedup_is_brute_force(spark, sf):
+    docs = sorted(pairs(table(spark, sf, "documents")))
+    news = "Sign up for our weekly newsletter today, friends.\n"
+    paragraph = " ".join(f"alpha{k} beta{k}" for k in range(16)) + "\n"
+    rng = np.random.default_rng(9)
+    for k in range(30):
+        own = " ".join(f"own{k}x{j}" + (". And" if rng.random() < 0.1 else "") for j in range(60))
+        docs.append((100_000 + k, f"Title {k} stands here\n" + news * (k % 2) + own + "\n" + paragraph * (k % 3 == 0) + f"The end of {k}."))
+    got = dict(pairs(line_dedup.dedup_lines(spark.createDataFrame(docs, "doc_id long, text string").repartition(7))))
+    want = brute.dedup_lines(docs)
+    assert got == want and sum(got[i] != t for i, t in docs) > 30
+    assert sum(news in t for t in got.values() if t) == 1 and sum("alpha" in t for t in got.values() if t) == 1
+
+
 def test_chunks_cover_texts_and_resist_shifts():
     rng = np.random.default_rng(1)
     words = ["".join(rng.choice(list("abcdef"), 4)) for _ in range(400)]
