@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -54,7 +54,8 @@ def item_windows(benchmark: DataFrame, window: int) -> DataFrame:
 
 
 def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n_words) of each document, and (doc_id, item_id, first, last) of each window found in it.
+    """(doc_id, digest, n_words) of each document, and (doc_id, digest, item_id, first, last) of each window found in
+    it, where digest tells the texts of one doc_id apart.
 
     The shingles of a window are ordered by rarity in the documents. A document can hold the whole window only if
     it holds its rarest shingle, so that one shingle is its prefix; documents are joined with windows on it. The
@@ -65,7 +66,8 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
     tokens = windows.select(F.explode("shingles").alias("token")).distinct()
     sizes = sorted({min(SHINGLE, r[0]) for r in windows.select("n_window").distinct().collect()})  # at most `window` rows
     everything = bitmap(tokens, F.col("token"), FILTER_BITS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    text = F.col("text").cast("string")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text, F.length(text)).alias("digest"), text.alias("text"))
 
     def found(words: Words, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         hashes = words.hashes()
@@ -95,13 +97,13 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """A row for each document, and one for each place in it where a prefix may stand, with the words around."""
-        schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("token", pa.int64()), ("at", pa.int64()), ("from_word", pa.int64()), ("around", pa.string())])
+        schema = pa.schema([("doc_id", pa.int64()), ("digest", pa.int64()), ("n_words", pa.int64()), ("token", pa.int64()), ("at", pa.int64()), ("from_word", pa.int64()), ("around", pa.string())])
         for batch in batches:
             for part, texts in slices(batch):
                 words = texts.words(ALNUM)
                 counts = words.counts()
                 n = pa.nulls(part.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(counts), n, n, n, pa.nulls(part.num_rows, pa.string())], schema=schema)
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(counts), n, n, n, pa.nulls(part.num_rows, pa.string())], schema=schema)
                 token, first = found(words, rare)
                 if not len(token):
                     continue
@@ -111,41 +113,45 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
                 around = [_lower_words(texts, words, a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)]
                 start = words.of[text]
                 yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(pa.array(text)), pa.array(counts[text]), signed(token), pa.array(first - start), pa.array(low - start), pa.array(around, pa.string())], schema=schema)
+                    part.column(0).take(pa.array(text)), part.column(1).take(pa.array(text)), pa.array(counts[text]), signed(token), pa.array(first - start), pa.array(low - start), pa.array(around, pa.string())], schema=schema)
 
-    probed = stage(texts.mapInArrow(probe, "doc_id long, n_words long, token long, at long, from_word long, around string"), "probed")
+    probed = stage(texts.mapInArrow(probe, "doc_id long, digest long, n_words long, token long, at long, from_word long, around string"), "probed")
     start = F.col("at") - F.col("offset")
     hits = (
         probed.filter("token is not null").join(prefixes.withColumnRenamed("words", "wanted"), "token")
         .withColumn("first", start)
         .filter((F.col("first") >= 0) & (F.col("first") + F.col("n_window") <= F.col("n_words")))
         .filter(F.expr("array_join(slice(split(around, ' '), int(first - from_word) + 1, n_window), ' ') = wanted"))
-        .select("doc_id", "item_id", "first", (F.col("first") + F.col("n_window")).alias("last"))
+        .select("doc_id", "digest", "item_id", "first", (F.col("first") + F.col("n_window")).alias("last"))
         .distinct()
     )
-    return probed.filter("token is null").select("doc_id", "n_words"), hits
+    return probed.filter("token is null").select("doc_id", "digest", "n_words"), hits
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = 20) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for each row of docs.
 
     Null and empty texts have no words and no hits. Items without words have no window. Rows that share a doc_id,
-    null included, share their hits; each gives a row. A document is contaminated when hit words make up at least
-    one in `share` of its words. Columns beyond doc_id, text and item_id are ignored.
+    null included, are judged each by its own text. A document is contaminated when hit words make up at least one in
+    `share` of its words. Columns beyond doc_id, text and item_id are ignored.
     """
     sizes, hits = occurrences(docs, benchmark, window)
-    spans = hits.select("doc_id", "first", "last").distinct()
-    before = Window.partitionBy("doc_id").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
+    spans = hits.select("doc_id", "digest", "first", "last").distinct()
+    before = Window.partitionBy("doc_id", "digest").orderBy("first", "last").rowsBetween(Window.unboundedPreceding, -1)
     covered = (
         spans.withColumn("seen", F.coalesce(F.max("last").over(before), F.lit(0)))
-        .groupBy("doc_id").agg(F.sum(F.greatest(F.lit(0), F.col("last") - F.greatest("first", "seen"))).alias("hit"))
+        .groupBy("doc_id", "digest").agg(F.sum(F.greatest(F.lit(0), F.col("last") - F.greatest("first", "seen"))).alias("hit"))
     )
-    items = hits.groupBy("doc_id").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    per_doc = covered.join(items, covered["doc_id"].eqNullSafe(items["doc_id"])).select(covered["doc_id"].alias("hit_doc"), "hit", "items")
-    joined = sizes.join(per_doc, sizes["doc_id"].eqNullSafe(per_doc["hit_doc"]), "left")
+    items = hits.groupBy("doc_id", "digest").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))
+
+    def same(a: DataFrame, b: DataFrame) -> Column:
+        return (a["digest"] == b["digest"]) & a["doc_id"].eqNullSafe(b["doc_id"])
+
+    per_doc = covered.join(items, same(covered, items)).select(covered["doc_id"], covered["digest"], "hit", "items")
+    joined = sizes.join(per_doc, same(sizes, per_doc), "left")
     none = F.array().cast("array<string>")
     return joined.select(
-        "doc_id", "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
+        sizes["doc_id"], "n_words", F.coalesce("hit", F.lit(0)).cast("long").alias("n_hit"),
         F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(F.coalesce("items", none)), ","), 256).alias("items_sha256"),
     ).withColumn("contaminated", (F.col("n_hit") > 0) & (F.lit(share) * F.col("n_hit") >= F.col("n_words")))
