@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable
 
 from pyarrow import fs
 
@@ -33,3 +34,18 @@ def listed(path: str, suffix: str | tuple[str, ...]) -> list[tuple[str, int]]:
         return [(path, info.size)]
     found = where.get_file_info(fs.FileSelector(at, recursive=True))
     return sorted((f"{path.rstrip('/')}/{x.path[len(at.rstrip('/')) + 1:]}", x.size) for x in found if x.type == fs.FileType.File and x.path.endswith(suffix))
+
+
+def write_manifest(folder: str, found: Iterable[tuple[str, int]]) -> str:
+    """A file that lists (path, bytes) of the files that count; whatever else lies in the folder is never read."""
+    path, out = create(folder, ".manifest")
+    with out:
+        for name, size in found:
+            out.write(f"{size}\t{name}\n".encode())
+    return path
+
+
+def read_manifest(path: str) -> list[tuple[str, int]]:
+    with open_input(path) as source:
+        lines = bytes(source.read()).decode().splitlines()
+    return [(name, int(size)) for size, _, name in (x.partition("\t") for x in lines)]

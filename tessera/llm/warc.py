@@ -52,7 +52,8 @@ def record(page_id: int | None, url: str | None, payload: bytes, size: int, dige
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
-    """Write a record for each page (page_id, url, html); returns (path, records) of the files.
+    """Write a record for each page (page_id, url, html); returns (path, bytes, records) of the files that count: an
+    attempt of a task that failed or was outrun may leave others in the folder.
 
     Of pages with equal payloads of at least LEAST_PAYLOAD bytes, those with the smallest page_id are responses and
     the others revisit it; null page_ids are smallest only among themselves. A null html is an empty payload.
@@ -65,22 +66,27 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     marked = marked.select("page_id", "url", F.when(refers.isNull(), F.col("payload")).otherwise(F.lit(b"")).alias("payload"), "size", "digest", refers.alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, done = None, {"path": [], "records": []}
+        out, done = None, {"path": [], "bytes": [], "records": []}
+
+        def close() -> None:
+            if out is not None:
+                done["bytes"].append(out.tell())
+                out.close()
+
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None or out.tell() > FILE_BYTES:
-                    if out is not None:
-                        out.close()
+                    close()
                     path, out = files.create(folder, ".warc.gz")
                     done["path"].append(path)
                     done["records"].append(0)
                 out.write(member(record(*row)))
                 done["records"][-1] += 1
+        close()
         if out is not None:
-            out.close()
-            yield pa.RecordBatch.from_pydict(done, pa.schema([("path", pa.string()), ("records", pa.int64())]))
+            yield pa.RecordBatch.from_pydict(done, pa.schema([("path", pa.string()), ("bytes", pa.int64()), ("records", pa.int64())]))
 
-    return stage(marked.mapInArrow(write, "path string, records long"), "archives")
+    return stage(marked.mapInArrow(write, "path string, bytes long, records long"), "archives")
 
 
 COLUMNS = {  # column: header, in lower case
@@ -121,13 +127,16 @@ class _Stream:
                 self.ready += got
                 return True
 
-    def until(self, mark: bytes) -> bytes | None:
+    def until(self, mark: bytes, limit: int | None = None) -> bytes | None:
+        """What stands before mark, which is passed over; None where the next bytes, at most limit, don't hold it."""
         found = self.ready.find(mark)
-        while found < 0:
+        while found < 0 and (limit is None or len(self.ready) < limit):
             seen = max(0, len(self.ready) - len(mark))
             if not self.more():
                 return None
             found = self.ready.find(mark, seen)
+        if found < 0 or limit is not None and found + len(mark) > limit:
+            return None
         out, self.ready = self.ready[:found], self.ready[found + len(mark):]
         return out
 
@@ -181,7 +190,10 @@ def records(source, tests: dict[str, list], with_payload: bool) -> Iterator[tupl
                 stream.skip(length)
                 yield headers, None, None
             continue
-        http = stream.until(b"\r\n\r\n") or b""
+        http = stream.until(b"\r\n\r\n", length)
+        if http is None:  # the block has no HTTP header
+            yield headers, None, stream.take(length) if with_payload else stream.skip(length)
+            continue
         said = [x.partition(":")[2] for x in http.decode("latin-1").split("\r\n") if x.lower().startswith("content-length:")]
         rest = length - len(http) - 4
         payload = stream.take(rest) if with_payload else stream.skip(rest)
@@ -207,7 +219,7 @@ class _Files(InputPartition):
 
 class WarcReader(DataSourceReader):
     def __init__(self, options: dict):
-        self.path, self.with_payload = options["path"], options.get("payload", "true").lower() == "true"
+        self.path, self.manifest, self.with_payload = options.get("path"), options.get("manifest"), options.get("payload", "true").lower() == "true"
         self.split_bytes = int(options.get("splitBytes", 128 << 20))
         self.tests: dict[str, list] = {}
 
@@ -232,7 +244,7 @@ class WarcReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         """Whole files, small ones together up to splitBytes."""
         groups, size = [], 0
-        for path, n in files.listed(self.path, (".warc", ".warc.gz")):
+        for path, n in files.read_manifest(self.manifest) if self.manifest else files.listed(self.path, (".warc", ".warc.gz")):
             if not groups or size + n > self.split_bytes:
                 groups.append([])
                 size = 0
@@ -263,7 +275,8 @@ def _present(x):
 class WarcSource(DataSource):
     """spark.read.format("warc").load(folder): a row for each record of its .warc and .warc.gz files.
 
-    Options: payload (true; false leaves the payload null and its bytes undecoded), splitBytes of a partition.
+    Options: payload (true; false leaves the payload null and its bytes undecoded), splitBytes of a partition,
+    manifest (a file that lists the archives to read, in place of a folder).
     Predicates on the columns of headers (=, in, starts with, is not null) are tested on headers alone.
     """
 
@@ -287,21 +300,23 @@ def archived(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to of each row of pages, from archives written
     in a new shared folder and read back. Payloads are read of responses only; a revisit's size and digest are in its
     headers. Rows come as they went in: repeated ones each, null page_ids as null. Other columns are ignored."""
-    spark = pages.sparkSession
+    return read_back(write_archives(pages, folder := new_dir(pages.sparkSession, "warc")), folder)
+
+
+def read_back(written: DataFrame, folder: str) -> DataFrame:
+    """The records of the files that write_archives tells of, and of no other file in the folder."""
+    spark = written.sparkSession
     register(spark)
-    folder = new_dir(spark, "warc")
-    written = write_archives(pages, folder)
-    if written.isEmpty():
-        return spark.createDataFrame([], "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    manifest = files.write_manifest(folder, written.select("path", "bytes").toLocalIterator())  # a row for each file
 
     def number(column: str):
         return F.expr(f"try_cast(nullif(regexp_extract({column}, '<urn:page:(-?[0-9]*)>', 1), '') as bigint)")
 
-    split = str(32 << 20)
-    full = spark.read.format("warc").option("splitBytes", split).load(folder).filter("record_type = 'response'").select(
+    source = spark.read.format("warc").option("splitBytes", str(32 << 20)).option("manifest", manifest)
+    full = source.option("payload", "true").load().filter("record_type = 'response'").select(
         number("record_id").alias("page_id"), F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_digest"),
         "record_type", F.lit(None).cast("long").alias("refers_to"))
-    again = spark.read.format("warc").option("splitBytes", split).option("payload", "false").load(folder).filter("record_type = 'revisit'").select(
+    again = source.option("payload", "false").load().filter("record_type = 'revisit'").select(
         number("record_id").alias("page_id"), F.col("http_length").alias("payload_bytes"), F.regexp_replace("payload_digest", "^sha256:", "").alias("payload_digest"),
         "record_type", number("refers_to").alias("refers_to"))
     return full.union(again)

@@ -60,6 +60,9 @@ def test_contamination_is_brute_force(spark, sf, odd_docs, no_docs):
     odd_items = spark.createDataFrame([(1, " ".join(f"alpha{k}" for k in range(30, 60))), (2, "one two"), (3, None), (4, "..."), (2, "one two"), (5, "Gamma1 GAMMA2")], "item_id long, text string")
     got = sorted((tuple(r[c] for c in names) for r in decontamination.decontaminate(odd_docs, odd_items).collect()), key=repr)
     assert got == sorted(brute.contamination(pairs(odd_docs), pairs(odd_items, "item_id")), key=repr)
+    shared = [(5, " ".join(f"alpha{k}" for k in range(30, 50))), (5, " ".join(f"alpha{k}" for k in range(43, 60)) + " x y z"), (None, "one two"), (None, "three")]
+    got = sorted(tuple(r[c] for c in names[1:]) for r in decontamination.decontaminate(spark.createDataFrame(shared, "doc_id long, text string"), odd_items).collect())
+    assert got == sorted(r[1:] for r in brute.contamination(shared, pairs(odd_items, "item_id")))
     assert decontamination.decontaminate(no_docs, odd_items).count() == 0
     assert not decontamination.decontaminate(odd_docs, odd_items.filter("false")).filter("n_hit > 0").count()
 
@@ -261,6 +264,33 @@ def test_warc_round_trip(spark, sf, tmp_path):
     assert got == {r.page_id: (len(r.html.encode()), hashlib.sha256(r.html.encode()).hexdigest()) for r in pages.collect()}
 
 
+def test_warc_reads_only_the_files_that_count(spark, sf):
+    """What a failed or outrun attempt left in the folder, whole or torn, is not read."""
+    from tessera.llm import files, storage
+
+    pages = spark.createDataFrame([(k, f"http://a/{k}", "same " * 30 if k % 3 else f"page {k}") for k in range(50)], "page_id long, url string, html string")
+    folder = storage.new_dir(spark, "warc")
+    written = warc.write_archives(pages, folder)
+    for path, size, _ in written.collect():
+        with files.open_input(path) as source:
+            whole = bytes(source.read())
+        for part in (whole, whole[:size // 2]):
+            _, out = files.create(folder, ".warc.gz")
+            with out:
+                out.write(part)
+    got = warc.read_back(written, folder).collect()
+    assert sorted(r.page_id for r in got) == list(range(50)) and {r.refers_to for r in got} == {None, 1}
+
+
+def test_warc_blocks_without_http_headers_end_where_they_say(spark, tmp_path):
+    head = b"WARC/1.1\r\nWARC-Type: response\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n"
+    bare = head % 9 + b"no header\r\n\r\n"
+    (tmp_path / "bare.warc").write_bytes(bare + warc.record(2, "u", b"two", 3, "d", None) + bare)
+    warc.register(spark)
+    got = [bytes(r.payload) for r in spark.read.format("warc").load(f"file://{tmp_path}").collect()]
+    assert got == [b"no header", b"two", b"no header"]
+
+
 def test_warc_source_reads_foreign_files_and_pushes_predicates(spark, tmp_path):
     blocks = [warc.record(1, "http://a/1", b"one", 3, "d1", None), warc.record(2, "http://b/2", b"", 3, "d1", "1"), warc.record(3, "http://a/3", b"x" * 100_000, 100_000, "d3", None)]
     info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nContent-Type: application/warc-fields\r\nContent-Length: 5\r\n\r\nhello\r\n\r\n"
