@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -34,11 +35,27 @@ def stage(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*staged: DataFrame) -> None:
-    """Remove the files of staged tables that nothing reads any more: all that came of them is written elsewhere."""
+    """Remove the files of staged tables that nothing reads any more: all that came of them is written elsewhere.
+
+    The driver's JVM is asked to collect its garbage, as Spark removes the shuffle files of a finished query only then.
+    """
     for df in staged:
         for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    staged[0].sparkSession._jvm.System.gc()
+
+
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
+    """Texts reach Python in batches of so many rows while this holds, so that long ones don't fill its memory."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
 
 
 def bitmap(df: DataFrame, hashed: Column, bits: int) -> np.ndarray:

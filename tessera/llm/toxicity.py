@@ -7,16 +7,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import bitmap, discard, in_bitmap, likely, stage
+from tessera.llm.storage import bitmap, discard, in_bitmap, likely, small_batches, stage
 from tessera.llm.textbytes import ALNUM, Texts, signed, slices
 
 DISCOUNT = 0.75
 ONCE = 1.0  # the discount of a pair that a class holds once: it counts in its backoff mass and continuations alone
-COMBINED = 1 << 21  # words whose pairs a task counts together before the shuffle
-SENT_WORDS, SENT_PAIRS = 1 << 18, 1 << 19  # the most frequent entries, sent to all tasks; texts are joined with the others
+COMBINED = 1 << 20  # words whose pairs a task counts together before the shuffle
+SENT = 1 << 19, 1 << 22  # how many of the most frequent words and pairs are sent to all tasks; texts are joined with the others
 BITS = 26  # the bitmap of the other entries, which spares the join names that stand in none, has 2**BITS places
 CALIBRATION_ROWS = 20_000  # labelled rows on which the weights of the features are fitted
 FEATURES = 3
@@ -144,20 +145,22 @@ def _entries(counts: DataFrame) -> tuple[DataFrame, dict[str, Totals]]:
         known = _model(known, m, totals[m])
     known = stage(known, "word-models")
 
+    both = [(c, m) for m in MODELS for c in (0, 1)]
     telling = counts.filter((_left() != 0) & (F.greatest(*(_of_class(c, "") for c in (0, 1))) > 1))
-    of_word = known.select(F.col("word").alias("right"), *(f"p{c}{m}" for m in MODELS for c in (0, 1)))
-    of_left = known.select(F.col("word").alias("left"), *(f"k{c}{m}" for m in MODELS for c in (0, 1)))
-    telling = telling.withColumn("right", _right()).withColumn("left", _left()).join(of_word, "right").join(of_left, "left")
+    taken = [(_of_class(c, m) - _discount(_of_class(c, m))).cast("float").alias(f"d{c}{m}") for c, m in both]
+    telling = telling.select("name", F.expr("n0 + n1 + m0 + m1").alias("n"), *taken)
+    of_left = known.select(F.col("word").alias("left"), *(f"k{c}{m}" for c, m in both))
+    shares = [F.when(F.col(f"d{c}{m}") > 0, F.col(f"d{c}{m}") / F.col(f"k{c}{m}")).otherwise(0.0).cast("float").alias(f"d{c}{m}") for c, m in both]
+    telling = telling.join(of_left, _left() == F.col("left")).select("name", "n", *shares)
+    of_right = known.select(F.col("word").alias("right"), *(f"p{c}{m}" for c, m in both))
+    telling = telling.join(of_right, _right() == F.col("right"))
 
     def more(m: str) -> Column:
-        def gain(c: int) -> Column:
-            d = _of_class(c, m) - _discount(_of_class(c, m))
-            return F.when(d > 0, F.log1p(d / (F.col(f"k{c}{m}") * F.col(f"p{c}{m}")))).otherwise(0.0)
-
-        return (gain(1) - gain(0)).cast("float").alias(f"more{m}")
+        gain = [F.when(F.col(f"d{c}{m}") > 0, F.log1p(F.col(f"d{c}{m}") / F.col(f"p{c}{m}"))).otherwise(0.0) for c in (0, 1)]
+        return (gain[1] - gain[0]).cast("float").alias(f"more{m}")
 
     none = F.lit(0).cast("float")
-    pairs = telling.select("name", F.expr("n0 + n1 + m0 + m1").alias("n"), F.lit(False).alias("word"), *(more(m) for m in MODELS), *(none.alias(f"backoff{m}") for m in MODELS))
+    pairs = telling.select("name", "n", F.lit(False).alias("word"), *(more(m) for m in MODELS), *(none.alias(f"backoff{m}") for m in MODELS))
     singles = known.select(F.expr(f"shiftleft({WORD}L, 32) | word").alias("name"), F.expr("w0 + w1").alias("n"), F.lit(True).alias("word"),
                            *(F.col(f"more{m}") for m in MODELS), *(F.col(f"backoff{m}") for m in MODELS))
     entries = stage(singles.union(pairs), "entries")
@@ -178,18 +181,18 @@ def _cut(entries: DataFrame, most: int) -> int:
 
 
 class Sent(NamedTuple):
-    """Frequent entries by name in order: arrays of names, of more and of backoff, by model."""
+    """Frequent entries by name in order: arrays of names, of more and (of words) of backoff, by model."""
     names: np.ndarray
     more: list[np.ndarray]
     backoff: list[np.ndarray]
 
     @classmethod
-    def of(cls, entries: DataFrame) -> Sent:
-        found = entries.select("name", *(f"more{m}" for m in MODELS), *(f"backoff{m}" for m in MODELS)).toArrow()
+    def of(cls, entries: DataFrame, *values: str) -> Sent:
+        found = entries.select("name", *(f"{x}{m}" for x in values for m in MODELS)).toArrow()
         names = found.column(0).to_numpy().view(np.uint64)
         order = np.argsort(names)
-        values = [found.column(k).to_numpy(zero_copy_only=False).astype(np.float32)[order] for k in range(1, 5)]
-        return cls(names[order], values[:2], values[2:])
+        arrays = [x.to_numpy(zero_copy_only=False).astype(np.float32)[order] for x in found.columns[1:]]
+        return cls(names[order], arrays[:2], arrays[2:])
 
     def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of names, and which of them are there."""
@@ -260,71 +263,71 @@ def _local(texts: Texts, lookup: Lookup, models: range) -> tuple[np.ndarray, lis
 
 
 _NUMBERS = [f"{x}{m}" for m in MODELS for x in ("sum", "first", "second")]
-_SCHEMA = pa.schema([("text_id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), ("asked", pa.int32()), *((x, pa.float64()) for x in _NUMBERS),
+_SCHEMA = pa.schema([("row", pa.int64()), ("text_id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), *((x, pa.float64()) for x in _NUMBERS),
                      ("name", pa.int64()), ("times", pa.int64()), ("followed", pa.int64())])
 
 
-def _features(rows: DataFrame, entries: DataFrame, totals: dict[str, Totals], sample: np.ndarray) -> DataFrame:
-    """text_id, doc_id, features by the model of all counts, and for rows whose doc_id is in sample (sorted) trial, the
+def _features(rows: DataFrame, entries: DataFrame, totals: dict[str, Totals], sample: np.ndarray, most: tuple[int, int]) -> DataFrame:
+    """doc_id, text_id, features by the model of all counts, and for rows whose doc_id is in sample (sorted) trial, the
     features by the model without the rows held apart.
 
     Features are the mean log ratio of a text's words, and the two largest ratios of its different words. What the
     frequent entries give is found in the task that reads the text; the other names it holds go to the other entries
     by a join, and their sums and largest ratios come back to the text.
     """
-    cuts = _cut(entries.filter("word"), SENT_WORDS), _cut(entries.filter("not word"), SENT_PAIRS)
+    cuts = _cut(entries.filter("word"), most[0]), _cut(entries.filter("not word"), most[1])
     frequent = F.col("n") >= F.when(F.col("word"), F.lit(cuts[0])).otherwise(F.lit(cuts[1]))
     others = entries.filter(~frequent)
-    lookup = Lookup(Sent.of(entries.filter(frequent & F.col("word"))), Sent.of(entries.filter(frequent & ~F.col("word"))),
+    lookup = Lookup(Sent.of(entries.filter(frequent & F.col("word")), "more", "backoff"), Sent.of(entries.filter(frequent & ~F.col("word")), "more"),
                     bitmap(others, F.expr("name ^ shiftrightunsigned(name, 32)"), BITS), [totals[m].unseen for m in MODELS])
     sent = rows.sparkSession.sparkContext.broadcast((lookup, sample))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, sample = sent.value
-        seen: set[int] = set()  # copies of one text ask once in a task; forgetting some is harmless
+        row = TaskContext.get().partitionId() << 40  # rows are numbered for the joined names to come back to them
+
+        def told(columns: dict[str, pa.Array], size: int) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in _SCHEMA], schema=_SCHEMA)
+
         for batch in batches:
             for part, texts in slices(batch):
-                text_id, ids = part.column(1).to_numpy(), part.column(2)
+                ids = part.column(2)
                 tried = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), sample) & ids.is_valid().to_numpy(zero_copy_only=False)
                 n, found, (text, name, times, followed) = _local(texts, lookup, range(1 + bool(tried.any())))
-                new = np.zeros(texts.n, bool)
-                for i, x in enumerate(text_id.tolist()):
-                    if x not in seen:
-                        new[i] = True
-                        if len(seen) < 1_000_000:
-                            seen.add(x)
-                columns = {"text_id": part.column(1), "doc_id": ids, "n": pa.array(n), "asked": pa.array(new.astype(np.int32))}
+                columns = {"row": pa.array(np.arange(row, row + texts.n)), "text_id": part.column(1), "doc_id": ids, "n": pa.array(n)}
                 for k, m in enumerate(MODELS):
                     for x in ("sum", "first", "second"):
                         value = found[k][x].astype(np.float64) if k < len(found) else np.full(texts.n, np.nan)
                         columns[x + m] = pa.array(value, mask=np.full(texts.n, k == 1) & ~tried)
-                yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(texts.n, f.type) for f in _SCHEMA], schema=_SCHEMA)
-                keep = new[text]
-                columns = {"text_id": pa.array(text_id[text[keep]]), "name": signed(name[keep]), "times": pa.array(times[keep]), "followed": pa.array(followed[keep])}
-                yield pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(int(keep.sum()), f.type) for f in _SCHEMA], schema=_SCHEMA)
+                yield told(columns, texts.n)
+                yield told({"row": pa.array(row + text), "name": signed(name), "times": pa.array(times), "followed": pa.array(followed)}, len(name))
+                row += texts.n
 
-    schema = "text_id long, doc_id long, n long, asked int, " + ", ".join(f"{x} double" for x in _NUMBERS) + ", name long, times long, followed long"
-    looked = stage(rows.select("text", "text_id", "doc_id").mapInArrow(look, schema), "looked-up")
+    schema = "row long, text_id long, doc_id long, n long, " + ", ".join(f"{x} double" for x in _NUMBERS) + ", name long, times long, followed long"
+    with small_batches(rows.sparkSession):
+        looked = stage(rows.select("text", "text_id", "doc_id").mapInArrow(look, schema), "looked-up")
     here = looked.filter("name is null").drop("name", "times", "followed")
+    asked = looked.filter("name is not null").select("row", "name", F.col("times").cast("int").alias("times"), F.col("followed").cast("int").alias("followed"))
 
     sums, tops = [], []
     for m in MODELS:
         sums.append(F.sum(F.col("times") * F.coalesce(f"more{m}", F.lit(0.0)) + F.col("followed") * F.coalesce(f"backoff{m}", F.lit(0.0))).alias(f"joined{m}"))
         held = F.collect_set(F.when(F.col("word") & F.col(f"more{m}").isNotNull(), F.struct((F.col(f"more{m}") + F.lit(totals[m].unseen)).cast("double").alias("ratio"), "name")))
         tops.append(F.transform(F.slice(F.sort_array(held, False), 1, 2), lambda x: x["ratio"]).alias(f"tops{m}"))
-    joined = looked.filter("name is not null").select("text_id", "name", "times", "followed").join(others.drop("n"), "name")
-    asked = here.groupBy(F.col("text_id").alias("of")).agg(F.sum("asked").alias("times_asked"))
-    joined = joined.groupBy(F.col("text_id").alias("of")).agg(*sums, *tops).join(asked, "of")
-    both = here.join(joined, here["text_id"] == joined["of"], "left")
+    joined = asked.join(others.drop("n"), "name").groupBy("row").agg(*sums, *tops)
+    both = here.join(joined, "row", "left")
 
     def features(m: str) -> Column:
-        total = F.col(f"sum{m}") + F.coalesce(F.col(f"joined{m}") / F.col("times_asked"), F.lit(0.0))
+        total = F.col(f"sum{m}") + F.coalesce(f"joined{m}", F.lit(0.0))
         known = F.concat(F.array(f"first{m}", f"second{m}"), F.coalesce(f"tops{m}", F.array().cast("array<double>")))
         known = F.sort_array(F.filter(known, lambda x: x > float("-inf")), False)
         at = [F.coalesce(F.get(known, k), F.lit(totals[m].unseen)) for k in (0, 1)]
         return F.when(F.col("n") > 0, F.array(total / F.col("n"), *at)).otherwise(F.array(*map(F.lit, [0.0] * FEATURES)))
 
-    return both.select("text_id", "doc_id", features("").alias("features"), F.when(F.col("sum_n").isNotNull(), features("_n")).alias("trial"))
+    found = both.select("doc_id", "text_id", features("").alias("features"), F.when(F.col("sum_n").isNotNull(), features("_n")).alias("trial"))
+    found = stage(found, "features")
+    discard(looked)
+    return found
 
 
 def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -343,9 +346,9 @@ def _weights(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def score_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, held_out: int) -> DataFrame:
+def score_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, held_out: int, sent: tuple[int, int] = SENT) -> DataFrame:
     """text_id, doc_id, score for each row of rows (text_id, doc_id, text); rows of docs in fold held_out are never
-    learned. Rows with one text have one text_id and one score.
+    learned. Rows with one text have one text_id and one score. How many words and pairs are sent changes no score.
 
     Counts come from all labelled rows of the three other folds, and each word and pair keeps its own. The weights
     are fitted on CALIBRATION_ROWS rows of one of these folds with a model that leaves this fold out, so its rows
@@ -356,11 +359,13 @@ def score_rows(rows: DataFrame, docs: DataFrame, labels: DataFrame, held_out: in
     marks = marks.filter(fold(F.col("doc_id")) != held_out).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     marks = stage(marks.withColumn("apart", fold(F.col("doc_id")) == (held_out + 1) % 4), "marks")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    counts = stage(_pair_counts(likely(texts, marks).join(marks, "doc_id")), "pairs")
+    with small_batches(docs.sparkSession):
+        counts = stage(_pair_counts(likely(texts, marks).join(marks, "doc_id")), "pairs")
     entries, totals = _entries(counts)
     discard(counts)
     sample = marks.filter("apart").orderBy(F.xxhash64("doc_id"), "doc_id").limit(CALIBRATION_ROWS).toPandas()
-    found = stage(_features(rows, entries, totals, np.sort(sample["doc_id"].to_numpy(np.int64))), "features")
+    found = _features(rows, entries, totals, np.sort(sample["doc_id"].to_numpy(np.int64)), sent)
+    discard(entries, marks)
 
     toxic = dict(zip(sample["doc_id"], sample["toxic"], strict=True))
     fitted = found.filter("trial is not null").groupBy("doc_id").agg(F.min("trial").alias("trial")).toPandas()  # a row for each doc_id of the sample
@@ -374,7 +379,7 @@ def _with_text_id(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("text").cast("string").alias("text"), F.xxhash64(F.col("text").cast("string"), F.length(F.col("text").cast("string"))).alias("text_id"), F.col("doc_id").cast("long").alias("doc_id"))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: float = THRESHOLD, sent: tuple[int, int] = SENT) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs.
 
     Null and empty texts have log ratios of 0 and get the score of that. Labels of rows in fold held_out (crc32 of
@@ -382,7 +387,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, held_out: int = 2, threshold: f
     used; of several labels of a document the largest counts. Without any label, every score is 0.5. A null doc_id
     is in no fold: held_out is false. Only doc_id, text and toxic are read.
     """
-    scored = score_rows(_with_text_id(docs), docs, labels, held_out)
+    scored = score_rows(_with_text_id(docs), docs, labels, held_out, sent)
     return scored.select("doc_id", F.coalesce(fold(F.col("doc_id")) == held_out, F.lit(False)).alias("held_out"), "score").withColumn(
         "predicted", F.when(F.col("score") >= threshold, 1).otherwise(0))
 
