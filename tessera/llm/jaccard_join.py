@@ -10,15 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.storage import bitmap, in_bitmap, stage, with_key, without
+from tessera.llm.storage import bitmap, discard, in_bitmap, small_batches, stage, with_key, without
 from tessera.llm.storage import likely as may_be
 from tessera.llm.textbytes import NOT_SPACE, distinct_sets, mix, signed, slices
 
 SHINGLE = 4
 PERCENT = 85
 CELL_BITS = 26  # a bitmap of 8 MB sent to tasks, whatever the corpus holds
-BATCH = 500  # rows of an Arrow batch
-SMALL = 64  # sets of a cell that are all compared at once
+SMALL = 64  # sets of a cell that are all compared at once; this changes the cost and not the result
 RARITY_BITS = 17  # the table of shingle frequencies has 2**17 places, whatever the corpus holds
 
 
@@ -102,15 +101,14 @@ def _shingle_lists(texts: DataFrame, wanted: DataFrame, shingle: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([part.column(0), lists], ["k1", "shingles"]).filter(keep)
 
     rows = may_be(texts, wanted).join(wanted, "doc_id").select("k1", "text")
-    return rows.mapInArrow(whole, "k1 long, shingles array<long>").dropDuplicates(["k1"])
+    return rows.mapInArrow(whole, "k1 long, shingles array<long>")  # rows that repeat a doc_id and a text repeat a set here
 
 
 class _Measure:
     """Distances of pairs of sets: bounds from their prefixes first, then exact ones from the whole sets."""
 
-    def __init__(self, texts: DataFrame, members: DataFrame, doc_of: DataFrame, shingle: int, percent: int):
-        self.texts, self.doc_of, self.shingle, self.percent = texts, doc_of, shingle, percent
-        self.prefixes = stage(members.groupBy("k1").agg(F.first("n").alias("n"), F.collect_list("cell").alias("cells")), "prefixes")
+    def __init__(self, texts: DataFrame, prefixes: DataFrame, doc_of: DataFrame, shingle: int, percent: int):
+        self.texts, self.prefixes, self.doc_of, self.shingle, self.percent = texts, prefixes, doc_of, shingle, percent
         self.lists: DataFrame | None = None
 
     def __call__(self, pairs: DataFrame) -> DataFrame:
@@ -144,15 +142,25 @@ class _Measure:
             near.join(left, "a").join(right, "b")
             .withColumn("shared", F.size(F.array_intersect("set_a", "set_b"))).withColumn("either", F.col("n_a") + F.col("n_b") - F.col("shared"))
             .withColumn("low", 1 - F.col("shared") / F.col("either"))
-            .select("a", "b", "low", F.col("low").alias("high"), F.expr(f"100 * shared >= {percent} * either").alias("linked"))
+            .select("a", "b", "low", F.col("low").alias("high"), F.expr(f"100 * shared >= {percent} * either").alias("linked")).distinct()
         )
-        return stage(exact.union(none), "measured")
+        exact = stage(exact.union(none), "measured")
+        discard(found, wanted)
+        return exact
 
 
 def _rooted(edges: DataFrame) -> DataFrame:
     return stage(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "rooted")
 
 
+def _one_of_equal_cells(members: DataFrame) -> DataFrame:
+    """members of one cell for all cells that hold the same sets: that of their shingle which comes first in the order,
+    where positions rule out least. Near copies share many cells, which tell nothing that the first doesn't."""
+    of_cell = members.groupBy("cell").agg(F.count("*").alias("m"), F.min("k1").alias("least"), F.max("k1").alias("most"), F.bit_xor(F.xxhash64("k1")).alias("sets"), F.sum("at").alias("places"))
+    first = of_cell.groupBy("m", "least", "most", "sets").agg(F.min_by("cell", F.struct("places", "cell")).alias("cell"), F.first("m").alias("size"))
+    return members.join(first.select("cell", F.col("size").alias("m")), "cell")
+
+
 def links(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, k1) of all rows of texts (doc_id, text), and (node, root) over the classes k1 of equal sets.
 
@@ -164,10 +172,14 @@ def links(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
     bounds leave. The triangle inequality: d(x, q) >= | d(x, p) - d(q, p) | for the cell's first pivot p. Positions:
     sets share nothing before the cell of their rarest common shingle, so they may part there unless enough shingles
     follow in both. This goes on until no cell is left, so every pair is linked, within one component already, or
-    ruled out by a bound or by its exact distance.
+    ruled out by a bound or by its exact distance. Null, empty and blank texts are in no cell. What a round wrote is
+    removed once the next one is written.
     """
-    # texts reach Python in small batches, so that long ones don't fill the memory beside the heap
-    texts.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH)
+    with small_batches(texts.sparkSession):
+        return _links(texts, shingle, percent)
+
+
+def _links(texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     found = stage(_sets(texts, shingle), "sets")
     sets = found.filter("place is null").select("doc_id", "n", "k1")
     rarity = np.zeros(1 << RARITY_BITS, np.int64)
@@ -178,16 +190,21 @@ def links(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
     shared = dealt.groupBy("cell").agg(F.min("k1").alias("low"), F.max("k1").alias("high")).filter("low <> high").select("cell")
     shared = stage(shared, "shared")
     likely = bitmap(shared, F.col("cell"), CELL_BITS)
-    members = stage(_cells(texts, shingle, percent, rarity, likely).join(shared, "cell").distinct(), "members")
-    central = members.join(members.groupBy("cell").agg(F.count("*").alias("m")), "cell").groupBy("k1").agg(F.sum("m").alias("central"))
+    every = stage(_cells(texts, shingle, percent, rarity, likely).join(shared, "cell").distinct(), "members")
+    discard(shared)
+    prefixes = stage(every.groupBy("k1").agg(F.first("n").alias("n"), F.collect_list("cell").alias("cells")), "prefixes")
+    members = stage(_one_of_equal_cells(every), "cells")
+    discard(every)
+    central = members.groupBy("k1").agg(F.sum("m").alias("central"))
+    members = members.drop("m")
     doc_of = sets.filter("n > 0").groupBy("k1").agg(F.min("doc_id").alias("doc_id"))
-    measure = _Measure(texts, members, doc_of, shingle, percent)
+    measure = _Measure(texts, prefixes, doc_of, shingle, percent)
 
     enough = f"({percent} * (n + n_q) + {99 + percent}) div {100 + percent}"  # what two sets of these sizes share at least
     near = f"n - at >= {enough} and n_q - at_q >= {enough}"
     window = f"low - high_q <= {100 - percent} / 100D + 1e-9 and low_q - high <= {100 - percent} / 100D + 1e-9"
     left = members.join(central, "k1").select("cell", "k1", "n", "at", "central", F.lit(0.0).alias("low"), F.lit(1.0).alias("high"))
-    rooted, parts = None, 1
+    rooted, parts, old = None, 1, []
     while True:
         if rooted is None:
             left = stage(left.withColumn("root", F.col("k1")).withColumn("m", F.lit(0)), "left")
@@ -195,7 +212,9 @@ def links(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
             left = left.join(rooted.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
             open_cells = left.groupBy("cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("m")).filter("r1 <> r2").select("cell", "m")
             left = stage(left.join(open_cells, "cell"), "left")
+            discard(*old)
             if left.isEmpty():
+                discard(left, prefixes)
                 return sets, rooted
         part = F.lit(0) if rooted is None else F.when(F.col("m") <= SMALL, F.col("k1")).otherwise(F.pmod(F.xxhash64("k1"), F.lit(parts)))
         known = ["k1", "n", "at", "low", "high", "root"]
@@ -204,6 +223,7 @@ def links(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
         pairs = left.join(pivots, "cell").filter("k1 <> q and root <> root_q").filter(near).filter(window)
         measured = measure(pairs.select(F.least("k1", "q").alias("a"), F.greatest("k1", "q").alias("b")).distinct())
         linked = measured.filter("linked").select("a", "b")
+        old = [left, pivots, measured]
         if rooted is None:  # the distances to the first pivots bound all later ones
             beside = left.drop("low", "high", "root", "m").join(pivots.select("cell", "q"), "cell").filter("k1 <> q")
             beside = beside.withColumn("a", F.least("k1", "q")).withColumn("b", F.greatest("k1", "q")).join(measured.select("a", "b", "low", "high"), ["a", "b"], "left")
@@ -212,7 +232,8 @@ def links(texts: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> t
         else:
             left = left.drop("root", "m").join(pivots.select("cell", F.col("q").alias("k1")), ["cell", "k1"], "left_anti")
             if not linked.isEmpty():
-                rooted = _rooted(rooted.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked))
+                before, rooted = rooted, _rooted(rooted.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked))
+                discard(before)
         parts *= 64
 
 
