@@ -19,17 +19,27 @@ FAMILY = {
     "latin": "Abel Baker Corin Dahl Ekman Forst Grant Holm Iberg Jansen Keller Lind Moreau Novak Olsen Prado Quist Rivas Stone Tamm Ulrich Vogel Weber Young Zeller".split(),
     "cyrillic": "Агапов Белов Воронов Громов Дубов Ершов Жаров Зимин Ильин Котов".split(),
 }
+SYLLABLES = {
+    "latin": "ba be bo da de do fa fe ga go ha ka ke la le lo ma me mi na ne no pa pe ra re ro sa se ta te to va ve wa ze".split(),
+    "cyrillic": "ба бе бо ва ве да де до га го жа за зе ка ке ла ле ло ма ме на не но па пе ра ре ро са се та те то ша".split(),
+}
+ENDINGS = {("m", "latin"): "rd", ("f", "latin"): "lia", ("family", "latin"): "ner", ("m", "cyrillic"): "слав", ("f", "cyrillic"): "лия", ("family", "cyrillic"): "нов"}
+TOKEN = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|AIza"
 FORMS = {
+    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "token": r"(?<!\w)(?:" + TOKEN + r")[A-Za-z0-9_-]{16,}(?!\w)",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.]*\d)",
-    "phone": r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\w)",
+    "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?)(?:[ .-]?\d{2,4}){2,4})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
-    "card": r"(?<![\w-])(?:\d{16}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4})(?![\w-])",
+    "card": r"(?<![\w-])(?:\d{16}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\w-])",
     "secret": r"(?<![\w])(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32}|[0-9A-Fa-f]{64})(?![\w])",
     "name": r"(?<!\w)(?:" + "|".join(t for some in TITLES.values() for t in some) + r")\.? (?:\p{Lu}[\p{Ll}'-]+)(?: (?!(?:" + "|".join(t for some in TITLES.values() for t in some) + r")\b)\p{Lu}[\p{Ll}'-]+)?",
 }
 ANY = "|".join(f"(?:{x})" for x in FORMS.values())
-HINT = "[@0-9]|" + "|".join(t for some in TITLES.values() for t in some)  # no entity is without one of these
+HINT = "[@0-9:]|" + TOKEN + "|" + "|".join(t for some in TITLES.values() for t in some)  # no entity is without one of these
+STALLED = 20  # draws in a row that place nobody, after which a shape has no room left
 
 
 def kind_of(surface: Column) -> Column:
@@ -43,11 +53,23 @@ def canonical(kind: Column, surface: Column) -> Column:
     """What different spellings of one entity have in common."""
     digits = F.regexp_replace(surface, r"\D", "")
     return (
-        F.when(kind.isin("email", "secret"), F.lower(surface)).when(kind == "phone", F.right(digits, F.lit(10)))
-        .when(kind.isin("card", "ssn"), digits).when(kind == "name", F.lower(F.regexp_replace(surface, r"^\S+ ", ""))).otherwise(surface)
+        F.when(kind.isin("email", "secret", "ipv6"), F.lower(surface)).when(kind == "phone", F.right(digits, F.lit(10)))
+        .when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.replace(surface, F.lit(" "), F.lit(""))).otherwise(surface)
     )
 
 
+_FEMALE = r"(ов|ев|ин)а$"  # family names that women bear with one letter more
+
+
+def _name_parts(surface: Column) -> Column:
+    """Of a titled name, (kind, value, as_is) of the given name, if there is one, and of the family name."""
+    bare = F.split(F.regexp_replace(surface, r"^\S+ ", ""), " ")
+    men = "^(?:" + "|".join(TITLES["m"]) + r")\.? "
+    given = F.struct(F.when(surface.rlike(men), "given_m").otherwise("given_f").alias("kind"), F.lower(bare[0]).alias("value"))
+    family = F.struct(F.lit("family").alias("kind"), F.regexp_replace(F.lower(F.element_at(bare, -1)), _FEMALE, "$1").alias("value"))
+    return F.when(F.size(bare) > 1, F.array(given, family)).otherwise(F.array(family))
+
+
 def _noise(key: str, kind: Column, value: Column, attempt: Column, part: int = 0) -> Column:
     """128 hexadecimal digits that depend on the key."""
     return F.sha2(F.concat_ws("\0", F.lit(key), kind, value, attempt.cast("string"), F.lit(str(part))), 512)
@@ -91,31 +113,53 @@ def _same_luhn(digits: Column, like: Column) -> Column:
     return F.concat(body, F.when(_luhn(like) == 0, check).otherwise((check + 1 + F.substring(digits, F.length(digits), F.lit(1)).cast("int") % 9) % 10).cast("string"))
 
 
-def stand_in(key: str, kind: Column, value: Column, gender: Column, script: Column, attempt: Column) -> Column:
-    """The canonical surrogate of a canonical value: same type, and same gender, script, length and shape."""
+def _mod97(text: Column) -> Column:
+    """The number that digits and letters (A is 10) stand for, modulo 97."""
+    def add(rest: Column, c: Column) -> Column:
+        n = F.conv(c, 36, 10).cast("int")
+        return F.when(n < 10, rest * 10 + n).otherwise(rest * 100 + n) % 97
+
+    return F.aggregate(F.split(text, ""), F.lit(0), add)
+
+
+def _hex_each(shape: Column, noise: Column) -> Column:
+    return F.array_join(F.transform(F.split(shape, ""), lambda c, k: F.when(c.rlike("^[0-9a-f]$"), F.substring(F.lit("0123456789abcdef"), _number(noise, k) % 16 + 1, F.lit(1))).otherwise(c)), "")
+
+
+def _pick(pool: list[str], noise: Column, place: Column) -> Column:
+    return F.element_at(F.array(*map(F.lit, pool)), _number(noise, place) % len(pool) + 1)
+
+
+def _name(which: str, script: str, noise: Column, attempt: Column) -> Column:
+    """A name of the lists at first; then names of as many syllables as there were attempts and one more, with an
+    ending that tells the gender, so that there is room for any number of names."""
+    pool = FAMILY[script] if which == "family" else GIVEN[which, script]
+    made = F.array_join(F.transform(F.sequence(F.lit(0), attempt), lambda k: _pick(SYLLABLES[script], noise, k + 3)), "")
+    return F.when(attempt == 0, _pick(pool, noise, F.lit(0))).otherwise(F.concat(F.initcap(made), F.lit(ENDINGS[which, script])))
+
+
+def stand_in(key: str, kind: Column, value: Column, attempt: Column) -> Column:
+    """The canonical surrogate of a canonical value: same type, and same gender, script, length and shape. Names and
+    emails grow with the attempts, as few short ones exist."""
     noise = _noise(key, kind, value, attempt)
     at = F.instr(value, "@")
     domain = F.substring(value, at + 1, F.length(value))
     top = F.regexp_extract(domain, r"\.([^.]+)$", 0)
     host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
-    email = F.concat(_fill(F.substring(value, F.lit(1), at - 1), noise), F.lit("@"), _fill(host, _noise(key, kind, domain, attempt, 1)), top)
+    longer = F.translate(F.substring(_noise(key, kind, value, attempt, 2), F.lit(1), F.greatest(attempt - 1, F.lit(0))), "0123456789", "ghijklmnop")
+    email = F.concat(_fill(F.substring(value, F.lit(1), at - 1), noise), longer, F.lit("@"), _fill(host, _noise(key, kind, domain, attempt, 1)), top)
     octets = F.array_join(F.transform(F.split(value, r"\."), lambda _, k: (_number(noise, k) % 254 + 1).cast("string")), ".")
-
-    def pick(pool: list[str], place: int) -> Column:
-        return F.element_at(F.array(*map(F.lit, pool)), _number(noise, F.lit(place)) % len(pool) + 1)
-
-    given = F.lit(None).cast("string")
-    for (g, s), pool in GIVEN.items():
-        given = F.when((gender == g) & (script == s), pick(pool, 0)).otherwise(given)
-    family, second = ([F.when(script == "cyrillic", pick(FAMILY["cyrillic"], k)).otherwise(pick(FAMILY["latin"], k)) for k in (5, 9)])
-    family = F.when(attempt > 1, F.concat_ws("-", family, second)).otherwise(family)  # more names, once plain pairs collide
-    more = F.when(attempt > 3, F.concat(F.lit("-"), pick(FAMILY["latin"], 13), F.lit("-"), pick(FAMILY["latin"], 17))).otherwise(F.lit(""))
-    two = F.instr(value, " ") > 0
-    name = F.when(two, F.concat_ws(" ", given, F.concat(family, more))).otherwise(F.concat(family, more))
-    digits = _fill(value, noise)
+    country, account = F.substring(value, F.lit(1), F.lit(2)), _fill(F.substring(value, F.lit(5), F.length(value)), noise)
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(account, country, F.lit("00")))).cast("string"), 2, "0"), account)
+    prefix = F.regexp_extract(value, f"^(?:{TOKEN})", 0)
+    token = F.concat(prefix, _fill(F.substring(value, F.length(prefix) + 1, F.length(value)), noise))
+    out = _fill(value, noise)
+    for which in ("m", "f", "family"):
+        cyrillic, latin = (_name(which, script, noise, attempt) for script in ("cyrillic", "latin"))
+        out = F.when(kind == (which if which == "family" else f"given_{which}"), F.when(value.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)).otherwise(out)
     return (
-        F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", _same_luhn(digits, value)).when(kind == "secret", _hex_fill(value, noise))
-        .when(kind == "name", name).otherwise(digits)
+        F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", _same_luhn(_fill(value, noise), value)).when(kind == "secret", _hex_fill(value, noise))
+        .when(kind == "ipv6", _hex_each(value, noise)).when(kind == "iban", iban).when(kind == "token", token).otherwise(out)
     )
 
 
@@ -135,56 +179,69 @@ def _surface(kind: Column, surface: Column, chosen: Column) -> Column:
         lambda acc: acc["out"])
     upper = surface.rlike("^[^a-z]*[A-Z][^a-z]*$")
     mixed = surface.rlike("[A-Z]")
-    title = F.regexp_extract(surface, r"^\S+ ", 0)
+    groups = F.aggregate(
+        F.split(surface, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("seen")),
+        lambda acc, c: F.when(c == " ", F.struct(F.concat(acc["out"], c).alias("out"), acc["seen"].alias("seen"))).otherwise(
+            F.struct(F.concat(acc["out"], F.substring(chosen, acc["seen"] + 1, F.lit(1))).alias("out"), (acc["seen"] + 1).alias("seen"))),
+        lambda acc: acc["out"])
     return (
-        F.when(kind.isin("phone", "card", "ssn"), spread).when(kind == "name", F.concat(title, chosen))
-        .when(kind == "secret", F.when(upper, F.upper(chosen)).when(mixed, _cased(surface, chosen)).otherwise(chosen))
+        F.when(kind.isin("phone", "card", "ssn"), spread).when(kind == "iban", groups)
+        .when(kind.isin("secret", "ipv6"), F.when(upper, F.upper(chosen)).when(mixed, _cased(surface, chosen)).otherwise(chosen))
         .when(kind == "email", F.when(upper, F.upper(chosen)).otherwise(chosen)).otherwise(chosen)
     )
 
 
 def surrogates(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, value, chosen) for distinct (kind, value, gender, script): no two values of a kind share a surrogate,
-    and none is a value that occurs. Whoever collides is drawn again; the least value keeps what it drew."""
-    entities = stage(entities.groupBy("kind", "value").agg(F.min("gender").alias("gender"), F.min("script").alias("script")), "entities")
-    taken, waiting, attempt = None, entities, 0
-    real = entities.select("kind", F.col("value").alias("chosen"))
-    real = real.withColumn("chosen", F.lower("chosen"))
+    """(kind, value, chosen) for distinct (kind, value): no two values of a kind share a surrogate, and none is a
+    value that occurs. Whoever collides is drawn again; the least value keeps what it drew.
+
+    Names and emails find room however many there are, as they grow with the attempts. Numbers keep their shape; if
+    so many of one shape occur that nobody found a free one in STALLED attempts, this raises ValueError.
+    """
+    entities = stage(entities.select("kind", "value").distinct(), "entities")
+    taken, waiting, attempt, stalled, left = None, entities, 0, 0, None
+    real = entities.select("kind", F.lower("value").alias("chosen"))
     while True:
-        columns = [F.col(c) for c in ("kind", "value", "gender", "script")]
-        drawn = stage(waiting.select(*columns, stand_in(key, *columns, F.lit(attempt)).alias("drawn")).withColumn("chosen", F.lower("drawn")), "drawn")
+        drawn = stage(waiting.withColumn("drawn", stand_in(key, F.col("kind"), F.col("value"), F.lit(attempt))).withColumn("chosen", F.lower("drawn")), "drawn")
         fresh = drawn.join(real, ["kind", "chosen"], "left_anti")
         if taken is not None:
             fresh = fresh.join(taken.select("kind", F.lower("drawn").alias("chosen")), ["kind", "chosen"], "left_anti")
         kept = fresh.groupBy("kind", "chosen").agg(F.min(F.struct("value", "drawn")).alias("v")).select("kind", "v.value", "v.drawn")
         taken = stage(kept if taken is None else taken.select("kind", "value", "drawn").union(kept), "taken")
         waiting = stage(waiting.join(taken, ["kind", "value"], "left_anti"), "waiting")
-        if waiting.isEmpty():
+        before, left = left, waiting.count()
+        if not left:
             return taken.select("kind", "value", F.col("drawn").alias("chosen"))
+        stalled = stalled + 1 if left == before else 0
+        if stalled == STALLED:
+            raise ValueError(f"{left} entities have no free surrogate of their shape, for example of kind {waiting.first()['kind']}")
         attempt += 1
 
 
-def pseudonymize(docs: DataFrame, key: str = "tessera") -> DataFrame:
-    """doc_id, text, n_entities for each row of docs: emails, IP addresses, phone, social security and card numbers,
-    secrets and titled names replaced by surrogates.
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
+    """doc_id, text, n_entities for each row of docs: emails, IP addresses, phone, social security, card and account
+    numbers, access tokens, secrets and titled names replaced by surrogates. Names without a title aren't known.
 
-    A surrogate depends on the key, the kind and the entity, so an entity has the same one in all documents and
-    spellings (phones by their last ten digits, emails and secrets in lower case), and different entities of a kind have
-    different ones. Names keep title, gender and script; numbers keep their groups, cards their Luhn validity. Null
-    texts stay null with no entities; repeated rows each give a row. Columns beyond doc_id and text are ignored.
+    A surrogate depends on the key, which must be kept secret, the kind and the entity, so an entity has the same one
+    in all documents and spellings (phones by their last ten digits, emails and secrets in lower case), and different
+    entities of a kind have different ones. Given and family names have their own, so a person is the same with and
+    without the given name, and a man and a woman of one name stay two. Names keep title, gender and script; numbers
+    keep their groups, cards their Luhn validity, accounts valid check digits. Null texts stay null with no entities;
+    repeated rows each give a row. Columns beyond doc_id and text are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ANY), F.lit(False))
     some = stage(rows.filter(has).withColumn("row_id", F.monotonically_increasing_id()).select(
         "row_id", "doc_id", F.split("text", ANY, -1).alias("rest"), F.regexp_extract_all("text", F.lit(ANY), F.lit(0)).alias("found")), "with-entities")
     surfaces = some.select(F.explode(F.array_distinct("found")).alias("surface")).distinct()
-    kind = kind_of(F.col("surface"))
-    men = "^(?:" + "|".join(TITLES["m"]) + r")\.? "
-    surfaces = surfaces.withColumn("kind", kind).withColumn("value", canonical(F.col("kind"), F.col("surface")))
-    surfaces = surfaces.withColumn("gender", F.when(F.col("kind") == "name", F.when(F.col("surface").rlike(men), "m").otherwise("f")))
-    surfaces = stage(surfaces.withColumn("script", F.when(F.col("surface").rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin")), "surfaces")
-    chosen = surrogates(surfaces.select("kind", "value", "gender", "script"), key)
-    spelled = surfaces.join(chosen, ["kind", "value"]).select("surface", _surface(F.col("kind"), F.col("surface"), F.col("chosen")).alias("new"))
+    surfaces = surfaces.withColumn("kind", kind_of(F.col("surface")))
+    whole = F.array(F.struct("kind", canonical(F.col("kind"), F.col("surface")).alias("value")))
+    surfaces = stage(surfaces.withColumn("parts", F.when(F.col("kind") == "name", _name_parts(F.col("surface"))).otherwise(whole)), "surfaces")
+    chosen = surrogates(surfaces.select(F.explode("parts").alias("part")).select("part.*"), key)
+    parts = surfaces.select("surface", F.posexplode("parts").alias("at", "part")).select("surface", "at", "part.kind", "part.value").join(chosen, ["kind", "value"])
+    new = parts.groupBy("surface").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "chosen"))), lambda x: x["chosen"]), " ").alias("chosen"))
+    named = F.concat(F.regexp_extract("surface", r"^\S+ ", 0), F.col("chosen"), F.when(F.col("chosen").rlike(r"\p{IsCyrillic}") & F.col("surface").rlike(_FEMALE), "а").otherwise(""))
+    spelled = surfaces.join(new, "surface").select("surface", F.when(F.col("kind") == "name", named).otherwise(_surface(F.col("kind"), F.col("surface"), F.col("chosen"))).alias("new"))
     placed = some.select("row_id", F.posexplode("found").alias("at", "surface")).join(spelled, "surface")
     by_row = placed.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("news"))
     glued = F.array_join(F.zip_with("rest", F.concat(F.transform("news", lambda x: x["new"]), F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -24,7 +25,8 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymize(_table(spark, sf_dir, "documents"))
+    key = spark.conf.get("spark.tessera.surrogateKey", "") or uuid.uuid4().hex  # without one, surrogates hold for this run alone
+    return pii.pseudonymize(_table(spark, sf_dir, "documents"), key)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

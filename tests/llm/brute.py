@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -135,3 +136,46 @@ def dedup_lines(rows, least=8):
                 at = run[-1][1]
         out[i] = None if text is None else "".join([*kept, text[at:]])
     return out
+
+
+def kneser_ney(rows, discount=0.75, once=1.0):
+    """The mean log ratio of a text, toxic less ordinary, by bigram models of rows (text, class) with shared continuations."""
+    pairs = (Counter(), Counter())
+    for text, c in rows:
+        words = WORD.findall(text.translate(LOW))
+        pairs[c].update(zip([None, *words], words))
+    lefts = Counter(w for _, w in pairs[0] | pairs[1])
+    alone = [Counter() for _ in pairs]
+    for c in (0, 1):
+        for (_, w), n in pairs[c].items():
+            alone[c][w] += n
+
+    def rest(c):
+        return discount * len(alone[c]) / sum(alone[c].values())
+
+    def word(c, w):
+        if w not in lefts:
+            return rest(c)
+        return max(alone[c][w] - discount, 0) / sum(alone[c].values()) + rest(c) * lefts[w] / sum(lefts.values())
+
+    followers = [defaultdict(list) for _ in pairs]
+    for c in (0, 1):
+        for (u, w), n in pairs[c].items():
+            if u is not None:
+                followers[c][u].append(n)
+
+    def taken(n):
+        return once if n == 1 else discount
+
+    def probability(c, u, w):
+        some = followers[c].get(u)
+        if u is None or not some:
+            return word(c, w)
+        n = pairs[c][u, w]
+        return (max(n - taken(n), 0) + sum(map(taken, some)) * word(c, w)) / sum(some)
+
+    def ratio(text):
+        words = WORD.findall(text.translate(LOW))
+        return sum(math.log(probability(1, u, w) / probability(0, u, w)) for u, w in zip([None, *words], words)) / len(words)
+
+    return ratio
