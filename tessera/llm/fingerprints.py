@@ -17,6 +17,7 @@ from tessera.llm.textbytes import Texts, mix, slices
 
 LEVELS = (2, 3, 4)  # of the hierarchy; phrases of these levels are signed (about 3**level bytes each)
 KEPT = 24  # least phrase names kept for each level
+BITS = 24  # of a phrase name that are kept, shown and compared
 NONE = np.iinfo(np.uint64).max
 _EMPTY = "0" * 16
 
@@ -110,7 +111,7 @@ def sketches(texts: Texts) -> np.ndarray:
         symbols, of = parse(symbols, of)
         if level in LEVELS:
             k = LEVELS.index(level)
-            names = mix(symbols ^ np.uint64(level))
+            names = mix(symbols ^ np.uint64(level)) >> np.uint64(64 - BITS)
             for i in np.flatnonzero(np.diff(of)).tolist():
                 own = names[of[i]:of[i + 1]]
                 least = np.unique(own if len(own) <= 4 * KEPT else np.partition(own, 4 * KEPT - 1)[:4 * KEPT])
@@ -123,7 +124,8 @@ def sketches(texts: Texts) -> np.ndarray:
 
 def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """The share of common phrases that two sketches tell, as the mean over the levels that both texts reach with
-    several phrases; two empty texts are alike, an empty one and another are not."""
+    several phrases (fewer than four tell nothing beside a lower level); two empty texts are alike, an empty one and
+    another are not."""
     total, used = 0.0, 0
     for x, y in zip(a, b, strict=True):
         x, y = x[x != NONE], y[y != NONE]
@@ -139,8 +141,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _hex(sketch: np.ndarray) -> str:
-    """24 bits of each kept name, level by level; equal sketches give equal strings."""
-    return "-".join("".join(f"{int(x) >> 40:06x}" for x in level if x != NONE) for level in sketch)
+    """The kept names, level by level; equal sketches give equal strings."""
+    return "-".join("".join(f"{int(x):06x}" for x in level if x != NONE) for level in sketch)
 
 
 class _Pair:
@@ -215,9 +217,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                 sketch = sketches(Texts(pa.array([text, following], pa.large_string())))
                 yield _compared([(batch.column(0)[i].as_py(), text, sketch[0], following, sketch[1])])
 
-    in_order = Window.orderBy("part", "edge")  # two rows a range
-    edges = found.filter("edge is not null").select("part", "edge", "doc_id", "text")
-    edges = edges.withColumn("following", F.coalesce(F.lead("text").over(in_order), F.first("text").over(in_order)))
+    # two numbers a range are ordered; texts are joined to their neighbours afterwards
+    edges = found.filter("edge is not null")
+    in_order = Window.orderBy("part", "edge")
+    after = edges.select("part", "edge").withColumn("next", F.coalesce(F.lead("part").over(in_order), F.first("part").over(in_order))).filter("edge = 1")
+    firsts = edges.filter("edge = 0").select(F.col("part").alias("next"), F.col("text").alias("following"))
+    edges = edges.filter("edge = 1").select("part", "edge", "doc_id", "text").join(after.select("part", "next"), "part").join(firsts, "next")
     ends = edges.filter("edge = 1").select("doc_id", "text", "following").mapInArrow(across, _COLUMNS)
     both = found.filter("edge is null").union(ends).drop("part", "edge", "text")
     return both.withColumn("doc_id", F.when(F.col("doc_id") > -(1 << 63), F.col("doc_id")))
