@@ -33,6 +33,7 @@ from tessera.llm.textbytes import BYTE_LOWER_VALUE, LOWER, Texts, slices, span_h
 
 MAGIC = b"TESSTOK1"
 BLOCK = 1 << 16
+FILE_IDS = 1 << 26  # from which another file begins; the index of a file is held until it is closed
 CACHED_WORDS = 1 << 20  # of a task's cache of encoded words, which starts anew beyond that
 
 
@@ -59,6 +60,7 @@ class Writer:
         self.docs: list[int] = []
         self.counts: list[int] = []
         self.compress = zstandard.ZstdCompressor(level=1).compress
+        self.n_ids = 0
         out.write(MAGIC)
 
     def add(self, doc_ids: list[int], counts: np.ndarray, ids: np.ndarray) -> None:
@@ -66,6 +68,7 @@ class Writer:
         self.counts += counts.tolist()
         self.waiting.append(ids)
         self.n_waiting += len(ids)
+        self.n_ids += len(ids)
         if self.n_waiting >= self.block:
             whole = np.concatenate(self.waiting)
             full = len(whole) // self.block * self.block
@@ -85,12 +88,11 @@ class Writer:
     def close(self) -> int:
         if self.n_waiting:
             self._chunk(np.concatenate(self.waiting))
-        n = int(sum(self.counts))
-        head = json.dumps({"kind": self.kind, "block": self.block, "n_ids": n, "n_docs": len(self.docs), "planes": self.index}).encode()
+        head = json.dumps({"kind": self.kind, "block": self.block, "n_ids": self.n_ids, "n_docs": len(self.docs), "planes": self.index}).encode()
         footer = self.compress(head + b"\n" + np.array(self.docs, "<i8").tobytes() + np.array(self.counts, "<i8").tobytes())
         self.out.write(footer + len(footer).to_bytes(4, "little") + MAGIC)
         self.out.close()
-        return n
+        return self.n_ids
 
 
 class Reader:
@@ -222,38 +224,47 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, kind: str = "byte") -> DataFrame:
-    """Encode docs and write their ids in ascending doc_id order; returns (part, path, n_ids) of the files.
+def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, kind: str = "byte", file_ids: int = FILE_IDS) -> DataFrame:
+    """Encode docs and write their ids in ascending doc_id order; returns (part, file, path, n_ids) of the files.
 
-    Ranges of doc_ids are sorted and written one file each, while the rows pass: a task holds a slice of texts and a
-    chunk of ids. A task that is run again writes another file; the table has those of the attempts that counted.
+    Ranges of doc_ids are sorted and written while the rows pass, in files of about file_ids ids: a task holds a slice
+    of texts, a chunk of ids and a file's index. A task that is run again writes another file; the table has those of the attempts that counted.
     Null texts are empty; null doc_ids come first, as the least id; rows with equal ids are ordered by text.
     """
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
-        writer = None
+        writer, done = None, {"part": [], "file": [], "path": [], "n_ids": []}
+
+        def close() -> None:
+            done["part"].append(TaskContext.get().partitionId())
+            done["file"].append(len(done["file"]))
+            done["path"].append(path)
+            done["n_ids"].append(writer.close())
+
         for batch in batches:
             for part, texts in slices(batch):
-                if writer is None:
+                if writer is None or writer.n_ids >= file_ids:
+                    if writer is not None:
+                        close()
                     path, out = files.create(folder, ".tok")
                     writer = Writer(out, kind)
                 ids, counts = encoder.encode(texts)
                 ids = np.insert(ids, np.cumsum(counts), end_id).astype(np.uint32)
                 writer.add(part.column(0).to_pylist(), counts + 1, ids)
         if writer is not None:
-            n = writer.close()
-            yield pa.RecordBatch.from_pydict({"part": [TaskContext.get().partitionId()], "path": [path], "n_ids": [n]})
+            close()
+            yield pa.RecordBatch.from_pydict(done, pa.schema([("part", pa.int64()), ("file", pa.int64()), ("path", pa.string()), ("n_ids", pa.int64())]))
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(ordered.mapInArrow(write, "part long, path string, n_ids long"), "token-files")
+    return stage(ordered.mapInArrow(write, "part long, file long, path string, n_ids long"), "token-files")
 
 
 def read_token_files(written: DataFrame) -> DataFrame:
     """(doc_id, start, n_tokens, ids_crc32) of each document in the files that write_token_files tells of."""
     # one row a file
-    placed = written.withColumn("start", F.sum("n_ids").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
+    placed = written.withColumn("start", F.sum("n_ids").over(Window.orderBy("part", "file").rowsBetween(Window.unboundedPreceding, -1)))
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
