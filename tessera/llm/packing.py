@@ -15,6 +15,7 @@ from tessera.llm.textbytes import ALNUM, mix, slices
 
 CAPACITY = 2048  # words of a bin
 PIECES = 2048  # documents' pieces that one task packs together, on average
+EQUAL = 4096  # equal rows that are numbered together
 
 
 class Bins:
@@ -55,17 +56,19 @@ def best_fit(pieces: pd.DataFrame, capacity: int) -> pd.DataFrame:
     return pieces.assign(bin=[k for k, _ in placed], offset=[o for _, o in placed])
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECES) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECES, cluster: str | None = None) -> DataFrame:
     """doc_id, part, first_word, n_words, bin_id, offset: where each piece of each row's text goes.
 
     A text of more than `capacity` words is cut into full bins and a rest; a full piece has a bin alone. Two pieces
-    in one bin never have the same source nor the same duplicate cluster (texts with equal words in lower case). A
-    null source conflicts with null sources as any other does. Null texts and texts without words take no room:
-    they give one row without bin_id. Rows with equal doc_ids are packed as separate documents.
-
-    Rests are dealt to shards at random by a hash of the document, as many as keep a shard near `pieces_a_task`
-    pieces however large or skewed the input is, and each shard is packed by itself: a hot source is spread over all
-    of them. What that costs is less than one open bin a source and shard.
+    in one bin never have the same source nor the same duplicate cluster: that of the column `cluster`, such as the
+    component_id of near copies, or else texts with equal words in lower case. A null source or cluster conflicts with
+    null ones as any other does. Null texts and texts without words take no room: they give one row without bin_id.
+    Rows with equal doc_ids are packed as separate documents.
+
+    Documents are dealt to shards by a hash of what they are, equal ones by their number, as many as keep a shard
+    near `pieces_a_task` rests however large or skewed the input is, and each shard is packed by itself: a hot source
+    is spread over all of them, and the bins don't depend on how the input is partitioned. What that costs is less
+    than one open bin a source and shard.
     """
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -73,20 +76,26 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, pieces_a_task: int = PIECES)
                 words = texts.words(ALNUM)
                 total = words.hashes()
                 sums = [0, *(total * mix(total + 1)).cumsum().tolist()]
-                cluster = [(sums[b] - sums[a]) % (1 << 64) - (1 << 63) for a, b in zip(words.of[:-1].tolist(), words.of[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(words.counts()), pa.array(cluster, pa.int64())], ["doc_id", "source", "n", "cluster"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    sizes = rows.mapInArrow(measure, "doc_id long, source string, n long, cluster long").withColumn("row_id", F.monotonically_increasing_id())
-    sizes = stage(sizes, "sizes")
-    full = F.floor(F.col("n") / capacity)
-    wholes = sizes.filter(full > 0).select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), full - 1)).alias("part"), "row_id").select(
-        "doc_id", "part", (F.col("part") * capacity).alias("first_word"), F.lit(capacity).cast("long").alias("n_words"),
-        F.concat_ws("-", F.lit("full"), "row_id", "part").alias("bin_id"), F.lit(0).cast("long").alias("offset"))
+                digest = [(sums[b] - sums[a]) % (1 << 64) - (1 << 63) for a, b in zip(words.of[:-1].tolist(), words.of[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), pa.array(words.counts()), pa.array(digest, pa.int64())], ["doc_id", "source", "known", "n", "digest"])
+
+    known = F.lit(None) if cluster is None else F.coalesce(F.xxhash64(F.col(cluster)), F.lit(0))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), known.cast("long").alias("known"), F.col("text").cast("string").alias("text"))
+    measured = rows.mapInArrow(measure, "doc_id long, source string, known long, n long, digest long")
+    # rows that are equal in all this are told apart by a number, in runs of EQUAL so that a third of all rows may be equal
+    sizes = measured.groupBy("doc_id", "source", "known", "n", "digest").agg(F.count("*").alias("equal"))
+    runs = sizes.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(equal - 1) div {EQUAL}"))).alias("run")).repartition("doc_id", "digest", "run")
+    number = F.explode(F.sequence(F.col("run") * EQUAL, F.least((F.col("run") + 1) * EQUAL, F.col("equal")) - 1))
+    sizes = stage(runs.select("doc_id", "source", F.coalesce("known", "digest").alias("cluster"), "n", number.alias("copy"))
+                  .withColumn("row_id", F.xxhash64("doc_id", "source", "cluster", "n", "copy")), "sizes")
+    full = F.floor(F.col("n") / capacity).cast("long")
+    shards = max(1, -(-sizes.filter(F.col("n") % capacity > 0).count() // pieces_a_task))
+    shard = F.pmod(F.col("row_id"), F.lit(shards))
+    place = F.concat_ws("-", shard, F.lit("full"), F.hex("row_id"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "copy", "part")
+    wholes = sizes.filter(full > 0).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), full - 1))).select(
+        "doc_id", "part", (F.col("part") * capacity).alias("first_word"), F.lit(capacity).cast("long").alias("n_words"), place.alias("bin_id"), F.lit(0).cast("long").alias("offset"))
     rests = sizes.withColumn("size", F.col("n") % capacity).filter("size > 0")
-    shards = max(1, -(-rests.count() // pieces_a_task))
-    rests = rests.select("doc_id", "row_id", full.cast("long").alias("part"), "size", F.coalesce("source", F.lit("\0")).alias("source"), "cluster",
-                         F.pmod(F.xxhash64("row_id"), F.lit(shards)).alias("shard"))
+    rests = rests.select("doc_id", "row_id", full.alias("part"), "size", F.coalesce("source", F.lit("\0")).alias("source"), "cluster", shard.alias("shard"))
 
     def packed(shard: pd.DataFrame) -> pd.DataFrame:
         out = best_fit(shard, capacity)

@@ -13,6 +13,7 @@ from hypothesis import strategies as st
 
 from tessera.llm import decontamination, fingerprints, jaccard_join, licenses, line_dedup, packing, pii, queries, token_files, toxicity, warc
 from tessera.llm.components import components
+from tessera.llm.storage import small_batches
 from tessera.llm.textbytes import ALNUM, NOT_SPACE, Texts
 from tests.llm import brute
 
@@ -456,6 +457,11 @@ def test_token_files_round_trip(spark, sf, odd_docs, no_docs):
             assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
             start += len(ids)
     assert token_files.token_ids(no_docs, path, 2).count() == 0
+    docs = table(spark, sf, "documents")
+    with small_batches(spark, 10):
+        written = token_files.write_token_files(docs, path, 2, token_files.new_dir(spark, "ids"), "bit", 5000)
+    again = sorted(map(tuple, token_files.read_token_files(written).collect()))
+    assert written.count() > 10 and again == sorted(map(tuple, token_files.token_ids(docs, path, 2).collect()))
 
 
 @settings(max_examples=300, deadline=None)
@@ -501,6 +507,18 @@ def test_packing_keeps_words_capacity_and_conflicts(spark, sf, odd_docs, no_docs
     assert packing.pack(odd_docs).filter("bin_id is null").count() == 3 and packing.pack(no_docs).count() == 0
 
 
+def test_bins_do_not_depend_on_partitions_and_keep_given_clusters_apart(spark, odd_docs):
+    docs = odd_docs.select("doc_id", "text", "source", (odd_docs["n"] % 2).alias("near")).union(spark.createDataFrame([(77, "same words here", "s", 1)] * 9, "doc_id long, text string, source string, near int"))
+    a, b = (sorted(map(repr, packing.pack(docs.repartition(k), 64, 4).collect())) for k in (1, 5))
+    assert a == b and sum("doc_id=77" in r for r in a) == 9
+    near = {(r.doc_id, r.text): r.near for r in docs.collect()}
+    rows = [(k, f"w{k} " * 5, f"s{k}", k % 3) for k in range(60)]
+    bins = {}
+    for r in packing.pack(spark.createDataFrame(rows, "doc_id long, text string, source string, near int"), 64, 1000, "near").collect():
+        bins.setdefault(r.bin_id, []).append(r.doc_id % 3)
+    assert all(len(set(x)) == len(x) for x in bins.values()) and len(bins) == 20 and near
+
+
 def test_best_fit_takes_the_tightest_compatible_bin():
     bins = packing.Bins(10)
     assert [bins.put(7, 1, 1), bins.put(6, 2, 2), bins.put(3, 4, 4)] == [(0, 0), (1, 0), (0, 7)]  # room 3 is tightest
