@@ -17,7 +17,7 @@ from tessera.llm.textbytes import ALNUM, Texts, signed, slices
 DISCOUNT = 0.75
 ONCE = 1.0  # the discount of a pair that a class holds once: it counts in its backoff mass and continuations alone
 COMBINED = 1 << 20  # words whose pairs a task counts together before the shuffle
-SENT = 1 << 19, 1 << 22  # how many of the most frequent words and pairs are sent to all tasks; texts are joined with the others
+SENT = 1 << 18, 1 << 21  # how many of the most frequent words and pairs are sent to all tasks; texts are joined with the others
 BITS = 26  # the bitmap of the other entries, which spares the join names that stand in none, has 2**BITS places
 CALIBRATION_ROWS = 20_000  # labelled rows on which the weights of the features are fitted
 FEATURES = 3
@@ -210,8 +210,9 @@ class Lookup(NamedTuple):
     unseen: list[float]
 
 
-def _folded(names: np.ndarray) -> np.ndarray:
-    return names ^ names >> np.uint64(32)
+def _maybe(bits: np.ndarray, names: np.ndarray) -> np.ndarray:
+    """The names both of whose places are taken."""
+    return in_bitmap(bits, names ^ names >> np.uint64(32)) & in_bitmap(bits, names >> np.uint64(24))
 
 
 def _top_two(value: np.ndarray, name: np.ndarray, words) -> list[np.ndarray]:
@@ -243,7 +244,7 @@ def _local(texts: Texts, lookup: Lookup, models: range) -> tuple[np.ndarray, lis
             continue
         distinct, back = np.unique(names, return_inverse=True)
         at, there = sent.find(distinct)
-        maybe = ~there & in_bitmap(lookup.others, _folded(distinct))
+        maybe = ~there & _maybe(lookup.others, distinct)
         if kind == "pair":
             maybe &= distinct >> np.uint64(32) > 0
         for k, m in enumerate(models):
@@ -264,7 +265,7 @@ def _local(texts: Texts, lookup: Lookup, models: range) -> tuple[np.ndarray, lis
 
 _NUMBERS = [f"{x}{m}" for m in MODELS for x in ("sum", "first", "second")]
 _SCHEMA = pa.schema([("row", pa.int64()), ("text_id", pa.int64()), ("doc_id", pa.int64()), ("n", pa.int64()), *((x, pa.float64()) for x in _NUMBERS),
-                     ("name", pa.int64()), ("times", pa.int64()), ("followed", pa.int64())])
+                     ("names", pa.list_(pa.int64())), ("times", pa.list_(pa.int32())), ("followed", pa.list_(pa.int32()))])
 
 
 def _features(rows: DataFrame, entries: DataFrame, totals: dict[str, Totals], sample: np.ndarray, most: tuple[int, int]) -> DataFrame:
@@ -278,17 +279,14 @@ def _features(rows: DataFrame, entries: DataFrame, totals: dict[str, Totals], sa
     cuts = _cut(entries.filter("word"), most[0]), _cut(entries.filter("not word"), most[1])
     frequent = F.col("n") >= F.when(F.col("word"), F.lit(cuts[0])).otherwise(F.lit(cuts[1]))
     others = entries.filter(~frequent)
+    places = others.select(F.explode(F.expr("array(name ^ shiftrightunsigned(name, 32), shiftrightunsigned(name, 24))")).alias("place"))
     lookup = Lookup(Sent.of(entries.filter(frequent & F.col("word")), "more", "backoff"), Sent.of(entries.filter(frequent & ~F.col("word")), "more"),
-                    bitmap(others, F.expr("name ^ shiftrightunsigned(name, 32)"), BITS), [totals[m].unseen for m in MODELS])
+                    bitmap(places, F.col("place"), BITS), [totals[m].unseen for m in MODELS])
     sent = rows.sparkSession.sparkContext.broadcast((lookup, sample))
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup, sample = sent.value
         row = TaskContext.get().partitionId() << 40  # rows are numbered for the joined names to come back to them
-
-        def told(columns: dict[str, pa.Array], size: int) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in _SCHEMA], schema=_SCHEMA)
-
         for batch in batches:
             for part, texts in slices(batch):
                 ids = part.column(2)
@@ -299,15 +297,18 @@ def _features(rows: DataFrame, entries: DataFrame, totals: dict[str, Totals], sa
                     for x in ("sum", "first", "second"):
                         value = found[k][x].astype(np.float64) if k < len(found) else np.full(texts.n, np.nan)
                         columns[x + m] = pa.array(value, mask=np.full(texts.n, k == 1) & ~tried)
-                yield told(columns, texts.n)
-                yield told({"row": pa.array(row + text), "name": signed(name), "times": pa.array(times), "followed": pa.array(followed)}, len(name))
+                order = np.argsort(text, kind="stable")
+                at = pa.array(np.searchsorted(text[order], np.arange(texts.n + 1)).astype(np.int32))
+                for x, values in (("names", signed(name[order])), ("times", pa.array(times[order].astype(np.int32))), ("followed", pa.array(followed[order].astype(np.int32)))):
+                    columns[x] = pa.ListArray.from_arrays(at, values)
+                yield pa.RecordBatch.from_arrays([columns[f.name] for f in _SCHEMA], schema=_SCHEMA)
                 row += texts.n
 
-    schema = "row long, text_id long, doc_id long, n long, " + ", ".join(f"{x} double" for x in _NUMBERS) + ", name long, times long, followed long"
+    schema = "row long, text_id long, doc_id long, n long, " + ", ".join(f"{x} double" for x in _NUMBERS) + ", names array<long>, times array<int>, followed array<int>"
     with small_batches(rows.sparkSession):
         looked = stage(rows.select("text", "text_id", "doc_id").mapInArrow(look, schema), "looked-up")
-    here = looked.filter("name is null").drop("name", "times", "followed")
-    asked = looked.filter("name is not null").select("row", "name", F.col("times").cast("int").alias("times"), F.col("followed").cast("int").alias("followed"))
+    here = looked.drop("names", "times", "followed")
+    asked = looked.select("row", F.explode(F.arrays_zip("names", "times", "followed")).alias("x")).select("row", F.col("x.names").alias("name"), "x.times", "x.followed")
 
     sums, tops = [], []
     for m in MODELS:
