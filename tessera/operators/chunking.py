@@ -7,12 +7,15 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
 from tessera.functions.scalars import uuid5
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"  # RFC 4122's namespace for URLs
-LEAST, MOST, TARGET, OVERLAP = 64, 1200, 700, 70  # characters
+# Fixed values, in characters: what is too short for a chunk of code or plain text and of a document's section, what
+# is left whole, and of parts of longer texts the size and the overlap.
+LEAST, LEAST_SECTION, MOST, TARGET, OVERLAP = 64, 20, 1200, 700, 70
 
 
 def lines(resources: DataFrame, key: str = "uri", text: str = "content") -> DataFrame:
@@ -60,44 +63,82 @@ def gaps(spans: DataFrame, sizes: DataFrame, key: str) -> DataFrame:
     return after.filter("start > _covered + 1").select(key, (F.col("_covered") + 1).alias("start"), (F.col("start") - 1).alias("end"))
 
 
-def pack_lines(text: str, start: int = 1, target: int = TARGET, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """Runs of lines of about `target` characters; each begins with the last lines of the one before that reach `overlap`."""
+def pack_lines(text: str, start: int = 1, most: int = MOST, target: int = TARGET, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
+    """(first line, last line, text) of a text's parts: itself up to `most` characters, else runs of lines of about
+    `target`, each beginning with the last lines of the one before that reach `overlap`."""
+    if len(text) <= most:
+        return [(start, start + text.count("\n"), text)]
+    rows = [x + "\n" for x in text.split("\n")]
+    rows[-1] = rows[-1][:-1]
     out: list[tuple[int, int, str]] = []
-    held: list[str] = []
-    first = start
-    size = fresh = 0
-    for k, line in enumerate(text.split("\n"), start):
-        if fresh and size + len(line) + 1 > target:
-            out.append((first, k - 1, "\n".join(held)))
-            kept, size = [], 0
-            for old in reversed(held):
-                if size >= overlap:
-                    break
-                kept.insert(0, old)
-                size += len(old) + 1
-            held, first, fresh = kept, k - len(kept), 0
-            if len(kept) and size + len(line) + 1 > target:
-                held, first, size = [], k, 0
-        held.append(line)
-        size += len(line) + 1
-        fresh += 1
-    if fresh:
-        out.append((first, start + text.count("\n"), "\n".join(held)))
-    return out
-
-
-def split_oversized(resources: DataFrame, key: str = "uri", text: str = "content", target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
-    """(key, start_line, end_line, content): greedy packing is sequential within a text, so texts go through Arrow batches."""
+    first, size = 0, 0
+    for k, row in enumerate(rows if rows[-1] else rows[:-1]):
+        if size + len(row) > target and k > first:
+            part = "".join(rows[first:k]).rstrip("\n")
+            out.append((start + first, start + first + part.count("\n"), part))
+            kept, first = 0, k
+            while first > 0 and kept < overlap:
+                first -= 1
+                kept += len(rows[first])
+            size = kept
+        size += len(row)
+    part = "".join(rows[first:]).rstrip("\n")
+    return [*out, (start + first, start + first + part.count("\n"), part)]
+
+
+def split_spans(spans: DataFrame, least: int, target: int = TARGET, overlap: int = OVERLAP) -> DataFrame:
+    """Rows with start_line and content, cut where they are too long and without parts of fewer than `least` characters,
+    and end_line of each part. Packing is sequential within a text, so rows go through Arrow batches."""
+    schema = spans.drop("end_line").schema.add("end_line", IntegerType())
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, starts, ends, parts = [], [], [], []
-            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for a, b, part in pack_lines((body or "").replace("\r\n", "\n").replace("\r", "\n"), 1, target, overlap):
-                    keys.append(name)
-                    starts.append(a)
-                    ends.append(b)
-                    parts.append(part)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, batch.schema.field(0).type), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(parts, pa.string())], [key, "start_line", "end_line", "content"])
-
-    kind = resources.schema[key].dataType.simpleString()
-    return resources.select(key, F.col(text).cast("string").alias("content")).mapInArrow(split, f"{key} {kind}, start_line int, end_line int, content string")
+            starts, bodies = batch.column(batch.schema.get_field_index("start_line")).to_pylist(), batch.column(batch.schema.get_field_index("content")).to_pylist()
+            cut = [(i, *part) for i, (at, body) in enumerate(zip(starts, bodies, strict=True)) for part in pack_lines(body or "", at, MOST, target, overlap) if len(part[2]) >= least]
+            columns = {"start_line": pa.array([c[1] for c in cut], pa.int32()), "end_line": pa.array([c[2] for c in cut], pa.int32()), "content": pa.array([c[3] for c in cut], pa.string())}
+            rows = pa.array([c[0] for c in cut], pa.int64())
+            yield pa.RecordBatch.from_pydict({n: columns[n] if n in columns else batch.column(batch.schema.get_field_index(n)).take(rows) for n in schema.names})
+
+    return spans.drop("end_line").mapInArrow(split, schema)
+
+
+def _joined(each: DataFrame, spans: DataFrame, key: str = "uri") -> DataFrame:
+    """spans with content: their lines (key, line_no, line), joined."""
+    held = spans.join(each, key).filter(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
+    grouped = held.groupBy(*spans.columns).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
+    return grouped.select(*spans.columns, F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("content"))
+
+
+def code_chunks(resources: DataFrame, declared: DataFrame) -> DataFrame:
+    """(uri, start_line, end_line, context_path, content) of code files (uri, content): their declarations (uri,
+    start_line, end_line, context), and what lies between those that are kept; nothing shorter than LEAST."""
+    each = lines(resources)
+    kept = _joined(each, declared.select("uri", "start_line", "end_line", F.col("context").alias("context_path"))).filter(F.length("content") >= LEAST)
+    sizes = each.groupBy("uri").agg(F.max("line_no").alias("n"))
+    between = gaps(kept.select("uri", F.col("start_line").alias("start"), F.col("end_line").alias("end")), sizes, "uri")
+    rest = _joined(each, between.select("uri", F.col("start").cast("int").alias("start_line"), F.col("end").cast("int").alias("end_line"), F.lit("<module>").alias("context_path")))
+    rest = rest.withColumn("content", F.regexp_replace("content", r"\A\s+|\s+\z", "")).filter(F.length("content") >= LEAST)
+    whole = kept.unionByName(rest)
+    fits = F.length("content") <= MOST
+    return whole.filter(fits).unionByName(split_spans(whole.filter(~fits), 0))
+
+
+def markdown_chunks(resources: DataFrame, headings: DataFrame) -> DataFrame:
+    """(uri, start_line, end_line, context_path, content) of markdown files (uri, content): a chunk for each heading (uri,
+    at, level, title) with the titles above it as its path, and one for what stands before the first."""
+    each = lines(resources)
+    titled = sections(headings, "uri").select("uri", F.col("at").alias("line_no"), "path")
+    here = Window.partitionBy("uri").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = each.join(titled, ["uri", "line_no"], "left").withColumn("start_line", F.coalesce(F.max(F.when(F.col("path").isNotNull(), F.col("line_no"))).over(here), F.lit(1)))
+    whole = rows.groupBy("uri", "start_line").agg(
+        F.max("line_no").alias("end_line"), F.max("path").alias("context_path"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
+    text = F.regexp_replace(F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"), r"\A\s+|\s+\z", "")
+    whole = whole.select("uri", "start_line", "end_line", "context_path", text.alias("content")).filter(F.length("content") >= LEAST_SECTION)
+    fits = F.length("content") <= MOST
+    return whole.filter(fits).unionByName(split_spans(whole.filter(~fits), 0))
+
+
+def split_oversized(resources: DataFrame, key: str = "uri", text: str = "content", target: int = TARGET, overlap: int = OVERLAP, least: int = LEAST) -> DataFrame:
+    """(key, start_line, content, end_line) of plain texts: whole up to MOST characters, else in overlapping runs of lines."""
+    normal = F.regexp_replace(F.col(text).cast("string"), "\r\n?", "\n")
+    return split_spans(resources.select(key, F.lit(1).alias("start_line"), normal.alias("content")), least, target, overlap)

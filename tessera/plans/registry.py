@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import evidence, graph, ingest, retrieval, views
+from tessera.plans import code, evidence, graph, ingest, retrieval, views
 
-_PARTS = (retrieval, evidence, ingest, graph, views)
+_PARTS = (retrieval, evidence, ingest, graph, code, views)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
