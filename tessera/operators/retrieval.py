@@ -57,16 +57,45 @@ def search_terms(query: Column) -> Column:
     return F.array_distinct(F.filter(words, lambda w: (F.length(w) >= 4) & ~w.isin(*STOP_WORDS)))
 
 
+def _folded(text: Column) -> Column:
+    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def grep(chunks: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_id", text: str = "content") -> DataFrame:
-    """(query_id, key, matched, score, rank) of the chunks that hold search terms of a query as whole tokens.
+    """(query_id, key, matched, score, line, excerpt, rank): the chunks whose file, context or content holds search terms.
+
+    A term is found anywhere, within words too. Ten points for each different term, one for each that the best line
+    holds, and one for each that file and context hold; the best line is the first with most terms, and the excerpt
+    has the lines beside it. Chunks may have file, context_path and start_line.
 
-    Ten points for each distinct term and one for each further occurrence. Chunks and queries meet on terms, so no
-    chunk is compared with a query it shares nothing with.
+    A term lies within one run of word characters. So each different run of the corpus is compared with the terms whose
+    first four characters it holds, and texts meet terms by the runs they are found in.
     """
     asked = queries.select("query_id", F.explode(search_terms(F.col("query"))).alias("term"))
-    words = chunks.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9_]+"), F.lit(0))).alias("term"))
-    hits = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("n"))
-    scored = hits.join(asked, "term").groupBy("query_id", key).agg(F.count("*").alias("matched"), (10 * F.count("*") + F.sum(F.col("n") - 1)).alias("score"))
+    terms = asked.select("term").distinct().withColumn("piece", F.substring("term", 1, 4))
+
+    def column(name: str, otherwise: Column) -> Column:
+        return F.coalesce(F.col(name), otherwise) if name in chunks.columns else otherwise
+
+    empty = F.lit("")
+    held = chunks.select(F.col(key), column("file", empty).alias("_file"), column("context_path", empty).alias("_context"), column("start_line", F.lit(1)).alias("_start"), F.col(text).alias("_text"))
+    held = held.filter(F.col("_text").isNotNull())
+    runs = held.select(key, F.explode(F.array_distinct(F.regexp_extract_all(_folded(F.concat_ws("\n", "_file", "_context", "_text")), F.lit("[a-z0-9_./:-]{4,}"), F.lit(0)))).alias("run"))
+    pieces = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 3), lambda p: F.substring(F.col("run"), p, F.lit(4)))))
+    holds = runs.select("run").distinct().withColumn("piece", pieces).join(terms, "piece").filter(F.contains("run", "term")).select("run", "term").distinct()
+    met = runs.join(holds, "run").select(key, "term").distinct()
+    matched = met.join(asked, "term").groupBy("query_id", key).agg(F.collect_set("term").alias("terms")).join(held, key)
+    each = F.split("_text", r"\r\n?|\n")
+
+    def count(part: Column) -> Column:
+        return F.size(F.filter("terms", lambda t: F.contains(_folded(part), t)))
+
+    counts = F.transform(each, count)
+    scored = matched.withColumn("_counts", counts).withColumn("_best", F.array_max("_counts")).withColumn("_at", F.array_position("_counts", F.col("_best")).cast("int"))
+    about = F.slice(each, F.greatest(F.col("_at") - 1, F.lit(1)), F.when(F.col("_at") > 1, 3).otherwise(2))
+    scored = scored.select(
+        "query_id", key, F.size("terms").cast("long").alias("matched"), (10 * F.size("terms") + F.col("_best") + count(F.concat_ws(" ", "_file", "_context"))).cast("long").alias("score"),
+        (F.col("_start") + F.col("_at") - 1).cast("int").alias("line"), F.substring(F.trim(F.array_join(F.transform(about, lambda x: F.trim(x)), "\n")), 1, 500).alias("excerpt"))
     return top(scored, ["query_id"], [F.desc("score"), F.col(key)], k)
 
 

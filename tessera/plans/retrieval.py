@@ -23,7 +23,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def grep_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return retrieval.grep(_chunks(spark, sf_dir), _queries(spark, sf_dir), 8)
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.concat_ws("/", "source", "lang").alias("file"))
+    return retrieval.grep(chunks, _queries(spark, sf_dir), 8).select("query_id", "chunk_id", "matched", "score", "line", "rank")
 
 
 def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,14 +101,21 @@ _BM25 = """
    FROM counted JOIN lengths USING (chunk_id) JOIN rarity USING (term) JOIN asked USING (term), size GROUP BY ALL),
  bm25 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM scored)"""
 _STOP = ", ".join(f"'{w}'" for w in retrieval.STOP_WORDS)
-_GREP = f"""
+def _grep(head: str) -> str:
+    """The exact search over documents, with what stands in front of each text and counts besides its best line."""
+    return f"""
  terms AS MATERIALIZED (SELECT DISTINCT item_id AS query_id, regexp_replace(w, '^[._/:-]+|[._/:-]+$', '', 'g') AS term
    FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_./:-]+')) AS w FROM benchmark)),
  sought AS MATERIALIZED (SELECT * FROM terms WHERE length(term) >= 4 AND term NOT IN ({_STOP})),
- hits AS MATERIALIZED (SELECT doc_id AS chunk_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents)
-   WHERE term IN (SELECT term FROM sought) GROUP BY ALL),
- grepped AS MATERIALIZED (SELECT query_id, chunk_id, count(*) AS matched, CAST(10 * count(*) + sum(n - 1) AS BIGINT) AS score FROM hits JOIN sought USING (term) GROUP BY ALL),
+ texts_ AS MATERIALIZED (SELECT doc_id AS chunk_id, {head} AS head, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents WHERE text IS NOT NULL),
+ found_ AS MATERIALIZED (SELECT query_id, chunk_id, list(term) AS terms FROM texts_ JOIN sought ON contains(text, term) OR contains(head, term) GROUP BY ALL),
+ counted_ AS MATERIALIZED (SELECT query_id, chunk_id, terms, head, list_transform(string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)), lambda l: len(list_filter(terms, lambda t: contains(l, t)))) AS counts FROM found_ JOIN texts_ USING (chunk_id)),
+ grepped AS MATERIALIZED (SELECT query_id, chunk_id, len(terms) AS matched, 10 * len(terms) + list_max(counts) + len(list_filter(terms, lambda t: contains(head, t))) AS score,
+   CAST(list_position(counts, list_max(counts)) AS INTEGER) AS line FROM counted_),
  grep AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM grepped)"""
+
+
+_GREP = _grep("''")
 _FUSED = """
  rankings AS MATERIALIZED (SELECT query_id, 0 AS ranking, rank, chunk_id, CAST(score AS DOUBLE) AS score, 'bm25' AS source FROM bm25 WHERE rank <= 50
    UNION ALL SELECT query_id, 1, rank, chunk_id, CAST(score AS DOUBLE), 'grep' FROM grep WHERE rank <= 50),
@@ -130,7 +138,7 @@ def _metrics(found: str, name: str) -> str:
 _JUDGED = " found AS (SELECT query_id, chunk_id AS label, rank FROM bm25 WHERE rank <= 10), relevant AS (SELECT query_id, chunk_id AS label FROM grep WHERE rank <= 3)"
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_BM25} SELECT query_id, chunk_id, score, rank FROM bm25 WHERE rank <= 10",
-    "grep_topk": f"WITH {_GREP} SELECT query_id, chunk_id, matched, score, rank FROM grep WHERE rank <= 8",
+    "grep_topk": f"WITH {_grep('lower(concat_ws(chr(47), source, lang))')} SELECT query_id, chunk_id, matched, score, line, rank FROM grep WHERE rank <= 8",
     "rrf_fusion": f"WITH {_BM25}, {_GREP}, {_FUSED} SELECT f.query_id, f.chunk_id, f.score, f.sources, f.rank, d.source, d.lang FROM fused f JOIN documents d ON d.doc_id = f.chunk_id WHERE f.rank <= 10",
     "dense_topk": """SELECT query_id, vec_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM (
       SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id % 50 = 0)) WHERE rank <= 10""",
