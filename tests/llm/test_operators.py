@@ -15,6 +15,7 @@ from tessera.llm import decontamination, fingerprints, jaccard_join, licenses, l
 from tessera.llm.components import components
 from tessera.llm.storage import small_batches
 from tessera.llm.textbytes import ALNUM, NOT_SPACE, Texts
+from tests.compare import difference
 from tests.llm import brute
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -528,3 +529,8 @@ def test_best_fit_takes_the_tightest_compatible_bin():
 
 def test_queries_are_registered():
     assert sorted({int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES}) == list(range(1, 11))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
+def test_rows_are_those_of_the_sql(spark, sf, name):
+    assert difference(queries.QUERIES[name](spark, sf), queries.ORACLE_SQL[name], sf) == ""
