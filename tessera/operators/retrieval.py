@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.lineage import cut
 from tessera.functions.scalars import tokens
 
 K1, B = 1.2, 0.75
@@ -44,6 +45,7 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, key: str = "chunk_i
     size = split.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"))
     words = split.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
     counted = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy(key, "length", "term").agg(F.count("*").alias("tf"))
+    counted = cut(counted)  # both scores and frequencies read it, and texts are cut into terms once for both
     rarity = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))  # size is one row
     rarity = rarity.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +21,10 @@ def local_files(spark: SparkSession, root: str, include: list[str] | None = None
     Size and time are tested before a file's bytes are decoded. Bytes that aren't UTF-8 leave a null content: such a
     file exists, but can't be read.
     """
-    base = root.rstrip("/") + "/"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    base = re.sub("^[a-z0-9]+:/+", "/", path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().rstrip("/")) + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= largest)
-    at = F.regexp_replace("path", r"^[a-z]+:/+", "/")
+    at = F.regexp_replace("path", "^[a-z0-9]+:/+", "/")
     rows = files.withColumn("uri", F.substring(at, F.lit(len(base) + 1), F.length(at))).filter(~matches_any(F.col("uri"), EXCLUDED if exclude is None else exclude))
     rows = rows.filter(matches_any(F.col("uri"), include)) if include else rows
     text = F.try_validate_utf8(F.col("content").cast("string"))
@@ -47,7 +49,8 @@ def _stripped(text: Column) -> Column:
 
 def _adf(value: Column) -> Column:
     """The text of a rich-text document: its text nodes in order, a line each; plain strings stay."""
-    return F.when(value.rlike(r"^\s*\{"), F.array_join(F.regexp_extract_all(value, F.lit(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1)), "\n")).otherwise(value)
+    return F.when(value.rlike(r"^\s*\{"), F.array_join(F.transform(
+        F.regexp_extract_all(value, F.lit(r'"text"\s*:\s*"((?:[^"\\]|\\.)*)"'), F.lit(1)), lambda x: F.get_json_object(F.concat(F.lit('{"t":"'), x, F.lit('"}')), "$.t")), "\n")).otherwise(value)
 
 
 def issues(raw: DataFrame, site: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import scalars
 from tessera.operators import chunking, extract, graph, ingest, joins, metrics, retrieval, views
+from tessera.sources import corpora
 
 
 def rows(df, *names):
@@ -126,3 +127,41 @@ def test_dense_search_is_exact(spark):
     unit = v / np.linalg.norm(v, axis=1)[:, None]
     want = [(q, int(i)) for q in range(5) for i in np.argsort(-(unit[q] @ unit.T), kind="stable")[:3]]
     assert sorted((r.query_id, r.vec_id) for r in got.collect()) == sorted(want)
+
+
+def test_uris_are_relative_to_roots_with_and_without_a_scheme(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "sub" / "a.py").write_text("x = 1")
+    for root in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}/"):
+        assert [r.uri for r in corpora.local_files(spark, root).collect()] == ["sub/a.py"]
+
+
+def test_rich_text_is_decoded(spark):
+    raw = [('{"key": "K-1", "fields": {"summary": "s", "description": "{\\"type\\": \\"doc\\", \\"text\\": \\"a \\\\u00e9 b\\"}"}}',)]
+    found = corpora.issues(spark.createDataFrame(raw, "value string"), "https://x").first()
+    assert "a é b" in found.content
+
+
+def test_what_repeats_within_a_shape_of_calls(spark):
+    """A local name hides an imported one, tests cover their module, and headings nest."""
+    from tessera.operators import codegraph
+
+    code = "import os\nfrom lib.a import go, stop as halt\n\ndef go():\n    return halt()\n\ndef run():\n    go()\n    halt()\n"
+    page = "# A\nSee src/x.py\n## B\n`thing` and /v1/items/{id}\n# C\n"
+    rows = [("src/x.py", code, "m", "g"), ("tests/test_x.py", "def test_x():\n    pass\n", "m", "g"), ("docs/p.md", page, "m", "g")]
+    found = {(r.edge_type, r.from_id, r.to_id) for r in codegraph.edges(spark.createDataFrame(rows, "uri string, content string, source_key string, source_id string"), "p").collect()}
+    assert ("CALLS", "symbol:p:src/x.py:run:Function", "symbol:p:src/x.py:go:Function") in found
+    assert ("CALLS", "symbol:p:src/x.py:go:Function", "module:p:lib.a") in found and ("CALLS", "symbol:p:src/x.py:run:Function", "module:p:lib.a") in found
+    assert ("COVERS", "symbol:p:tests/test_x.py:test_x:Function", "module:p:tests.test_x") in found
+    assert ("CONTAINS", "document:p:docs/p.md:A", "document:p:docs/p.md:B") in found and ("CONTAINS", "file:p:docs/p.md", "document:p:docs/p.md:C") in found
+    assert ("DOCUMENTS", "document:p:docs/p.md:A", "file:p:src/x.py") in found and ("MENTIONS", "document:p:docs/p.md:B", "api:p:ANY:/v1/items/{}:docs.p") in found
+
+
+def test_long_texts_are_cut_in_overlapping_runs_and_others_stay_whole():
+    from tessera.operators.chunking import pack_lines
+
+    assert pack_lines("x" * 1200) == [(1, 1, "x" * 1200)]
+    text = "\n".join(f"line {k:03d} " + "y" * 40 for k in range(60))
+    parts = pack_lines(text)
+    assert parts[0][0] == 1 and parts[-1][1] == 60 and all(b[0] <= a[1] < b[1] for a, b in zip(parts, parts[1:]))
+    assert all(len(p) <= 750 and p == "\n".join(text.split("\n")[a - 1:b]) for a, b, p in parts)
