@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 import statistics
 import time
 
+import duckdb
 from pyspark.sql import SparkSession
 
 from tessera.plans import registry
@@ -31,7 +33,15 @@ def main() -> None:
             registry.QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - began)
         times[name] = round(statistics.median(runs[1:]), 3)
-    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
+    beside = {}
+    con = duckdb.connect(config={"threads": int(cpus)})
+    for path in glob.glob(f"{sf_dir}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path).removesuffix('.parquet')} AS SELECT * FROM read_parquet('{path}')")
+    for name in HEADLINES:  # the same rows from the same files by SQL on one machine
+        began = time.perf_counter()
+        con.execute(registry.ORACLE_SQL[name]).fetchall()
+        beside[name] = round(time.perf_counter() - began, 3)
+    print(json.dumps({"metric": "headline_queries_total", "value": round(sum(times.values()), 3), "unit": "sec", "queries": times, "duckdb": beside, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf")}))
     spark.stop()
 
 

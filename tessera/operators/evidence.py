@@ -141,11 +141,18 @@ def merge(found: DataFrame, understood: DataFrame, k: int = 10) -> DataFrame:
     return chosen.withColumn("slot", slot).select("query_id", "slot", "channel", "chunk_id", "file", "line", "role", "score", "rank_score")
 
 
-def coverage(shown: DataFrame, understood: DataFrame) -> DataFrame:
-    """(query_id, covered, missing, sufficient): which facets of each query the evidence covers."""
-    seen = shown.groupBy("query_id").agg(
+def coverage(shown: DataFrame, understood: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
+    """(query_id, covered, missing, sufficient): which facets of each query the evidence covers.
+
+    A definition is covered by what exact search or the repository's map found, and by evidence whose file, or text
+    where chunks (chunk_id, content) are given, holds an anchor of the query.
+    """
+    texts = shown.withColumn("_text", F.lower("file")) if chunks is None else shown.join(
+        chunks.select("chunk_id", F.substring("content", 1, 1600).alias("_excerpt")), "chunk_id", "left").withColumn("_text", F.lower(F.concat_ws("\n", "file", "_excerpt")))
+    held = texts.join(understood.select("query_id", "anchors"), "query_id").withColumn("_anchored", F.exists("anchors", lambda a: F.contains(F.col("_text"), F.lower(a))))
+    seen = held.groupBy("query_id").agg(
         F.count("*").alias("n"), F.bool_or((F.col("role") == "overview") | F.lower("file").rlike(r"\.mdx?$")).alias("overview"), F.bool_or(F.col("role") == "implementation").alias("implementation"),
-        F.bool_or((F.col("channel") == "graph") | (F.col("role") == "relationship")).alias("relationship"), F.bool_or(F.col("channel").isin("grep", "repo_map")).alias("definition"))
+        F.bool_or((F.col("channel") == "graph") | (F.col("role") == "relationship")).alias("relationship"), F.bool_or(F.col("channel").isin("grep", "repo_map") | F.col("_anchored")).alias("definition"))
     rows = understood.select("query_id", "shape", "anchors").join(seen, "query_id", "left")
     wide, related, named = F.col("shape") == "global", F.col("shape") == "relational", F.size("anchors") > 0
     wanted = [("source", F.lit(True), F.coalesce("n", F.lit(0)) > 0), ("overview", wide, F.col("overview")), ("implementation", wide, F.col("implementation")), ("relationship", related, F.col("relationship")), ("definition", named, F.col("definition"))]

@@ -25,7 +25,7 @@ def evidence_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = evidence.coverage(evidence_merge(spark, sf_dir), evidence.understand(_queries(spark, sf_dir)))
+    found = evidence.coverage(evidence_merge(spark, sf_dir), evidence.understand(_queries(spark, sf_dir)), _chunks(spark, sf_dir))
     return found.select("query_id", F.array_join("covered", ",").alias("covered"), F.array_join("missing", ",").alias("missing"), "sufficient")
 
 
@@ -35,4 +35,20 @@ def query_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (evidence_merge, evidence_coverage, query_shapes)}
-ORACLE_SQL: dict[str, str] = {}
+
+
+def _listed(form: str, group: int = 0) -> str:
+    return f"list_distinct(regexp_extract_all(text, '{form}', {group}))"
+
+
+# the SQL's pattern language has no looking ahead, so symbols that a parenthesis follows are found with it and cut
+_WORDS = "regexp_extract_all(lower(text), '[a-z_][A-Za-z0-9_]*')"
+ORACLE_SQL: dict[str, str] = {
+    "query_shapes": rf"""WITH found AS (SELECT text, {_listed(evidence.PATH)} AS paths, {_listed(evidence.ROUTE, 1)} AS routes, {_listed(evidence.CONFIG)} AS keys, {_WORDS} AS words,
+      list_distinct(list_concat(regexp_extract_all(text, '\b(?:[A-Za-z]+_\w+|[a-z]+[A-Z]\w*|[A-Z][a-z]+[A-Z]\w*)'), regexp_extract_all(text, '\b([A-Za-z_]\w{{2,}})\s*\(', 1))) AS names FROM conversations WHERE text IS NOT NULL),
+      told AS (SELECT *, list_filter(names, lambda x: NOT list_contains(keys, x)) AS symbols FROM found),
+      shaped AS (SELECT CASE WHEN list_has_any(words, {evidence.RELATIONAL}) THEN 'relational' WHEN list_has_any(words, {evidence.PROCEDURAL}) THEN 'procedural'
+        WHEN len(paths) + len(routes) + len(symbols) > 0 OR list_has_any(words, {evidence.LOCAL}) THEN 'local' ELSE 'global' END AS shape,
+        len(list_distinct(list_concat(list_concat(paths, routes), list_concat(symbols, keys)))) AS n FROM told)
+      SELECT shape, count(*) AS n, CAST(sum(n) AS BIGINT) AS n_anchors FROM shaped GROUP BY shape""",
+}

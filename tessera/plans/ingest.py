@@ -156,6 +156,17 @@ ORACLE_SQL = {
       open_ AS (SELECT l_orderkey, k FROM (SELECT l_orderkey, unnest(range(1, n + 1)) AS k FROM n) EXCEPT SELECT l_orderkey, l_linenumber FROM lineitem WHERE l_quantity > 25),
       runs AS (SELECT l_orderkey, k, k - row_number() OVER (PARTITION BY l_orderkey ORDER BY k) AS run FROM open_)
       SELECT l_orderkey, CAST(min(k) AS INTEGER) AS start, CAST(max(k) AS INTEGER) AS "end" FROM runs GROUP BY l_orderkey, run""",
+    "greedy_split": """WITH RECURSIVE texts AS (SELECT doc_id, regexp_replace(text, '\\r\\n?', chr(10), 'g') AS t FROM documents WHERE text IS NOT NULL),
+      long AS MATERIALIZED (SELECT doc_id, CASE WHEN rows[-1] = '' THEN rows[:-2] ELSE rows END AS rows, CASE WHEN rows[-1] = '' THEN list_transform(rows[:-2], lambda x: length(x) + 1) ELSE list_append(list_transform(rows[:-2], lambda x: length(x) + 1), length(rows[-1])) END AS sizes
+        FROM (SELECT doc_id, string_split(t, chr(10)) AS rows FROM texts WHERE length(t) > 1200)),
+      sums AS MATERIALIZED (SELECT *, list_prepend(0, list_transform(range(1, len(sizes) + 1), lambda k: list_sum(sizes[:k]))) AS p FROM long),
+      walk AS (SELECT doc_id, 0 AS k, 0 AS first, NULL::BIGINT AS a, NULL::BIGINT AS b FROM sums UNION ALL
+        SELECT doc_id, k + 1, CASE WHEN cut THEN greatest(len(list_filter(p[:k + 1], lambda x: x <= p[k + 1] - 70)) - 1, 0) ELSE first END, CASE WHEN cut THEN first END, CASE WHEN cut THEN k END
+        FROM (SELECT w.doc_id, w.k, w.first, s.p, s.p[w.k + 2] - s.p[w.first + 1] > 700 AND w.k > w.first AS cut FROM walk w JOIN sums s ON s.doc_id = w.doc_id WHERE w.k < len(s.rows))),
+      spans AS (SELECT doc_id, a, b FROM walk WHERE a IS NOT NULL UNION ALL SELECT w.doc_id, w.first, len(s.rows) FROM walk w JOIN sums s ON s.doc_id = w.doc_id WHERE w.k = len(s.rows)),
+      parts AS (SELECT doc_id, CAST(a + 1 AS INTEGER) AS start_line, regexp_replace(array_to_string(rows[a + 1:b], chr(10)), '\\n+$', '') AS content FROM spans JOIN sums USING (doc_id)
+        UNION ALL SELECT doc_id, 1, t FROM texts WHERE length(t) <= 1200)
+      SELECT doc_id, start_line, content, CAST(start_line + length(content) - length(replace(content, chr(10), '')) AS INTEGER) AS end_line FROM parts WHERE length(content) >= 64""",
     "heading_sections": """WITH h AS (SELECT page_id, CAST(generate_subscripts(l, 1) - 1 AS INTEGER) AS at, CAST(unnest(l) AS INTEGER) AS level, unnest(t) AS title FROM (SELECT page_id,
       regexp_extract_all(html, '<h([1-6])[^>]*>(.*?)</h[1-6]>', 1) AS l, regexp_extract_all(html, '<h([1-6])[^>]*>(.*?)</h[1-6]>', 2) AS t FROM pages))
       SELECT a.page_id, a.at, a.level, a.title, arg_max(b.title, b.at) AS parent FROM h a LEFT JOIN h b ON a.page_id = b.page_id AND b.at < a.at AND b.level < a.level GROUP BY ALL""",

@@ -82,6 +82,10 @@ ORACLE_SQL = {
     "session_replay": "SELECT conv_id, count(*) AS n_turns, string_agg(concat_ws(': ', role, text), chr(10) ORDER BY turn, concat_ws(': ', role, text)) AS transcript FROM conversations GROUP BY conv_id",
     "recent_history": "SELECT conv_id, turn, role, text FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC, text DESC) AS r FROM conversations) WHERE r <= 3",
     "rate_limit_window": "SELECT event_id, user_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 HOUR PRECEDING AND CURRENT ROW) AS n FROM events",
+    "rate_limit_accepted": """WITH RECURSIVE ev AS MATERIALIZED (SELECT event_id, user_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events),
+      walk AS (SELECT user_id, r, event_id, true AS accepted, [t] AS held FROM ev WHERE r = 1 UNION ALL SELECT user_id, r, event_id, len(live) < 3, CASE WHEN len(live) < 3 THEN list_append(live, t) ELSE live END
+        FROM (SELECT e.*, list_filter(w.held, lambda x: x > e.t - 86400000000) AS live FROM walk w JOIN ev e ON e.user_id = w.user_id AND e.r = w.r + 1))
+      SELECT event_id, user_id, accepted FROM walk""",
     "stage_elapsed": "SELECT event_id, user_id, (epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id)) / 1000000.0::DOUBLE AS elapsed FROM events",
     "tumbling": f"SELECT event_type, {_AT.format('start')} AS start_at, count(*) AS n, round(sum(value), 4) AS total FROM (SELECT *, date_trunc('hour', ts) AS start FROM events) GROUP BY event_type, start",
     "sliding": f"""SELECT event_type, {_AT.format('start')} AS start_at, count(*) AS n, round(sum(value), 4) AS total FROM (
