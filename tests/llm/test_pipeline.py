@@ -58,3 +58,17 @@ def test_toxicity_drops_toxic_rows_alone(spark):
     docs = docs.union(spark.createDataFrame(rows, "doc_id long, text string"))
     kept = toxicity.clean_documents(docs, labels).filter("doc_id is null").collect()
     assert {r.text for r in kept} == {rows[1][1], None}
+
+
+def test_stages_take_odd_and_empty_tables(spark, sf, odd_docs, no_docs):
+    n = odd_docs.count()
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, no_docs, sf).count() == 0
+        after = step(spark, odd_docs, sf)
+        texts = [r.text for r in after.collect()] if "text" in after.columns else None
+        if name == "line_dedup":
+            assert len(texts) == n
+        elif texts is not None:
+            assert after.columns == corpus_pipeline.COLUMNS and None in texts and "" in texts and len(texts) <= n
+        else:
+            assert after.filter("bin_id is null").count() == 3
