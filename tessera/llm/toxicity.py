@@ -17,12 +17,13 @@ from tessera.llm.textbytes import ALNUM, Texts, signed, slices
 DISCOUNT = 0.75
 ONCE = 1.0  # the discount of a pair that a class holds once: it counts in its backoff mass and continuations alone
 COMBINED = 1 << 20  # words whose pairs a task counts together before the shuffle
-SENT = 1 << 18, 1 << 21  # how many of the most frequent words and pairs are sent to all tasks; texts are joined with the others
+SENT = 1 << 18, 1 << 22  # how many of the most frequent words and pairs are sent to all tasks; texts are joined with the others
 BITS = 26  # the bitmap of the other entries, which spares the join names that stand in none, has 2**BITS places
 CALIBRATION_ROWS = 20_000  # labelled rows on which the weights of the features are fitted
 FEATURES = 3
 WORD = (1 << 32) - 1  # stands as the left word in the name of a single word
 THRESHOLD = 0.3
+STEPS = 256  # what a pair adds to a log ratio is told in steps of 1 / STEPS, two bytes each in the tasks
 MODELS = ("", "_n")  # of all counts, and without those of the fold on which the weights are fitted
 
 
@@ -157,7 +158,7 @@ def _entries(counts: DataFrame) -> tuple[DataFrame, dict[str, Totals]]:
 
     def more(m: str) -> Column:
         gain = [F.when(F.col(f"d{c}{m}") > 0, F.log1p(F.col(f"d{c}{m}") / F.col(f"p{c}{m}"))).otherwise(0.0) for c in (0, 1)]
-        return (gain[1] - gain[0]).cast("float").alias(f"more{m}")
+        return (F.round((gain[1] - gain[0]) * STEPS) / STEPS).cast("float").alias(f"more{m}")
 
     none = F.lit(0).cast("float")
     pairs = telling.select("name", "n", F.lit(False).alias("word"), *(more(m) for m in MODELS), *(none.alias(f"backoff{m}") for m in MODELS))
@@ -181,7 +182,7 @@ def _cut(entries: DataFrame, most: int) -> int:
 
 
 class Sent(NamedTuple):
-    """Frequent entries by name in order: arrays of names, of more and (of words) of backoff, by model."""
+    """Frequent entries by name in order: arrays of names, of more (of pairs in steps) and of words' backoff, by model."""
     names: np.ndarray
     more: list[np.ndarray]
     backoff: list[np.ndarray]
@@ -192,7 +193,8 @@ class Sent(NamedTuple):
         names = found.column(0).to_numpy().view(np.uint64)
         order = np.argsort(names)
         arrays = [x.to_numpy(zero_copy_only=False).astype(np.float32)[order] for x in found.columns[1:]]
-        return cls(names[order], arrays[:2], arrays[2:])
+        more = arrays[:2] if len(values) > 1 else [np.clip(np.rint(x * STEPS), -32768, 32767).astype(np.int16) for x in arrays]
+        return cls(names[order], more, arrays[2:])
 
     def find(self, names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of names, and which of them are there."""
@@ -250,7 +252,9 @@ def _local(texts: Texts, lookup: Lookup, models: range) -> tuple[np.ndarray, lis
         for k, m in enumerate(models):
             if there.any():
                 more = np.where(there, np.nan_to_num(sent.more[m][at]), 0)[back].astype(np.float64)
-                if kind == "word":
+                if kind == "pair":
+                    more /= STEPS
+                else:
                     more += np.where(there, np.nan_to_num(sent.backoff[m][at]), 0)[back] * followed
                     value = np.where(there & ~np.isnan(sent.more[m][at]), sent.more[m][at] + np.float32(lookup.unseen[m]), np.float32(-np.inf))[back]
                     tops[k] = _top_two(value.astype(np.float32), name, words)

@@ -435,7 +435,7 @@ def test_toxicity_is_the_same_whatever_is_sent_and_is_kneser_ney(spark):
     texts = {r.doc_id: r.text for r in docs.collect() if r.text}
     ratio = brute.kneser_ney([(texts[r.doc_id], r.toxic) for r in labels.collect() if zlib.crc32(str(r.doc_id).encode()) % 4 != 2])
     for i in (0, 6, 77, 10_000, 10_001, 20_002, 20_003):
-        assert abs(found[i][0] - ratio(texts[i])) < 1e-4
+        assert abs(found[i][0] - ratio(texts[i])) < 1 / toxicity.STEPS
 
 
 def test_toxicity_counts_the_calibration_fold(spark):
