@@ -116,6 +116,11 @@ _CHUNKS = f"""{_PARTS}, sizes AS (SELECT *, length('def part_' || k || '(x):') +
 ORACLE_SQL = {
     "code_symbols": f"WITH {_SYMBOLS} SELECT * FROM symbols",
     "code_edges": f"WITH {_EDGES} SELECT edge_type, from_id, to_id, uri FROM edges",
+    "code_nodes": """WITH p AS (SELECT count(*) AS n, count(DISTINCT p_size) AS z, count(DISTINCT p_partkey % 10) AS m FROM part), s AS (SELECT count(*) AS n, count(DISTINCT s_nationkey) AS z FROM supplier), t AS (SELECT count(*) AS n, count(DISTINCT n_regionkey) AS z FROM nation),
+      r AS (SELECT count(*) AS n FROM region), gone AS (SELECT count(*) AS n FROM supplier WHERE s_suppkey NOT IN (SELECT p_partkey FROM part))
+      SELECT labels, n, n_placed FROM (SELECT unnest([{'labels': 'CodeFile', 'n': p.n + gone.n, 'n_placed': 0}, {'labels': 'CodeFile,Test', 'n': r.n, 'n_placed': 0}, {'labels': 'Document,Migration', 'n': t.n, 'n_placed': 0}, {'labels': 'Module', 'n': p.n + r.n + 1 + p.m, 'n_placed': 0},
+        {'labels': 'Function', 'n': 2 * p.n + s.n, 'n_placed': 2 * p.n}, {'labels': 'Class', 'n': p.n, 'n_placed': p.n}, {'labels': 'Function,Test', 'n': r.n, 'n_placed': r.n}, {'labels': 'Document', 'n': 3 * s.n, 'n_placed': 2 * s.n}, {'labels': 'APIEndpoint', 'n': p.n + 2 * s.n, 'n_placed': 0},
+        {'labels': 'Config', 'n': p.z + s.z, 'n_placed': 0}, {'labels': 'DBTable', 'n': t.n + t.z, 'n_placed': 0}, {'labels': 'Source', 'n': 1, 'n_placed': 0}, {'labels': 'Repository', 'n': 1, 'n_placed': 0}], recursive := true) FROM p, s, t, r, gone)""",
     "code_chunks": f"WITH {_CHUNKS} SELECT * FROM chunks",
     "markdown_chunks": """SELECT 'docs/supplier' || s_suppkey || '.md' AS uri, 1 AS start_line, 3 AS end_line, 'Supplier ' || s_suppkey AS context_path,
       CAST(length('# Supplier ' || s_suppkey) + 1 + length('Read src/b' || (s_suppkey % 10) || '/part' || s_suppkey || '.py and `part_' || s_suppkey || '`.') AS INTEGER) AS n_chars FROM supplier

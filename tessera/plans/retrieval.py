@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tessera.operators import metrics, retrieval
+from tessera.operators import metrics, product, retrieval
 from tessera.plans.tables import table
 
 
@@ -80,12 +79,9 @@ def mode_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
 def skill_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The parts whose names share most words with each distinct part type, as skills are ranked for a question."""
     part = table(spark, sf_dir, "part")
-    asked = part.select("p_type").distinct().select("p_type", F.explode(F.array_distinct(F.split(F.lower("p_type"), "[^a-z0-9]+"))).alias("term")).filter("length(term) >= 3")
-    words = part.select("p_partkey", "p_retailprice", F.explode(F.array_distinct(F.split(F.lower(F.concat_ws(" ", "p_name", "p_type")), "[^a-z0-9]+"))).alias("term"))
-    n = asked.groupBy("p_type").agg(F.count("*").alias("n"))
-    shared = words.join(asked, "term").groupBy("p_type", "p_partkey", "p_retailprice").agg(F.count("*").alias("shared")).join(n, "p_type")
-    scored = shared.select("p_type", "p_partkey", F.round(F.col("shared") / F.col("n") + 0.2 * F.col("p_retailprice") / 10000, 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("p_type").orderBy(F.desc("score"), "p_partkey"))).filter("rank <= 5")
+    held = part.select(F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("name"), F.concat_ws(" ", "p_name", "p_type").alias("description"), F.lit("flow").alias("tier"), (F.col("p_retailprice") / 10000).alias("confidence"))
+    found = product.find_skills(held, part.select(F.col("p_type").alias("query_id"), F.col("p_type").alias("query")).distinct())
+    return found.select(F.col("query_id").alias("p_type"), F.col("name").cast("long").alias("p_partkey"), "score", "rank")
 
 
 QUERIES = {f.__name__: f for f in (bm25_topk, grep_topk, rrf_fusion, dense_topk, quality_gate, hybrid_quota_merge, rerank_overlap, eval_ir_metrics, mode_ablation, skill_rank)}
