@@ -51,7 +51,7 @@ def run_ingest(resources: DataFrame, product: str, state: str, embed: Callable[[
     current = resources.select(F.lit(product).alias("product_id"), "uri", "content", content_hash(F.col("content")).alias("content_hash"), F.lit(embedding_version).alias("embedding_version"), F.lit(graph_version).alias("graph_version"))
     diff = ingest.manifest_diff(current, mine, ["product_id", "uri"])
     changed = diff.filter("action in ('added', 'updated')").select("product_id", "uri")
-    cut = chunking.split_oversized(current.join(changed, ["product_id", "uri"], "left_semi"), "uri", "content").filter("length(content) > 0")
+    cut = chunking.split_oversized(current.join(changed, ["product_id", "uri"], "left_semi"), "uri", "content", least=1).filter("length(content) > 0")
     fresh = cut.select(F.lit(product).alias("product_id"), "uri", chunking.chunk_id(product).alias("chunk_id"), "start_line", "end_line", "content", (embed or hashed_embedding())(F.col("content")).alias("embedding"))
     fresh = fresh.dropDuplicates(["product_id", "chunk_id"])
     gone = diff.filter("action in ('updated', 'removed')").select("product_id", "uri")
