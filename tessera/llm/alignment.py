@@ -179,17 +179,18 @@ class Fragment(NamedTuple):
 
 # ---- texts of one range ------------------------------------------------------------------------------------------
 
+def _closed_before(b: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Whether the character that ends at each byte (1 and up) is surely no white space for either tokenizer."""
+    last, two, three = b[at - 1], b[np.maximum(at - 2, 0)].astype(np.int64), b[np.maximum(at - 3, 0)].astype(np.int64)
+    wide = (two == 0xC2) | np.isin(three << 8 | two, (0xE19A, 0xE280, 0xE281, 0xE380))  # all that begin like white space beyond ASCII
+    return NOT_SPACE[last] & ~((last >= 28) & (last < 32)) & ~((last >= 128) & wide)
+
+
 def segment_starts(b: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Where texts (which begin at starts) can be cut so that either tokenizer treats the parts alike: before a space
     that follows what is surely no white space. No token of either holds a space after another character."""
-    space = b == 32
-    free = np.zeros(len(b), bool)
-    free[1:] = space[1:] & NOT_SPACE[b[:-1]] & ~((b[:-1] >= 28) & (b[:-1] < 32))
-    wide = np.flatnonzero(free[1:] & (b[:-1] >= 128)) + 1  # white space beyond ASCII, widely taken
-    two, three = b[np.maximum(wide - 2, 0)], b[np.maximum(wide - 3, 0)].astype(np.int64) << 8 | b[np.maximum(wide - 2, 0)]
-    free[wide[(two == 0xC2) | np.isin(three, (0xE19A, 0xE280, 0xE281, 0xE380))]] = False
-    free[starts] = True
-    return np.flatnonzero(free)
+    space = np.flatnonzero(b[1:] == 32) + 1
+    return np.union1d(starts, space[_closed_before(b, space)])
 
 
 class Segments:
@@ -215,10 +216,10 @@ class Segments:
             found[new] = np.arange(len(self.written), len(self.written) + len(new))
             self.place.update(zip(names[new].tolist(), found[new].tolist(), strict=True))
             waiting, size = [], 0
-            for k in first[new]:
+            for k, apart in zip(first[new], ~_closed_before(b, ends[first[new]]), strict=True):
                 waiting.append(b[starts[k]:ends[k]].tobytes())
                 size += len(waiting[-1])
-                if size > TOGETHER:
+                if size > TOGETHER or apart:  # white space at its end may join what comes after it
                     self._add(waiting)
                     waiting, size = [], 0
             self._add(waiting)
