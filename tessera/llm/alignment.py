@@ -20,7 +20,7 @@ from tessera.llm.weights import SENT, Held, grouped, weigh
 
 RANGE = 1 << 15  # bytes of a text that make a fragment of their own
 FAN = 8  # fragments that one task composes
-KNOWN = 400_000  # different segments whose fragments a task remembers; forgetting them only costs time
+KNOWN = 700_000  # different segments whose fragments a worker remembers; forgetting them only costs time
 TOGETHER = 1 << 16  # bytes of segments that are encoded at once
 
 
@@ -114,23 +114,32 @@ class Open(NamedTuple):
 NOTHING = Open(*[np.zeros(0, np.int64)] * 4)
 
 
-def closed(tokens: Open, pair: Pair) -> tuple[str, int, np.ndarray]:
-    """What whole groups hold: their written form, their number, and the name of each link in them."""
-    if not len(tokens.a):
-        return "", 0, np.zeros(0, np.uint64)
+def groups_of(tokens: Open, pair: Pair) -> tuple[list[str], np.ndarray]:
+    """The written form of each group of tokens that begin and end together, and where the groups end."""
     ends = np.intersect1d(tokens.a_ends, tokens.b_ends, assume_unique=True)
     upto = [np.searchsorted(x, ends, "right").tolist() for x in (tokens.a_ends, tokens.b_ends)]
-    written = [[table[k] for k in ids.tolist()] for table, ids in zip(pair.written, (tokens.a, tokens.b), strict=True)]
+    a, b = ([table[k] for k in ids.tolist()] for table, ids in zip(pair.written, (tokens.a, tokens.b), strict=True))
     said, i, j = [], 0, 0
     for x, y in zip(*upto, strict=True):
-        said.append(f"{','.join(written[0][i:x])}|{','.join(written[1][j:y])}")
+        said.append(f"{a[i]}|{b[j]}" if x - i == 1 and y - j == 1 else f"{','.join(a[i:x])}|{','.join(b[j:y])}")
         i, j = x, y
-    begins = tokens.a_ends - pair.length[0][tokens.a]
-    first = np.searchsorted(tokens.b_ends, begins, "right")
-    after = np.searchsorted(tokens.b_ends - pair.length[1][tokens.b], tokens.a_ends, "left")
-    many = after - first
+    return said, ends
+
+
+def links_of(tokens: Open, pair: Pair) -> tuple[np.ndarray, np.ndarray]:
+    """The name of each pair of overlapping tokens, in order of A, and how many pairs each token of A has."""
+    first = np.searchsorted(tokens.b_ends, tokens.a_ends - pair.length[0][tokens.a], "right")
+    many = np.searchsorted(tokens.b_ends - pair.length[1][tokens.b], tokens.a_ends, "left") - first
     at = np.repeat(first - np.cumsum(many) + many, many) + np.arange(many.sum())
-    return ";".join(said), len(said), pair.name(np.repeat(tokens.a, many), tokens.b[at])
+    return pair.name(np.repeat(tokens.a, many), tokens.b[at]), many
+
+
+def closed(tokens: Open, pair: Pair) -> tuple[str, int, np.ndarray]:
+    """What whole groups hold: their written form, their number, and the name of each link in them."""
+    if not len(tokens.a):
+        return "", 0, np.zeros(0, np.uint64)
+    said = groups_of(tokens, pair)[0]
+    return ";".join(said), len(said), links_of(tokens, pair)[0]
 
 
 class Fragment(NamedTuple):
@@ -203,26 +212,33 @@ class Segments:
     def forget(self) -> None:
         self.place: dict[int, int] = {}
         self.written: list[str | None] = []  # None: bytes that a tokenizer changes
-        self.links: list[np.ndarray] = []
-        self.numbers: list[tuple[int, int, int, int]] = []  # n_a, n_b, n_groups, n_links
+        self.numbers = np.zeros((0, 4), np.int64)  # n_a, n_b, n_groups, n_links
+        self.links = np.zeros(0, np.uint64)  # of all segments, in order of their places
+        self.begin = np.zeros(1, np.int64)
+        self._new: list[tuple[np.ndarray, np.ndarray]] = []
 
     def places(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         names, first, back = np.unique(span_hashes(b, starts, ends, BYTE_VALUE), return_index=True, return_inverse=True)
         if len(self.place) + len(names) > KNOWN:
             self.forget()
-        found = np.fromiter((self.place.get(x, -1) for x in names.tolist()), np.int64, len(names))
+        get = self.place.get
+        found = np.fromiter((get(x, -1) for x in names.tolist()), np.int64, len(names))
         new = np.flatnonzero(found < 0)
         if len(new):
             found[new] = np.arange(len(self.written), len(self.written) + len(new))
             self.place.update(zip(names[new].tolist(), found[new].tolist(), strict=True))
             waiting, size = [], 0
-            for k, apart in zip(first[new], ~_closed_before(b, ends[first[new]]), strict=True):
-                waiting.append(b[starts[k]:ends[k]].tobytes())
-                size += len(waiting[-1])
+            for start, end, apart in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), (~_closed_before(b, ends[first[new]])).tolist(), strict=True):
+                waiting.append(b[start:end].tobytes())
+                size += end - start
                 if size > TOGETHER or apart:  # white space at its end may join what comes after it
                     self._add(waiting)
                     waiting, size = [], 0
             self._add(waiting)
+            self.numbers = np.concatenate([self.numbers, *(n for n, _ in self._new)])
+            self.links = np.concatenate([self.links, *(x for _, x in self._new)])
+            self.begin = np.r_[0, np.cumsum(self.numbers[:, 3])]
+            self._new = []
         return found[back]
 
     def _add(self, raw: list[bytes]) -> None:
@@ -234,19 +250,22 @@ class Segments:
                 self._add(raw[len(raw) // 2:])
                 return
             self.written.append(None)
-            self.links.append(np.zeros(0, np.uint64))
-            self.numbers.append((0, 0, 0, 0))
+            self._new.append((np.zeros((1, 4), np.int64), np.zeros(0, np.uint64)))
             return
         tokens, stops = Open(*tokens), np.cumsum([len(x) for x in raw])
-        at = [np.searchsorted(x, stops, "right").tolist() for x in (tokens.a_ends, tokens.b_ends)]
-        i, j = 0, 0
-        for x, y in zip(*at, strict=True):
-            part = Open(tokens.a[i:x], tokens.a_ends[i:x], tokens.b[j:y], tokens.b_ends[j:y])
-            said, n, links = closed(part, self.pair)
-            self.written.append(said)
-            self.links.append(links)
-            self.numbers.append((x - i, y - j, n, len(links)))
-            i, j = x, y
+        said, ends = groups_of(tokens, self.pair)
+        names, many = links_of(tokens, self.pair)
+        upto = [np.searchsorted(x, stops, "right") for x in (tokens.a_ends, tokens.b_ends, ends)]
+        groups = [0, *upto[2].tolist()]
+        self.written += [";".join(said[i:j]) for i, j in zip(groups, groups[1:])]
+        upto.append(np.r_[0, np.cumsum(many)][upto[0]])
+        self._new.append((np.diff(np.stack(upto, axis=1), axis=0, prepend=0), names))
+
+
+@functools.cache
+def _known(path_a: str, path_b: str) -> Segments:
+    """One for each Python worker: tasks that follow each other in it need not encode the same segments again."""
+    return Segments(pair_of(path_a, path_b))
 
 
 COLUMNS = [("n_a", pa.int64()), ("n_b", pa.int64()), ("n_groups", pa.int64()), ("n_links", pa.int64()), ("groups", pa.string()), ("names", pa.list_(pa.int64())), ("times", pa.list_(pa.int32()))]
@@ -260,9 +279,9 @@ def _aligned(texts: Texts, known: Segments) -> list[pa.Array]:
     place = known.places(texts.bytes, starts, ends)
     of = np.searchsorted(starts, texts.offsets)
     text = np.repeat(np.arange(texts.n), np.diff(of))
-    used, back = np.unique(place, return_inverse=True)
-    numbers = np.array([known.numbers[k] for k in used.tolist()], np.int64).reshape(-1, 4)[back]
-    written = [known.written[k] for k in place.tolist()]
+    numbers = known.numbers[place]
+    table = known.written
+    written = [table[k] for k in place.tolist()]
     said = []
     for i in range(texts.n):
         part = written[of[i]:of[i + 1]]
@@ -270,16 +289,13 @@ def _aligned(texts: Texts, known: Segments) -> list[pa.Array]:
     whole = np.array([bool(x) for x in said], bool)
     sums = [np.bincount(text, numbers[:, k], texts.n).astype(np.int64) * whole for k in range(4)]
     # links: a segment's, as often as the text holds it
-    key, times = np.unique(text.astype(np.int64) << 32 | back, return_counts=True)
+    key, times = np.unique(text.astype(np.int64) << 32 | place, return_counts=True)
     keep = whole[key >> 32]
     key, times = key[keep], times[keep]
-    links = [known.links[k] for k in used.tolist()]
-    size = np.array([len(x) for x in links], np.int64)
-    begin = np.r_[0, np.cumsum(size)]
-    flat = np.concatenate(links) if links else np.zeros(0, np.uint64)
-    many = size[key & 0xFFFFFFFF]
-    at = np.repeat(begin[key & 0xFFFFFFFF] - np.cumsum(many) + many, many) + np.arange(many.sum())
-    distinct, inverse = np.unique(flat[at], return_inverse=True)
+    held = key & 0xFFFFFFFF
+    many = known.numbers[held, 3]
+    at = np.repeat(known.begin[held] - np.cumsum(many) + many, many) + np.arange(many.sum())
+    distinct, inverse = np.unique(known.links[at], return_inverse=True)
     pairs, count = grouped(np.repeat(key >> 32, many) << 32 | inverse, np.repeat(times, many))
     offsets = pa.array(np.searchsorted(pairs >> 32, np.arange(texts.n + 1)).astype(np.int32))
     return [*map(pa.array, sums), pa.array(said, pa.string()), pa.ListArray.from_arrays(offsets, signed(distinct[pairs & 0xFFFFFFFF])), pa.ListArray.from_arrays(offsets, pa.array(count.astype(np.int32)))]
@@ -287,7 +303,7 @@ def _aligned(texts: Texts, known: Segments) -> list[pa.Array]:
 
 def _of_short(docs: DataFrame, paths: tuple[str, str]) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Segments(pair_of(*paths))
+        known = _known(*paths)
         for batch in batches:
             for part, _ in slices(batch):
                 spaced = pc.binary_join_element_wise("", part.column(1).fill_null(""), " ")
