@@ -110,6 +110,73 @@ def shortest_paths(edges: DataFrame, seeds: DataFrame, types: list[str] | None =
     return reached
 
 
+# How much a relationship of each type counts, what a seed, a node and an edge count, and the labels that count more.
+TYPE_WEIGHTS = {"DECLARES": 1.4, "CONTAINS": 1.2, "HANDLES": 1.3, "EXPOSES": 1.3, "CALLS": 1.2, "COVERS": 1.1, "DOCUMENTS": 1.1, "MENTIONS": 0.6, "RELATED_TO": 0.5}
+SEED_RANK, NODE_RANK, EDGE_RANK = 10.0, 5.0, 3.0
+TELLING_LABELS = ["APIEndpoint", "Function", "Class", "Document"]
+
+
+def edge_score(edges: DataFrame) -> Column:
+    """What an edge counts by its confidence, freshness, extraction method and type; columns that edges lack count fully."""
+    def known(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit(1.0)) if name in edges.columns else F.lit(1.0)
+
+    method = F.when(F.coalesce(F.col("extraction_method"), F.lit("deterministic")) == "deterministic", 1.0).otherwise(0.75) if "extraction_method" in edges.columns else F.lit(1.0)
+    weights = F.create_map(*(F.lit(x) for pair in TYPE_WEIGHTS.items() for x in pair))
+    return EDGE_RANK * known("confidence") * known("freshness") * method * F.coalesce(weights[F.col("edge_type")], F.lit(1.0))
+
+
+def spread(edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """(query_id, node_id, score, path, edge_types): the strongest path of at most depth hops from the seeds of each query.
+
+    seeds: (query_id, node_id, types); a query follows active edges of its types, both ways. A path is as strong as the
+    product of its edges, each a share of the strongest edge there can be (so no edge adds strength); of equal ones the
+    shortest, then the first by its nodes, is kept. Each hop passes on only what got a better path, so a node may be
+    reached again by a longer but stronger one, and the work follows nodes and not paths.
+    """
+    most = EDGE_RANK * max(TYPE_WEIGHTS.values())
+    kept = edges.filter(F.coalesce(F.col("status"), F.lit("active")) == "active").withColumn("strength", F.least(edge_score(edges) / most, F.lit(1.0)))
+    arcs = kept.select(F.col("from_id").alias("here"), F.col("to_id").alias("there"), "edge_type", "strength").unionByName(
+        kept.select(F.col("to_id").alias("here"), F.col("from_id").alias("there"), "edge_type", "strength"))
+    arcs = cut(arcs.groupBy("here", "there", "edge_type").agg(F.max("strength").alias("strength")))
+    types = cut(seeds.groupBy("query_id").agg(F.first("types").alias("types")))
+    place = F.struct((-F.col("score")).alias("less"), F.size("path").alias("hops"), "path", "edge_types")
+    start = seeds.select("query_id", "node_id").distinct()
+    start = start.select("query_id", "node_id", F.lit(1.0).alias("score"), F.array("node_id").alias("path"), F.array().cast("array<string>").alias("edge_types"))
+    reached = start.select("query_id", "node_id", place.alias("best"))
+    frontier = cut(reached)
+    reached = frontier
+    for _ in range(min(depth, MOST_HOPS)):
+        step = frontier.join(types, "query_id").join(arcs, (F.col("node_id") == F.col("here")) & F.array_contains("types", F.col("edge_type")))
+        found = F.struct((F.col("best.less") * F.col("strength")).alias("less"), (F.col("best.hops") + 1).alias("hops"), F.concat("best.path", F.array("there")).alias("path"), F.concat("best.edge_types", F.array("edge_type")).alias("edge_types"))
+        step = step.select("query_id", F.col("there").alias("node_id"), found.alias("new")).groupBy("query_id", "node_id").agg(F.min("new").alias("new"))
+        both = reached.join(step, ["query_id", "node_id"], "full")
+        both = cut(both.select("query_id", "node_id", F.least("best", "new").alias("best"), F.coalesce(F.col("new") < F.col("best"), F.col("best").isNull()).alias("better")))
+        reached, frontier = both.drop("better"), both.filter("better").drop("better")
+    return reached.select("query_id", "node_id", (-F.col("best.less")).alias("score"), F.col("best.path").alias("path"), F.col("best.edge_types").alias("edge_types"))
+
+
+def ranks(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, depth: int = 2) -> DataFrame:
+    """(query_id, node_id, rank, score, path, edge_types, n_edges) of what spread() reaches from seeds (query_id, node_id, types).
+
+    A seed counts 10; a node (node_id, labels, confidence) 5 times its confidence, and 1.5 with a telling label, else 1;
+    and either at least what its best edge among the reached nodes counts. n_edges are the edges between reached nodes.
+    """
+    near = cut(spread(edges, seeds, depth))
+    known = near.join(nodes.select("node_id", "labels", F.coalesce("confidence", F.lit(1.0)).alias("_confidence")), "node_id", "left")
+    boost = F.when(F.arrays_overlap("labels", F.array(*map(F.lit, TELLING_LABELS))), 1.5).otherwise(1.0)
+    own = F.greatest(F.when(F.size("path") == 1, F.lit(SEED_RANK)), F.when(F.col("labels").isNotNull(), NODE_RANK * F.col("_confidence") + boost))
+    kept = edges.filter(F.coalesce(F.col("status"), F.lit("active")) == "active").select("from_id", "to_id", "edge_type", edge_score(edges).alias("_s"))
+    types = seeds.groupBy("query_id").agg(F.first("types").alias("types"))
+    ids = near.select("query_id", "node_id").join(types, "query_id")
+    within = ids.join(kept, (F.col("node_id") == F.col("from_id")) & F.array_contains("types", F.col("edge_type"))).drop("node_id", "types")
+    within = cut(within.join(ids.select(F.col("query_id").alias("_q"), F.col("node_id").alias("_n")), (F.col("query_id") == F.col("_q")) & (F.col("to_id") == F.col("_n"))).select("query_id", "from_id", "to_id", "edge_type", "_s"))
+    best = within.select("query_id", F.explode(F.array("from_id", "to_id")).alias("node_id"), "_s").groupBy("query_id", "node_id").agg(F.max("_s").alias("_s"))
+    counted = within.groupBy("query_id").agg(F.count("*").alias("n_edges"))
+    rows = known.select("query_id", "node_id", own.alias("_own"), "score", "path", "edge_types").join(best, ["query_id", "node_id"], "left").join(counted, "query_id", "left")
+    return rows.select("query_id", "node_id", F.round(F.greatest("_own", "_s"), 6).alias("rank"), F.round("score", 6).alias("score"), "path", "edge_types", F.coalesce("n_edges", F.lit(0)).alias("n_edges"))
+
+
 # The kinds of what a change may affect, by label, and what is to be checked for each.
 CATEGORIES = (("service", ["Service", "UIApp", "UIScreen"]), ("api", ["APIEndpoint"]), ("test", ["Test"]), ("code", ["Function", "Class", "Module", "CodeFile"]), ("doc", ["Document", "ADR", "Runbook"]),
               ("runtime", ["DBTable", "Migration", "Config", "FeatureFlag", "EventTopic"]), ("owner", ["Owner", "Team"]), ("delivery", ["Actor", "JiraTicket", "PR", "Commit", "Epic"]))

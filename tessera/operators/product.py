@@ -134,9 +134,3 @@ def labels_of(found: DataFrame, expected: DataFrame) -> DataFrame:
     best = met.groupBy("query_id", "file", "rank").agg(F.max_by(F.when(F.col("_hit"), F.col("expected")), F.when(F.col("_hit"), F.struct(F.length("expected"), "expected"))).alias("match"))
     named = best.select("query_id", F.coalesce("match", "file").alias("label"), "rank").groupBy("query_id", "label").agg(F.min("rank").alias("rank"))
     return named.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("rank", "label")))
-
-
-def follow_ups(seeds: DataFrame, understood: DataFrame, most: int = 4) -> DataFrame:
-    """(query_id, query): further queries from the names that the first results (query_id, context_path, score) bring up."""
-    named = seeds.filter("context_path is not null").withColumn("_r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "context_path"))).filter(F.col("_r") <= most)
-    return named.join(understood.select("query_id", "query"), "query_id").select("query_id", F.concat_ws(" ", "query", "context_path").alias("query")).distinct()

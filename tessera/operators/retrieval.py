@@ -18,6 +18,7 @@ from tessera.functions.scalars import tokens
 
 K1, B = 1.2, 0.75
 RRF_K = 60
+PROBES = 4  # chunks a result, found by rare terms, that are scored first
 # Words that a search for terms leaves out.
 STOP_WORDS = (
     "about after also before code could does each file find from have into make more most only other over same should show some such than that their them then "
@@ -34,13 +35,47 @@ def top(ranked: DataFrame, by: list[str], order: list[Column], k: int, name: str
     return ranked.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col(name) <= k)
 
 
+def reachable(asked: DataFrame, postings: DataFrame, k: int, key: str = "chunk_id", ratio: float = 1.0) -> DataFrame:
+    """(query_id, key, total) of all chunks whose total is at least ratio times the k-th best of their query (and of some others).
+
+    asked: (query_id, term); postings: (term, key, block, w), w > 0; a total is the sum of w over the terms of the query
+    that the chunk holds. blocks part the chunks so that the greatest w of a term within a block bounds it well.
+
+    The rarest terms of a query give it PROBES * k chunks, and the totals of the best k of these bound the k-th best from
+    below. The most frequent terms, as many as can't reach the bound together, make no candidates: chunks are found
+    by the other terms only, and looked up under the frequent ones only if what they have and the bounds of their block
+    for these terms can reach it. So no frequent term meets all its chunks with all its queries.
+    """
+    bounds = cut(postings.groupBy("term", "block").agg(F.max("w").alias("most"), F.count("*").alias("df")))
+    terms = cut(asked.join(bounds.groupBy("term").agg(F.max("most").alias("most"), F.sum("df").alias("df")), "term"))
+    by_rarity = Window.partitionBy("query_id").orderBy("df", "term")
+    before = F.coalesce(F.sum("df").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    seeds = terms.withColumn("_before", before).filter(F.col("_before") < PROBES * k).select("query_id", "term")
+
+    def totals(of: DataFrame) -> DataFrame:
+        return of.join(postings, "term").groupBy("query_id", key, "block").agg(F.sum("w").alias("part"))
+
+    probes = cut(top(totals(seeds), ["query_id"], [F.desc("part"), F.col(key)], k, "_r").select("query_id", key))
+    whole = probes.join(asked, "query_id").join(postings, ["term", key]).groupBy("query_id", key).agg(F.sum("w").alias("total"))
+    least = whole.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("total") * ratio - 1e-6).otherwise(0.0).alias("least"))
+    frequent = F.sum("most").over(Window.partitionBy("query_id").orderBy(F.desc("df"), "term").rowsBetween(Window.unboundedPreceding, 0))
+    split = cut(terms.join(least, "query_id").withColumn("passed", frequent < F.col("least")).select("query_id", "term", "least", "passed"))
+    passed = split.filter("passed").select("query_id", "term")
+    room = passed.join(bounds, "term").groupBy("query_id", "block").agg(F.sum("most").alias("room"))
+    found = totals(split.filter("not passed").select("query_id", "term")).join(room, ["query_id", "block"], "left").join(least, "query_id")
+    found = cut(found.filter(F.col("part") + F.coalesce("room", F.lit(0.0)) >= F.col("least")).select("query_id", key, "part", "least"))
+    more = found.select("query_id", key).join(passed, "query_id").join(postings, ["term", key]).groupBy("query_id", key).agg(F.sum("w").alias("more"))
+    total = F.col("part") + F.coalesce("more", F.lit(0.0))
+    return found.join(more, ["query_id", key], "left").withColumn("total", total).filter(F.col("total") >= F.col("least")).select("query_id", key, "total")
+
+
 def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, key: str = "chunk_id", text: str = "content") -> DataFrame:
     """(query_id, key, score, rank): the k best chunks of each query (query_id, query).
 
     Only terms that some query has are counted, so what is shuffled follows the matches and not the corpus; lengths
-    and document frequencies still cover all chunks.
+    and document frequencies still cover all chunks. Chunks are ranked as `reachable` tells, in blocks of like length.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term"))
+    asked = cut(queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("term")))
     split = chunks.select(key, tokens(F.col(text)).alias("terms"))
     size = split.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("mean_length"))
     words = split.select(key, F.size("terms").alias("length"), F.explode("terms").alias("term"))
@@ -49,7 +84,8 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int = 50, key: str = "chunk_i
     rarity = counted.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(size))  # size is one row
     rarity = rarity.withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     weight = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean_length")))
-    scored = counted.join(rarity, "term").join(asked, "term").groupBy("query_id", key).agg(F.round(F.sum(weight), 6).alias("score"))
+    weighted = cut(counted.join(rarity, "term").select("term", key, F.floor(2 * F.log2("length")).alias("block"), weight.alias("w")))
+    scored = reachable(asked, weighted, k, key).select("query_id", key, F.round("total", 6).alias("score"))
     return top(scored, ["query_id"], [F.desc("score"), F.col(key)], k)
 
 
@@ -73,7 +109,7 @@ def grep(chunks: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_id
     A term lies within one run of word characters. So each different run of the corpus is compared with the terms whose
     first four characters it holds, and texts meet terms by the runs they are found in.
     """
-    asked = queries.select("query_id", F.explode(search_terms(F.col("query"))).alias("term"))
+    asked = cut(queries.select("query_id", F.explode(search_terms(F.col("query"))).alias("term")))
     terms = asked.select("term").distinct().withColumn("piece", F.substring("term", 1, 4))
 
     def column(name: str, otherwise: Column) -> Column:
@@ -85,8 +121,12 @@ def grep(chunks: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_id
     runs = held.select(key, F.explode(F.array_distinct(F.regexp_extract_all(_folded(F.concat_ws("\n", "_file", "_context", "_text")), F.lit("[a-z0-9_./:-]{4,}"), F.lit(0)))).alias("run"))
     pieces = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 3), lambda p: F.substring(F.col("run"), p, F.lit(4)))))
     holds = runs.select("run").distinct().withColumn("piece", pieces).join(terms, "piece").filter(F.contains("run", "term")).select("run", "term").distinct()
-    met = runs.join(holds, "run").select(key, "term").distinct()
-    matched = met.join(asked, "term").groupBy("query_id", key).agg(F.collect_set("term").alias("terms")).join(held, key)
+    met = cut(runs.join(holds, "run").select("term", key, F.lit(0).alias("block"), F.lit(1.0).alias("w")).distinct())
+    # m terms give between 10 m and 12 m points, so texts are read only where 12 m reaches 10 times the k-th best m
+    likely = reachable(asked, met, k, key, 10 / 12).select("query_id", key)
+    listed = asked.groupBy("query_id").agg(F.collect_set("term").alias("asked"))
+    matched = likely.join(listed, "query_id").join(held, key)
+    matched = matched.withColumn("terms", F.filter("asked", lambda t: F.contains(_folded(F.concat_ws("\n", "_file", "_context", "_text")), t)))
     each = F.split("_text", r"\r\n?|\n")
 
     def count(part: Column) -> Column:

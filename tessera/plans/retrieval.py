@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.functions.lineage import cut
 from tessera.operators import metrics, product, retrieval
 from tessera.plans.tables import table
 
@@ -27,10 +28,11 @@ def grep_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lexical and the exact search, each run once for all that reads its ranks."""
     lexical = retrieval.bm25(_chunks(spark, sf_dir), _queries(spark, sf_dir), 50)
     exact = retrieval.grep(_chunks(spark, sf_dir), _queries(spark, sf_dir), 50)
     parts = [d.select("query_id", F.lit(k).alias("ranking"), "rank", "chunk_id", "score", F.lit(name).alias("source")) for k, (name, d) in enumerate((("bm25", lexical), ("grep", exact)))]
-    return parts[0].unionByName(parts[1])
+    return cut(parts[0].unionByName(parts[1]))
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,19 +62,19 @@ def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def eval_ir_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.score(*_judged(spark, sf_dir), k=10)
+    return metrics.score(*_judged(_rankings(spark, sf_dir)), k=10)
 
 
-def _judged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Rankings, and as relevant what the exact search ranks best: documents with the most search terms of a query."""
-    found = retrieval.bm25(_chunks(spark, sf_dir), _queries(spark, sf_dir), 10).select("query_id", F.col("chunk_id").alias("label"), "rank")
-    relevant = retrieval.grep(_chunks(spark, sf_dir), _queries(spark, sf_dir), 3).select("query_id", F.col("chunk_id").alias("label"))
-    return found, relevant
+def _judged(rankings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lexical ranking, and as relevant what the exact search ranks best: documents with the most search terms of a query."""
+    named = rankings.select("query_id", F.col("chunk_id").alias("label"), "rank", "source")
+    return named.filter("source = 'bm25' and rank <= 10").drop("source"), named.filter("source = 'grep' and rank <= 3").select("query_id", "label")
 
 
 def mode_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found, relevant = _judged(spark, sf_dir)
-    fused = retrieval.fuse(_rankings(spark, sf_dir), limit=10).select("query_id", F.col("chunk_id").alias("label"), "rank")
+    rankings = _rankings(spark, sf_dir)
+    found, relevant = _judged(rankings)
+    fused = retrieval.fuse(rankings, limit=10).select("query_id", F.col("chunk_id").alias("label"), "rank")
     return metrics.delta(metrics.score(found, relevant, 10), metrics.score(fused, relevant, 10))
 
 
