@@ -43,14 +43,14 @@ def product(spark: SparkSession, sf_dir: str) -> evidence.Product:
         chunk(held, -51 - F.col("r_regionkey"), F.concat(F.lit("regions/"), "r_name"), F.col("r_name"), F.concat("r_name", F.lit(" holds "), "names"), "graph_community_summary"),
         chunk(of_nation, -101 - F.col("s_suppkey"), s_file, F.col("s_name"), F.concat(F.lit("def located_"), "s_suppkey", F.lit('(): return "'), "n_name", F.lit('"')))))
 
-    def node(rows: DataFrame, kind: str, key: str, name: str, label: str, confidence: float) -> DataFrame:
-        return rows.select(_id(kind, F.col(key)).alias("node_id"), F.col(name).alias("name"), F.array(F.lit(label)).alias("labels"), F.lit(confidence).alias("confidence"))
+    def node(rows: DataFrame, kind: str, key: str, name: str, label: str, confidence: float, uri: Column) -> DataFrame:
+        return rows.select(_id(kind, F.col(key)).alias("node_id"), F.col(name).alias("name"), F.array(F.lit(label)).alias("labels"), F.lit(confidence).alias("confidence"), uri.alias("uri"))
 
     def edge(rows: DataFrame, kind: str, a: Column, b: Column, confidence: float, method: str = "deterministic") -> DataFrame:
         return rows.select(F.lit(kind).alias("edge_type"), a.alias("from_id"), b.alias("to_id"), F.lit("active").alias("status"), F.lit(confidence).alias("confidence"), F.lit(method).alias("extraction_method"))
 
     r, n, s = _id("region", F.col("r_regionkey")), _id("nation", F.col("n_nationkey")), _id("supplier", F.col("s_suppkey"))
-    nodes = reduce(DataFrame.unionByName, (node(region, "region", "r_regionkey", "r_name", "Service", 1.0), node(nation, "nation", "n_nationkey", "n_name", "APIEndpoint", 1.0), node(supplier, "supplier", "s_suppkey", "s_name", "Function", 0.9), node(part, "part", "p_partkey", "p_name", "DBTable", 0.5)))
+    nodes = reduce(DataFrame.unionByName, (node(region, "region", "r_regionkey", "r_name", "Service", 1.0, F.concat(F.lit("regions/"), "r_name")), node(nation, "nation", "n_nationkey", "n_name", "APIEndpoint", 1.0, n_file), node(supplier, "supplier", "s_suppkey", "s_name", "Function", 0.9, s_file), node(part, "part", "p_partkey", "p_name", "DBTable", 0.5, F.lit(None).cast("string"))))
     supplied = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     edges = reduce(DataFrame.unionByName, (edge(of_region, "CONTAINS", r, n, 1.0), edge(of_nation, "DECLARES", n, s, 0.9), edge(supplied, "CALLS", _id("part", F.col("l_partkey")), _id("supplier", F.col("l_suppkey")), 0.8, "model")))
     attached = nation.select((-1 - F.col("n_nationkey")).cast("long").alias("chunk_id"), n.alias("node_id")).unionByName(
@@ -112,8 +112,8 @@ _HELD = f"""
    UNION ALL SELECT -1 - n_nationkey, 'nations/' || n_name || '.md', n_name, n_name || ' lies in ' || r_name || '.', NULL FROM nation JOIN region ON n_regionkey = r_regionkey
    UNION ALL SELECT -51 - r_regionkey, 'regions/' || r_name, r_name, r_name || ' holds ' || names, 'graph_community_summary' FROM region JOIN (SELECT n_regionkey, array_to_string(list_sort(list(n_name)), ' ') AS names FROM nation GROUP BY 1) ON n_regionkey = r_regionkey
    UNION ALL SELECT -101 - s_suppkey, 'suppliers/s' || s_suppkey || '.py', s_name, 'def located_' || s_suppkey || '(): return "' || n_name || '"', NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey),
- nodes AS MATERIALIZED (SELECT 'region:' || r_regionkey AS node_id, r_name AS name, 'Service' AS label, 1.0::DOUBLE AS confidence FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'APIEndpoint', 1.0 FROM nation
-   UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'Function', 0.9 FROM supplier UNION ALL SELECT 'part:' || p_partkey, p_name, 'DBTable', 0.5 FROM part),
+ nodes AS MATERIALIZED (SELECT 'region:' || r_regionkey AS node_id, r_name AS name, 'Service' AS label, 1.0::DOUBLE AS confidence, 'regions/' || r_name AS uri FROM region UNION ALL SELECT 'nation:' || n_nationkey, n_name, 'APIEndpoint', 1.0, 'nations/' || n_name || '.md' FROM nation
+   UNION ALL SELECT 'supplier:' || s_suppkey, s_name, 'Function', 0.9, 'suppliers/s' || s_suppkey || '.py' FROM supplier UNION ALL SELECT 'part:' || p_partkey, p_name, 'DBTable', 0.5, NULL FROM part),
  edges AS MATERIALIZED (SELECT 'CONTAINS' AS edge_type, 'region:' || r_regionkey AS from_id, 'nation:' || n_nationkey AS to_id, 3.0::DOUBLE * 1.0 * 1.2::DOUBLE AS score FROM nation JOIN region ON n_regionkey = r_regionkey
    UNION ALL SELECT 'DECLARES', 'nation:' || n_nationkey, 'supplier:' || s_suppkey, 3.0::DOUBLE * 0.9::DOUBLE * 1.4::DOUBLE FROM supplier JOIN nation ON s_nationkey = n_nationkey
    UNION ALL SELECT DISTINCT 'CALLS', 'part:' || l_partkey, 'supplier:' || l_suppkey, 3.0::DOUBLE * 0.8::DOUBLE * 0.75::DOUBLE * 1.2::DOUBLE FROM lineitem),
