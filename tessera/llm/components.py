@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import stage
+from tessera.llm.storage import discard, files_for, stage
 
 
 def _least_neighbour(arcs: DataFrame) -> DataFrame:
@@ -27,6 +27,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
     joined, never gathered. Null ends and loops are ignored; no edges give no rows.
     """
     stars = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v").distinct(), name)
+    files = files_for(stars.count())
     while not _are_stars(stars):
         both = stars.select("u", "v").union(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = (
@@ -36,6 +37,7 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         down = large.filter("u <> v").distinct()
         small = down.join(_least_neighbour(down), "u")
         small = small.select(F.col("v").alias("u"), F.col("least").alias("v")).union(small.select("u", F.col("least").alias("v")))
-        stars = stage(small.filter("u <> v").distinct(), name)
+        old, stars = stars, stage(small.filter("u <> v").distinct(), name, files)
+        discard(old, collect=False)
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         stars.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import components
-from tessera.llm.storage import bitmap, discard, in_bitmap, small_batches, stage, with_key, without
+from tessera.llm.storage import bitmap, discard, files_for, in_bitmap, small_batches, stage, with_key, without
 from tessera.llm.storage import likely as may_be
 from tessera.llm.textbytes import NOT_SPACE, distinct_sets, mix, signed, slices
 
@@ -111,7 +111,7 @@ class _Measure:
         self.texts, self.prefixes, self.doc_of, self.shingle, self.percent = texts, prefixes, doc_of, shingle, percent
         self.lists: DataFrame | None = None
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
+    def __call__(self, pairs: DataFrame, files: int) -> DataFrame:
         """(a, b, low, high, linked): the distance lies between low and high; both are exact for all that may link."""
         percent = self.percent
         a = self.prefixes.select(F.col("k1").alias("a"), F.col("n").alias("n_a"), F.col("cells").alias("cells_a"))
@@ -124,12 +124,12 @@ class _Measure:
             .withColumn("low", 1 - F.col("most") / (F.col("n_a") + F.col("n_b") - F.col("most")))
             .select("a", "b", "n_a", "n_b", "low", F.expr(f"100 * most >= {percent} * (n_a + n_b - most)").alias("may_link"))
         )
-        found = stage(found, "bounds")
+        found = stage(found, "bounds", 8 * files)  # lists of cells are compared there
         near = found.filter("may_link")
         wanted = near.select(F.col("a").alias("k1")).union(near.select(F.col("b").alias("k1"))).distinct()
         if self.lists is not None:
             wanted = wanted.join(self.lists.select("k1"), "k1", "left_anti")
-        wanted = stage(wanted.join(self.doc_of, "k1"), "wanted")
+        wanted = stage(wanted.join(self.doc_of, "k1"), "wanted", files)
         if not wanted.isEmpty():
             more = stage(_shingle_lists(self.texts, wanted, self.shingle), "shingle-lists")
             self.lists = more if self.lists is None else self.lists.union(more)
@@ -144,13 +144,13 @@ class _Measure:
             .withColumn("low", 1 - F.col("shared") / F.col("either"))
             .select("a", "b", "low", F.col("low").alias("high"), F.expr(f"100 * shared >= {percent} * either").alias("linked")).distinct()
         )
-        exact = stage(exact.union(none), "measured")
-        discard(found, wanted)
+        exact = stage(exact.union(none), "measured", 8 * files + near.count() // 4000)  # and whole sets here
+        discard(found, wanted, collect=False)
         return exact
 
 
-def _rooted(edges: DataFrame) -> DataFrame:
-    return stage(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "rooted")
+def _rooted(edges: DataFrame, files: int) -> DataFrame:
+    return stage(components(edges.select(F.col("a").alias("u"), F.col("b").alias("v"))), "rooted", files)
 
 
 def _one_of_equal_cells(members: DataFrame) -> DataFrame:
@@ -183,7 +183,7 @@ def _links(texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Dat
     found = stage(_sets(texts, shingle), "sets")
     sets = found.filter("place is null").select("doc_id", "n", "k1")
     rarity = np.zeros(1 << RARITY_BITS, np.int64)
-    for row in found.filter("place is not null").groupBy("place").agg(F.sum("hits").alias("hits")).toLocalIterator():  # at most 2**17 rows
+    for row in found.filter("place is not null").groupBy("place").agg(F.sum("hits").alias("hits")).collect():  # at most 2**17 rows
         rarity[row["place"]] = row["hits"]
 
     dealt = _cells(texts, shingle, percent, rarity)
@@ -192,8 +192,9 @@ def _links(texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Dat
     likely = bitmap(shared, F.col("cell"), CELL_BITS)
     every = stage(_cells(texts, shingle, percent, rarity, likely).join(shared, "cell").distinct(), "members")
     discard(shared)
-    prefixes = stage(every.groupBy("k1").agg(F.first("n").alias("n"), F.collect_list("cell").alias("cells")), "prefixes")
+    prefixes = stage(every.groupBy("k1").agg(F.first("n").alias("n"), F.collect_list("cell").alias("cells")), "prefixes", files_for(every.count()))
     members = stage(_one_of_equal_cells(every), "cells")
+    files = files_for(members.count())  # what follows has about as many rows, or fewer
     discard(every)
     central = members.groupBy("k1").agg(F.sum("m").alias("central"))
     members = members.drop("m")
@@ -207,33 +208,34 @@ def _links(texts: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Dat
     rooted, parts, old = None, 1, []
     while True:
         if rooted is None:
-            left = stage(left.withColumn("root", F.col("k1")).withColumn("m", F.lit(0)), "left")
+            left = stage(left.withColumn("root", F.col("k1")).withColumn("m", F.lit(0)), "left", files)
         else:
             left = left.join(rooted.withColumnRenamed("node", "k1"), "k1", "left").withColumn("root", F.coalesce("root", "k1"))
             open_cells = left.groupBy("cell").agg(F.min("root").alias("r1"), F.max("root").alias("r2"), F.count("*").alias("m")).filter("r1 <> r2").select("cell", "m")
-            left = stage(left.join(open_cells, "cell"), "left")
-            discard(*old)
+            left = stage(left.join(open_cells, "cell"), "left", files)
+            discard(*old, collect=False)
+            files = files_for(left.count())
             if left.isEmpty():
                 discard(left, prefixes)
                 return sets, rooted
         part = F.lit(0) if rooted is None else F.when(F.col("m") <= SMALL, F.col("k1")).otherwise(F.pmod(F.xxhash64("k1"), F.lit(parts)))
         known = ["k1", "n", "at", "low", "high", "root"]
         pivots = left.groupBy("cell", part.alias("part")).agg(F.max(F.struct("central", *known)).alias("p"))
-        pivots = stage(pivots.select("cell", F.col("p.k1").alias("q"), *(F.col(f"p.{c}").alias(f"{c}_q") for c in known[1:])), "pivots")
+        pivots = stage(pivots.select("cell", F.col("p.k1").alias("q"), *(F.col(f"p.{c}").alias(f"{c}_q") for c in known[1:])), "pivots", files)
         pairs = left.join(pivots, "cell").filter("k1 <> q and root <> root_q").filter(near).filter(window)
-        measured = measure(pairs.select(F.least("k1", "q").alias("a"), F.greatest("k1", "q").alias("b")).distinct())
+        measured = measure(pairs.select(F.least("k1", "q").alias("a"), F.greatest("k1", "q").alias("b")).distinct(), files)
         linked = measured.filter("linked").select("a", "b")
         old = [left, pivots, measured]
         if rooted is None:  # the distances to the first pivots bound all later ones
             beside = left.drop("low", "high", "root", "m").join(pivots.select("cell", "q"), "cell").filter("k1 <> q")
             beside = beside.withColumn("a", F.least("k1", "q")).withColumn("b", F.greatest("k1", "q")).join(measured.select("a", "b", "low", "high"), ["a", "b"], "left")
             left = beside.select("cell", "k1", "n", "at", "central", F.coalesce("low", F.lit(0.0)).alias("low"), F.coalesce("high", F.lit(1.0)).alias("high"))
-            rooted = _rooted(linked)
+            rooted = _rooted(linked, files)
         else:
             left = left.drop("root", "m").join(pivots.select("cell", F.col("q").alias("k1")), ["cell", "k1"], "left_anti")
             if not linked.isEmpty():
-                before, rooted = rooted, _rooted(rooted.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked))
-                discard(before)
+                before, rooted = rooted, _rooted(rooted.filter("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")).union(linked), files_for(rooted.count()))
+                discard(before, collect=False)
         parts *= 64
 
 

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir. Only a session on one machine may leave it unset, and gets a temporary one."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="tessera-")
         spark.conf.set("spark.checkpoint.dir", where)
     path = spark._jvm.org.apache.hadoop.fs.Path(where)  # a path without a scheme is one of the default file system
@@ -27,23 +29,36 @@ def new_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it back: cuts the lineage at a copy that outlives executors."""
+ROWS = 250_000  # of narrow tables, that one file holds
+
+
+def files_for(rows: int) -> int:
+    """How many files a narrow table of so many rows is worth: what follows has a task for each."""
+    return max(1, -(-rows // ROWS))
+
+
+def stage(df: DataFrame, name: str, files: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: cuts the lineage at a copy that outlives executors.
+
+    With files, so many tasks write it, where its size is known to be worth no more than that.
+    """
     path = new_dir(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
+    (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def discard(*staged: DataFrame) -> None:
+def discard(*staged: DataFrame, collect: bool = True) -> None:
     """Remove the files of staged tables that nothing reads any more: all that came of them is written elsewhere.
 
-    The driver's JVM is asked to collect its garbage, as Spark removes the shuffle files of a finished query only then.
+    With collect, the driver's JVM is asked to collect its garbage, as Spark removes the shuffle files of a finished query
+    only then; loops over small tables leave that to what follows them.
     """
     for df in staged:
         for folder in {x.rpartition("/")[0] for x in df.inputFiles()}:
             path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-    staged[0].sparkSession._jvm.System.gc()
+    if collect:
+        staged[0].sparkSession._jvm.System.gc()
 
 
 @contextmanager
@@ -68,7 +83,7 @@ def bitmap(df: DataFrame, hashed: Column, bits: int) -> np.ndarray:
     parts = df.select(place.alias("place")).groupBy(F.expr("place div 32768").alias("part")).agg(
         F.bitmap_construct_agg(F.expr("place % 32768")).alias("bits"))
     out = np.zeros((1 << bits) // 8, np.uint8)
-    for row in parts.toLocalIterator():
+    for row in parts.collect():  # at once: an iterator runs a job for each partition
         at = row["part"] * 4096
         out[at:at + len(row["bits"])] = np.frombuffer(row["bits"], np.uint8)
     return out
