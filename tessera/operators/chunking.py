@@ -102,21 +102,23 @@ def split_spans(spans: DataFrame, least: int, target: int = TARGET, overlap: int
     return spans.drop("end_line").mapInArrow(split, schema)
 
 
-def _joined(each: DataFrame, spans: DataFrame, key: str = "uri") -> DataFrame:
-    """spans with content: their lines (key, line_no, line), joined."""
-    held = spans.join(each, key).filter(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
-    grouped = held.groupBy(*spans.columns).agg(F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
-    return grouped.select(*spans.columns, F.array_join(F.transform("_lines", lambda x: x["line"]), "\n").alias("content"))
+def _cut_out(resources: DataFrame, spans: DataFrame, key: str = "uri", text: str = "content") -> DataFrame:
+    """spans (key, start_line, end_line, ..) with content: those lines of their resource, a row of which meets all its spans at once."""
+    rows = F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n", -1)
+    others = [c for c in spans.columns if c != key]
+    grouped = spans.groupBy(key).agg(F.collect_list(F.struct(*others)).alias("_spans"))
+    held = resources.select(key, rows.alias("_rows")).join(grouped, key)
+    said = F.transform("_spans", lambda x: F.struct(*(x[c].alias(c) for c in others), F.array_join(F.slice("_rows", x["start_line"], x["end_line"] - x["start_line"] + 1), "\n").alias("content")))
+    return held.select(key, F.explode(said).alias("_s")).select(key, *(f"_s.{c}" for c in others), "_s.content")
 
 
 def code_chunks(resources: DataFrame, declared: DataFrame) -> DataFrame:
     """(uri, start_line, end_line, context_path, content) of code files (uri, content): their declarations (uri,
     start_line, end_line, context), and what lies between those that are kept; nothing shorter than LEAST."""
-    each = lines(resources)
-    kept = _joined(each, declared.select("uri", "start_line", "end_line", F.col("context").alias("context_path"))).filter(F.length("content") >= LEAST)
-    sizes = each.groupBy("uri").agg(F.max("line_no").alias("n"))
+    kept = _cut_out(resources, declared.select("uri", "start_line", "end_line", F.col("context").alias("context_path"))).filter(F.length("content") >= LEAST)
+    sizes = resources.select("uri", F.size(F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n", -1)).alias("n"))
     between = gaps(kept.select("uri", F.col("start_line").alias("start"), F.col("end_line").alias("end")), sizes, "uri")
-    rest = _joined(each, between.select("uri", F.col("start").cast("int").alias("start_line"), F.col("end").cast("int").alias("end_line"), F.lit("<module>").alias("context_path")))
+    rest = _cut_out(resources, between.select("uri", F.col("start").cast("int").alias("start_line"), F.col("end").cast("int").alias("end_line"), F.lit("<module>").alias("context_path")))
     rest = rest.withColumn("content", F.regexp_replace("content", r"\A\s+|\s+\z", "")).filter(F.length("content") >= LEAST)
     whole = kept.unionByName(rest)
     fits = F.length("content") <= MOST

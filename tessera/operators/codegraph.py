@@ -1,18 +1,21 @@
 """A product's graph from its resources: files, modules, declarations, calls, routes, settings, tables, headings and mentions.
 
-Resources are rows (uri, content, source_key, source_id). Languages are read by patterns over lines and by indentation,
-so a declaration reaches as far as deeper lines follow it; brackets that close it count to it.
+Resources are rows (uri, content, source_key, source_id). Code is read by scan.facts, all else by patterns over lines; both
+are cut once for all that reads them.
 """
 
 from __future__ import annotations
 
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.lineage import cut
 from tessera.functions.scalars import base_name, uuid5
+from tessera.operators import chunking, scan
 from tessera.operators.chunking import lines
 
 # The namespace of edge ids, and the forms of facts.
@@ -20,16 +23,9 @@ NAMESPACE = "1a41a1f2-a486-4aa7-bad5-a1a263ad91c2"
 CODE = r"(?i)\.(?:pyi?|jsx?|tsx?|go|rs|java|kts?|c|h|cc|cpp|hpp|sol)$"
 MARKDOWN = r"(?i)\.mdx?$"
 TEST_PATH = r"(?i)(^|/)(tests?|__tests__)/|(^|/|_)(test|spec)[_.-]"
-DECLARATION = r"^(\s*)(?:export\s+)?(?:default\s+)?(?:pub(?:lic)?\s+)?(?:abstract\s+)?(?:async\s+)?(def|function|func|fn|class|struct|interface|trait|enum|contract)\s+([A-Za-z_]\w*)"
-CLASSES = ["class", "struct", "interface", "trait", "enum", "contract"]
 ROUTE = r"""(?i)@[\w.]+\.(get|post|put|patch|delete|options|head)\(\s*['"]([^'"]+)['"]"""
-PY_IMPORT = r"^\s*(?:from\s+([A-Za-z_][\w.]*)\s+import|import\s+([A-Za-z_][\w.]*))"
-PY_FROM = r"^\s*from\s+([A-Za-z_][\w.]*)\s+import\s+(.+)$"
-JS_IMPORT = r"""^\s*import(?:\s+type)?(?:[^'"]*\s+from\s+)?['"]([^'"]+)['"]|require\(\s*['"]([^'"]+)['"]\s*\)"""
-JS_NAMED = r"""^\s*import\s+(?:([A-Za-z_$][\w$]*)\s*,?\s*)?(?:\{([^}]*)\})?[^'"]*from\s+['"]([^'"]+)['"]"""
 CONFIG = r"""os\.environ(?:\.get)?\(\s*['"]([A-Z0-9_]+)['"]|os\.getenv\(\s*['"]([A-Z0-9_]+)['"]|process\.env\.([A-Z0-9_]+)"""
 TABLE = r"""(?i)\b(?:CREATE|ALTER|DROP)\s+TABLE\s+(?:IF\s+(?:NOT\s+)?EXISTS\s+)?([A-Za-z_][\w.]*|"[^"]+")"""
-CALL = r"([A-Za-z_]\w*)\s*\("
 DOC_PATH = r"\b[\w./-]+\.(?:py|ts|tsx|js|jsx|go|rs|java|md|mdx|sql|yaml|yml|toml|json)\b"
 DOC_ROUTE = r"/[A-Za-z0-9_./:{}-]+"
 DOC_SYMBOL = r"`([A-Za-z_][A-Za-z0-9_]{2,})`"
@@ -56,59 +52,47 @@ def file_labels(uri: Column) -> Column:
     return F.array_sort(F.array_compact(F.array(*kinds)))
 
 
-def declarations(resources: DataFrame) -> DataFrame:
-    """(uri, name, kind, label, is_test, start_line, end_line, signature, context) of the declarations in code files.
+class Read(NamedTuple):
+    """Resources with their lines and the facts of their code, each cut once."""
+    resources: DataFrame
+    lines: DataFrame
+    facts: DataFrame
+
+
+def read(resources: DataFrame | Read) -> Read:
+    return resources if isinstance(resources, Read) else Read(resources, cut(lines(resources)), cut(scan.facts(resources)))
 
-    context names the declarations around it and itself, outermost first. A file's lines meet its declarations, so the
-    work is the product of the two for each file; files are bounded at ingest.
-    """
-    each = lines(resources.filter(F.col("uri").rlike(CODE))).filter(F.trim("line") != "")
-    each = each.withColumn("indent", F.length(F.regexp_extract("line", r"^(\s*)", 1)))
-    found = each.withColumn("kind", F.regexp_extract("line", DECLARATION, 2)).filter("kind <> ''")
-    found = found.select("uri", F.col("line_no").alias("start_line"), F.col("indent").alias("depth"), "kind", F.regexp_extract("line", DECLARATION, 3).alias("name"), F.col("line").alias("head"))
-    closes = F.trim("line").rlike(r"^[})\]]")
-    after = found.join(each.select("uri", "line_no", "indent", closes.alias("closes")), "uri").filter("line_no > start_line")
-    beyond = F.when((F.col("indent") < F.col("depth")) | (F.col("indent") == F.col("depth")) & ~F.col("closes"), F.col("line_no"))
-    ends = after.groupBy("uri", "start_line").agg(F.min(beyond).alias("beyond"), F.sort_array(F.collect_list("line_no")).alias("below"))
-    last = F.array_max(F.filter("below", lambda k: F.col("beyond").isNull() | (k < F.col("beyond"))))
-    found = found.join(ends, ["uri", "start_line"], "left").withColumn("end_line", F.coalesce(last, F.col("start_line")))
-    around = found.select("uri", F.struct("start_line", "end_line", "name").alias("outer"))
-    held = found.join(around, "uri").filter((F.col("outer.start_line") <= F.col("start_line")) & (F.col("outer.end_line") >= F.col("end_line")))
-    named = held.groupBy("uri", "start_line").agg(F.array_join(F.transform(F.sort_array(F.collect_list("outer")), lambda x: x["name"]), ".").alias("context"))
-    label = F.when(F.col("kind").isin(CLASSES), "Class").otherwise("Function")
-    test = F.col("uri").rlike(TEST_PATH) | F.col("name").rlike("^(?:test_|it_|spec_)")
-    signature = F.substring(F.regexp_replace(F.trim("head"), r"\s*[{:]\s*$", ""), 1, 120)
-    return found.join(named, ["uri", "start_line"]).select("uri", "name", "kind", label.alias("label"), test.alias("is_test"), "start_line", "end_line", signature.alias("signature"), "context")
 
+def declarations(resources: DataFrame | Read) -> DataFrame:
+    """(uri, name, kind, label, is_test, start_line, end_line, doc_line, signature, context) of the declarations in code files.
 
-def _imports(each: DataFrame) -> DataFrame:
-    """(uri, module): what code files import."""
-    python = F.col("uri").rlike(r"\.pyi?$")
-    form = [F.when(python, F.coalesce(F.nullif(F.regexp_extract("line", PY_IMPORT, 1), F.lit("")), F.regexp_extract("line", PY_IMPORT, 2))).otherwise(
-        F.coalesce(F.nullif(F.regexp_extract("line", JS_IMPORT, 1), F.lit("")), F.regexp_extract("line", JS_IMPORT, 2)))]
-    return each.filter(F.col("uri").rlike(CODE)).select("uri", form[0].alias("module")).filter("module <> ''").distinct()
+    context names the declarations around it and itself, outermost first; doc_line is where the comments above it begin.
+    """
+    found = resources.facts if isinstance(resources, Read) else scan.facts(resources)
+    test = F.col("uri").rlike(TEST_PATH) | F.col("name").rlike("^(?:test_|it_|spec_)")
+    return found.filter("fact = 'declaration'").select("uri", "name", "kind", "label", test.alias("is_test"), "start_line", "end_line", "doc_line", "signature", "context")
 
 
-def _imported_names(each: DataFrame) -> DataFrame:
-    """(uri, name, module): the local names that import clauses bind."""
-    python = F.col("uri").rlike(r"\.pyi?$")
-    clause = F.when(python, F.regexp_extract("line", PY_FROM, 2)).otherwise(F.concat_ws(",", F.regexp_extract("line", JS_NAMED, 1), F.regexp_extract("line", JS_NAMED, 2)))
-    module = F.when(python, F.regexp_extract("line", PY_FROM, 1)).otherwise(F.regexp_extract("line", JS_NAMED, 3))
-    some = each.filter(F.col("uri").rlike(CODE)).select("uri", module.alias("module"), F.explode(F.split(F.regexp_replace(clause, "[{}()]", ""), ",")).alias("part")).filter("module <> ''")
-    local = F.trim(F.element_at(F.split(F.trim("part"), r"\s+as\s+"), -1))
-    return some.select("uri", local.alias("name"), "module").filter(F.col("name").rlike(r"^[A-Za-z_$][\w$]*$")).groupBy("uri", "name").agg(F.max("module").alias("module"))
+def imports(resources: DataFrame | Read) -> DataFrame:
+    """(uri, module, external): what code files import; what begins with a dot, or with a folder above the file, is their own."""
+    found = resources.facts if isinstance(resources, Read) else scan.facts(resources)
+    folders = F.filter(F.slice(F.split("uri", "/"), 1, F.size(F.split("uri", "/")) - 1), lambda x: ~x.isin("", "."))
+    own = F.col("module").startswith(".") | F.array_contains(folders, F.regexp_extract("module", r"^[^./]*", 0))
+    return found.filter("fact = 'import'").select("uri", "module", (~own).alias("external")).distinct()
 
 
-def _calls(each: DataFrame, declared: DataFrame, product: str) -> DataFrame:
+def _calls(held: Read, product: str) -> DataFrame:
     """CALLS between declarations of a file, and from one to a module from which the name is imported; a local name hides an
-    imported one. The caller is the outermost declaration around the line."""
-    rows = each.filter(F.col("uri").rlike(r"\.(?:pyi?|jsx?|tsx?)$")).filter(~F.col("line").rlike(DECLARATION) & ~F.trim("line").rlike("^(?:@|#|//)"))
-    called = rows.select("uri", "line_no", F.explode(F.array_distinct(F.regexp_extract_all("line", F.lit(CALL), F.lit(1)))).alias("name"))
-    spans = declared.select("uri", "start_line", "end_line", F.col("name").alias("caller"), F.col("label").alias("caller_label"))
-    inside = called.join(spans, "uri").filter(F.col("line_no").between(F.col("start_line"), F.col("end_line")))
-    inside = inside.groupBy("uri", "line_no", "name").agg(F.min_by(F.struct("caller", "caller_label"), F.struct("start_line", "end_line")).alias("c")).select("uri", "name", "c.*").distinct()
+    imported one. The caller is the outermost declaration around the line: as these don't overlap, the last one that
+    begins before it, if it reaches that far."""
+    declared = declarations(held)
+    called = held.facts.filter("fact = 'call'").select("uri", "name", F.col("start_line").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("struct<caller:string,caller_label:string,end_line:int>").alias("c"))
+    outer = declared.filter(~F.contains("context", F.lit("."))).select("uri", F.lit(None).cast("string").alias("name"), F.col("start_line").alias("at"), F.lit(0).alias("kind"), F.struct(F.col("name").alias("caller"), F.col("label").alias("caller_label"), "end_line").alias("c"))
+    before = Window.partitionBy("uri").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    inside = outer.unionByName(called).withColumn("c", F.last("c", ignorenulls=True).over(before)).filter("kind = 1 and at <= c.end_line").select("uri", "name", "c.caller", "c.caller_label").distinct()
     local = declared.groupBy("uri", "name").agg(F.max_by("label", "start_line").alias("label"))
-    met = inside.join(local, ["uri", "name"], "left").join(_imported_names(each), ["uri", "name"], "left")
+    bound = held.facts.filter("fact = 'import' and name is not null").groupBy("uri", "name").agg(F.max("module").alias("module"))
+    met = inside.join(local, ["uri", "name"], "left").join(bound, ["uri", "name"], "left")
     to = F.when(F.col("label").isNotNull(), sid("symbol", product, F.col("uri"), F.col("name"), F.col("label"))).when(F.col("module").isNotNull(), sid("module", product, F.col("module")))
     edges = met.select(F.lit("CALLS").alias("edge_type"), sid("symbol", product, F.col("uri"), F.col("caller"), F.col("caller_label")).alias("from_id"), to.alias("to_id"), "uri")
     return edges.filter("to_id is not null and to_id <> from_id")
@@ -145,10 +129,11 @@ def _document_edges(each: DataFrame, product: str) -> list[DataFrame]:
         *(those(CONFIG, k, "MENTIONS", sid("config", product, name)) for k in (1, 2, 3)), those(DOC_SYMBOL, 1, "MENTIONS", sid("symbol", product, uri, name, "Function"))]
 
 
-def edges(resources: DataFrame, product: str) -> DataFrame:
+def edges(resources: DataFrame | Read, product: str) -> DataFrame:
     """(edge_id, edge_type, from_id, to_id, uri): each distinct fact of each resource."""
     uri = F.col("uri")
-    each, declared = lines(resources), declarations(resources)
+    held = read(resources)
+    resources, each, declared = held.resources, held.lines, declarations(held)
     file, module = sid("file", product, uri), sid("module", product, module_name(uri))
     code = resources.filter(uri.rlike(CODE))
     symbol = sid("symbol", product, uri, F.col("name"), F.col("label"))
@@ -165,18 +150,19 @@ def edges(resources: DataFrame, product: str) -> DataFrame:
     parts = [
         edge(resources, "CONTAINS", sid("source", product, F.col("source_key")), sid("repo", product, F.col("source_id"))), edge(resources, "CONTAINS", sid("repo", product, F.col("source_id")), file),
         edge(code, "CONTAINS", file, module), edge(declared, "DECLARES", module, symbol), edge(declared.filter("is_test"), "COVERS", symbol, module),
-        edge(_imports(each), "IMPORTS", module, sid("module", product, F.col("module"))), _calls(each, declared, product),
+        edge(imports(held), "IMPORTS", module, sid("module", product, F.col("module"))), _calls(held, product),
         edge(after, "HANDLES", F.coalesce("symbol", file), api), edge(route, "EXPOSES", file, api), edge(config, "READS", file, sid("config", product, F.col("key"))),
         edge(table, "WRITES", file, sid("dbtable", product, "default", F.regexp_replace("name", '^"|"$', ""))), *_document_edges(each, product)]
     facts = reduce(DataFrame.unionByName, parts).distinct()
     return facts.withColumn("edge_id", F.concat(F.lit("edge:"), uuid5(NAMESPACE, F.concat_ws("|", F.lit(product), "from_id", "edge_type", "to_id", "uri"))))
 
 
-def nodes(resources: DataFrame, product: str) -> DataFrame:
+def nodes(resources: DataFrame | Read, product: str) -> DataFrame:
     """(node_id, labels, name, uri, start_line, end_line): files, modules, declarations, headings, and what edges name besides."""
     uri = F.col("uri")
     none = F.lit(None).cast("int")
-    declared, heads = declarations(resources), _headings(lines(resources))
+    held = read(resources)
+    resources, declared, heads = held.resources, declarations(held), _headings(held.lines)
     labels = F.array_sort(F.array_compact(F.array("label", F.when(F.col("is_test"), "Test"))))
     own = [
         resources.select(sid("file", product, uri).alias("node_id"), file_labels(uri).alias("labels"), base_name(uri).alias("name"), "uri", none.alias("start_line"), none.alias("end_line")),
@@ -186,12 +172,24 @@ def nodes(resources: DataFrame, product: str) -> DataFrame:
     known = reduce(DataFrame.unionByName, own)
     kind = F.regexp_extract("node_id", "^([a-z]+):", 1)
     label = F.create_map(*(F.lit(x) for pair in (("source", "Source"), ("repo", "Repository"), ("module", "Module"), ("file", "CodeFile"), ("api", "APIEndpoint"), ("config", "Config"), ("dbtable", "DBTable"), ("symbol", "Function")) for x in pair))
-    ends = edges(resources, product).select(F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct().join(known.select("node_id"), "node_id", "left_anti")
+    ends = edges(held, product).select(F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct().join(known.select("node_id"), "node_id", "left_anti")
     rest = ends.select("node_id", F.array(label[kind]).alias("labels"), F.element_at(F.split("node_id", ":"), F.when(kind.isin("api", "symbol"), -2).otherwise(-1)).alias("name"), F.lit(None).cast("string").alias("uri"), none.alias("start_line"), none.alias("end_line"))
     every = known.unionByName(rest)
     return every.groupBy("node_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels"), F.max("name").alias("name"), F.max("uri").alias("uri"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
 
 
+def chunks(resources: DataFrame | Read) -> DataFrame:
+    """(uri, kind, start_line, end_line, context_path, content): code by its declarations with the comments above them, markdown
+    by its headings, and all else in runs of lines. Contents without any text have none."""
+    held = read(resources)
+    uri, some = F.col("uri"), held.resources.filter(F.trim(F.regexp_replace("content", r"\s+", " ")) != "")
+    declared = declarations(held).select("uri", F.col("doc_line").alias("start_line"), "end_line", "context")
+    code, text = some.filter(uri.rlike(CODE)), some.filter(uri.rlike(MARKDOWN))
+    plain = chunking.split_oversized(some.filter(~uri.rlike(CODE) & ~uri.rlike(MARKDOWN)).select("uri", "content")).select("uri", "start_line", "end_line", F.lit(None).cast("string").alias("context_path"), "content")
+    parts = [("code", chunking.code_chunks(code, declared)), ("doc", chunking.markdown_chunks(text, _headings(held.lines).select("uri", "at", "level", "title"))), ("doc", plain)]
+    return reduce(DataFrame.unionByName, (p.select("uri", F.lit(kind).alias("kind"), "start_line", "end_line", "context_path", "content") for kind, p in parts))
+
+
 def chunk_nodes(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """(chunk_id, node_ids) of chunks (chunk_id, uri, start_line, end_line): the declarations and headings a chunk overlaps, and its file's own nodes."""
     at = found.filter("uri is not null").select("uri", "node_id", F.col("start_line").alias("a"), F.col("end_line").alias("b"))

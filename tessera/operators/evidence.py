@@ -106,13 +106,13 @@ def _words(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_]{3,}"), F.lit(0)))
 
 
-def holding(rows: DataFrame, key: list[str], text: str, asked: DataFrame) -> DataFrame:
+def holding(rows: DataFrame, key: list[str], text: str, asked: DataFrame, form: str = r"[\p{L}\p{N}_]{3,}") -> DataFrame:
     """(query_id, key, n): how many terms of each query (query_id, term) rows (key, text) hold anywhere, in lower case.
 
-    A term lies within one run of word characters, so runs meet terms on the terms' first three characters and only
+    A term lies within one run of characters of the form, so runs meet terms on the terms' first three characters and only
     then are compared; terms have three at least.
     """
-    runs = rows.select(*key, F.explode(_words(F.col(text))).alias("run"))
+    runs = rows.select(*key, F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(form), F.lit(0)))).alias("run"))
     pieces = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 2), lambda p: F.substring(F.col("run"), p, F.lit(3)))))
     terms = asked.select("term").distinct().withColumn("piece", F.substring("term", 1, 3))
     met = runs.select("run").distinct().withColumn("piece", pieces).join(terms, "piece").filter(F.contains("run", "term")).select("run", "term").distinct()

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tessera.functions.lineage import cut
 from tessera.functions.scalars import content_hash, tokens
 from tessera.operators import chunking, ingest
-from tessera.sources import corpora
+from tessera.sources.commits import Commits
 
 CHUNKS = "product_id string, uri string, chunk_id string, start_line int, end_line int, content string, embedding array<float>"
 MANIFEST = "product_id string, uri string, content_hash string, embedding_version string, graph_version string, graph_status string, chunk_ids array<string>"
@@ -26,56 +27,47 @@ def hashed_embedding(dimension: int = 64) -> Callable[[Column], Column]:
     return embed
 
 
-def _state(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, int]:
-    try:
-        df = corpora.latest_snapshot(spark, path)
-    except Exception as e:  # nothing was written yet
-        if "FileNotFound" not in str(e) and not isinstance(e, ValueError):
-            raise
-        return spark.createDataFrame([], schema), 0
-    return df, int(df.inputFiles()[0].split("/v=")[1].split("/")[0]) if df.inputFiles() else 0
-
-
 def run_ingest(resources: DataFrame, product: str, state: str, embed: Callable[[Column], Column] | None = None, embedding_version: str = "e1", graph_version: str = "g1") -> DataFrame:
     """Bring the index of a product below `state` up to date with its resources (uri, content); returns (action, n).
 
-    Only added and updated resources are cut and embedded. The new index is written before the manifest that tells
-    of it, each as a new version beside the old: a run that ends early leaves the old state, and the next one repeats
-    the work. Resources that can't be read (null content) keep their chunks; removed ones lose them.
+    Only added and updated resources are cut and embedded. Index and manifest count from one commit on, so a run that ends
+    early leaves the old state and the next one repeats the work; one that another run has overtaken raises Conflict.
+    Resources that can't be read (null content) keep their chunks; removed ones lose them.
     """
     spark = resources.sparkSession
-    index, index_version = _state(spark, f"{state}/index", CHUNKS)
-    manifest, manifest_version = _state(spark, f"{state}/manifest", MANIFEST)
-    version = max(index_version, manifest_version) + 1
+    commits = Commits(spark, state)
+    number, at = commits.latest()
+    index, manifest = commits.read("index", CHUNKS, at), commits.read("manifest", MANIFEST, at)
     mine = manifest.filter(F.col("product_id") == product)
     current = resources.select(F.lit(product).alias("product_id"), "uri", "content", content_hash(F.col("content")).alias("content_hash"), F.lit(embedding_version).alias("embedding_version"), F.lit(graph_version).alias("graph_version"))
     diff = ingest.manifest_diff(current, mine, ["product_id", "uri"])
     changed = diff.filter("action in ('added', 'updated')").select("product_id", "uri")
-    cut = chunking.split_oversized(current.join(changed, ["product_id", "uri"], "left_semi"), "uri", "content", least=1).filter("length(content) > 0")
-    fresh = cut.select(F.lit(product).alias("product_id"), "uri", chunking.chunk_id(product).alias("chunk_id"), "start_line", "end_line", "content", (embed or hashed_embedding())(F.col("content")).alias("embedding"))
+    parts = chunking.split_oversized(current.join(changed, ["product_id", "uri"], "left_semi"), "uri", "content", least=1).filter("length(content) > 0")
+    fresh = parts.select(F.lit(product).alias("product_id"), "uri", chunking.chunk_id(product).alias("chunk_id"), "start_line", "end_line", "content", (embed or hashed_embedding())(F.col("content")).alias("embedding"))
     fresh = fresh.dropDuplicates(["product_id", "chunk_id"])
     gone = diff.filter("action in ('updated', 'removed')").select("product_id", "uri")
     kept = ingest.delete(index, gone, ["product_id", "uri"])
-    corpora.snapshot(kept.unionByName(fresh), f"{state}/index", version)
-    written = spark.read.parquet(f"{state}/index/v={version:010d}").filter(F.col("product_id") == product)
-    ids = written.groupBy("product_id", "uri").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
+    whole = cut(kept.unionByName(fresh))
+    ids = whole.filter(F.col("product_id") == product).groupBy("product_id", "uri").agg(F.sort_array(F.collect_list("chunk_id")).alias("chunk_ids"))
     states = current.filter("content_hash is not null").select("product_id", "uri", "content_hash", "embedding_version", "graph_version", F.lit("done").alias("graph_status"))
     unread = mine.join(diff.filter("action = 'unreadable'").select("product_id", "uri"), ["product_id", "uri"], "left_semi").drop("chunk_ids")
     after = states.unionByName(unread).join(ids, ["product_id", "uri"], "left")
     counted = ingest.counts(diff).collect()  # one row an action
     others = manifest.filter(F.col("product_id") != product)
-    corpora.snapshot(others.unionByName(after.select(*others.columns)), f"{state}/manifest", version)
+    commits.write({"index": whole, "manifest": others.unionByName(after.select(*others.columns))}, number)
     return spark.createDataFrame(counted, "action string, n long")
 
 
 def delete_product(spark: SparkSession, product: str, state: str, dry_run: bool = False) -> DataFrame:
-    """(table_name, n) of a product's rows, which are gone from the next versions unless dry_run."""
-    counts = []
-    for name, schema in (("index", CHUNKS), ("manifest", MANIFEST)):
-        table, version = _state(spark, f"{state}/{name}", schema)
-        counts.append((name, table.filter(F.col("product_id") == product).count()))
-        if not dry_run:
-            corpora.snapshot(table.filter(F.col("product_id") != product), f"{state}/{name}", version + 1)
+    """(table_name, n) of a product's rows in every table of the state that has a product_id: index, manifest, graph, skills and
+    whatever else was committed; they are all gone from the next commit at once, unless dry_run."""
+    commits = Commits(spark, state)
+    number, at = commits.latest()
+    held = {name: commits.read(name, "", at) for name in sorted(at)}
+    held = {name: df for name, df in held.items() if "product_id" in df.columns}
+    counts = [(name, df.filter(F.col("product_id") == product).count()) for name, df in held.items()]
+    if not dry_run:
+        commits.write({name: df.filter(~F.col("product_id").eqNullSafe(F.lit(product))) for (name, df), (_, n) in zip(held.items(), counts, strict=True) if n}, number)
     return spark.createDataFrame(counts, "table_name string, n long")
 
 

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.operators.evidence import holding
+from tessera.operators.facts import decoded
+
 # Forms of citations and list items, what sections must have, and what names files, routes or commands.
 CITATION = r"\[file:\s*[^\]\s:]+:\d+\]"
 ITEM = r"(?m)^\s*(?:\d+\.|[-*])\s"
@@ -78,17 +81,58 @@ def evaluation(documents: DataFrame, found: DataFrame, evidence: DataFrame, plan
     return rows.select("name", n.cast("long").alias("passed"), F.round(n / 5, 4).alias("quality"), F.when(n == 5, "passed").otherwise("failed").alias("status"))
 
 
-FACT = "subject string, predicate string, object string, confidence double, start_line int, end_line int"
-
-
 def facts(replies: DataFrame, least: float, most: int) -> DataFrame:
     """(reply_id, place, subject, predicate, object, confidence) of the facts in replies (reply_id, text) of a model.
 
     Text around the list is passed over, and of a list that is cut off the whole facts count. Facts without a subject,
     predicate or object, below the least confidence or with lines in the wrong order are left out; the first `most` stay.
     """
-    listed = F.regexp_extract_all(F.regexp_extract("text", r'(?s)"facts"\s*:\s*\[(.*)', 1), F.lit(r"\{[^{}]*\}"), F.lit(0))
-    each = replies.select("reply_id", F.posexplode(listed).alias("at", "j")).select("reply_id", "at", F.from_json("j", FACT).alias("f")).select("reply_id", "at", "f.*")
-    kept = each.filter("subject is not null and predicate is not null and object is not null and confidence >= " + str(least) + " and end_line >= start_line")
-    ordered = kept.groupBy("reply_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("at", "subject", "predicate", "object", "confidence"))), 1, most).alias("some"))
+    kept = decoded(replies).filter((F.col("confidence") >= least) & (F.col("end_line") >= F.col("start_line")))
+    ordered = kept.groupBy("reply_id").agg(F.slice(F.sort_array(F.collect_list(F.struct("place", "subject", "predicate", "object", "confidence"))), 1, most).alias("some"))
     return ordered.select("reply_id", F.posexplode("some").alias("place", "x")).select("reply_id", (F.col("place") + 1).alias("place"), "x.subject", "x.predicate", "x.object", "x.confidence")
+
+
+MARK = r"(?i)\[file:\s*[^\]]+?:\d+\]"
+CLAIM = "[a-z0-9_./:-]+"
+
+
+def miscited(documents: DataFrame, evidence: DataFrame, cited: list[str]) -> DataFrame:
+    """(name, place, problem) of the sections among `cited` that cite nothing, and of all that cite what evidence (file, line) doesn't
+    hold; without any evidence nothing can be told."""
+    found = sections(documents)
+    bare = found.filter(F.col("title").isin(cited) & ~F.col("content").rlike(MARK)).select("name", "place", F.lit("missing").alias("problem"))
+    marks = found.select("name", "place", F.explode(F.regexp_extract_all("content", F.lit(r"(?i)\[file:\s*([^\]]+?:\d+)\]"), F.lit(1))).alias("at"))
+    shown = evidence.select(F.concat_ws(":", "file", "line").alias("at")).distinct()
+    wrong = marks.join(shown, "at", "left_anti").select("name", "place").distinct().withColumn("problem", F.lit("wrong"))
+    return bare.unionByName(wrong).join(F.broadcast(evidence.limit(1).select(F.lit(1).alias("_any"))), F.lit(True), "left_semi")
+
+
+def repaired(documents: DataFrame, evidence: DataFrame, problems: DataFrame) -> DataFrame:
+    """(name, body, n_repaired): documents whose sections with problems (name, place, problem) cite the evidence that fits them best.
+
+    evidence: file, line, excerpt, score. What fits is told by how many different words of four characters or more of a
+    section its file and excerpt hold, then by score, file and line. A wrong section loses its citations first. The new
+    one stands at the end of the first list item, else of the first line of text, else on a line of its own.
+    """
+    parts = documents.select("name", F.posexplode(F.split(F.concat(F.lit("\n"), F.col("body")), r"\n(?=##[ \t]+\S)")).alias("place", "part"))
+    asked = parts.join(problems.select("name", "place").distinct(), ["name", "place"], "left_semi")
+    asked = asked.select(F.struct("name", "place").alias("query_id"), F.explode(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(F.regexp_replace("part", MARK, "")), F.lit(CLAIM), F.lit(0)), lambda t: F.length(t) >= 4))).alias("term"))
+    held = evidence.select("file", "line", "score", F.concat_ws(" ", "file", "excerpt").alias("_text"))
+    fits = holding(held, ["file", "line"], "_text", asked, "[a-z0-9_./:-]{3,}").select("query_id.name", "query_id.place", "file", "line", "n")
+    fits = fits.join(held.select("file", "line", "score"), ["file", "line"])
+    best = fits.groupBy("name", "place").agg(F.min(F.struct((-F.col("n")).alias("n"), (-F.coalesce("score", F.lit(0.0))).alias("s"), "file", "line")).alias("b"))
+    least = held.agg(F.min(F.struct((-F.coalesce("score", F.lit(0.0))).alias("s"), "file", "line")).alias("d"))  # one row, for sections that no evidence speaks of
+    todo = problems.groupBy("name", "place").agg(F.bool_or(F.col("problem") == "wrong").alias("wrong")).join(best, ["name", "place"], "left").crossJoin(F.broadcast(least))
+    todo = todo.select("name", "place", "wrong", F.concat(F.lit("[file: "), F.coalesce("b.file", "d.file"), F.lit(":"), F.coalesce("b.line", "d.line").cast("string"), F.lit("]")).alias("mark")).filter("mark is not null")
+    both = parts.join(todo, ["name", "place"], "left")
+    split = F.split(F.when(F.col("wrong"), F.regexp_replace("part", r"[ \t]*" + MARK, "")).otherwise(F.col("part")), "\n")
+    both = both.withColumn("rows", split)
+
+    both = both.withColumn("_item", F.try_element_at(F.filter(F.transform("rows", lambda x, i: F.struct(i.alias("i"), (x.rlike(r"^\s*(?:[-*]|\d+[.)])") & (i > 0)).alias("ok"))), lambda x: x["ok"]), F.lit(1))["i"])
+    both = both.withColumn("_text", F.try_element_at(F.filter(F.transform("rows", lambda x, i: F.struct(i.alias("i"), (x.rlike(r"\S") & ~x.rlike(r"^\s*```") & (i > 0)).alias("ok"))), lambda x: x["ok"]), F.lit(1))["i"])
+    at = F.coalesce("_item", "_text")
+    marked = F.transform("rows", lambda x, i: F.when(i == F.coalesce("_item", "_text"), F.concat(F.rtrim(x), F.lit(" "), F.col("mark"))).otherwise(x))
+    added = F.concat(F.filter("rows", lambda x, i: (i == 0) | (x != "")), F.array(F.concat(F.lit("- See indexed evidence "), F.col("mark"), F.lit("."))))
+    new = F.when(F.col("mark").isNull(), F.col("part")).otherwise(F.array_join(F.when(at.isNotNull(), marked).otherwise(added), "\n"))
+    whole = both.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", new.alias("part")))), lambda x: x["part"]), "\n").alias("body"), F.count("mark").alias("n_repaired"))
+    return whole.select("name", F.expr("substring(body, 2)").alias("body"), "n_repaired")

@@ -74,7 +74,36 @@ def folder_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codegraph.communities(codegraph.nodes(resources(spark, sf_dir), PRODUCT))
 
 
-QUERIES = {f.__name__: f for f in (code_symbols, code_edges, code_nodes, code_chunks, markdown_chunks, chunk_graph_nodes, folder_summaries)}
+def polyglot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A script for each supplier, a Go file for each nation and a Java class for each region."""
+    s, n, r = F.col("s_suppkey"), F.col("n_nationkey"), F.col("r_regionkey")
+    script = table(spark, sf_dir, "supplier").select(F.concat(F.lit("web/s"), s, F.lit(".ts")).alias("uri"), _lines(
+        ["import { load", F.col("s_nationkey"), " as load } from './nations';"], ["// Shows supplier( ", s, " )."], ["export const Show", s, " = async ({ id }) => {"], ["  const name = 'fake(' + load(id);"], ["  return render", s, "(name);"], ["};"],
+        ["function render", s, "(x) { return `call(${x})`; }"], ["class Box", s, " extends Base {"], ["  open() { return render", s, "(this); }"], ["}"]).alias("content"))
+    go = table(spark, sf_dir, "nation").select(F.concat(F.lit("svc/n"), n, F.lit(".go")).alias("uri"), _lines(
+        ["package svc"], ["import \"fmt\""], [], ["// Run", n, " starts it."], ["func (s *Nation", n, ") Run", n, "(x int) error {"], ["\treturn help", n, "(x)"], ["}"], ["type Nation", n, " struct {"], ["\tname string"], ["}"],
+        ["func help", n, "(x int) error { return fmt.Errorf(\"none()\") }"]).alias("content"))
+    java = table(spark, sf_dir, "region").select(F.concat(F.lit("jv/R"), r, F.lit(".java")).alias("uri"), _lines(
+        ["package jv;"], ["import java.util.List;"], ["/**"], [" * Region ", r, "."], [" */"], ["public class R", r, " {"], ["    public int get", r, "(int a) {"], ["        return add(a);"], ["    }"], ["    private int add(int a) { return a; }"], ["}"]).alias("content"))
+    return reduce(DataFrame.unionByName, (script, go, java)).select("uri", "content", F.lit("main").alias("source_key"), F.lit("git").alias("source_id"))
+
+
+def polyglot_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codegraph.declarations(polyglot(spark, sf_dir)).select("uri", "name", "label", "start_line", "end_line", "doc_line", "context", "signature")
+
+
+def polyglot_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codegraph.edges(polyglot(spark, sf_dir), PRODUCT)
+    return found.filter("edge_type in ('CALLS', 'IMPORTS')").select("edge_type", "from_id", "to_id", "uri")
+
+
+def polyglot_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of all kinds of resources, those of code with the comments above their declarations."""
+    both = polyglot(spark, sf_dir).unionByName(resources(spark, sf_dir).filter("uri like 'docs/%' or uri like 'db/%'"))
+    return codegraph.chunks(both).select("uri", "kind", "start_line", "end_line", "context_path")
+
+
+QUERIES = {f.__name__: f for f in (polyglot_symbols, polyglot_edges, polyglot_chunks, code_symbols, code_edges, code_nodes, code_chunks, markdown_chunks, chunk_graph_nodes, folder_summaries)}
 
 _PARTS = "parts AS (SELECT p_partkey AS k, p_size, 'src/b' || (p_partkey % 10) || '/part' || p_partkey || '.py' AS uri, 'src.b' || (p_partkey % 10) || '.part' || p_partkey AS module FROM part)"
 _SYMBOLS = f"""{_PARTS}, symbols AS (SELECT uri, 'part_' || k AS name, 'Function' AS label, false AS is_test, 5 AS start_line, 8 AS end_line, 'def part_' || k || '(x)' AS signature, 'part_' || k AS context FROM parts
@@ -113,7 +142,22 @@ _CHUNKS = f"""{_PARTS}, sizes AS (SELECT *, length('def part_' || k || '(x):') +
  UNION ALL SELECT uri, 1, 4, '<module>', CAST(head AS INTEGER) FROM sizes WHERE f >= 64 AND c < 64
  UNION ALL SELECT uri, 1, 9, '<module>', CAST(head + f + 1 AS INTEGER) FROM sizes WHERE f < 64 AND c >= 64
  UNION ALL SELECT uri, 1, 12, '<module>', CAST(head + f + c + 3 AS INTEGER) FROM sizes WHERE f < 64 AND c < 64)"""
+_POLYGLOT = """ts AS (SELECT s_suppkey AS k, s_nationkey AS n, 'web/s' || s_suppkey || '.ts' AS uri FROM supplier), gos AS (SELECT n_nationkey AS k, 'svc/n' || n_nationkey || '.go' AS uri FROM nation), jvs AS (SELECT r_regionkey AS k, 'jv/R' || r_regionkey || '.java' AS uri FROM region),
+ found AS (SELECT uri, 'Show' || k AS name, 'Function' AS label, 3 AS start_line, 6 AS end_line, 2 AS doc_line, 'Show' || k AS context, 'export const Show' || k || ' = async ({ id })' AS signature FROM ts
+ UNION ALL SELECT uri, 'render' || k, 'Function', 7, 7, 7, 'render' || k, 'function render' || k || '(x)' FROM ts UNION ALL SELECT uri, 'Box' || k, 'Class', 8, 10, 8, 'Box' || k, 'class Box' || k || ' extends Base' FROM ts
+ UNION ALL SELECT uri, 'open', 'Function', 9, 9, 9, 'Box' || k || '.open', 'open()' FROM ts
+ UNION ALL SELECT uri, 'Run' || k, 'Function', 5, 7, 4, 'Run' || k, 'func (s *Nation' || k || ') Run' || k || '(x int) error' FROM gos UNION ALL SELECT uri, 'Nation' || k, 'Class', 8, 10, 8, 'Nation' || k, 'type Nation' || k || ' struct' FROM gos
+ UNION ALL SELECT uri, 'help' || k, 'Function', 11, 11, 11, 'help' || k, 'func help' || k || '(x int) error' FROM gos
+ UNION ALL SELECT uri, 'R' || k, 'Class', 6, 11, 3, 'R' || k, 'public class R' || k FROM jvs UNION ALL SELECT uri, 'get' || k, 'Function', 7, 9, 7, 'R' || k || '.get' || k, 'public int get' || k || '(int a)' FROM jvs
+ UNION ALL SELECT uri, 'add', 'Function', 10, 10, 10, 'R' || k || '.add', 'private int add(int a)' FROM jvs)"""
 ORACLE_SQL = {
+    "polyglot_symbols": f"WITH {_POLYGLOT} SELECT * FROM found",
+    "polyglot_edges": f"""WITH {_POLYGLOT} SELECT 'IMPORTS' AS edge_type, 'module:shop:web.s' || k AS from_id, 'module:shop:./nations' AS to_id, uri FROM ts UNION ALL SELECT 'IMPORTS', 'module:shop:svc.n' || k, 'module:shop:fmt', uri FROM gos
+      UNION ALL SELECT 'IMPORTS', 'module:shop:jv.R' || k, 'module:shop:java.util.List', uri FROM jvs
+      UNION ALL SELECT 'CALLS', 'symbol:shop:' || uri || ':Show' || k || ':Function', 'module:shop:./nations', uri FROM ts UNION ALL SELECT 'CALLS', 'symbol:shop:' || uri || ':Show' || k || ':Function', 'symbol:shop:' || uri || ':render' || k || ':Function', uri FROM ts
+      UNION ALL SELECT 'CALLS', 'symbol:shop:' || uri || ':Box' || k || ':Class', 'symbol:shop:' || uri || ':render' || k || ':Function', uri FROM ts
+      UNION ALL SELECT 'CALLS', 'symbol:shop:' || uri || ':Run' || k || ':Function', 'symbol:shop:' || uri || ':help' || k || ':Function', uri FROM gos
+      UNION ALL SELECT 'CALLS', 'symbol:shop:' || uri || ':R' || k || ':Class', 'symbol:shop:' || uri || ':add:Function', uri FROM jvs""",
     "code_symbols": f"WITH {_SYMBOLS} SELECT * FROM symbols",
     "code_edges": f"WITH {_EDGES} SELECT edge_type, from_id, to_id, uri FROM edges",
     "code_nodes": """WITH p AS (SELECT count(*) AS n, count(DISTINCT p_size) AS z, count(DISTINCT p_partkey % 10) AS m FROM part), s AS (SELECT count(*) AS n, count(DISTINCT s_nationkey) AS z FROM supplier), t AS (SELECT count(*) AS n, count(DISTINCT n_regionkey) AS z FROM nation),

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.lineage import cut
-from tessera.operators import metrics, product, retrieval
+from tessera.operators import metrics, product, retrieval, vectors
 from tessera.plans.tables import table
 
 
@@ -46,6 +46,12 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.dense_topk(vectors, queries, 10)
 
 
+def vector_index_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As dense_topk, by an index of all rows."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vectors.search(vectors.build(rows), rows, rows.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), 10)
+
+
 def quality_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.gate_summary(retrieval.bm25(_chunks(spark, sf_dir), _queries(spark, sf_dir), 20), 20.0)
 
@@ -86,7 +92,7 @@ def skill_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("query_id").alias("p_type"), F.col("name").cast("long").alias("p_partkey"), "score", "rank")
 
 
-QUERIES = {f.__name__: f for f in (bm25_topk, grep_topk, rrf_fusion, dense_topk, quality_gate, hybrid_quota_merge, rerank_overlap, eval_ir_metrics, mode_ablation, skill_rank)}
+QUERIES = {f.__name__: f for f in (bm25_topk, grep_topk, rrf_fusion, dense_topk, vector_index_topk, quality_gate, hybrid_quota_merge, rerank_overlap, eval_ir_metrics, mode_ablation, skill_rank)}
 
 _BM25 = """
  words AS MATERIALIZED (SELECT doc_id AS chunk_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]+')) AS term FROM documents),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, skills
+from tessera.operators import facts, graph, skills, tickets
 from tessera.plans.tables import table
 
 REQUIRED, CITED, OPTIONAL, PROCEDURAL = ["Use This Skill When", "Rules", "Steps"], ["Rules"], ["Testing Strategy"], ["Steps"]
@@ -73,7 +73,53 @@ def merged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.merge_facts(known, found)
 
 
-QUERIES = {f.__name__: f for f in (skill_problems, skill_rules, skill_evaluation, skill_names, parsed_facts, merged_facts)}
+def resolved_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The replies' facts among parts and suppliers: parts of even keys and all suppliers are known, other parts become nodes of their order."""
+    even = table(spark, sf_dir, "part").filter("p_partkey % 2 = 0").select(F.concat(F.lit("part:"), "p_partkey").alias("node_id"))
+    nodes = even.unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("node_id"))).select("node_id", F.array(F.upper("node_id")).alias("names"), F.lit(None).cast("string").alias("uri"))
+    told = facts.valid(facts.decoded(_replies(spark, sf_dir)).withColumn("predicate", F.lit("depends_on")), 0.3, 3).withColumn("uri", F.concat(F.lit("order/"), "reply_id"))
+    ends = facts.resolved(told, nodes, "shop")
+    known = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(
+        F.lit("DEPENDS_ON").alias("edge_type"), F.concat(F.lit("part:"), "l_partkey").alias("from_id"), F.concat(F.lit("supplier:"), "l_suppkey").alias("to_id"), F.lit(0.5).alias("confidence"), F.lit("known").alias("anchor")).distinct()
+    return facts.merge(known, told, ends).drop("evidence")
+
+
+def _tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ticket for each customer below that of half its key, and for each supplier, in pairs that are each other's parents."""
+    c, s = F.col("c_custkey"), F.col("s_suppkey")
+    meta = F.to_json(F.struct(F.struct(
+        F.concat(F.lit("CUS-"), c).alias("key"), F.when(c == 0, "Epic").otherwise("Task").alias("issue_type"), F.col("c_name").alias("summary"), F.when(c > 0, F.concat(F.lit("CUS-"), F.floor(c / 2))).alias("parent"),
+        F.concat(F.lit("Nation "), "c_nationkey").alias("assignee"), F.col("c_mktsegment").alias("labels"), F.array(F.concat(F.lit("SUP-"), c % 10), F.concat(F.lit("CUS-"), c)).alias("linked_keys"), F.struct(F.lit(1).alias("deep")).alias("extra")).alias("jira")))
+    own = F.to_json(F.struct(F.struct(F.concat(F.lit("SUP-"), s).alias("key"), F.concat(F.lit("SUP-"), s.bitwiseXOR(F.lit(1))).alias("parent")).alias("jira")))
+    return table(spark, sf_dir, "customer").select(F.concat(F.lit("jira:shop:CUS-"), c).alias("uri"), F.concat(meta, F.lit("\n# Ticket {"), c, F.lit("\n")).alias("content")).unionByName(
+        table(spark, sf_dir, "supplier").select(F.concat(F.lit("jira:shop:SUP-"), s).alias("uri"), F.concat(F.lit("Seen.\n"), own).alias("content")))
+
+
+def ticket_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tickets.edges(tickets.tickets(_tickets(spark, sf_dir)), "p").select("edge_type", "from_id", "to_id", "relationship", "uri")
+
+
+def ticket_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tickets.rolled_up(tickets.tickets(_tickets(spark, sf_dir)))
+
+
+def _claims(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Documents of suppliers whose rules cite nothing (every third), what isn't there, or what is, and evidence for nations."""
+    k, n = F.col("s_suppkey"), F.col("s_nationkey")
+    mark = F.when(k % 3 == 1, " [file: src/none.py:7]").when(k % 3 == 2, " [file: src/n0.py:1]").otherwise("")
+    body = F.concat(F.lit("# Doc "), k, F.lit("\n## Rules\nFirst the "), F.lit("nation"), n, F.lit(" ledger.\n- Keep nation"), n, F.lit(" apart."), mark, F.lit("\n## Notes\nplain\n"))
+    documents = table(spark, sf_dir, "supplier").select(F.concat(F.lit("doc-"), k).alias("name"), body.alias("body"))
+    nation = table(spark, sf_dir, "nation")
+    evidence = nation.select(F.concat(F.lit("src/n"), "n_nationkey", F.lit(".py")).alias("file"), F.lit(1).alias("line"), F.concat(F.lit("def of_nation"), "n_nationkey", F.lit("x(): ledger")).alias("excerpt"), (F.col("n_nationkey") / 100).alias("score"))
+    return documents, evidence
+
+
+def repaired_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, evidence = _claims(spark, sf_dir)
+    return skills.repaired(documents, evidence, skills.miscited(documents, evidence, ["Rules"]))
+
+
+QUERIES = {f.__name__: f for f in (resolved_facts, ticket_edges, ticket_rollup, repaired_citations, skill_problems, skill_rules, skill_evaluation, skill_names, parsed_facts, merged_facts)}
 
 _PROBLEMS = """problems AS (SELECT 'skill-' || k AS name, section, problem FROM (SELECT s_suppkey AS k FROM supplier) s CROSS JOIN (VALUES
  (NULL, 'no title'), ('Use This Skill When', 'missing'), ('Rules', 'few cited rules'), ('Steps', 'concrete claim needs citation'), ('Steps', 'duplicate'), ('Extra', 'unexpected'), ('Testing Strategy', 'optional needs evidence')) p(section, problem)
@@ -97,4 +143,15 @@ ORACLE_SQL = {
     "parsed_facts": f"WITH {_FACTS} SELECT * FROM parsed",
     "merged_facts": f"""WITH {_FACTS}, both_ AS (SELECT DISTINCT 'SUPPLIED_BY' AS edge_type, 'part:' || l_partkey AS from_id, 'supplier:' || l_suppkey AS to_id, 0.5::DOUBLE AS confidence, 0 AS o FROM lineitem WHERE l_returnflag = 'R'
       UNION ALL SELECT predicate, subject, object, confidence, 1 FROM parsed) SELECT edge_type, from_id, to_id, max(confidence) AS confidence, count(*) AS n_sources FROM both_ GROUP BY ALL""",
+    "resolved_facts": f"""WITH {_FACTS}, told AS (SELECT 'DEPENDS_ON' AS edge_type, CASE WHEN CAST(split_part(subject, ':', 2) AS BIGINT) % 2 = 0 AND CAST(split_part(subject, ':', 2) AS BIGINT) IN (SELECT p_partkey FROM part) THEN subject ELSE 'function:shop:order/' || reply_id || ':' || subject END AS from_id,
+      CASE WHEN CAST(split_part(object, ':', 2) AS BIGINT) IN (SELECT s_suppkey FROM supplier) THEN object ELSE 'function:shop:order/' || reply_id || ':' || object END AS to_id, confidence, 'order/' || reply_id || ':3' AS anchor FROM parsed),
+      known AS (SELECT DISTINCT 'DEPENDS_ON', 'part:' || l_partkey, 'supplier:' || l_suppkey, 0.5::DOUBLE, 'known' FROM lineitem WHERE l_returnflag = 'R')
+      SELECT edge_type, from_id, to_id, max(confidence) AS confidence, count(DISTINCT anchor) AS n_sources, array_to_string(list_sort(list_distinct(list(anchor))), ',') AS anchors FROM (SELECT * FROM told UNION ALL SELECT * FROM known) GROUP BY ALL""",
+    "ticket_edges": """WITH c AS (SELECT c_custkey AS k, c_nationkey AS n, 'jira:p:shop:CUS-' || c_custkey AS id, 'jira:shop:CUS-' || c_custkey AS uri FROM customer)
+      SELECT 'PART_OF_FLOW' AS edge_type, id AS from_id, 'jira:p:shop:CUS-' || (k // 2) AS to_id, 'parent' AS relationship, uri FROM c WHERE k > 0 UNION ALL SELECT 'ASSIGNED_TO', id, 'actor:p:nation ' || n, 'assignee', uri FROM c
+      UNION ALL SELECT 'RELATED_TO', id, 'jira:p:shop:SUP-' || (k % 10), 'mentions', uri FROM c UNION ALL SELECT 'PART_OF_FLOW', 'jira:p:shop:SUP-' || s_suppkey, 'jira:p:shop:SUP-' || xor(s_suppkey, 1), 'parent', 'jira:shop:SUP-' || s_suppkey FROM supplier""",
+    "ticket_rollup": """SELECT 'shop' AS site, 'CUS-' || c_custkey AS key, 'CUS-0' AS root, CASE WHEN c_custkey = 0 THEN 0 ELSE CAST(floor(log2(c_custkey)) AS BIGINT) + 1 END AS depth, false AS in_cycle FROM customer
+      UNION ALL SELECT 'shop', 'SUP-' || s_suppkey, least('SUP-' || s_suppkey, 'SUP-' || xor(s_suppkey, 1)), NULL, true FROM supplier""",
+    "repaired_citations": """SELECT 'doc-' || k AS name, '# Doc ' || k || chr(10) || '## Rules' || chr(10) || 'First the nation' || n || ' ledger.' || chr(10) || '- Keep nation' || n || ' apart.' || CASE WHEN k % 3 = 2 THEN ' [file: src/n0.py:1]' ELSE ' [file: src/n' || best || '.py:1]' END
+      || chr(10) || '## Notes' || chr(10) || 'plain' || chr(10) AS body, CAST(CASE WHEN k % 3 = 2 THEN 0 ELSE 1 END AS BIGINT) AS n_repaired FROM (SELECT s_suppkey AS k, s_nationkey AS n, (SELECT max(n_nationkey) FROM nation WHERE contains('nation' || n_nationkey, 'nation' || s_nationkey)) AS best FROM supplier)""",
 }

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import scalars
-from tessera.operators import chunking, extract, graph, ingest, joins, metrics, retrieval, views
+from tessera.operators import chunking, codegraph, graph, ingest, joins, metrics, retrieval, views
 from tessera.sources import corpora
 
 
@@ -65,18 +65,18 @@ def test_packed_lines_stand_in_their_text(text):
 
 def test_heading_paths(spark):
     text = "# A\n## B\ntext\n### C\n## D\n# E\n#### F"
-    found = chunking.sections(extract.headings(spark.createDataFrame([("u", text)], "uri string, content string")), "uri")
+    found = chunking.sections(codegraph._headings(chunking.lines(spark.createDataFrame([("u.md", text)], "uri string, content string"))).drop("parent"), "uri")
     assert [r.path for r in found.orderBy("at").collect()] == ["A", "A / B", "A / B / C", "A / D", "E", "E / F"]
     assert [r.parent for r in found.orderBy("at").collect()] == [None, "A", "B", "A", None, "E"]
 
 
 def test_extraction_of_facts(spark):
-    text = "import os\nfrom app.db import x\nKEY = os.environ['API_KEY']\n@app.get('/users')\ndef users():\n    pass\nclass Repo:\n    sql = 'CREATE TABLE IF NOT EXISTS jobs (id)'\n"
-    resources = spark.createDataFrame([("a.py", text)], "uri string, content string")
-    got = rows(extract.edges(resources, "p"), "edge_type", "to_id", "line_no")
-    assert got == [("EXPOSES", "exposes:p:/users", 4), ("IMPORTS", "imports:p:app.db", 2), ("IMPORTS", "imports:p:os", 1), ("READS", "reads:p:API_KEY", 3), ("WRITES", "writes:p:jobs", 8)]
-    assert rows(extract.symbols(resources), "kind", "name", "line_no", "signature") == [("class", "Repo", 7, "class Repo"), ("function", "users", 5, "def users()")]
-    assert [r.name for r in extract.rank_symbols(extract.symbols(resources), ["repo"]).collect()] == ["Repo"]
+    text = "import os\nfrom app.db import x\nKEY = os.getenv('API_KEY')\n@app.get('/users')\ndef users():\n    pass\nclass Repo:\n    sql = 'Repo(id)'\n"
+    resources = spark.createDataFrame([("a.py", text, "m", "g")], "uri string, content string, source_key string, source_id string")
+    got = set(rows(codegraph.edges(resources, "p"), "edge_type", "to_id"))
+    assert {("EXPOSES", "api:p:GET:/users:a"), ("IMPORTS", "module:p:app.db"), ("IMPORTS", "module:p:os"), ("READS", "config:p:API_KEY"), ("DECLARES", "symbol:p:a.py:users:Function")} <= got and not any(k == "CALLS" for k, _ in got)
+    assert rows(codegraph.declarations(resources), "kind", "name", "start_line", "signature") == [("class", "Repo", 7, "class Repo"), ("def", "users", 5, "def users()")]
+    assert rows(codegraph.imports(resources), "module", "external") == [("app.db", True), ("os", True)]
 
 
 def test_traversal_skips_stale_edges_and_grows_with_depth(spark):

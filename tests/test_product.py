@@ -1,4 +1,7 @@
+import pytest
+
 from tessera.operators import product
+from tessera.sources.commits import Commits, Conflict
 
 
 def resources(spark, **texts):
@@ -14,18 +17,18 @@ def test_two_runs_touch_only_what_changed(spark, tmp_path):
     first = resources(spark, a="alpha\n" * 300, b="beta", c="gamma", d="delta")
     assert counts(product.run_ingest(first, "p", state)) == {"added": 4}
     assert counts(product.run_ingest(resources(spark, x="other"), "q", state)) == {"added": 1}
-    before = {r.chunk_id: r.uri for r in product.corpora.latest_snapshot(spark, f"{state}/index").collect()}
+    before = {r.chunk_id: r.uri for r in Commits(spark, state).read("index", product.CHUNKS).collect()}
     second = resources(spark, a="alpha\n" * 300, b="changed", d=None)
     assert counts(product.run_ingest(second, "p", state)) == {"unchanged": 1, "updated": 1, "removed": 1, "unreadable": 1}
-    index = product.corpora.latest_snapshot(spark, f"{state}/index")
+    index = Commits(spark, state).read("index", product.CHUNKS)
     assert {r.uri for r in index.collect()} == {"a", "b", "d", "x"} and {r.content for r in index.filter("uri = 'b'").collect()} == {"changed"}
     assert {k for k, u in before.items() if u == "a"} == {r.chunk_id for r in index.filter("uri = 'a'").collect()}
     assert counts(product.run_ingest(second, "p", state, embedding_version="e2")) == {"updated": 2, "unreadable": 1}
-    manifest = {r.uri: r for r in product.corpora.latest_snapshot(spark, f"{state}/manifest").collect()}
+    manifest = {r.uri: r for r in Commits(spark, state).read("manifest", product.MANIFEST).collect()}
     assert set(manifest) == {"a", "b", "d", "x"} and all(manifest[u].chunk_ids for u in "abdx")
     assert counts(product.delete_product(spark, "p", state, True))["manifest"] == 3
     product.delete_product(spark, "p", state)
-    assert [r.uri for r in product.corpora.latest_snapshot(spark, f"{state}/index").collect()] == ["x"]
+    assert [r.uri for r in Commits(spark, state).read("index", product.CHUNKS).collect()] == ["x"]
 
 
 def test_skills_labels_and_maps(spark):
@@ -43,3 +46,26 @@ def test_summaries(spark):
     nodes = spark.createDataFrame([("u", "Function", "f"), ("u", "Function", "a"), ("u", "Class", "C")], "uri string, label string, name string")
     edges = spark.createDataFrame([("u", "CALLS")], "uri string, edge_type string")
     assert product.summary_chunks(nodes, edges).first().content == "Nodes: Class: 1, Function: 2\nEdges: CALLS: 1\nNames: C, a, f"
+
+
+def test_a_commit_is_whole_or_not_at_all(spark, tmp_path, monkeypatch):
+    state = f"file://{tmp_path}"
+    commits = Commits(spark, state)
+    a, b = (spark.createDataFrame([("p", k), ("q", k)], "product_id string, x int") for k in (1, 2))
+    assert commits.latest() == (0, {}) and commits.write({"index": a, "nodes": a, "skills": a, "words": spark.range(3)}, 0) == 1
+    monkeypatch.setattr(Commits, "_publish", lambda *x: (_ for _ in ()).throw(KeyboardInterrupt()))
+    with pytest.raises(KeyboardInterrupt):  # ends between the tables and the commit
+        Commits(spark, state).write({"index": b, "nodes": b}, 1)
+    monkeypatch.undo()
+    assert commits.latest()[0] == 1 and {r.x for r in commits.read("nodes", "x int").collect()} == {1} and len(commits.unused()) == 2
+    rival = Commits(spark, state)
+    since = rival.latest()[0]
+    assert commits.write({"nodes": b}, since) == 2
+    with pytest.raises(Conflict):
+        rival.write({"index": b}, since)
+    with pytest.raises(Conflict):
+        rival._publish(2, {})
+    assert {r.x for r in commits.read("index", "x int").collect()} == {1} and {r.x for r in commits.read("nodes", "x int").collect()} == {2}
+    assert counts(product.delete_product(spark, "p", state, True)) == {"index": 1, "nodes": 1, "skills": 1}
+    product.delete_product(spark, "p", state)
+    assert [{r.product_id for r in commits.read(t, "x int").collect()} for t in ("index", "nodes", "skills")] == [{"q"}] * 3 and commits.read("words", "x int").count() == 3
