@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.storage import stage
+from tessera.llm.storage import discard, stage
 
 # Forms of entities, titles and the names that stand in for names.
-TITLES = {"m": ["Mr", "Herr", "Monsieur", "Señor", "Господин"], "f": ["Mrs", "Ms", "Frau", "Madame", "Señora", "Госпожа"]}
+TITLES = {"m": ["Mr", "Sir", "Lord", "Herr", "Monsieur", "Señor", "Господин"], "f": ["Mrs", "Ms", "Miss", "Mx", "Lady", "Dame", "Frau", "Madame", "Mademoiselle", "Señora", "Señorita", "Госпожа"],
+          "n": ["Dr", "Doctor", "Doktor", "Prof", "Professor", "Доктор", "Профессор"]}
+PARTICLES = "van von der den de del della di da dos du la le ten ter zu zur al bin".split()
 GIVEN = {
     ("m", "latin"): "Adam Brian Carl David Edgar Felix Georg Henry Ivan Jonas Karl Louis Marco Nils Oscar Paul Rene Simon Tomas Victor".split(),
     ("f", "latin"): "Alice Bianca Clara Diana Emma Fiona Greta Hanna Irene Julia Karin Laura Maria Nina Olga Paula Rosa Sofia Teresa Vera".split(),
+    ("n", "latin"): "Alex Casey Dana Jamie Jordan Kim Morgan Riley Robin Taylor".split(),
+    ("n", "cyrillic"): "Валя Женя Саша Слава Шура".split(),
     ("m", "cyrillic"): "Андрей Борис Виктор Денис Егор Захар Игорь Кирилл Леонид Максим".split(),
     ("f", "cyrillic"): "Анна Белла Вера Дарья Ева Зоя Ирина Ксения Лидия Мария".split(),
 }
@@ -23,23 +27,27 @@ SYLLABLES = {
     "latin": "ba be bo da de do fa fe ga go ha ka ke la le lo ma me mi na ne no pa pe ra re ro sa se ta te to va ve wa ze".split(),
     "cyrillic": "ба бе бо ва ве да де до га го жа за зе ка ке ла ле ло ма ме на не но па пе ра ре ро са се та те то ша".split(),
 }
-ENDINGS = {("m", "latin"): "rd", ("f", "latin"): "lia", ("family", "latin"): "ner", ("m", "cyrillic"): "слав", ("f", "cyrillic"): "лия", ("family", "cyrillic"): "нов"}
+ENDINGS = {("m", "latin"): "rd", ("f", "latin"): "lia", ("n", "latin"): "is", ("n", "cyrillic"): "ня", ("family", "latin"): "ner", ("m", "cyrillic"): "слав", ("f", "cyrillic"): "лия", ("family", "cyrillic"): "нов"}
+_TITLE = "|".join(sorted((t for some in TITLES.values() for t in some), key=len, reverse=True))
+_LOUD = "|".join(sorted((t.upper() for some in TITLES.values() for t in some), key=len, reverse=True))
+_PARTS = r"(?:(?:" + "|".join(PARTICLES) + r") ){0,3}"
+_WORD, _CAPS = r"\p{Lu}[\p{L}'’-]*\p{L}", r"\p{Lu}[\p{Lu}'’-]*\p{Lu}"
 TOKEN = r"AKIA|ASIA|gh[pousr]_|github_pat_|glpat-|xox[abprs]-|sk-|AIza"
 FORMS = {
     "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
     "token": r"(?<!\w)(?:" + TOKEN + r")[A-Za-z0-9_-]{16,}(?!\w)",
-    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
+    "ipv6": r"(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f]{3,4}:)(?=[0-9A-Fa-f]*\d)(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![\w:])",
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": r"(?<![\d.])(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}(?![\d.]*\d)",
     "phone": r"(?<![\w+])(?:(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[ .-])\d{3}[ .-]\d{4}|\+\d{1,3}(?:[ .-]?\(?\d{1,5}\)?)(?:[ .-]?\d{2,4}){2,4})(?!\w)",
     "ssn": r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])",
     "card": r"(?<![\w-])(?:\d{16}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{4}|3[47]\d{2}[ -]?\d{6}[ -]?\d{5})(?![\w-])",
     "secret": r"(?<![\w])(?:[0-9A-Fa-f]{40}|[0-9A-Fa-f]{32}|[0-9A-Fa-f]{64})(?![\w])",
-    "name": r"(?<!\w)(?:" + "|".join(t for some in TITLES.values() for t in some) + r")\.? (?:\p{Lu}[\p{Ll}'-]+)(?: (?!(?:" + "|".join(t for some in TITLES.values() for t in some) + r")\b)\p{Lu}[\p{Ll}'-]+)?",
+    "name": rf"(?<!\w)(?:(?:{_TITLE})\.? (?!(?:{_TITLE})\b){_PARTS}{_WORD}(?: (?!(?:{_TITLE})\b){_PARTS}{_WORD})?|(?:{_LOUD})\.? {_CAPS}(?: {_CAPS})?)(?![\w])",
 }
 ANY = "|".join(f"(?:{x})" for x in FORMS.values())
-HINT = "[@0-9:]|" + TOKEN + "|" + "|".join(t for some in TITLES.values() for t in some)  # no entity is without one of these
-STALLED = 20  # draws in a row that place nobody, after which a shape has no room left
+HINT = "[@0-9:]|" + TOKEN + "|" + _TITLE + "|" + _LOUD  # no entity is without one of these
+DRAWS = 8  # draws of an entity after which the shapes of numbers grow too
 
 
 def kind_of(surface: Column) -> Column:
@@ -52,8 +60,9 @@ def kind_of(surface: Column) -> Column:
 def canonical(kind: Column, surface: Column) -> Column:
     """What different spellings of one entity have in common."""
     digits = F.regexp_replace(surface, r"\D", "")
+    national = surface.startswith("+1") & (F.length(digits) == 11)  # numbers without a country's code are taken for those of +1
     return (
-        F.when(kind.isin("email", "secret", "ipv6"), F.lower(surface)).when(kind == "phone", F.right(digits, F.lit(10)))
+        F.when(kind.isin("email", "secret", "ipv6"), F.lower(surface)).when(kind == "phone", F.when(national, F.right(digits, F.lit(10))).otherwise(digits))
         .when(kind.isin("card", "ssn"), digits).when(kind == "iban", F.replace(surface, F.lit(" "), F.lit(""))).otherwise(surface)
     )
 
@@ -62,10 +71,11 @@ _FEMALE = r"(ов|ев|ин)а$"  # family names that women bear with one letter
 
 
 def _name_parts(surface: Column) -> Column:
-    """Of a titled name, (kind, value, as_is) of the given name, if there is one, and of the family name."""
-    bare = F.split(F.regexp_replace(surface, r"^\S+ ", ""), " ")
-    men = "^(?:" + "|".join(TITLES["m"]) + r")\.? "
-    given = F.struct(F.when(surface.rlike(men), "given_m").otherwise("given_f").alias("kind"), F.lower(bare[0]).alias("value"))
+    """Of a titled name, (kind, value) of the given name, if there is one, and of the family name; particles are no part of either."""
+    bare = F.filter(F.split(F.regexp_replace(surface, r"^\S+ ", ""), " "), lambda w: ~w.isin(PARTICLES))
+    titled = {g: "^(?:" + "|".join([*some, *map(str.upper, some)]) + r")\.? " for g, some in TITLES.items()}
+    kind = F.when(surface.rlike(titled["m"]), "given_m").when(surface.rlike(titled["f"]), "given_f").otherwise("given_n")
+    given = F.struct(kind.alias("kind"), F.lower(bare[0]).alias("value"))
     family = F.struct(F.lit("family").alias("kind"), F.regexp_replace(F.lower(F.element_at(bare, -1)), _FEMALE, "$1").alias("value"))
     return F.when(F.size(bare) > 1, F.array(given, family)).otherwise(F.array(family))
 
@@ -140,7 +150,7 @@ def _name(which: str, script: str, noise: Column, attempt: Column) -> Column:
 
 def stand_in(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     """The canonical surrogate of a canonical value: same type, and same gender, script, length and shape. Names and
-    emails grow with the attempts, as few short ones exist."""
+    emails grow with the attempts, as few short ones exist; all else by a character a draw after DRAWS of them."""
     noise = _noise(key, kind, value, attempt)
     at = F.instr(value, "@")
     domain = F.substring(value, at + 1, F.length(value))
@@ -154,13 +164,16 @@ def stand_in(key: str, kind: Column, value: Column, attempt: Column) -> Column:
     prefix = F.regexp_extract(value, f"^(?:{TOKEN})", 0)
     token = F.concat(prefix, _fill(F.substring(value, F.length(prefix) + 1, F.length(value)), noise))
     out = _fill(value, noise)
-    for which in ("m", "f", "family"):
+    for which in ("m", "f", "n", "family"):
         cyrillic, latin = (_name(which, script, noise, attempt) for script in ("cyrillic", "latin"))
         out = F.when(kind == (which if which == "family" else f"given_{which}"), F.when(value.rlike(r"\p{IsCyrillic}"), cyrillic).otherwise(latin)).otherwise(out)
-    return (
+    phone = F.concat(F.substring(value, F.lit(1), F.greatest(F.length(value) - 10, F.lit(0))), _fill(F.right(value, F.lit(10)), noise))
+    drawn = (
         F.when(kind == "email", email).when(kind == "ip", octets).when(kind == "card", _same_luhn(_fill(value, noise), value)).when(kind == "secret", _hex_fill(value, noise))
-        .when(kind == "ipv6", _hex_each(value, noise)).when(kind == "iban", iban).when(kind == "token", token).otherwise(out)
+        .when(kind == "ipv6", _hex_each(value, noise)).when(kind == "iban", iban).when(kind == "token", token).when(kind == "phone", phone).otherwise(out)
     )
+    grown = _fill(F.repeat(F.lit("0"), F.greatest(attempt - DRAWS + 1, F.lit(0))), _noise(key, kind, value, attempt, 3))
+    return F.when(kind.isin("email", "given_m", "given_f", "given_n", "family"), drawn).otherwise(F.concat(drawn, grown))
 
 
 def _cased(surface: Column, chosen: Column) -> Column:
@@ -176,18 +189,18 @@ def _surface(kind: Column, surface: Column, chosen: Column) -> Column:
         lambda acc, c: F.when(c.rlike("^[0-9]$"), F.struct(
             F.concat(acc["out"], F.when(acc["seen"] < total - F.length(chosen), c).otherwise(F.substring(chosen, acc["seen"] - total + F.length(chosen) + 1, F.lit(1)))).alias("out"),
             (acc["seen"] + 1).alias("seen"))).otherwise(F.struct(F.concat(acc["out"], c).alias("out"), acc["seen"].alias("seen"))),
-        lambda acc: acc["out"])
+        lambda acc: F.concat(acc["out"], F.substring(chosen, F.lit(1), F.greatest(F.length(chosen) - total, F.lit(0)))))  # a grown one doesn't fit its groups
     upper = surface.rlike("^[^a-z]*[A-Z][^a-z]*$")
     mixed = surface.rlike("[A-Z]")
     groups = F.aggregate(
         F.split(surface, ""), F.struct(F.lit("").alias("out"), F.lit(0).alias("seen")),
         lambda acc, c: F.when(c == " ", F.struct(F.concat(acc["out"], c).alias("out"), acc["seen"].alias("seen"))).otherwise(
             F.struct(F.concat(acc["out"], F.substring(chosen, acc["seen"] + 1, F.lit(1))).alias("out"), (acc["seen"] + 1).alias("seen"))),
-        lambda acc: acc["out"])
+        lambda acc: F.concat(acc["out"], F.substring(chosen, acc["seen"] + 1, F.length(chosen))))
     return (
         F.when(kind.isin("phone", "card", "ssn"), spread).when(kind == "iban", groups)
         .when(kind.isin("secret", "ipv6"), F.when(upper, F.upper(chosen)).when(mixed, _cased(surface, chosen)).otherwise(chosen))
-        .when(kind == "email", F.when(upper, F.upper(chosen)).otherwise(chosen)).otherwise(chosen)
+        .when(kind == "email", F.when(upper, F.upper(chosen)).when(mixed, _cased(surface, chosen)).otherwise(chosen)).otherwise(chosen)
     )
 
 
@@ -195,11 +208,11 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, chosen) for distinct (kind, value): no two values of a kind share a surrogate, and none is a
     value that occurs. Whoever collides is drawn again; the least value keeps what it drew.
 
-    Names and emails find room however many there are, as they grow with the attempts. Numbers keep their shape; if
-    so many of one shape occur that nobody found a free one in STALLED attempts, this raises ValueError.
+    All find room however many there are: names and emails grow with the draws, and what keeps its shape grows once
+    DRAWS draws have found none free, as it must where so many of one shape occur.
     """
     entities = stage(entities.select("kind", "value").distinct(), "entities")
-    taken, waiting, attempt, stalled, left = None, entities, 0, 0, None
+    taken, waiting, attempt = None, entities, 0
     real = entities.select("kind", F.lower("value").alias("chosen"))
     while True:
         drawn = stage(waiting.withColumn("drawn", stand_in(key, F.col("kind"), F.col("value"), F.lit(attempt))).withColumn("chosen", F.lower("drawn")), "drawn")
@@ -207,14 +220,13 @@ def surrogates(entities: DataFrame, key: str) -> DataFrame:
         if taken is not None:
             fresh = fresh.join(taken.select("kind", F.lower("drawn").alias("chosen")), ["kind", "chosen"], "left_anti")
         kept = fresh.groupBy("kind", "chosen").agg(F.min(F.struct("value", "drawn")).alias("v")).select("kind", "v.value", "v.drawn")
+        before = taken
         taken = stage(kept if taken is None else taken.select("kind", "value", "drawn").union(kept), "taken")
-        waiting = stage(waiting.join(taken, ["kind", "value"], "left_anti"), "waiting")
-        before, left = left, waiting.count()
-        if not left:
+        left = stage(waiting.join(taken, ["kind", "value"], "left_anti"), "waiting")
+        discard(drawn, *([before] if before else []), *([waiting] if attempt else []), collect=False)
+        waiting = left
+        if waiting.isEmpty():
             return taken.select("kind", "value", F.col("drawn").alias("chosen"))
-        stalled = stalled + 1 if left == before else 0
-        if stalled == STALLED:
-            raise ValueError(f"{left} entities have no free surrogate of their shape, for example of kind {waiting.first()['kind']}")
         attempt += 1
 
 
@@ -223,9 +235,9 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     numbers, access tokens, secrets and titled names replaced by surrogates. Names without a title aren't known.
 
     A surrogate depends on the key, which must be kept secret, the kind and the entity, so an entity has the same one
-    in all documents and spellings (phones by their last ten digits, emails and secrets in lower case), and different
-    entities of a kind have different ones. Given and family names have their own, so a person is the same with and
-    without the given name, and a man and a woman of one name stay two. Names keep title, gender and script; numbers
+    in all documents and spellings (phones by their digits, +1 being the country of those without a code; emails and
+    secrets in lower case), and different entities of a kind have different ones. Given and family names have their own, so a person is the same with and
+    without the given name, and a man and a woman of one name stay two. Names keep title, gender, script, particles and capitals; numbers
     keep their groups, cards their Luhn validity, accounts valid check digits. Null texts stay null with no entities;
     repeated rows each give a row. Columns beyond doc_id and text are ignored.
     """
@@ -239,8 +251,13 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     surfaces = stage(surfaces.withColumn("parts", F.when(F.col("kind") == "name", _name_parts(F.col("surface"))).otherwise(whole)), "surfaces")
     chosen = surrogates(surfaces.select(F.explode("parts").alias("part")).select("part.*"), key)
     parts = surfaces.select("surface", F.posexplode("parts").alias("at", "part")).select("surface", "at", "part.kind", "part.value").join(chosen, ["kind", "value"])
-    new = parts.groupBy("surface").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "chosen"))), lambda x: x["chosen"]), " ").alias("chosen"))
+    new = parts.groupBy("surface").agg(F.transform(F.sort_array(F.collect_list(F.struct("at", "chosen"))), lambda x: x["chosen"]).alias("all"))
+    between = F.regexp_extract("surface", rf" ((?:(?:{'|'.join(PARTICLES)}) )+)(?=\S+$)", 1)  # particles before the family name
+    family = F.concat(between, F.element_at("all", -1))
+    new = new.select("surface", F.when(F.size("all") > 1, F.concat(F.element_at("all", 1), F.lit(" "), family)).otherwise(family).alias("chosen"))
+    loud = (F.upper("surface") == F.col("surface")) & F.col("surface").rlike(r"\p{Lu}{2}")
     named = F.concat(F.regexp_extract("surface", r"^\S+ ", 0), F.col("chosen"), F.when(F.col("chosen").rlike(r"\p{IsCyrillic}") & F.col("surface").rlike(_FEMALE), "а").otherwise(""))
+    named = F.when(loud, F.upper(named)).otherwise(named)
     spelled = surfaces.join(new, "surface").select("surface", F.when(F.col("kind") == "name", named).otherwise(_surface(F.col("kind"), F.col("surface"), F.col("chosen"))).alias("new"))
     placed = some.select("row_id", F.posexplode("found").alias("at", "surface")).join(spelled, "surface")
     by_row = placed.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("at", "new"))).alias("news"))
