@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.llm.storage import stage
+from tessera.llm.storage import in_order, stage
 from tessera.llm.textbytes import Texts, mix, slices
 
 LEVELS = (2, 3, 4)  # of the hierarchy; phrases of these levels are signed (about 3**level bytes each)
@@ -186,7 +186,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     equal ids are ordered by text). Null and empty texts have the fingerprint of no phrases; they are like each
     other (1) and unlike all others (0). A single document is its own next one. Other columns are ignored.
 
-    Documents are sorted by ranges of doc_id, and compared with the next one while they pass; the first and the
+    Documents are sorted by ranges of doc_id and text, and compared with the next one while they pass; the first and the
     last of each range come out with their texts, and meet their neighbours in a second step over two rows a range.
     """
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -208,7 +208,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield _edge(last.doc_id, last.text, part_id, 1)
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    found = stage(rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(along, _COLUMNS), "fingerprints")
+    found = stage(in_order(rows, parts).mapInArrow(along, _COLUMNS), "fingerprints")
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,8 +219,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     # two numbers a range are ordered; texts are joined to their neighbours afterwards
     edges = found.filter("edge is not null")
-    in_order = Window.orderBy("part", "edge")
-    after = edges.select("part", "edge").withColumn("next", F.coalesce(F.lead("part").over(in_order), F.first("part").over(in_order))).filter("edge = 1")
+    by_place = Window.orderBy("part", "edge")
+    after = edges.select("part", "edge").withColumn("next", F.coalesce(F.lead("part").over(by_place), F.first("part").over(by_place))).filter("edge = 1")
     firsts = edges.filter("edge = 0").select(F.col("part").alias("next"), F.col("text").alias("following"))
     edges = edges.filter("edge = 1").select("part", "edge", "doc_id", "text").join(after.select("part", "next"), "part").join(firsts, "next")
     ends = edges.filter("edge = 1").select("doc_id", "text", "following").mapInArrow(across, _COLUMNS)

@@ -109,6 +109,12 @@ def likely(texts: DataFrame, wanted: DataFrame, bits: int = 25) -> DataFrame:
     return texts.select("doc_id", "text").mapInArrow(each, "doc_id long, text string")
 
 
+def in_order(rows: DataFrame, parts: int) -> DataFrame:
+    """rows (doc_id, text) in ranges of ascending doc_id and text, sorted within each. Ranges are told by the ids and the first
+    characters of texts, so that many rows of one id, or of none, aren't the work of one task."""
+    return rows.repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, 256)).sortWithinPartitions("doc_id", "text")
+
+
 def with_key(docs: DataFrame, key: str = "row_id") -> DataFrame:
     """docs with a key of its own for each row; where they have one they stay as they are."""
     return docs if key in docs.columns else stage(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")

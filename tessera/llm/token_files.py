@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessera.llm import files
-from tessera.llm.storage import new_dir, stage
+from tessera.llm.storage import in_order, new_dir, stage
 from tessera.llm.textbytes import BYTE_LOWER_VALUE, LOWER, Texts, slices, span_hashes
 
 MAGIC = b"TESSTOK1"
@@ -227,7 +227,7 @@ def _encoder(path: str) -> Encoder:
 def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str, kind: str = "byte", file_ids: int = FILE_IDS) -> DataFrame:
     """Encode docs and write their ids in ascending doc_id order; returns (part, file, path, n_ids) of the files.
 
-    Ranges of doc_ids are sorted and written while the rows pass, in files of about file_ids ids: a task holds a slice
+    Ranges of doc_ids and texts are sorted and written while the rows pass, in files of about file_ids ids: a task holds a slice
     of texts, a chunk of ids and a file's index. A task that is run again writes another file; the table has those of the attempts that counted.
     Null texts are empty; null doc_ids come first, as the least id; rows with equal ids are ordered by text.
     """
@@ -257,8 +257,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, end_id: int, folder: str,
 
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))).alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(ordered.mapInArrow(write, "part long, file long, path string, n_ids long"), "token-files")
+    return stage(in_order(rows, parts).mapInArrow(write, "part long, file long, path string, n_ids long"), "token-files")
 
 
 def read_token_files(written: DataFrame) -> DataFrame:

@@ -555,3 +555,18 @@ def test_pii_full_shapes_grow(spark):
     assert len({r.chosen for r in found}) == 90 and not {r.chosen for r in found} & {f"{k:02d}" for k in range(90)} and any(len(r.chosen) > 2 for r in found)
     got = pii.pseudonymize(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "k").collect()
     assert len({r.text for r in got}) == 200 and not {r.text for r in got} & set(texts)
+
+
+def test_many_rows_without_an_id_are_the_work_of_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from tessera.llm.storage import in_order
+
+    docs = spark.range(3000).select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(F.lit(-1)).alias("doc_id"), F.concat(F.hex(F.hash("id")), F.lit(" text "), F.col("id")).alias("text"))
+    sizes = [r["count"] for r in in_order(docs, 8).groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(sizes) == 8 and max(sizes) < 800
+    rows = in_order(docs, 8).select("doc_id", "text").collect()
+    assert rows == sorted(rows, key=lambda r: (r.doc_id, r.text))
+    nulls = docs.select(F.nullif("doc_id", F.lit(-1)).alias("doc_id"), "text").limit(300)
+    got = fingerprints.fingerprints(nulls).collect()
+    assert len(got) == 300 and sum(r.doc_id is None for r in got) == 100
