@@ -51,3 +51,33 @@ def test_changes_are_maintained_from_a_checkpoint(spark, sf, tmp_path):
         stream = spark.readStream.schema(events.schema).parquet(f"{tmp_path}/in")
         windows.maintain(stream, lambda batch, i: seen.append(batch.count()), f"{tmp_path}/checkpoint").awaitTermination(60)
     assert sum(seen) == 20
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_late_results_are_discarded_in_any_order(spark, tmp_path, seed):
+    import random
+
+    from tessera.streaming import enrichment
+
+    rows = []
+    for k in range(12):
+        for version in range(1 + k % 3):
+            rows.append((f"u{k}", "resource", version, f"h{k}-{version}", None))
+            if (k + version) % 4:
+                rows.append((f"u{k}", "result", None, f"h{k}-{version}", f"summary {k} {version}"))
+    rows += [("gone", "resource", 0, "h", None), ("gone", "resource", 1, None, None), ("gone", "result", None, "h", "x"), ("waits", "result", None, "h", "y"), (None, "resource", 1, "h", None), ("u1", "other", 1, "h", None)]
+    random.Random(seed).shuffle(rows)
+    schema = "uri string, kind string, version long, content_hash string, result string"
+    for n in range(3):
+        spark.createDataFrame(rows[n::3], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    last = {}
+
+    def keep(batch, _):
+        last.update({r.uri: r for r in batch.collect()})
+
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = enrichment.enriched(stream).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start()
+    assert query.awaitTermination(120)
+    whole = {r.uri: r for r in enrichment.enriched(spark.createDataFrame(rows, schema)).collect()}
+    assert {u: tuple(r) for u, r in last.items()} == {u: tuple(r) for u, r in whole.items()} and len(whole) == 13
+    assert whole["u2"].version == 2 and whole["u2"].content_hash == "h2-2" and whole["gone"].content_hash is None and whole["gone"].result is None and whole["gone"].n_discarded == 1
