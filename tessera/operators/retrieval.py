@@ -122,23 +122,32 @@ def grep(chunks: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_id
     pieces = F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("run") - 3), lambda p: F.substring(F.col("run"), p, F.lit(4)))))
     holds = runs.select("run").distinct().withColumn("piece", pieces).join(terms, "piece").filter(F.contains("run", "term")).select("run", "term").distinct()
     met = cut(runs.join(holds, "run").select("term", key, F.lit(0).alias("block"), F.lit(1.0).alias("w")).distinct())
-    # m terms give between 10 m and 12 m points, so texts are read only where 12 m reaches 10 times the k-th best m
-    likely = reachable(asked, met, k, key, 10 / 12).select("query_id", key)
     listed = asked.groupBy("query_id").agg(F.collect_set("term").alias("asked"))
-    matched = likely.join(listed, "query_id").join(held, key)
-    matched = matched.withColumn("terms", F.filter("asked", lambda t: F.contains(_folded(F.concat_ws("\n", "_file", "_context", "_text")), t)))
-    each = F.split("_text", r"\r\n?|\n")
+    heads = held.select(key, F.concat_ws(" ", "_file", "_context").alias("_head"))
 
-    def count(part: Column) -> Column:
-        return F.size(F.filter("terms", lambda t: F.contains(_folded(part), t)))
+    def among(terms: str, part: Column) -> Column:
+        return F.filter(terms, lambda t: F.contains(_folded(part), t))
 
-    counts = F.transform(each, count)
-    scored = matched.withColumn("_counts", counts).withColumn("_best", F.array_max("_counts")).withColumn("_at", F.array_position("_counts", F.col("_best")).cast("int"))
-    about = F.slice(each, F.greatest(F.col("_at") - 1, F.lit(1)), F.when(F.col("_at") > 1, 3).otherwise(2))
-    scored = scored.select(
-        "query_id", key, F.size("terms").cast("long").alias("matched"), (10 * F.size("terms") + F.col("_best") + count(F.concat_ws(" ", "_file", "_context"))).cast("long").alias("score"),
-        (F.col("_start") + F.col("_at") - 1).cast("int").alias("line"), F.substring(F.trim(F.array_join(F.transform(about, lambda x: F.trim(x)), "\n")), 1, 500).alias("excerpt"))
-    return top(scored, ["query_id"], [F.desc("score"), F.col(key)], k)
+    # m terms, h of which file and context hold, give at least 10 m and at most 11 m + h points
+    found = reachable(asked, met, k, key, 10 / 12).join(listed, "query_id").join(heads, key)
+    found = cut(found.select("query_id", key, F.col("total").cast("int").alias("m"), F.size(among("asked", F.col("_head"))).alias("h")))
+    each = F.split("_text", r"\r\n?|\n")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        rows = pairs.join(listed, "query_id").join(held, key).withColumn("terms", among("asked", F.concat_ws("\n", "_file", "_context", "_text")))
+        rows = rows.withColumn("_counts", F.transform(each, lambda x: F.size(among("terms", x))))
+        rows = rows.withColumn("_best", F.array_max("_counts")).withColumn("_at", F.array_position("_counts", F.col("_best")).cast("int"))
+        about = F.slice(each, F.greatest(F.col("_at") - 1, F.lit(1)), F.when(F.col("_at") > 1, 3).otherwise(2))
+        return rows.select(
+            "query_id", key, F.size("terms").cast("long").alias("matched"), (10 * F.size("terms") + F.col("_best") + F.size(among("terms", F.concat_ws(" ", "_file", "_context")))).cast("long").alias("score"),
+            (F.col("_start") + F.col("_at") - 1).cast("int").alias("line"), F.substring(F.trim(F.array_join(F.transform(about, lambda x: F.trim(x)), "\n")), 1, 500).alias("excerpt"))
+
+    # the k with most terms bound the k-th score from below, and only texts that can reach it are read besides
+    first = cut(scored(top(found, ["query_id"], [F.desc("m"), F.desc("h"), F.col(key)], k, "_r").select("query_id", key)))
+    least = first.groupBy("query_id").agg(F.when(F.count("*") >= k, F.min("score")).otherwise(0).alias("least"))
+    others = found.join(least, "query_id").filter(11 * F.col("m") + F.col("h") >= F.col("least")).join(first.select("query_id", key), ["query_id", key], "left_anti")
+    every = first.unionByName(scored(others.select("query_id", key)))
+    return top(every, ["query_id"], [F.desc("score"), F.col(key)], k)
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = 10, block: int = 512) -> DataFrame:
