@@ -126,7 +126,9 @@ def grep(chunks: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_id
     heads = held.select(key, F.concat_ws(" ", "_file", "_context").alias("_head"))
 
     def among(terms: str, part: Column) -> Column:
-        return F.filter(terms, lambda t: F.contains(_folded(part), t))
+        return F.transform(F.array(_folded(part)), lambda low: F.filter(terms, lambda t: F.contains(low, t)))[0]  # folded once
+
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     # m terms, h of which file and context hold, give at least 10 m and at most 11 m + h points
     found = reachable(asked, met, k, key, 10 / 12).join(listed, "query_id").join(heads, key)
@@ -134,8 +136,9 @@ def grep(chunks: DataFrame, queries: DataFrame, k: int = 8, key: str = "chunk_id
     each = F.split("_text", r"\r\n?|\n")
 
     def scored(pairs: DataFrame) -> DataFrame:
-        rows = pairs.join(listed, "query_id").join(held, key).withColumn("terms", among("asked", F.concat_ws("\n", "_file", "_context", "_text")))
-        rows = rows.withColumn("_counts", F.transform(each, lambda x: F.size(among("terms", x))))
+        rows = pairs.join(listed, "query_id").join(held, key).repartition(parts, "query_id", key)  # few rows, but each is much work
+        rows = rows.withColumn("terms", among("asked", F.concat_ws("\n", "_file", "_context", "_text")))
+        rows = rows.withColumn("_counts", F.transform(F.split(_folded(F.col("_text")), r"\r\n?|\n"), lambda x: F.size(F.filter("terms", lambda t: F.contains(x, t)))))
         rows = rows.withColumn("_best", F.array_max("_counts")).withColumn("_at", F.array_position("_counts", F.col("_best")).cast("int"))
         about = F.slice(each, F.greatest(F.col("_at") - 1, F.lit(1)), F.when(F.col("_at") > 1, 3).otherwise(2))
         return rows.select(
