@@ -52,6 +52,27 @@ def matches_any(path: Column, globs: list[str]) -> Column:
     return path.rlike("|".join(map(glob_pattern, globs))) if globs else F.lit(False)
 
 
+def glob_form(glob: Column) -> Column:
+    """As glob_pattern, for globs in a column."""
+    out = F.regexp_replace(glob, r"([.+^$()\[\]{}|\\])", r"\\$1")
+    for sign, form in (("**/", "\1"), ("**", "\2"), ("*", "[^/]*"), ("?", "[^/]"), ("\1", "(?:.*/)?"), ("\2", ".*")):
+        out = F.replace(out, F.lit(sign), F.lit(form))
+    return F.concat(F.lit("^"), out, F.lit("$"))
+
+
+def first_paragraph(text: Column, limit: int = 300) -> Column:
+    """The first paragraph that isn't a heading, cut to limit characters; empty if there is none."""
+    blocks = F.transform(F.split(text, "\n\n"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", ""))
+    told = F.try_element_at(F.filter(blocks, lambda b: (b != "") & ~b.startswith("#")), F.lit(1))
+    return F.coalesce(F.substring(told, 1, limit), F.lit(""))
+
+
+def route(url: Column, limit: int = 256) -> Column:
+    """The path of a url, or of a route with a query, without host, query and fragment; it begins with a slash."""
+    path = F.regexp_replace(F.regexp_replace(F.trim(url), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*|^[A-Za-z][A-Za-z0-9+.-]*:(?!//)", ""), r"[?#].*$", "")
+    return F.substring(F.when(F.startswith(path, F.lit("/")), path).otherwise(F.concat(F.lit("/"), path)), 1, limit)
+
+
 def excerpt(text: Column, limit: int) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.rtrim(F.substring(text, 1, limit - 1)), F.lit("…"))).otherwise(text)
 

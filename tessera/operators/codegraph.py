@@ -204,3 +204,25 @@ def communities(found: DataFrame) -> DataFrame:
     by_label = rows.groupBy("folder", "label").agg(F.count("*").alias("n"), F.count_if("code").alias("n_code"), F.array_join(F.slice(F.array_sort(F.collect_set("name")), 1, 5), ", ").alias("names"))
     said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("label", "n", "names"))), lambda x: F.concat(x["label"], F.lit(" ("), x["n"].cast("string"), F.lit("): "), x["names"])), "; ")
     return by_label.groupBy("folder").agg(F.sum("n").alias("n"), F.sum("n_code").alias("n_code"), said.alias("summary"))
+
+
+# The relationships that each sentence about a file tells.
+SENTENCES = (("Flows", ["CALLS", "DEPENDS_ON", "HANDLES", "IMPLEMENTS", "PART_OF_FLOW"]), ("Runtime/config/data", ["READS", "WRITES", "CONSTRAINS"]), ("Docs/tests", ["DOCUMENTS", "MENTIONS", "COVERS"]))
+
+
+def community_sentences(found: DataFrame, related: DataFrame, most: int = 16) -> DataFrame:
+    """(uri, summary): for each resource what its edges (edge_type, from_id, to_id, uri) say of its flows, its runtime and its documents,
+    the first `most` of each by type and ends; resources without such edges have none. Ends that are no node go by their id."""
+    kind = F.lit(None).cast("int")
+    for k, (_, types) in enumerate(SENTENCES):
+        kind = F.when(F.col("edge_type").isin(types), k).otherwise(kind)
+    order = Window.partitionBy("uri", "kind").orderBy("edge_type", "from_id", "to_id")
+    rows = related.select("uri", "edge_type", "from_id", "to_id", kind.alias("kind")).filter("kind is not null").distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
+    names = found.select("node_id", F.nullif("name", F.lit("")).alias("name"))
+    for end in ("from", "to"):
+        rows = rows.join(names.select(F.col("node_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name")), f"{end}_id", "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", f"{end}_id"))
+    said = F.concat("from_name", F.lit(" -"), "edge_type", F.lit("-> "), "to_name")
+    by_kind = rows.groupBy("uri", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", said.alias("said")))), lambda x: x["said"]), "; ").alias("said"))
+    title = F.element_at(F.array(*(F.lit(name) for name, _ in SENTENCES)), F.col("kind") + 1)
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("kind", F.concat(title, F.lit(": "), "said", F.lit(".")).alias("line")))), lambda x: x["line"]), "\n")
+    return by_kind.groupBy("uri").agg(lines.alias("said")).select("uri", F.concat(F.lit("Graph community for "), "uri", F.lit(".\n"), "said").alias("summary"))

@@ -74,6 +74,11 @@ def folder_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codegraph.communities(codegraph.nodes(resources(spark, sf_dir), PRODUCT))
 
 
+def community_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = codegraph.read(resources(spark, sf_dir))
+    return codegraph.community_sentences(codegraph.nodes(held, PRODUCT), codegraph.edges(held, PRODUCT))
+
+
 def polyglot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A script for each supplier, a Go file for each nation and a Java class for each region."""
     s, n, r = F.col("s_suppkey"), F.col("n_nationkey"), F.col("r_regionkey")
@@ -103,7 +108,7 @@ def polyglot_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return codegraph.chunks(both).select("uri", "kind", "start_line", "end_line", "context_path")
 
 
-QUERIES = {f.__name__: f for f in (polyglot_symbols, polyglot_edges, polyglot_chunks, code_symbols, code_edges, code_nodes, code_chunks, markdown_chunks, chunk_graph_nodes, folder_summaries)}
+QUERIES = {f.__name__: f for f in (polyglot_symbols, polyglot_edges, polyglot_chunks, code_symbols, code_edges, code_nodes, code_chunks, markdown_chunks, chunk_graph_nodes, folder_summaries, community_sentences)}
 
 _PARTS = "parts AS (SELECT p_partkey AS k, p_size, 'src/b' || (p_partkey % 10) || '/part' || p_partkey || '.py' AS uri, 'src.b' || (p_partkey % 10) || '.part' || p_partkey AS module FROM part)"
 _SYMBOLS = f"""{_PARTS}, symbols AS (SELECT uri, 'part_' || k AS name, 'Function' AS label, false AS is_test, 5 AS start_line, 8 AS end_line, 'def part_' || k || '(x)' AS signature, 'part_' || k AS context FROM parts
@@ -172,4 +177,14 @@ ORACLE_SQL = {
     "chunk_graph_nodes": f"""WITH {_CHUNKS}, spans AS (SELECT uri, 'symbol:shop:' || uri || ':part_' || k || ':Function' AS node_id, 5 AS a, 8 AS b FROM parts UNION ALL SELECT uri, 'symbol:shop:' || uri || ':Part' || k || 'Store:Class', 10, 12 FROM parts
       UNION ALL SELECT uri, 'symbol:shop:' || uri || ':load:Function', 11, 12 FROM parts UNION ALL SELECT uri, 'file:shop:' || uri, 1, 99 FROM parts UNION ALL SELECT uri, 'module:shop:' || module, 1, 99 FROM parts)
       SELECT c.uri || ':' || c.start_line AS chunk_id, array_to_string(list_sort(list_distinct(list(node_id))), '|') AS node_ids FROM chunks c JOIN spans s ON s.uri = c.uri AND s.a <= c.end_line AND s.b >= c.start_line GROUP BY ALL""",
+    "folder_summaries": f"""WITH {_SYMBOLS}, held AS (SELECT 'src/b' || (k % 10) AS folder, 'CodeFile' AS label, 'part' || k || '.py' AS name FROM parts UNION ALL SELECT 'src/b' || (k % 10), 'Module', module FROM parts
+      UNION ALL SELECT regexp_extract(uri, '^(.*)/[^/]*$', 1), label, name FROM symbols UNION ALL SELECT 'tests', 'CodeFile', 'test_region' || r_regionkey || '.py' FROM region UNION ALL SELECT 'tests', 'Module', 'tests.test_region' || r_regionkey FROM region
+      UNION ALL SELECT 'db', 'Document', 'migration_' || n_nationkey || '.sql' FROM nation UNION ALL SELECT 'docs', 'Document', unnest(['supplier' || s_suppkey || '.md', 'Supplier ' || s_suppkey, 'Routes']) FROM supplier),
+      labels AS (SELECT folder, label, count(*) AS n, array_to_string(list_sort(list_distinct(list(name)))[1:5], ', ') AS names FROM held GROUP BY ALL)
+      SELECT folder, CAST(sum(n) AS BIGINT) AS n, CAST(sum(CASE WHEN label = 'CodeFile' THEN n ELSE 0 END) AS BIGINT) AS n_code, string_agg(label || ' (' || n || '): ' || names, '; ' ORDER BY label) AS summary FROM labels GROUP BY folder""",
+    "community_sentences": f"""WITH {_EDGES}, said AS (SELECT uri, CASE WHEN edge_type IN ('CALLS', 'HANDLES') THEN 0 WHEN edge_type IN ('READS', 'WRITES') THEN 1 WHEN edge_type IN ('DOCUMENTS', 'MENTIONS', 'COVERS') THEN 2 END AS kind, edge_type, from_id, to_id,
+        list_transform([from_id, to_id], lambda x: CASE split_part(x, ':', 1) WHEN 'symbol' THEN string_split(x, ':')[-2] WHEN 'api' THEN string_split(x, ':')[-2] WHEN 'file' THEN string_split(x, '/')[-1] ELSE string_split(x, ':')[-1] END) AS ends FROM edges),
+      first_ AS (SELECT *, row_number() OVER (PARTITION BY uri, kind ORDER BY edge_type, from_id, to_id) AS r FROM said WHERE kind IS NOT NULL),
+      told AS (SELECT uri, kind, ['Flows', 'Runtime/config/data', 'Docs/tests'][kind + 1] || ': ' || string_agg(ends[1] || ' -' || edge_type || '-> ' || ends[2], '; ' ORDER BY r) || '.' AS line FROM first_ WHERE r <= 16 GROUP BY uri, kind)
+      SELECT uri, 'Graph community for ' || uri || '.' || chr(10) || string_agg(line, chr(10) ORDER BY kind) AS summary FROM told GROUP BY uri""",
 }

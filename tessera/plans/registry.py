@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.plans import answers, code, evidence, graph, ingest, retrieval, skills, views
+from tessera.plans import answers, code, evidence, graph, ingest, packs, retrieval, skills, views
 
-_PARTS = (retrieval, evidence, answers, ingest, graph, code, skills, views)
+_PARTS = (retrieval, evidence, answers, packs, ingest, graph, code, skills, views)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for part in _PARTS for name, sql in part.ORACLE_SQL.items()}
