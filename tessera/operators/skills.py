@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from tessera.functions.lineage import cut
+from tessera.functions.scalars import glob_form
 from tessera.operators.evidence import holding
 from tessera.operators.facts import decoded
+from tessera.operators.retrieval import top
 
 # Forms of citations and list items, what sections must have, and what names files, routes or commands.
 CITATION = r"\[file:\s*[^\]\s:]+:\d+\]"
@@ -136,3 +140,155 @@ def repaired(documents: DataFrame, evidence: DataFrame, problems: DataFrame) ->
     new = F.when(F.col("mark").isNull(), F.col("part")).otherwise(F.array_join(F.when(at.isNotNull(), marked).otherwise(added), "\n"))
     whole = both.groupBy("name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", new.alias("part")))), lambda x: x["part"]), "\n").alias("body"), F.count("mark").alias("n_repaired"))
     return whole.select("name", F.expr("substring(body, 2)").alias("body"), "n_repaired")
+
+
+# How much a skill counts once it had to be revised, how many records its quality shows, and prompts that no
+# skill is meant for.
+REVISED, SHOWN, MOST_FAILURES = 0.7, 20, 4
+UNRELATED = ("what time is it", "summarize this unrelated PDF")
+WORD = "[a-z0-9]+"
+
+
+def _words(text: Column) -> Column:
+    return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+
+
+def confidence(citations: Column, paragraphs: Column, revisions: Column) -> Column:
+    """Citations a paragraph, one at most, and less for documents that were revised; 0 without paragraphs."""
+    dense = F.least(F.coalesce(citations, F.lit(0)) / F.nullif(paragraphs, F.lit(0)), F.lit(1.0))
+    return F.coalesce(F.when(paragraphs > 0, F.round(dense * F.when(revisions == 0, 1.0).otherwise(REVISED), 4)), F.lit(0.0))
+
+
+def applicable(skills: DataFrame, asked: DataFrame) -> DataFrame:
+    """(query_id, name) of the skills (product, name, globs, contexts) that fit what is asked (query_id, product, file, context).
+
+    A skill without globs fits all files, and one without contexts all contexts; where no file, or no context or `general`, is
+    asked for, all fit. A file that fits a glob lies below the folders that the glob begins with, so files meet globs on their
+    folders, and the form is compared after.
+    """
+    globs, contexts = F.coalesce("globs", F.array().cast("array<string>")), F.coalesce("contexts", F.array().cast("array<string>"))
+    held = skills.select("product", "name", globs.alias("globs"), contexts.alias("contexts")).distinct()
+    bare, formed = held.filter(F.size("globs") == 0), held.filter(F.size("globs") > 0)
+    each = formed.select("product", "name", "contexts", F.explode("globs").alias("glob")).withColumn("folder", F.regexp_extract("glob", r"^((?:[^*?/]*/)*)", 1))
+    anywhere = asked.filter("file is null").join(formed.drop("globs"), "product").unionByName(asked.join(bare.drop("globs"), "product"))
+    parts = F.split("file", "/", -1)
+    folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))))
+    placed = asked.filter("file is not null").withColumn("folder", F.explode(folders)).join(each, ["product", "folder"]).filter(F.rlike("file", glob_form(F.col("glob")))).drop("folder", "glob")
+    fits = (F.size("contexts") == 0) | F.coalesce(F.col("context"), F.lit("")).isin("", "general") | F.array_contains("contexts", F.col("context"))
+    return anywhere.unionByName(placed).filter(F.coalesce(fits, F.lit(False))).select("query_id", "name").distinct()
+
+
+def trigger_prompts(skills: DataFrame) -> DataFrame:
+    """(name, place, prompt): up to three different prompts that skills (name, description) are meant for, of their descriptions' longer words and names."""
+    long = F.filter(_words(F.coalesce("description", F.lit(""))), lambda w: F.length(w) >= 4)
+    called = F.replace(F.col("name"), F.lit("-"), F.lit(" "))
+    first = F.when(F.size("_w") > 0, F.concat(F.lit("I need help with "), F.array_join(F.slice("_w", 1, 4), " ")))
+    second = F.when(F.size("_w") >= 5, F.concat(F.lit("how do I handle "), F.array_join(F.slice("_w", 3, 4), " "))).when(F.size("_w") > 0, F.concat(F.lit("how do I use "), called))
+    prompts = F.array_distinct(F.array_compact(F.array(first, second, F.concat(F.lit("explain "), called))))
+    return skills.withColumn("_w", long).select("name", F.posexplode(prompts).alias("place", "prompt"))
+
+
+def trigger_failures(skills: DataFrame, plan: DataFrame) -> DataFrame:
+    """(name, place, prompt, first, problem) of the prompts that a skill is meant for and doesn't come first on (missed), or isn't and shares
+    words with (unrelated): the first MOST_FAILURES of each skill.
+
+    plan: place, name, text, all that tells a skill; prompts rank its rows by the share of their different words that text
+    holds, then by place. Prompts meet texts on words, so rows without a common one, which score nothing, are never
+    formed; a prompt that nothing shares a word with has no first. Without a plan nothing can fail.
+    """
+    own = trigger_prompts(skills)
+    strange = skills.select("name", F.posexplode(F.array(*map(F.lit, UNRELATED))).alias("place", "prompt")).withColumn("place", F.col("place") + 3)
+    prompts = own.select("prompt").union(strange.select("prompt")).distinct()
+    terms = prompts.select("prompt", F.array_distinct(_words(F.col("prompt"))).alias("w")).select("prompt", F.size("w").alias("n"), F.explode("w").alias("term"))
+    held = plan.select(F.col("place").alias("at"), F.col("name").alias("first"), F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term"))
+    scored = cut(terms.join(held, "term").groupBy("prompt", "n", "at", "first").agg((F.count("*") / F.col("n")).alias("score")))
+    best = scored.groupBy("prompt").agg(F.min(F.struct((-F.col("score")).alias("less"), "at", "first")).alias("b")).select("prompt", F.col("b.first").alias("first"))
+    missed = own.join(best, "prompt", "left").filter(~F.col("first").eqNullSafe(F.col("name"))).select("name", "place", "prompt", "first", F.lit("missed").alias("problem"))
+    met = scored.select("prompt", F.col("first").alias("name")).distinct()
+    over = strange.join(met, ["prompt", "name"], "left_semi").select("name", "place", "prompt", F.lit(None).cast("string").alias("first"), F.lit("unrelated").alias("problem"))
+    every = missed.unionByName(over).join(F.broadcast(plan.limit(1).select(F.lit(1).alias("_any"))), F.lit(True), "left_semi")
+    return top(every, ["name"], [F.col("place")], MOST_FAILURES, "_r").drop("_r")
+
+
+def _blocks(text: Column) -> Column:
+    """A text's second-level sections, with their headings, and before them what stands above the first."""
+    return F.split(F.concat(F.lit("\n"), text), r"\n(?=##[ \t]+\S)")
+
+
+def _heading(block: Column) -> Column:
+    return F.lower(F.trim(F.regexp_extract(block, r"^##[ \t]+([^\n]*)", 1)))
+
+
+def _trimmed(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
+def filled(documents: DataFrame, fills: DataFrame) -> DataFrame:
+    """(name, body, n_replaced, n_added): documents with what fills (name, fill) say of their sections.
+
+    The last section of the same heading, in any case, is replaced, others are added at the end in order; of a fill's sections
+    of one heading the last replaces. A title stands first where the document has none; of a fill without sections nothing else is taken then. Else such a fill is added as it
+    is, an empty one changes nothing, and so does one for a document that isn't there. A document has one fill; of several
+    the greatest counts.
+    """
+    one = fills.groupBy("name").agg(F.max("fill").alias("_fill")).filter(_trimmed(F.col("_fill")) != "")
+    rows = documents.join(one, "name", "left").withColumn("_fill", _trimmed(F.col("_fill")))
+    title = F.nullif(F.regexp_extract("_fill", r"(?m)^# [^\n]*", 0), F.lit(""))
+    rows = rows.withColumn("_title", F.when(~F.ltrim(F.coalesce("body", F.lit(""))).startswith("# "), title))
+    rows = rows.withColumn("_body", F.regexp_replace(F.when(F.col("_title").isNotNull(), F.concat(F.rtrim("_title"), F.lit("\n\n"), _trimmed(F.coalesce("body", F.lit(""))))).otherwise(F.coalesce("body", F.lit(""))), r"\s+$", ""))
+    rows = rows.withColumn("_old", _blocks(F.col("_body"))).withColumn("_new", F.transform(F.slice(_blocks(F.col("_fill")), 2, F.greatest(F.size(_blocks(F.col("_fill"))), F.lit(1))), lambda b: F.regexp_replace(b, r"\s+$", "")))
+    rows = rows.withColumn("_had", F.transform("_old", _heading)).withColumn("_has", F.transform("_new", _heading))
+
+    def last_of(block: Column, place: Column) -> Column:
+        """What stands for a document's block at a place: itself, or the last of the fill with its heading if it is the last of the document with it."""
+        heading = _heading(block)
+        later = F.array_contains(F.slice("_had", place + 2, F.size("_had")), heading)
+        fitting = F.filter("_new", lambda b: _heading(b) == heading)
+        return F.when((place == 0) | later | (F.size(fitting) == 0), block).otherwise(F.concat(F.element_at(fitting, -1), F.when(place + 1 < F.size("_old"), F.lit("\n")).otherwise(F.lit(""))))
+
+    kept = F.transform("_old", last_of)
+    had = F.slice("_had", 2, F.greatest(F.size("_had"), F.lit(1)))
+    added = F.filter("_new", lambda b: ~F.array_contains(had, _heading(b)))
+    whole = F.regexp_replace(F.expr("substring(_whole, 2)"), r"\s+$", "")
+    bare = F.size("_new") == 0
+    rows = rows.withColumn("_whole", F.array_join(kept, "\n")).withColumn("_added", added)
+    text = F.when(bare & F.col("_title").isNotNull(), F.col("_body")).when(bare, F.concat(F.col("_body"), F.lit("\n\n"), F.col("_fill"))).otherwise(F.array_join(F.concat(F.array(whole), F.col("_added")), "\n\n"))
+    n = F.size(F.array_distinct(F.array_intersect("_has", had)))
+    none = F.col("_fill").isNull()
+    return rows.select("name", F.when(none, F.col("body")).otherwise(F.concat(_trimmed(text), F.lit("\n"))).alias("body"), F.when(none, 0).otherwise(n).alias("n_replaced"), F.when(none, 0).otherwise(F.size("_added")).alias("n_added"))
+
+
+def quality(skills: DataFrame, results: DataFrame, signals: DataFrame) -> DataFrame:
+    """(product, name, latest_status, latest_at, n_results, n_failed, n_signals, regenerate) of each skill (product, name).
+
+    The newest SHOWN results (product, name, result_id, status, at) and signals (product, name, signal_id, at) count; a failed result or any
+    signal asks for the skill to be made again.
+    """
+    key = ["product", "name"]
+    told = top(results, key, [F.desc("at"), F.desc("result_id")], SHOWN, "_r").groupBy(*key).agg(
+        F.max(F.when(F.col("_r") == 1, F.col("status"))).alias("latest_status"), F.max("at").alias("latest_at"), F.count("*").alias("n_results"), F.count_if(F.col("status") == "failed").alias("n_failed"))
+    said = top(signals, key, [F.desc("at"), F.desc("signal_id")], SHOWN, "_r").groupBy(*key).agg(F.count("*").alias("n_signals"))
+    rows = skills.select(*key).distinct().join(told, key, "left").join(said, key, "left")
+    for name in ("n_results", "n_failed", "n_signals"):
+        rows = rows.withColumn(name, F.coalesce(name, F.lit(0)))
+    return rows.withColumn("regenerate", (F.col("n_failed") > 0) | (F.col("n_signals") > 0)).select(*key, "latest_status", "latest_at", "n_results", "n_failed", "n_signals", "regenerate")
+
+
+def runs(results: DataFrame) -> DataFrame:
+    """(run_id, n, n_failed, status, summary) of results (run_id, name, result_id, status, at): of each skill the last one counts, and a run has
+    failed if all have, passed if none has, and else is partial."""
+    last = top(results, ["run_id", "name"], [F.desc("at"), F.desc("result_id")], 1, "_r")
+    of = last.groupBy("run_id").agg(F.count("*").alias("n"), F.count_if(F.col("status") == "failed").alias("n_failed"))
+    status = F.when(F.col("n_failed") == F.col("n"), "failed").when(F.col("n_failed") > 0, "partial").otherwise("passed")
+    return of.withColumn("status", status).withColumn("summary", F.concat((F.col("n") - F.col("n_failed")).cast("string"), F.lit("/"), F.col("n").cast("string"), F.lit(" skill eval(s) passed.")))
+
+
+def visible_runs(ran: DataFrame, products: DataFrame, allowed: DataFrame) -> DataFrame:
+    """ran (run_id, at, ...) with place, newest first, without runs that have a product (run_id, product) which isn't allowed (product)."""
+    barred = products.join(allowed.select("product").distinct(), "product", "left_anti").select("run_id").distinct()
+    seen = ran.join(barred, "run_id", "left_anti")
+    day = F.to_date("at")  # days are ranked each by itself, and start after those that are newer
+    within = seen.withColumn("_day", day).withColumn("_in", F.row_number().over(Window.partitionBy("_day").orderBy(F.desc("at"), "run_id")))
+    sizes = within.groupBy("_day").agg(F.count("*").alias("_n"))
+    start = sizes.withColumn("_start", F.coalesce(F.sum("_n").over(Window.orderBy(F.desc("_day")).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    return within.join(start, within["_day"].eqNullSafe(start["_day"])).withColumn("place", F.col("_in") + F.col("_start")).drop("_day", "_in", "_start")

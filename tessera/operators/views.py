@@ -49,15 +49,3 @@ def fabricated(cited: DataFrame, evidence: DataFrame) -> DataFrame:
     """Citations (file, line) that no evidence (file, start_line, end_line) covers."""
     spans = evidence.select(F.col("file").alias("_f"), "start_line", "end_line").distinct()
     return cited.join(spans, (cited["file"] == spans["_f"]) & F.col("line").between(F.col("start_line"), F.col("end_line")), "left_anti")
-
-
-def document_checks(documents: DataFrame, required: list[str], least: int = 80, key: str = "name", text: str = "body") -> DataFrame:
-    """(key, section, problem) for required second-level sections that are missing, duplicate, short or without a citation."""
-    parts = documents.select(key, F.explode(F.slice(F.split(F.concat(F.lit("\n"), F.col(text)), r"\n##\s+"), 2, 10_000)).alias("part"))
-    cut = parts.select(key, F.trim(F.regexp_extract("part", r"^([^\n]*)", 1)).alias("section"), F.trim(F.regexp_replace("part", r"^[^\n]*\n?", "")).alias("content"))
-    held = cut.groupBy(key, "section").agg(F.count("*").alias("n"), F.max(F.length("content")).alias("size"), F.max(F.col("content").rlike(r"\[file:\s*[^\]\s:]+:\d+\]")).alias("cited"))
-    wanted = documents.select(key, F.explode(F.array(*map(F.lit, required))).alias("section"))
-    problem = (
-        F.when(F.col("n").isNull(), "missing").when(F.col("n") > 1, "duplicate").when(F.col("size") < least, "short").when(~F.col("cited"), "uncited")
-    )
-    return wanted.join(held, [key, "section"], "left").select(key, "section", problem.alias("problem")).filter("problem is not null")

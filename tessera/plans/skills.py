@@ -119,7 +119,49 @@ def repaired_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skills.repaired(documents, evidence, skills.miscited(documents, evidence, ["Rules"]))
 
 
-QUERIES = {f.__name__: f for f in (resolved_facts, ticket_edges, ticket_rollup, repaired_citations, skill_problems, skill_rules, skill_evaluation, skill_names, parsed_facts, merged_facts)}
+def skill_applicable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as skills of their nation's product, for files and contexts that customers of the nation ask about."""
+    k, c = F.col("s_suppkey"), F.col("c_custkey")
+    globs = F.when(k % 4 == 1, F.array(F.lit("src/b1/*.py"), F.lit("docs/**"))).when(k % 4 == 2, F.array(F.lit("**/*1.py"))).when(k % 4 == 3, F.array(F.lit("src/**/part?5*.py"))).otherwise(F.array().cast("array<string>"))
+    contexts = F.when(k % 3 == 1, F.array(F.lit("debug"))).when(k % 3 == 2, F.array(F.lit("plan"), F.lit("debug")))
+    held = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("product"), k.alias("name"), globs.alias("globs"), contexts.alias("contexts"))
+    file = F.when(c % 7 > 0, F.concat(F.when(c % 11 == 0, "docs/x").otherwise(F.concat(F.lit("src/b"), c % 10)), F.lit("/part"), c, F.lit(".py")))
+    context = F.when(c % 4 == 1, "general").when(c % 4 == 2, "debug").when(c % 4 == 3, "plan")
+    asked = table(spark, sf_dir, "customer").select(c.alias("query_id"), F.col("c_nationkey").alias("product"), file.alias("file"), context.alias("context"))
+    return skills.applicable(held, asked)
+
+
+def skill_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as skills that their names describe, in a plan that names and types tell."""
+    part = table(spark, sf_dir, "part").withColumn("name", F.concat(F.lit("p"), "p_partkey"))
+    plan = part.select(F.col("p_partkey").alias("place"), "name", F.concat_ws(" ", "name", "p_name", "p_type").alias("text"))
+    return skills.trigger_failures(part.select("name", F.col("p_name").alias("description")), plan)
+
+
+def skill_fills(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    fill = F.when(k % 3 == 0, F.concat(F.lit("## notes\nnew "), k, F.lit("\n\n## Extra\nmore\n"))).when(k % 3 == 1, F.concat(F.lit("just text "), k)).otherwise(" ")
+    return skills.filled(_claims(spark, sf_dir)[0], table(spark, sf_dir, "supplier").select(F.concat(F.lit("doc-"), k).alias("name"), fill.alias("fill")))
+
+
+def skill_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as results of their supplier, failed if returned, and those of one discount as signals."""
+    supplier, items = table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("product"), F.col("s_suppkey").alias("name")), table(spark, sf_dir, "lineitem")
+    at, mark = F.col("l_shipdate").cast("date").cast("string").alias("at"), (F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    held = items.join(supplier, F.col("l_suppkey") == F.col("name"))
+    results = held.select("product", "name", mark.alias("result_id"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("passed").alias("status"), at)
+    return skills.quality(supplier, results, held.filter("l_linenumber = 7 and l_quantity > 45").select("product", "name", mark.alias("signal_id"), at))
+
+
+def eval_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as runs over suppliers, those that have only allowed suppliers, newest first."""
+    items = table(spark, sf_dir, "lineitem")
+    results = items.select(F.col("l_orderkey").alias("run_id"), F.col("l_suppkey").alias("name"), F.col("l_linenumber").alias("result_id"), F.when(F.col("l_returnflag") == "R", "failed").otherwise("passed").alias("status"), F.col("l_shipdate").cast("date").cast("string").alias("at"))
+    ran = skills.runs(results).join(results.groupBy("run_id").agg(F.max("at").alias("at")), "run_id")
+    return skills.visible_runs(ran, results.select("run_id", F.col("name").alias("product")), table(spark, sf_dir, "supplier").filter("s_suppkey % 20 <> 1").select(F.col("s_suppkey").alias("product")))
+
+
+QUERIES = {f.__name__: f for f in (skill_applicable, skill_triggers, skill_fills, skill_quality, eval_runs, resolved_facts, ticket_edges, ticket_rollup, repaired_citations, skill_problems, skill_rules, skill_evaluation, skill_names, parsed_facts, merged_facts)}
 
 _PROBLEMS = """problems AS (SELECT 'skill-' || k AS name, section, problem FROM (SELECT s_suppkey AS k FROM supplier) s CROSS JOIN (VALUES
  (NULL, 'no title'), ('Use This Skill When', 'missing'), ('Rules', 'few cited rules'), ('Steps', 'concrete claim needs citation'), ('Steps', 'duplicate'), ('Extra', 'unexpected'), ('Testing Strategy', 'optional needs evidence')) p(section, problem)
@@ -154,4 +196,26 @@ ORACLE_SQL = {
       UNION ALL SELECT 'shop', 'SUP-' || s_suppkey, least('SUP-' || s_suppkey, 'SUP-' || xor(s_suppkey, 1)), NULL, true FROM supplier""",
     "repaired_citations": """SELECT 'doc-' || k AS name, '# Doc ' || k || chr(10) || '## Rules' || chr(10) || 'First the nation' || n || ' ledger.' || chr(10) || '- Keep nation' || n || ' apart.' || CASE WHEN k % 3 = 2 THEN ' [file: src/n0.py:1]' ELSE ' [file: src/n' || best || '.py:1]' END
       || chr(10) || '## Notes' || chr(10) || 'plain' || chr(10) AS body, CAST(CASE WHEN k % 3 = 2 THEN 0 ELSE 1 END AS BIGINT) AS n_repaired FROM (SELECT s_suppkey AS k, s_nationkey AS n, (SELECT max(n_nationkey) FROM nation WHERE contains('nation' || n_nationkey, 'nation' || s_nationkey)) AS best FROM supplier)""",
+    "skill_applicable": """WITH s AS (SELECT s_nationkey AS product, s_suppkey AS k, CASE s_suppkey % 4 WHEN 1 THEN '^(src/b1/[^/]*[.]py|docs/.*)$' WHEN 2 THEN '^(.*/)?[^/]*1[.]py$' WHEN 3 THEN '^src/(.*/)?part[^/]5[^/]*[.]py$' END AS form FROM supplier),
+      a AS (SELECT c_custkey AS c, c_nationkey AS product, CASE WHEN c_custkey % 7 > 0 THEN CASE WHEN c_custkey % 11 = 0 THEN 'docs/x' ELSE 'src/b' || (c_custkey % 10) END || '/part' || c_custkey || '.py' END AS file FROM customer)
+      SELECT c AS query_id, k AS name FROM s JOIN a USING (product) WHERE (form IS NULL OR file IS NULL OR regexp_matches(file, form)) AND (k % 3 = 0 OR c % 4 < 2 OR c % 4 = 2 OR k % 3 = 2)""",
+    "skill_triggers": f"""WITH p AS (SELECT p_partkey AS k, 'p' || p_partkey AS name, list_filter(regexp_extract_all(lower(p_name), '[a-z0-9]+'), lambda w: length(w) >= 4) AS w, list_distinct(regexp_extract_all(lower(concat_ws(' ', 'p' || p_partkey, p_name, p_type)), '[a-z0-9]+')) AS held FROM part),
+      posed AS (SELECT name, list_filter([CASE WHEN len(w) > 0 THEN 'I need help with ' || array_to_string(w[1:4], ' ') END, CASE WHEN len(w) >= 5 THEN 'how do I handle ' || array_to_string(w[3:6], ' ') WHEN len(w) > 0 THEN 'how do I use ' || name END, 'explain ' || name], lambda x: x IS NOT NULL) AS l FROM p),
+      own AS MATERIALIZED (SELECT name, unnest(l) AS prompt, CAST(unnest(range(0, len(l))) AS INTEGER) AS place FROM posed),
+      strange AS (SELECT name, unnest({list(skills.UNRELATED)}) AS prompt, unnest([3, 4]) AS place FROM p),
+      terms AS (SELECT prompt, len(w) AS n, unnest(w) AS term FROM (SELECT prompt, list_distinct(regexp_extract_all(lower(prompt), '[a-z0-9]+')) AS w FROM (SELECT prompt FROM own UNION SELECT prompt FROM strange))),
+      words AS (SELECT k, name, unnest(held) AS term FROM p), scored AS MATERIALIZED (SELECT prompt, k, name, count(*) / n::DOUBLE AS score FROM terms JOIN words USING (term) GROUP BY prompt, n, k, name),
+      best AS (SELECT prompt, arg_min(name, {{'s': -score, 'k': k}}) AS first FROM scored GROUP BY prompt),
+      faults AS (SELECT name, place, prompt, first, 'missed' AS problem FROM own LEFT JOIN best USING (prompt) WHERE first IS DISTINCT FROM name UNION ALL SELECT name, place, prompt, NULL, 'unrelated' FROM strange JOIN (SELECT DISTINCT prompt, name FROM scored) USING (prompt, name))
+      SELECT name, CAST(place AS INTEGER) AS place, prompt, first, problem FROM (SELECT *, row_number() OVER (PARTITION BY name ORDER BY place) AS r FROM faults) WHERE r <= 4""",
+    "skill_fills": """SELECT 'doc-' || k AS name, '# Doc ' || k || chr(10) || '## Rules' || chr(10) || 'First the nation' || n || ' ledger.' || chr(10) || '- Keep nation' || n || ' apart.' || CASE k % 3 WHEN 1 THEN ' [file: src/none.py:7]' WHEN 2 THEN ' [file: src/n0.py:1]' ELSE '' END || chr(10)
+      || CASE k % 3 WHEN 0 THEN '## notes' || chr(10) || 'new ' || k || chr(10) || chr(10) || '## Extra' || chr(10) || 'more' WHEN 1 THEN '## Notes' || chr(10) || 'plain' || chr(10) || chr(10) || 'just text ' || k ELSE '## Notes' || chr(10) || 'plain' END || chr(10) AS body,
+      CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS n_replaced, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS n_added FROM (SELECT s_suppkey AS k, s_nationkey AS n FROM supplier)""",
+    "skill_quality": """WITH r AS (SELECT l_suppkey AS name, l_returnflag = 'R' AS failed, CAST(l_shipdate::DATE AS VARCHAR) AS at_, l_orderkey * 10 + l_linenumber AS mark, l_linenumber = 7 AND l_quantity > 45 AS told FROM lineitem),
+      last_ AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY at_ DESC, mark DESC) AS i FROM r), of AS (SELECT name, max(CASE WHEN i = 1 THEN CASE WHEN failed THEN 'failed' ELSE 'passed' END END) AS s, max(at_) AS a, count(*) AS n, count(*) FILTER (WHERE failed) AS f FROM last_ WHERE i <= 20 GROUP BY name),
+      g AS (SELECT name, least(count(*), 20) AS n FROM r WHERE told GROUP BY name)
+      SELECT s_nationkey AS product, s_suppkey AS name, s AS latest_status, a AS latest_at, coalesce(of.n, 0) AS n_results, coalesce(f, 0) AS n_failed, coalesce(g.n, 0) AS n_signals, coalesce(f, 0) > 0 OR coalesce(g.n, 0) > 0 AS regenerate FROM supplier LEFT JOIN of ON of.name = s_suppkey LEFT JOIN g ON g.name = s_suppkey""",
+    "eval_runs": """WITH l AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY l_shipdate::DATE DESC, l_linenumber DESC) AS i FROM lineitem),
+      r AS (SELECT l_orderkey AS run_id, count(*) FILTER (WHERE i = 1) AS n, count(*) FILTER (WHERE i = 1 AND l_returnflag = 'R') AS n_failed, CAST(max(l_shipdate::DATE) AS VARCHAR) AS at_, bool_or(l_suppkey % 20 = 1) AS barred FROM l GROUP BY l_orderkey)
+      SELECT run_id, n, n_failed, CASE WHEN n_failed = n THEN 'failed' WHEN n_failed > 0 THEN 'partial' ELSE 'passed' END AS status, (n - n_failed) || '/' || n || ' skill eval(s) passed.' AS summary, at_ AS "at", row_number() OVER (ORDER BY at_ DESC, run_id) AS place FROM r WHERE NOT barred""",
 }

@@ -103,10 +103,8 @@ def test_first_at_or_after_takes_the_least_of_equal_times(spark):
     assert rows(joins.first_at_or_after(left, right, ["g"], "t", "t", "v"), "id", "v") == [(1, 60), (2, None), (3, None)]
 
 
-def test_document_checks_and_citations(spark):
-    body = "## Setup\n" + "long text " * 20 + "[file: a/b.py:10]\n## Use\nshort\n## Use\nagain\n## Other\n" + "x" * 100
-    docs = spark.createDataFrame([("d", body)], "name string, body string")
-    assert rows(views.document_checks(docs, ["Setup", "Use", "Other", "Gone"]), "section", "problem") == [("Gone", "missing"), ("Other", "uncited"), ("Use", "duplicate")]
+def test_citations_that_no_evidence_covers(spark):
+    docs = spark.createDataFrame([("d", "x [file: a/b.py:10] [file: a/b.py:9]\n[file: a/b.py:10]"), ("e", None)], "name string, body string")
     evidence = spark.createDataFrame([("a/b.py", 1, 9)], "file string, start_line int, end_line int")
     assert rows(views.fabricated(views.citations(docs), evidence), "file", "line") == [("a/b.py", 10)]
 
