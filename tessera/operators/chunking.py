@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 from pyspark.sql.window import Window
 
+from tessera.functions.lineage import by_key, cut
 from tessera.functions.scalars import uuid5
 
 NAMESPACE = "6ba7b811-9dad-11d1-80b4-00c04fd430c8"  # RFC 4122's namespace for URLs
@@ -107,7 +108,7 @@ def _cut_out(resources: DataFrame, spans: DataFrame, key: str = "uri", text: str
     rows = F.split(F.regexp_replace(F.col(text), "\r\n?", "\n"), "\n", -1)
     others = [c for c in spans.columns if c != key]
     grouped = spans.groupBy(key).agg(F.collect_list(F.struct(*others)).alias("_spans"))
-    held = resources.select(key, rows.alias("_rows")).join(grouped, key)
+    held = by_key(resources.select(key, rows.alias("_rows"))).join(grouped, key)
     said = F.transform("_spans", lambda x: F.struct(*(x[c].alias(c) for c in others), F.array_join(F.slice("_rows", x["start_line"], x["end_line"] - x["start_line"] + 1), "\n").alias("content")))
     return held.select(key, F.explode(said).alias("_s")).select(key, *(f"_s.{c}" for c in others), "_s.content")
 
@@ -116,11 +117,12 @@ def code_chunks(resources: DataFrame, declared: DataFrame) -> DataFrame:
     """(uri, start_line, end_line, context_path, content) of code files (uri, content): their declarations (uri,
     start_line, end_line, context), and what lies between those that are kept; nothing shorter than LEAST."""
     kept = _cut_out(resources, declared.select("uri", "start_line", "end_line", F.col("context").alias("context_path"))).filter(F.length("content") >= LEAST)
+    kept = cut(kept)  # read for itself and for what lies between
     sizes = resources.select("uri", F.size(F.split(F.regexp_replace("content", "\r\n?", "\n"), "\n", -1)).alias("n"))
     between = gaps(kept.select("uri", F.col("start_line").alias("start"), F.col("end_line").alias("end")), sizes, "uri")
     rest = _cut_out(resources, between.select("uri", F.col("start").cast("int").alias("start_line"), F.col("end").cast("int").alias("end_line"), F.lit("<module>").alias("context_path")))
     rest = rest.withColumn("content", F.regexp_replace("content", r"\A\s+|\s+\z", "")).filter(F.length("content") >= LEAST)
-    whole = kept.unionByName(rest)
+    whole = cut(kept.unionByName(rest))
     fits = F.length("content") <= MOST
     return whole.filter(fits).unionByName(split_spans(whole.filter(~fits), 0))
 
@@ -131,7 +133,7 @@ def markdown_chunks(resources: DataFrame, headings: DataFrame) -> DataFrame:
     each = lines(resources)
     titled = sections(headings, "uri").select("uri", F.col("at").alias("line_no"), "path")
     here = Window.partitionBy("uri").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = each.join(titled, ["uri", "line_no"], "left").withColumn("start_line", F.coalesce(F.max(F.when(F.col("path").isNotNull(), F.col("line_no"))).over(here), F.lit(1)))
+    rows = each.join(by_key(titled), ["uri", "line_no"], "left").withColumn("start_line", F.coalesce(F.max(F.when(F.col("path").isNotNull(), F.col("line_no"))).over(here), F.lit(1)))
     whole = rows.groupBy("uri", "start_line").agg(
         F.max("line_no").alias("end_line"), F.max("path").alias("context_path"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_lines"))
     text = F.regexp_replace(F.array_join(F.transform("_lines", lambda x: x["line"]), "\n"), r"\A\s+|\s+\z", "")
