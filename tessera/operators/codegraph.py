@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.lineage import cut
+from tessera.functions.lineage import by_key, cut, spread
 from tessera.functions.scalars import base_name, uuid5
 from tessera.operators import chunking, scan
 from tessera.operators.chunking import lines
@@ -60,7 +60,7 @@ class Read(NamedTuple):
 
 
 def read(resources: DataFrame | Read) -> Read:
-    return resources if isinstance(resources, Read) else Read(resources, cut(lines(resources)), cut(scan.facts(resources)))
+    return resources if isinstance(resources, Read) else Read(resources, cut(lines(spread(resources.select("uri", "content"), "uri"))), cut(scan.facts(resources)))
 
 
 def declarations(resources: DataFrame | Read) -> DataFrame:
@@ -92,7 +92,7 @@ def _calls(held: Read, product: str) -> DataFrame:
     inside = outer.unionByName(called).withColumn("c", F.last("c", ignorenulls=True).over(before)).filter("kind = 1 and at <= c.end_line").select("uri", "name", "c.caller", "c.caller_label").distinct()
     local = declared.groupBy("uri", "name").agg(F.max_by("label", "start_line").alias("label"))
     bound = held.facts.filter("fact = 'import' and name is not null").groupBy("uri", "name").agg(F.max("module").alias("module"))
-    met = inside.join(local, ["uri", "name"], "left").join(bound, ["uri", "name"], "left")
+    met = inside.join(by_key(local), ["uri", "name"], "left").join(by_key(bound), ["uri", "name"], "left")
     to = F.when(F.col("label").isNotNull(), sid("symbol", product, F.col("uri"), F.col("name"), F.col("label"))).when(F.col("module").isNotNull(), sid("module", product, F.col("module")))
     edges = met.select(F.lit("CALLS").alias("edge_type"), sid("symbol", product, F.col("uri"), F.col("caller"), F.col("caller_label")).alias("from_id"), to.alias("to_id"), "uri")
     return edges.filter("to_id is not null and to_id <> from_id")
@@ -113,7 +113,7 @@ def _document_edges(each: DataFrame, product: str) -> list[DataFrame]:
     uri, title = F.col("uri"), F.col("title")
     here = sid("document", product, uri, title)
     inside = heads.select(F.lit("CONTAINS").alias("edge_type"), F.coalesce(F.when(F.col("parent").isNotNull(), sid("document", product, uri, F.col("parent"))), sid("file", product, uri)).alias("from_id"), here.alias("to_id"), "uri")
-    rows = each.filter(uri.rlike(MARKDOWN)).join(heads.select("uri", F.col("at").alias("line_no"), "title"), ["uri", "line_no"], "left")
+    rows = each.filter(uri.rlike(MARKDOWN)).join(by_key(heads.select("uri", F.col("at").alias("line_no"), "title")), ["uri", "line_no"], "left")
     section = F.last("title", ignorenulls=True).over(Window.partitionBy("uri").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0))
     first = F.min(F.when(title.isNotNull(), F.col("line_no"))).over(Window.partitionBy("uri"))
     body = rows.withColumn("section", section).withColumn("first", first).filter(title.isNull() & (F.col("first").isNull() | (F.col("line_no") > F.col("first"))))
@@ -143,7 +143,7 @@ def edges(resources: DataFrame | Read, product: str) -> DataFrame:
 
     route = each.filter(uri.rlike(CODE)).withColumn("method", F.upper(F.regexp_extract("line", ROUTE, 1))).withColumn("path", F.regexp_extract("line", ROUTE, 2)).filter("method <> ''")
     api = sid("api", product, F.col("method"), normal_route(F.col("path")), module_name(uri))
-    after = route.join(declared.select("uri", "start_line", symbol.alias("symbol")), "uri", "left").groupBy("uri", "line_no", "method", "path").agg(
+    after = route.join(by_key(declared.select("uri", "start_line", symbol.alias("symbol"))), "uri", "left").groupBy("uri", "line_no", "method", "path").agg(
         F.min_by(F.when(F.col("start_line") >= F.col("line_no"), F.col("symbol")), F.when(F.col("start_line") >= F.col("line_no"), F.col("start_line"))).alias("symbol"))
     config = each.filter(uri.rlike(CODE)).select("uri", F.explode(F.array(*(F.regexp_extract_all("line", F.lit(CONFIG), F.lit(k)) for k in (1, 2, 3)))).alias("keys")).select("uri", F.explode("keys").alias("key")).filter("key <> ''")
     table = each.filter(F.array_contains(file_labels(uri), "Migration")).select("uri", F.explode(F.regexp_extract_all("line", F.lit(TABLE), F.lit(1))).alias("name"))
@@ -172,7 +172,7 @@ def nodes(resources: DataFrame | Read, product: str) -> DataFrame:
     known = reduce(DataFrame.unionByName, own)
     kind = F.regexp_extract("node_id", "^([a-z]+):", 1)
     label = F.create_map(*(F.lit(x) for pair in (("source", "Source"), ("repo", "Repository"), ("module", "Module"), ("file", "CodeFile"), ("api", "APIEndpoint"), ("config", "Config"), ("dbtable", "DBTable"), ("symbol", "Function")) for x in pair))
-    ends = edges(held, product).select(F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct().join(known.select("node_id"), "node_id", "left_anti")
+    ends = edges(held, product).select(F.explode(F.array("from_id", "to_id")).alias("node_id")).distinct().join(by_key(known.select("node_id")), "node_id", "left_anti")
     rest = ends.select("node_id", F.array(label[kind]).alias("labels"), F.element_at(F.split("node_id", ":"), F.when(kind.isin("api", "symbol"), -2).otherwise(-1)).alias("name"), F.lit(None).cast("string").alias("uri"), none.alias("start_line"), none.alias("end_line"))
     every = known.unionByName(rest)
     return every.groupBy("node_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("labels")))).alias("labels"), F.max("name").alias("name"), F.max("uri").alias("uri"), F.min("start_line").alias("start_line"), F.max("end_line").alias("end_line"))
@@ -193,7 +193,7 @@ def chunks(resources: DataFrame | Read) -> DataFrame:
 def chunk_nodes(chunks: DataFrame, found: DataFrame) -> DataFrame:
     """(chunk_id, node_ids) of chunks (chunk_id, uri, start_line, end_line): the declarations and headings a chunk overlaps, and its file's own nodes."""
     at = found.filter("uri is not null").select("uri", "node_id", F.col("start_line").alias("a"), F.col("end_line").alias("b"))
-    met = chunks.join(at, "uri").filter(F.col("a").isNull() | (F.col("a") <= F.col("end_line")) & (F.col("b") >= F.col("start_line")))
+    met = chunks.join(by_key(at), "uri").filter(F.col("a").isNull() | (F.col("a") <= F.col("end_line")) & (F.col("b") >= F.col("start_line")))
     return met.groupBy("chunk_id").agg(F.array_sort(F.collect_set("node_id")).alias("node_ids"))
 
 
@@ -220,7 +220,7 @@ def community_sentences(found: DataFrame, related: DataFrame, most: int = 16) ->
     rows = related.select("uri", "edge_type", "from_id", "to_id", kind.alias("kind")).filter("kind is not null").distinct().withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= most)
     names = found.select("node_id", F.nullif("name", F.lit("")).alias("name"))
     for end in ("from", "to"):
-        rows = rows.join(names.select(F.col("node_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name")), f"{end}_id", "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", f"{end}_id"))
+        rows = rows.join(by_key(names.select(F.col("node_id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"))), f"{end}_id", "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", f"{end}_id"))
     said = F.concat("from_name", F.lit(" -"), "edge_type", F.lit("-> "), "to_name")
     by_kind = rows.groupBy("uri", "kind").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_r", said.alias("said")))), lambda x: x["said"]), "; ").alias("said"))
     title = F.element_at(F.array(*(F.lit(name) for name, _ in SENTENCES)), F.col("kind") + 1)

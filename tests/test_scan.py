@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessera.operators import codegraph, retrieval, vectors
+from tessera.operators import codegraph, retrieval, scan, vectors
 from tessera.operators.scan import Scan
 
 CASES = {
@@ -82,3 +82,17 @@ def test_bounded_search_is_exhaustive_search(spark):
     some = {(r.query_id, r.chunk_id): r.score for r in retrieval.bm25(chunks, asked, 5).collect()}
     every = {(r.query_id, r.chunk_id): r.score for r in retrieval.bm25(chunks, asked, 10_000).filter("rank <= 5").collect()}
     assert some == every and len(some) == 200
+
+
+@pytest.mark.parametrize("name", ["code_edges", "chunk_graph_nodes", "folder_summaries", "community_sentences", "code_nodes", "code_chunks"])
+def test_no_table_of_a_product_is_sent_whole_to_the_driver(spark, sf, name):
+    from tessera.plans import code
+
+    assert "BroadcastExchange" not in code.QUERIES[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_files_of_one_partition_are_scanned_by_many_tasks(spark):
+    files = spark.range(0, 3000, 1, 1).selectExpr("concat('a/f', id, '.py') AS uri", "concat('def f', id, '(x):\\n    return g(x)\\n') AS content")
+    found = scan.facts(files)
+    assert found.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert found.count() == 6000 and found.select("uri").distinct().count() == 3000
