@@ -65,9 +65,9 @@ def markdown_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_graph_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    code = _code(spark, sf_dir)
-    chunks = chunking.code_chunks(code, codegraph.declarations(code)).select(F.concat_ws(":", "uri", "start_line").alias("chunk_id"), "uri", "start_line", "end_line")
-    return codegraph.chunk_nodes(chunks, codegraph.nodes(code, PRODUCT)).select("chunk_id", F.array_join("node_ids", "|").alias("node_ids"))
+    held = codegraph.read(_code(spark, sf_dir))  # scanned once for chunks and nodes
+    chunks = chunking.code_chunks(held.resources, codegraph.declarations(held)).select(F.concat_ws(":", "uri", "start_line").alias("chunk_id"), "uri", "start_line", "end_line")
+    return codegraph.chunk_nodes(chunks, codegraph.nodes(held, PRODUCT)).select("chunk_id", F.array_join("node_ids", "|").alias("node_ids"))
 
 
 def folder_summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
