@@ -163,3 +163,33 @@ def test_long_texts_are_cut_in_overlapping_runs_and_others_stay_whole():
     parts = pack_lines(text)
     assert parts[0][0] == 1 and parts[-1][1] == 60 and all(b[0] <= a[1] < b[1] for a, b in zip(parts, parts[1:]))
     assert all(len(p) <= 750 and p == "\n".join(text.split("\n")[a - 1:b]) for a, b, p in parts)
+
+
+def test_impact_counts_nodes_at_their_least_distance_from_any_seed(spark):
+    from tessera.operators import graph
+
+    edges = spark.createDataFrame([("E", "a", "b", "active"), ("E", "b", "c", None), ("E", "c", "d", "active"), ("E", "x", "c", "active"), ("E", "a", "y", "gone"), ("E", "a", "b", "active")], "edge_type string, from_id string, to_id string, status string")
+    nodes = spark.createDataFrame([(n, "L") for n in "abcdxy"], "node_id string, label string")
+    seeds = spark.createDataFrame([("a",), ("d",)], "seed string")
+    assert sorted(map(tuple, graph.impact(nodes, edges, seeds, None, 3).collect())) == [("L", 1, 2), ("L", 2, 1)]
+
+
+def test_frontiers_and_edges_meet_without_dealing_by_frequent_nodes(spark):
+    from tessera.functions.lineage import cut, small
+
+    few = cut(spark.range(10).withColumnRenamed("id", "k"))
+    many = spark.range(1000).selectExpr("id % 10 AS k")
+
+    def plan(df):
+        return df._jdf.queryExecution().executedPlan().toString()
+
+    assert "BroadcastHashJoin" in plan(many.join(small(few), "k")) and "SortMergeJoin" in plan(many.join(small(few, 9), "k"))
+
+
+def test_names_are_cut_into_pieces_once_however_many_nodes_have_them(spark):
+    from tessera.operators import graph
+
+    nodes = spark.range(1000).selectExpr("concat('n', id) AS node_id", "if(id < 0, 'none', 'Red Bolt') AS name", "1.0D AS confidence")
+    found = graph.resolve(nodes, spark.createDataFrame([("bolt",), ("red bolt",), ("zz",)], "mention string"), 2)
+    assert sorted(map(tuple, found.collect())) == [("bolt", "n0", 80.0, 1), ("bolt", "n1", 80.0, 2), ("red bolt", "n0", 100.0, 1), ("red bolt", "n1", 100.0, 2)]
+    assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
