@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.lineage import cut
+from tessera.functions.lineage import by_key, cut, small
 from tessera.functions.scalars import glob_form
 from tessera.operators import graph, retrieval
 from tessera.operators.codegraph import CODE
@@ -67,14 +67,14 @@ def neighbours(edges: DataFrame, found: DataFrame, kind: Kind) -> DataFrame:
     several queries start from is followed once for all."""
     first = cut(found.filter(F.col("rank") <= kind.seeds).select("query_id", F.col("node_id").alias("seed")))
     reached = graph.traverse(edges, first.select("seed").distinct(), kind.types, kind.depth).filter("depth > 0")
-    near = first.join(reached, "seed").groupBy("query_id", "node_id").agg(F.min("depth").alias("depth")).join(found.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
+    near = reached.join(by_key(first), "seed").groupBy("query_id", "node_id").agg(F.min("depth").alias("depth")).join(by_key(found.select("query_id", "node_id")), ["query_id", "node_id"], "left_anti")
     return retrieval.top(near, ["query_id"], [F.col("depth"), F.col("node_id")], kind.near)
 
 
 def widened(nodes: DataFrame, queries: DataFrame, found: DataFrame, near: DataFrame, kind: Kind) -> DataFrame:
     """(query_id, query, widened): each query with what is given, and the uris and names of its first seeds and neighbours, each once."""
     parts = [rows.filter(F.col("rank") <= most).select("query_id", "node_id", F.struct(F.lit(k).alias("part"), "rank").alias("at")) for k, (rows, most) in enumerate(zip((found, near), kind.told))]
-    named = reduce(DataFrame.unionByName, parts).join(nodes.select("node_id", F.array_compact(F.array("uri", "name")).alias("names")), "node_id")
+    named = reduce(DataFrame.unionByName, parts).join(by_key(nodes.select("node_id", F.array_compact(F.array("uri", "name")).alias("names"))), "node_id")
     told = named.groupBy("query_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "names"))), lambda x: x["names"])).alias("names"))
     every = F.concat(F.array(F.coalesce("query", F.lit(""))), _given(), F.coalesce("names", F.array().cast("array<string>")))
     return queries.join(told, "query_id", "left").select("query_id", "query", F.array_join(F.array_distinct(F.filter(every, lambda t: t != "")), " ").alias("widened"))
@@ -90,7 +90,7 @@ def gather(product: Product, queries: DataFrame, kind: Kind) -> Gathered:
     chunks = product.chunks.filter(F.col("file").rlike(CODE)) if kind.code else product.chunks
     lexical = retrieval.bm25(chunks, asked.select("query_id", F.col("widened").alias("query")), SEARCHED).select("query_id", F.lit(0).alias("ranking"), "rank", "chunk_id", F.lit("bm25").alias("source"))
     linked = found.filter(F.col("rank") <= LINKED_SEEDS).select("query_id", "node_id", "rank").unionByName(near.filter(F.col("rank") <= LINKED_NEAR).select("query_id", "node_id", (LINKED_SEEDS + F.col("rank")).alias("rank")))
-    placed = linked.join(product.attached, "node_id").join(chunks.select("chunk_id"), "chunk_id", "left_semi").groupBy("query_id", "chunk_id").agg(F.min("rank").alias("at"))
+    placed = linked.join(by_key(product.attached), "node_id").join(by_key(chunks.select("chunk_id")), "chunk_id", "left_semi").groupBy("query_id", "chunk_id").agg(F.min("rank").alias("at"))
     by_graph = retrieval.top(placed, ["query_id"], [F.col("at"), F.col("chunk_id")], SEARCHED).select("query_id", F.lit(1).alias("ranking"), "rank", "chunk_id", F.lit("graph").alias("source"))
     return Gathered(found, near, asked, cut(retrieval.fuse(lexical.unionByName(by_graph), limit=kind.hits)))
 
@@ -110,9 +110,9 @@ def context(product: Product, queries: DataFrame) -> DataFrame:
     """(query_id, query, widened, seeds, near, evidence, unknowns, n_edges): context for coding. n_edges counts the active edges of the
     followed types between what is shown."""
     held = gather(product, queries, CODING)
-    shown = held.found.select("query_id", "node_id").unionByName(held.near.select("query_id", "node_id"))
+    shown = cut(held.found.select("query_id", "node_id").unionByName(held.near.select("query_id", "node_id")))
     kept = product.edges.filter((F.coalesce(F.col("status"), F.lit("active")) == "active") & F.col("edge_type").isin(CODING.types)).select("from_id", "to_id", "edge_type")
-    ends = shown.join(kept, F.col("node_id") == F.col("from_id")).drop("node_id", "from_id")
+    ends = kept.join(small(shown), F.col("node_id") == F.col("from_id")).drop("node_id", "from_id")
     within = ends.join(shown.withColumnRenamed("node_id", "to_id"), ["query_id", "to_id"], "left_semi").groupBy("query_id").agg(F.count("*").alias("n_edges"))
     return _told(queries, held).join(within, "query_id", "left").withColumn("n_edges", F.coalesce("n_edges", F.lit(0)))
 
@@ -123,8 +123,8 @@ def impact(product: Product, queries: DataFrame) -> DataFrame:
     seeds and neighbours."""
     held = gather(product, queries, IMPACT)
     known = product.nodes.select("node_id", "labels", F.coalesce("confidence", F.lit(1.0)).alias("c"))
-    near = held.near.join(known, "node_id").withColumn("category", graph.category(F.col("labels"))).groupBy("query_id").agg(F.array_sort(F.collect_set("category")).alias("categories"), F.sum("c").alias("c_near"))
-    own = held.found.join(known, "node_id").groupBy("query_id").agg(F.sum("c").alias("c_own"))
+    near = held.near.join(by_key(known), "node_id").withColumn("category", graph.category(F.col("labels"))).groupBy("query_id").agg(F.array_sort(F.collect_set("category")).alias("categories"), F.sum("c").alias("c_near"))
+    own = held.found.join(by_key(known), "node_id").groupBy("query_id").agg(F.sum("c").alias("c_own"))
     rows = _told(queries, held).join(near, "query_id", "left").join(own, "query_id", "left").withColumn("categories", F.coalesce("categories", F.array().cast("array<string>")))
     checks = F.array_compact(F.array(*(F.when(F.array_contains("categories", name), F.lit(said)) for name, said in graph.CHECKS)))
     shown = F.size("evidence") > 0
@@ -139,9 +139,9 @@ def dependencies(product: Product, queries: DataFrame) -> DataFrame:
     those they have one to."""
     held = gather(product, queries, DEPENDENCIES)
     kept = product.edges.filter((F.coalesce(F.col("status"), F.lit("active")) == "active") & F.col("edge_type").isin(DEPENDENCIES.types)).select("from_id", "to_id")
-    seed, near, out = held.found.select("query_id", F.col("node_id").alias("seed")), held.near.select("query_id", F.col("node_id").alias("there")), _told(queries, held)
+    seed, near, out = small(held.found.select("query_id", F.col("node_id").alias("seed"))), held.near.select("query_id", F.col("node_id").alias("there")), _told(queries, held)
     for name, here, there in (("upstream", "to_id", "from_id"), ("downstream", "from_id", "to_id")):
-        met = seed.join(kept.select(F.col(here).alias("seed"), F.col(there).alias("there")), "seed").join(near, ["query_id", "there"], "left_semi")
+        met = kept.select(F.col(here).alias("seed"), F.col(there).alias("there")).join(seed, "seed").join(by_key(near), ["query_id", "there"], "left_semi")
         out = out.join(met.groupBy("query_id").agg(F.array_sort(F.collect_set("there")).alias(name)), "query_id", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
     return out
 

@@ -94,3 +94,16 @@ def test_sentences_of_communities_are_cut_and_ordered(spark):
     lines = got[0].summary.split("\n")
     assert len(got) == 1 and lines[0] == "Graph community for u." and lines[1].startswith("Flows: fn -CALLS-> x00; ") and lines[1].count(";") == 15
     assert lines[2:] == ["Runtime/config/data: b -READS-> fn.", "Docs/tests: fn -COVERS-> b."]
+
+
+def test_nodes_are_never_sent_whole_to_the_driver(spark):
+    from tessera.operators import packs
+
+    nodes = spark.range(1000).selectExpr("concat('n', id) AS node_id", "concat('name', id) AS name", "concat('u/', id) AS uri", "1.0D AS confidence")
+    queries = spark.createDataFrame([(1, "name7 or name8", None)], "query_id long, query string, given array<string>")
+    found = spark.createDataFrame([(1, "n7", 1)], "query_id long, node_id string, rank int")
+    near = spark.createDataFrame([(1, "n8", 1, 1)], "query_id long, node_id string, depth int, rank int")
+    told = packs.widened(nodes, queries, found, near, packs.IMPACT)
+    for df in (told, packs.seeds(nodes, queries, packs.IMPACT)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in told.collect()] == [(1, "name7 or name8", "name7 or name8 u/7 name7 u/8 name8")]
