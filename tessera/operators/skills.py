@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.lineage import cut
+from tessera.functions.lineage import by_key, cut, small
 from tessera.functions.scalars import glob_form
 from tessera.operators.evidence import holding
 from tessera.operators.facts import decoded
@@ -164,18 +164,20 @@ def applicable(skills: DataFrame, asked: DataFrame) -> DataFrame:
 
     A skill without globs fits all files, and one without contexts all contexts; where no file, or no context or `general`, is
     asked for, all fit. A file that fits a glob lies below the folders that the glob begins with, so files meet globs on their
-    folders, and the form is compared after.
+    folders, and the form is compared after. Skills that fit the same things are one until then, and each is told once.
     """
     globs, contexts = F.coalesce("globs", F.array().cast("array<string>")), F.coalesce("contexts", F.array().cast("array<string>"))
-    held = skills.select("product", "name", globs.alias("globs"), contexts.alias("contexts")).distinct()
+    like = skills.groupBy("name").agg(F.array_sort(F.collect_set(F.struct("product", globs.alias("globs"), contexts.alias("contexts")))).alias("kind"))
+    like = cut(like)
+    held = cut(like.select("kind").distinct().select("kind", F.explode("kind").alias("k")).select("kind", "k.product", "k.globs", "k.contexts"))
     bare, formed = held.filter(F.size("globs") == 0), held.filter(F.size("globs") > 0)
-    each = formed.select("product", "name", "contexts", F.explode("globs").alias("glob")).withColumn("folder", F.regexp_extract("glob", r"^((?:[^*?/]*/)*)", 1))
-    anywhere = asked.filter("file is null").join(formed.drop("globs"), "product").unionByName(asked.join(bare.drop("globs"), "product"))
+    each = formed.select("product", "kind", "contexts", F.explode("globs").alias("glob")).withColumn("folder", F.regexp_extract("glob", r"^((?:[^*?/]*/)*)", 1))
+    anywhere = asked.filter("file is null").join(small(cut(formed.drop("globs"))), "product").unionByName(asked.join(small(cut(bare.drop("globs"))), "product"))
     parts = F.split("file", "/", -1)
     folders = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda n: F.when(n == 0, "").otherwise(F.concat(F.array_join(F.slice(parts, 1, n), "/"), F.lit("/"))))
-    placed = asked.filter("file is not null").withColumn("folder", F.explode(folders)).join(each, ["product", "folder"]).filter(F.rlike("file", glob_form(F.col("glob")))).drop("folder", "glob")
+    placed = asked.filter("file is not null").withColumn("folder", F.explode(folders)).join(small(cut(each)), ["product", "folder"]).filter(F.rlike("file", glob_form(F.col("glob")))).drop("folder", "glob")
     fits = (F.size("contexts") == 0) | F.coalesce(F.col("context"), F.lit("")).isin("", "general") | F.array_contains("contexts", F.col("context"))
-    return anywhere.unionByName(placed).filter(F.coalesce(fits, F.lit(False))).select("query_id", "name").distinct()
+    return anywhere.unionByName(placed).filter(F.coalesce(fits, F.lit(False))).select("query_id", "kind").distinct().join(by_key(like), "kind").select("query_id", "name")
 
 
 def trigger_prompts(skills: DataFrame) -> DataFrame:
