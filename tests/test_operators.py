@@ -193,3 +193,22 @@ def test_names_are_cut_into_pieces_once_however_many_nodes_have_them(spark):
     found = graph.resolve(nodes, spark.createDataFrame([("bolt",), ("red bolt",), ("zz",)], "mention string"), 2)
     assert sorted(map(tuple, found.collect())) == [("bolt", "n0", 80.0, 1), ("bolt", "n1", 80.0, 2), ("red bolt", "n0", 100.0, 1), ("red bolt", "n1", 100.0, 2)]
     assert "BroadcastExchange" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_texts_that_hold_parts_are_compared_once_and_told_as_often_as_they_come(spark):
+    from tessera.operators import joins
+
+    left = spark.createDataFrame([("k", i, "red bolt") for i in range(3)] + [("k", 9, "red bolt"), ("k", 10, None), ("j", 1, "red bolt"), ("k", 11, "x")], "key string, a long, text string")
+    right = spark.createDataFrame([("k", 1, "bolt"), ("k", 2, "bolt"), ("k", 3, "d"), ("k", 4, None), ("j", 5, "nut")], "key string, b long, part string")
+    got = joins.contained(left, right, ["key"], "text", "part").select("key", "a", "b")
+    assert sorted(map(tuple, got.collect())) == [("k", a, b) for a in (0, 1, 2, 9) for b in (1, 2, 3)]
+    few = spark.range(50).selectExpr("if(id < 0, 'none', 'k') AS key", "id AS a", "if(id < 0, 'none', 'red bolt') AS text")
+    assert "BroadcastExchange" not in joins.contained(few, few.selectExpr("key", "a AS b", "substring(text, 5) AS part"), ["key"], "text", "part")._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin", 1)[0]
+
+
+def test_a_skill_with_several_globs_or_products_fits_once(spark):
+    from tessera.operators import skills
+
+    held = spark.createDataFrame([("p", "a", ["src/*.py", "src/m*"], None), ("p", "a", ["**/*.py"], None), ("q", "a", None, None), ("p", "b", ["**/*.py"], ["debug"]), ("p", "c", ["src/*.py", "src/m*"], None)], "product string, name string, globs array<string>, contexts array<string>")
+    asked = spark.createDataFrame([(1, "p", "src/m.py", "plan"), (1, "q", None, None), (2, "p", "x/m.py", "debug"), (2, "p", "x/m.py", "debug")], "query_id long, product string, file string, context string")
+    assert sorted(map(tuple, skills.applicable(held, asked).collect())) == [(1, "a"), (1, "c"), (2, "a"), (2, "b")]
