@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.lineage import cut
+from tessera.functions.lineage import by_key, cut
 
 # What entities and relationships may be, and how sure a node is that facts name.
 LABELS = ["APIEndpoint", "ADR", "Class", "CodeFile", "Config", "DBTable", "Document", "EventTopic", "FeatureFlag", "Function", "Migration", "Module", "Repository", "Runbook", "Service", "Test", "UIApp", "UIScreen"]
@@ -87,8 +87,9 @@ def valid(facts: DataFrame, least: float, most: int) -> DataFrame:
     lines = F.coalesce(F.col("end_line") >= F.col("start_line"), F.lit(True)) & F.coalesce(F.col("start_line") >= 1, F.lit(True))
     kept = facts.filter(F.upper("predicate").isin(PREDICATES) & (F.coalesce("confidence", F.lit(0.0)) >= least) & lines)
     kept = kept.withColumn("predicate", F.upper("predicate")).withColumn("subject_label", label("subject", "subject_label")).withColumn("object_label", label("object", "object_label"))
+    kept = cut(kept)  # replies are decoded once
     first = kept.groupBy("reply_id").agg(F.slice(F.array_sort(F.collect_list("place")), 1, most).alias("_first"))
-    return kept.join(first, "reply_id").filter(F.array_contains("_first", F.col("place"))).drop("_first")
+    return kept.join(by_key(first), "reply_id").filter(F.array_contains("_first", F.col("place"))).drop("_first")
 
 
 def norm(name: Column) -> Column:
@@ -128,9 +129,9 @@ def resolved(facts: DataFrame, nodes: DataFrame, product: str, aliases: DataFram
         ends = ends.join(same, F.concat_ws("|", "label", "key") == F.col("_k"), "left").withColumn("key", F.coalesce("_class", "key")).drop("_k", "_class")
         again = known.join(same, F.substring_index("_k", "|", -1) == F.col("key")).select("node_id", "node_uri", F.col("_class").alias("key"))
         known = known.unionByName(again).distinct()
-    met = ends.join(known, "key", "left").filter(F.col("node_uri").isNull() | (F.col("node_uri") == F.col("uri")))
+    met = ends.join(by_key(known), "key", "left").filter(F.col("node_uri").isNull() | (F.col("node_uri") == F.col("uri")))
     best = met.groupBy("reply_id", "uri", "place", "side").agg(F.min(F.when(F.col("node_id").isNotNull(), F.struct(F.col("node_uri").isNull().alias("anywhere"), "node_id"))).alias("b"))
-    rows = ends.join(best, ["reply_id", "uri", "place", "side"], "left")
+    rows = ends.join(by_key(best), ["reply_id", "uri", "place", "side"], "left")
     own = F.concat_ws(":", F.lower("label"), F.lit(product), "uri", "key")
     return rows.select("reply_id", "place", "side", F.coalesce("b.node_id", own).alias("node_id"), "name", "label", "uri", F.col("b").isNull().alias("is_new"))
 

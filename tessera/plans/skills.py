@@ -65,10 +65,15 @@ def parsed_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return skills.facts(_replies(spark, sf_dir), 0.3, 3)
 
 
+def _returned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts and suppliers of returned lines, made distinct as numbers and dealt before."""
+    return table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select("l_partkey", "l_suppkey").repartition("l_partkey", "l_suppkey").distinct()
+
+
 def merged_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Of parts and suppliers that orders returned name already, and facts say again: how sure each edge is."""
-    known = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(
-        F.lit("SUPPLIED_BY").alias("edge_type"), F.concat(F.lit("part:"), "l_partkey").alias("from_id"), F.concat(F.lit("supplier:"), "l_suppkey").alias("to_id"), F.lit(0.5).alias("confidence")).distinct()
+    known = _returned(spark, sf_dir).select(
+        F.lit("SUPPLIED_BY").alias("edge_type"), F.concat(F.lit("part:"), "l_partkey").alias("from_id"), F.concat(F.lit("supplier:"), "l_suppkey").alias("to_id"), F.lit(0.5).alias("confidence"))
     found = parsed_facts(spark, sf_dir).select(F.col("predicate").alias("edge_type"), F.col("subject").alias("from_id"), F.col("object").alias("to_id"), "confidence")
     return graph.merge_facts(known, found)
 
@@ -79,8 +84,8 @@ def resolved_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = even.unionByName(table(spark, sf_dir, "supplier").select(F.concat(F.lit("supplier:"), "s_suppkey").alias("node_id"))).select("node_id", F.array(F.upper("node_id")).alias("names"), F.lit(None).cast("string").alias("uri"))
     told = facts.valid(facts.decoded(_replies(spark, sf_dir)).withColumn("predicate", F.lit("depends_on")), 0.3, 3).withColumn("uri", F.concat(F.lit("order/"), "reply_id"))
     ends = facts.resolved(told, nodes, "shop")
-    known = table(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").select(
-        F.lit("DEPENDS_ON").alias("edge_type"), F.concat(F.lit("part:"), "l_partkey").alias("from_id"), F.concat(F.lit("supplier:"), "l_suppkey").alias("to_id"), F.lit(0.5).alias("confidence"), F.lit("known").alias("anchor")).distinct()
+    known = _returned(spark, sf_dir).select(
+        F.lit("DEPENDS_ON").alias("edge_type"), F.concat(F.lit("part:"), "l_partkey").alias("from_id"), F.concat(F.lit("supplier:"), "l_suppkey").alias("to_id"), F.lit(0.5).alias("confidence"), F.lit("known").alias("anchor"))
     return facts.merge(known, told, ends).drop("evidence")
 
 
