@@ -212,3 +212,14 @@ def test_a_skill_with_several_globs_or_products_fits_once(spark):
     held = spark.createDataFrame([("p", "a", ["src/*.py", "src/m*"], None), ("p", "a", ["**/*.py"], None), ("q", "a", None, None), ("p", "b", ["**/*.py"], ["debug"]), ("p", "c", ["src/*.py", "src/m*"], None)], "product string, name string, globs array<string>, contexts array<string>")
     asked = spark.createDataFrame([(1, "p", "src/m.py", "plan"), (1, "q", None, None), (2, "p", "x/m.py", "debug"), (2, "p", "x/m.py", "debug")], "query_id long, product string, file string, context string")
     assert sorted(map(tuple, skills.applicable(held, asked).collect())) == [(1, "a"), (1, "c"), (2, "a"), (2, "b")]
+
+
+def test_outermost_and_innermost_spans_are_found_at_once_and_blocks_are_not_broadcast(spark):
+    from tessera.operators import joins
+
+    spans = spark.range(40).selectExpr("id % 2 AS k", "id AS span_id", "id AS start", "id + 10 AS end")
+    points = spark.range(3).selectExpr("id % 2 AS k", "id AS point_id", "20 + id AS at")
+    both = joins.enclosing_all(points, spans, ["k"], {"outermost": False, "innermost": True})
+    plan = both._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastExchange") == 1 and plan.count("Generate explode") == 3  # only the number of widths is sent; for it and for all ways spans are cut, and points once
+    assert sorted(map(tuple, both.collect())) == [(0, 0, 20, 10, 20), (0, 2, 22, 12, 22), (1, 1, 21, 11, 21)]
