@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.lineage import cut
+from tessera.functions.lineage import cut, small, spread
 from tessera.functions.scalars import tokens
 from tessera.operators import graph, retrieval
 
@@ -189,8 +189,8 @@ CANDIDATE = ["query_id", "channel", "chunk_id", "file", "line", "role", "excerpt
 
 
 def _placed(found: DataFrame, chunks: DataFrame) -> DataFrame:
-    """found (query_id, channel, chunk_id) with what their chunks say."""
-    rows = found.join(chunks, "chunk_id").withColumn("excerpt", F.substring(F.trim("content"), 1, 1600))
+    """found (query_id, channel, chunk_id) with what their chunks say. Roles are read off whole texts, so the rows are dealt to all tasks before."""
+    rows = spread(chunks.join(small(cut(found)), "chunk_id"), "query_id", "chunk_id").withColumn("excerpt", F.substring(F.trim("content"), 1, 1600))
     return rows.withColumn("role", role(F.col("file"), F.col("context_path"), F.col("content"), F.col("channel"))).withColumn("chunk_id", F.col("chunk_id").cast("string")).select(*CANDIDATE)
 
 
