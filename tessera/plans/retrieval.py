@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.functions.lineage import cut
+from tessera.functions.lineage import cut, small
 from tessera.operators import metrics, product, retrieval, vectors
 from tessera.plans.tables import table
 
@@ -30,14 +30,14 @@ def grep_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lexical and the exact search, each run once for all that reads its ranks."""
     lexical = retrieval.bm25(_chunks(spark, sf_dir), _queries(spark, sf_dir), 50)
-    exact = retrieval.grep(_chunks(spark, sf_dir), _queries(spark, sf_dir), 50)
+    exact = retrieval.grep_ranks(_chunks(spark, sf_dir), _queries(spark, sf_dir), 50)
     parts = [d.select("query_id", F.lit(k).alias("ranking"), "rank", "chunk_id", "score", F.lit(name).alias("source")) for k, (name, d) in enumerate((("bm25", lexical), ("grep", exact)))]
     return cut(parts[0].unionByName(parts[1]))
 
 
 def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     fused = retrieval.fuse(_rankings(spark, sf_dir), limit=10).select("query_id", "chunk_id", "score", "sources", "rank")
-    return fused.join(_chunks(spark, sf_dir).select("chunk_id", "source", "lang"), "chunk_id")
+    return _chunks(spark, sf_dir).select("chunk_id", "source", "lang").join(small(cut(fused)), "chunk_id").select("chunk_id", "query_id", "score", "sources", "rank", "source", "lang")
 
 
 def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,7 +63,7 @@ def hybrid_quota_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def rerank_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     seeds = retrieval.fuse(_rankings(spark, sf_dir), limit=20).select("query_id", "chunk_id")
-    documents = seeds.join(_chunks(spark, sf_dir).select("chunk_id", F.col("content").alias("document")), "chunk_id")
+    documents = _chunks(spark, sf_dir).select("chunk_id", F.col("content").alias("document")).join(small(cut(seeds)), "chunk_id")  # so that texts aren't dealt anew
     return retrieval.rerank(documents.join(_queries(spark, sf_dir), "query_id")).select("query_id", "chunk_id", "score", "rank")
 
 
