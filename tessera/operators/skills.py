@@ -6,11 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessera.functions.lineage import by_key, cut, small
+from tessera.functions.lineage import by_key, cut, small, spread
 from tessera.functions.scalars import glob_form
 from tessera.operators.evidence import holding
 from tessera.operators.facts import decoded
-from tessera.operators.retrieval import top
+from tessera.operators.retrieval import reachable, top
 
 # Forms of citations and list items, what sections must have, and what names files, routes or commands.
 CITATION = r"\[file:\s*[^\]\s:]+:\d+\]"
@@ -145,6 +145,7 @@ def repaired(documents: DataFrame, evidence: DataFrame, problems: DataFrame) ->
 # How much a skill counts once it had to be revised, how many records its quality shows, and prompts that no
 # skill is meant for.
 REVISED, SHOWN, MOST_FAILURES = 0.7, 20, 4
+FEW = 100  # prompts and texts that may be paired for a word they share
 UNRELATED = ("what time is it", "summarize this unrelated PDF")
 WORD = "[a-z0-9]+"
 
@@ -190,23 +191,56 @@ def trigger_prompts(skills: DataFrame) -> DataFrame:
     return skills.withColumn("_w", long).select("name", F.posexplode(prompts).alias("place", "prompt"))
 
 
+def _firsts(prompts: DataFrame, plan: DataFrame) -> DataFrame:
+    """(prompt, first): the name of the row of plan (place, name, text) that holds most different words of a prompt (prompt), then of the
+    least place; a prompt that shares no word with a row has none.
+
+    Words that at most FEW prompts and FEW rows hold make pairs of them, which are few. Of other words only which a prompt or a
+    row holds is kept: prompts that hold the same ones are one, rows that do are the one of the least place, and these meet as
+    `retrieval.reachable` tells. A pair counts both kinds of words; the least a row of the other way can be told is too little,
+    and then it is a pair as well. So no word that many hold makes a row for each prompt and row that do.
+    """
+    told = cut(prompts.select("prompt").distinct().withColumn("p", F.monotonically_increasing_id()))
+    words = F.array_distinct(_words(F.coalesce("text", F.lit(""))))
+    held = cut(plan.groupBy(F.col("place").alias("at"), F.col("name").alias("first")).agg(F.flatten(F.collect_list(words)).alias("w")).withColumn("r", F.monotonically_increasing_id()))
+    asks, has = told.select("p", F.explode(F.array_distinct(_words(F.col("prompt")))).alias("term")), held.select("r", F.explode("w").alias("term"))
+    each = asks.select("term", F.lit(1).alias("a"), F.lit(0).alias("h")).unionByName(has.select("term", F.lit(0).alias("a"), F.lit(1).alias("h")))
+    many = cut(each.groupBy("term").agg(F.sum("a").alias("a"), F.sum("h").alias("h")).filter((F.col("a") > FEW) | (F.col("h") > FEW)))
+    others, shared = small(many.select("term")), small(many.filter("a > 0 and h > 0").select("term"))
+
+    def kinds(of: DataFrame, key: str) -> DataFrame:
+        return cut(of.join(shared, "term").groupBy(key).agg(F.array_sort(F.collect_list("term")).alias(f"{key}_kind")))
+
+    p_kinds, r_kinds = kinds(asks, "p"), kinds(has, "r")
+    like = r_kinds.join(by_key(held.select("r", "at", "first")), "r").groupBy(F.array_join("r_kind", " ").alias("kind")).agg(F.min(F.struct("at", "first")).alias("b"))
+    like = cut(like)
+    weights = like.select("kind", F.explode(F.split("kind", " ")).alias("term")).groupBy("kind", "term").agg(F.count("*").cast("double").alias("w"))
+    wanted = p_kinds.select(F.array_join("p_kind", " ").alias("query_id")).distinct()
+    met = reachable(wanted.select("query_id", F.explode(F.split("query_id", " ")).alias("term")), weights, 1, "kind")
+    met = met.join(by_key(like), "kind").groupBy("query_id").agg(F.min(F.struct((-F.round("total")).cast("long").alias("less"), "b.at", "b.first")).alias("b"))
+    by_kind = p_kinds.select("p", F.array_join("p_kind", " ").alias("query_id")).join(small(cut(met)), "query_id").select("p", "b")
+
+    pairs = asks.join(others, "term", "left_anti").join(by_key(has.join(others, "term", "left_anti")), "term").groupBy("p", "r").agg(F.count("*").alias("n"))
+    both = F.coalesce(F.size(F.filter("r_kind", lambda t: F.array_contains("p_kind", t))), F.lit(0))
+    pairs = pairs.join(by_key(p_kinds), "p", "left").join(by_key(r_kinds), "r", "left").select("p", "r", F.when(F.col("p_kind").isNull() | F.col("r_kind").isNull(), 0).otherwise(both).alias("m"), "n")
+    by_pair = pairs.join(by_key(held.select("r", "at", "first")), "r").select("p", F.struct((-(F.col("n") + F.col("m"))).cast("long").alias("less"), "at", "first").alias("b"))
+    best = by_kind.unionByName(by_pair).groupBy("p").agg(F.min("b").alias("b"))
+    return best.join(by_key(told), "p").select("prompt", F.col("b.first").alias("first"))
+
+
 def trigger_failures(skills: DataFrame, plan: DataFrame) -> DataFrame:
     """(name, place, prompt, first, problem) of the prompts that a skill is meant for and doesn't come first on (missed), or isn't and shares
     words with (unrelated): the first MOST_FAILURES of each skill.
 
     plan: place, name, text, all that tells a skill; prompts rank its rows by the share of their different words that text
-    holds, then by place. Prompts meet texts on words, so rows without a common one, which score nothing, are never
-    formed; a prompt that nothing shares a word with has no first. Without a plan nothing can fail.
+    holds, then by place, as `_firsts` tells; a prompt that nothing shares a word with has no first. Without a plan nothing can fail.
     """
+    skills, plan = spread(skills, "name"), spread(plan, "name")
     own = trigger_prompts(skills)
     strange = skills.select("name", F.posexplode(F.array(*map(F.lit, UNRELATED))).alias("place", "prompt")).withColumn("place", F.col("place") + 3)
-    prompts = own.select("prompt").union(strange.select("prompt")).distinct()
-    terms = prompts.select("prompt", F.array_distinct(_words(F.col("prompt"))).alias("w")).select("prompt", F.size("w").alias("n"), F.explode("w").alias("term"))
-    held = plan.select(F.col("place").alias("at"), F.col("name").alias("first"), F.explode(F.array_distinct(_words(F.coalesce("text", F.lit(""))))).alias("term"))
-    scored = cut(terms.join(held, "term").groupBy("prompt", "n", "at", "first").agg((F.count("*") / F.col("n")).alias("score")))
-    best = scored.groupBy("prompt").agg(F.min(F.struct((-F.col("score")).alias("less"), "at", "first")).alias("b")).select("prompt", F.col("b.first").alias("first"))
-    missed = own.join(best, "prompt", "left").filter(~F.col("first").eqNullSafe(F.col("name"))).select("name", "place", "prompt", "first", F.lit("missed").alias("problem"))
-    met = scored.select("prompt", F.col("first").alias("name")).distinct()
+    missed = own.join(_firsts(own, plan), "prompt", "left").filter(~F.col("first").eqNullSafe(F.col("name"))).select("name", "place", "prompt", "first", F.lit("missed").alias("problem"))
+    words = _words(F.coalesce("text", F.lit("")))
+    met = plan.select("name", F.explode(F.array_compact(F.array(*(F.when(F.arrays_overlap(words, _words(F.lit(x))), F.lit(x)) for x in UNRELATED)))).alias("prompt")).distinct()
     over = strange.join(met, ["prompt", "name"], "left_semi").select("name", "place", "prompt", F.lit(None).cast("string").alias("first"), F.lit("unrelated").alias("problem"))
     every = missed.unionByName(over).join(F.broadcast(plan.limit(1).select(F.lit(1).alias("_any"))), F.lit(True), "left_semi")
     return top(every, ["name"], [F.col("place")], MOST_FAILURES, "_r").drop("_r")

@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tessera.operators import skills
@@ -58,3 +61,36 @@ def test_runs_and_who_may_see_them(spark):
     products = spark.createDataFrame([("r1", "p"), ("r2", "p"), ("r2", "secret"), ("r3", "p")], "run_id string, product string")
     seen = skills.visible_runs(at, products, spark.createDataFrame([("p",)], "product string"))
     assert [(r.place, r.run_id) for r in seen.orderBy("place").collect()] == [(1, "r3"), (2, "r1"), (3, "r4")]
+
+
+def test_prompts_meet_kinds_of_rows_and_no_pair_of_a_prompt_and_a_row_is_kept(spark, monkeypatch):
+    monkeypatch.setattr(skills, "FEW", 3, raising=False)
+    draw, sizes, cut = random.Random(6), [], skills.cut
+    vocabulary = ["alpha", "bravo", "delta", "gamma", "time", "help", "with", "omega"]
+    held = [(f"s{i}", " ".join(draw.sample(vocabulary, draw.randint(1, 6))) if i % 9 else None) for i in range(90)]
+    plan = [(draw.randint(-20, 20), name, f"{name if i % 4 else ''} {text or ''} {draw.choice(vocabulary)} own{i % 40}") for i, (name, text) in enumerate(held)] + [(1, "s1", "alpha alpha s1"), (1, "s1", "alpha bravo"), (None, "odd", "omega")]
+
+    def counted(df):
+        df = cut(df)
+        sizes.append(df.count())
+        return df
+
+    monkeypatch.setattr(skills, "cut", counted)
+    asked, told = spark.createDataFrame(held, "name string, description string"), spark.createDataFrame(plan, "place int, name string, text string")
+    got = {(r["name"], r.place, r.prompt, r["first"], r.problem) for r in skills.trigger_failures(asked, told).collect()}
+    prompts = skills.trigger_prompts(asked).collect()
+    words, rows = (lambda text: set(re.findall("[a-z0-9]+", text.lower()))), {}
+    for place, name, text in plan:
+        rows.setdefault((place, name), []).extend(words(text))
+    wanted, pairs = set(), 0
+    for name in {name for name, _ in held}:
+        faults = []
+        for r in (r for r in prompts if r["name"] == name):
+            scores = [(-sum(w in words(r.prompt) for w in has), place is not None, place or 0, first) for (place, first), has in rows.items() if words(r.prompt) & set(has)]
+            pairs += len(scores)
+            best = min(scores)[3] if scores else None
+            if best != name:
+                faults.append((name, r.place, r.prompt, best, "missed"))
+        faults += [(name, i, x, None, "unrelated") for i, x in enumerate(skills.UNRELATED, 3) if any(words(x) & words(text) for _, n, text in plan if n == name)]
+        wanted |= set(sorted(faults, key=lambda f: f[1])[:4])
+    assert got == wanted and pairs > 4000 and max(sizes) < 400
